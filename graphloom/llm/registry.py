@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "warc"]
+MODULES = ["bpe", "sharding", "warc"]
 
 
 def _all(name: str) -> dict:

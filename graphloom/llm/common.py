@@ -129,3 +129,30 @@ WHITE = bytes(range(9, 14)) + b" "
 def tokens(data: bytes) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased: what bytes.lower and bytes.split do."""
     return data.lower().split()
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int) -> DataFrame:
+    """text, label of at most `bound` labelled training rows: those of labels whose crc32(doc_id) mod modulus isn't held_out.
+
+    The sample is taken from the labels alone, so what is broadcast is at most
+    `bound` pairs of numbers. A doc_id that docs repeats gives each of its rows."""
+    train = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
+    few = bounded_sample(train.dropDuplicates(["doc_id"]), bound, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray | None, ridge: float, rounds: int = 40) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps; y None: every row of x is a difference that should be positive. No intercept is added."""
+    w = np.zeros(x.shape[1])
+    y = np.ones(len(x)) if y is None else y
+    for _ in range(rounds):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "sharding", "warc"]
+MODULES = ["toxicity", "bpe", "quality", "sharding", "warc"]
 
 
 def _all(name: str) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toxicity", "bpe", "quality", "sharding", "warc"]
+MODULES = ["toxicity", "bpe", "quality", "sharding", "warc", "langid"]
 
 
 def _all(name: str) -> dict:

@@ -154,7 +154,7 @@ def learn_lexicon(rows: DataFrame, size: int = 4000, exception_size: int = 1000)
     g = 2 * (F.col("n1") * F.log(F.col("n1") / (total * share)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (total * (1 - share)))).otherwise(0.0))
     likely = counts.filter((F.col("n1") > 1) & (F.col("n1") * n0 > 3 * F.col("n0") * n1)).withColumn("weight", F.log(p1 / p0)).withColumn("g", g)
     least = 2 * np.log(max(2, counts.filter("n0 + n1 > 1").count())) + 8
-    top = likely.filter((F.col("g") > float(least)) & (F.col("weight") > 1.5)).orderBy(F.desc("g"), "term").limit(size).collect()
+    top = likely.filter((F.col("g") > float(least)) & (F.col("weight") > 2.0)).orderBy(F.desc("g"), "term").limit(size).collect()
     entries = [(r["term"], float(r["weight"])) for r in top]
     lexicon = Lexicon(entries)
     if entries:

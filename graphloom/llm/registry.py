@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toxicity", "decontaminate", "bpe", "quality", "sharding", "embedding_dedup", "minhash", "warc", "langid"]
+MODULES = ["toxicity", "lm", "decontaminate", "bpe", "quality", "sharding", "embedding_dedup", "minhash", "warc", "langid"]
 
 
 def _all(name: str) -> dict:

@@ -156,3 +156,23 @@ def logistic_fit(x: np.ndarray, y: np.ndarray | None, ridge: float, rounds: int
         if np.abs(step).max() < 1e-8:
             break
     return w
+
+
+def row_bits(rows: DataFrame, slot: Column) -> DataFrame:
+    """at, bits: a bit set over slots (not negative), 64 to a row."""
+    slots = rows.select(slot.alias("slot"))
+    return slots.groupBy(F.expr("cast(slot div 64 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, bits: int = 24) -> DataFrame:
+    """docs without the rows whose row_key() is in gone (rid).
+
+    A bit set of 2**bits hashed keys, of at most 4 MB, is broadcast; only rows
+    that it marks are joined with gone by a shuffle, so texts that stay don't move."""
+    slot = F.pmod(F.xxhash64("rid"), F.lit(1 << bits))
+    marks = row_bits(gone, slot).withColumnRenamed("at", "_at").withColumnRenamed("bits", "_bits")
+    keyed = docs.select("*", row_key().alias("rid")) if "rid" not in docs.columns else docs.select([F.col(c).alias("_doc_rid") if c == "rid" else F.col(c) for c in docs.columns] + [row_key().alias("rid")])
+    keyed = keyed.withColumn("_slot", slot).join(F.broadcast(marks), F.expr("cast(_slot div 64 as int) = _at"), "left")
+    keyed = keyed.withColumn("_marked", F.coalesce(F.expr("(shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1) = 1"), F.lit(False)))
+    stay = keyed.filter("not _marked").unionByName(keyed.filter("_marked").join(gone, "rid", "left_anti"))
+    return stay.select([F.col("_doc_rid").alias("rid") if c == "rid" else F.col(c) for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from graphloom.llm.common import discard, materialize, ship, slices, table, text_bytes
+from graphloom.llm.common import discard, drop_rows, materialize, row_bits, row_key, ship, slices, table, text_bytes
 from graphloom.llm.components import components, join_hot
 from graphloom.llm.shingles import set_key, shingle_sets
 
@@ -36,7 +36,7 @@ CHUNK = 1 << 20
 
 
 def _sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, key (of the set; null for an empty set), n, sketch."""
+    """rid (the row's key), doc_id, key (of the set; null for an empty set), n, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,16 +44,16 @@ def _sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
             for a, b in slices(texts, [len(t) for t in texts], CHUNK):
                 sets = shingle_sets(texts[a:b], width)
                 keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:k] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(a, b - a), batch.column("doc_id").slice(a, b - a), keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:k] for s in sets], pa.list_(pa.int64()))], names=["rid", "doc_id", "key", "n", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, n long, sketch array<long>")
+    rows = docs.select(row_key().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "rid long, doc_id long, key long, n long, sketch array<long>")
 
 
 def _full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """key, items for the sets of wanted keys, and a few others that the filter lets through; one row each."""
     spark = docs.sparkSession
-    slots = wanted.selectExpr(f"pmod(key, {1 << FILTER_BITS}) as slot")
-    rows = slots.groupBy(F.expr("cast(slot div 64 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
+    rows = row_bits(wanted, F.pmod("key", F.lit(1 << FILTER_BITS))).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(bits)
@@ -125,30 +125,45 @@ def link_classes(docs: DataFrame, sketches: DataFrame, percent: int, width: int,
     return done
 
 
+def near_duplicate_rows(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id, kept, first for every row of docs; see near_duplicates.
+
+    rid is row_key() over docs; first is true for one row of each component, that
+    with the least doc_id and of these the least rid, and for rows that are alone."""
+    ship(docs.sparkSession)
+    sketches = materialize(_sketches(docs, width, k), "sketches")
+    root = link_classes(docs, sketches, percent, width, k)
+    unnamed = F.lit((1 << 63) - 1)
+    least = F.struct(F.coalesce("doc_id", unnamed).alias("id"), F.col("rid"))
+    members = sketches.filter("key is not null").groupBy("key").agg(F.min(least).alias("least"), F.count("*").alias("copies"))
+    known = materialize(members.join(root, members["key"] == root["node"], "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root")), "known")
+    groups = known.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("size"))
+    named = join_hot(known.select("key", "copies", "root"), groups, "root", "size", known.count() or 1).select("key", "copies", "least")
+    rows = sketches.filter("key is not null").select("rid", "doc_id", "key", "n")
+    found = join_hot(rows, named, "key", "copies", rows.count() or 1)
+    out = found.select("rid", "doc_id", "n", F.nullif(F.col("least.id"), unnamed).alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("first"))
+    out = out.unionByName(sketches.filter("key is null").select("rid", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "first")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); other columns are not read.
 
     Two rows are linked if 100 x intersection >= percent x union of their sets of
     width-word shingles. component_id: the least doc_id reachable. Null or blank
     text: an empty set, linked with nothing, kept. A row with a null doc_id links
-    others but names no component: its own is that of its class, or null. Repeated
-    rows are exact copies and each gives a row; a repeated doc_id with other text
-    counts as a document of its own. percent of 80 or more is what k is made for."""
-    ship(docs.sparkSession)
-    sketches = materialize(_sketches(docs, width, k), "sketches")
-    root = link_classes(docs, sketches, percent, width, k)
-    members = sketches.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    known = members.join(root, members["key"] == root["node"], "left").select("key", "least", "copies", F.coalesce("root", "key").alias("root"))
-    known = materialize(known, "known")
-    # a root has as many rows as classes; classes of a root beyond the hot bound are few
-    groups = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"), F.max("copies").alias("most")).filter("size > 1 or most > 1")
-    n = known.count() or 1
-    named = join_hot(known.select("key", "copies", "root"), groups.select("root", "component_id", "size"), "root", "size", n).select("key", "copies", "component_id")
-    rows = sketches.filter("key is not null").select("doc_id", "key", "n")
-    total = rows.count() or 1
-    found = join_hot(rows, named, "key", "copies", total, "left")
-    out = found.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(sketches.filter("key is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    others but names no component: its own is the least of those linked, or null,
+    and it is kept only then. Repeated rows are exact copies and each gives a row; a
+    repeated doc_id with other text counts as a document of its own. percent of 80
+    or more is what k is made for."""
+    return near_duplicate_rows(docs, percent, width, k).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K) -> DataFrame:
+    """docs with one row of each component, all columns as they were. docs must be read from files, so that rows keep their keys."""
+    gone = materialize(near_duplicate_rows(docs, percent, width, k).filter("not first").select("rid"), "gone")
+    return drop_rows(docs, gone)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def find_nodes(
 
 def update_nodes(g: Graph, changes: DataFrame) -> Graph:
     """changes: id and some of the updatable columns; a null leaves the old value. One row an id."""
-    given = [c for c in UPDATABLE if c in changes.columns]
+    given = [c for c in UPDATABLE if c in changes.columns and c in g.nodes.columns]
     new = changes.select("id", *[F.col(c).alias(f"_{c}") for c in given])
     out = g.nodes.join(new, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in given})
     return g.with_(nodes=out.select(g.nodes.columns))

@@ -32,7 +32,10 @@ def bm25(nodes: DataFrame, query: str, ceiling: int | None = None) -> DataFrame:
     """id, rank of nodes that hold every word of query. Document frequencies and mean length are of all nodes; the ceiling cuts the hits."""
     asked = sorted(set(re.findall("[a-z0-9]+", query.lower())))
     words = nodes.select("id", "sensitivity", terms(F.concat_ws(" ", "name", "description")).alias("w"))
-    tf = [F.size(F.filter("w", lambda x, t=t: x == t)) for t in asked]
+    def times(word: str):
+        return F.size(F.filter("w", lambda x: x == word))
+
+    tf = [times(t) for t in asked]
     counted = words.select("id", "sensitivity", F.size("w").alias("length"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
     whole = counted.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(asked))])
     hits = _under(counted, ceiling)

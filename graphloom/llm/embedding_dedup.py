@@ -31,17 +31,24 @@ PARTS, WORDS = 2, 256
 
 
 class Codes:
-    """Random product codes for vectors of one dimension; threshold in standard deviations of a random direction's score."""
+    """Random product codes for vectors of one dimension; a random vector lies in about `each` caps of a code."""
 
-    def __init__(self, dim: int, codes: int, threshold: float, seed: int = 11):
+    def __init__(self, dim: int, codes: int, each: float, seed: int = 11):
         self.dim = dim
         width = -(-dim // PARTS)
         self.padded = width * PARTS
-        self.tau = threshold * (PARTS / self.padded) ** 0.5
         rng = np.random.default_rng(seed)
         self.turns = [np.linalg.qr(rng.normal(size=(self.padded, self.padded)))[0] for _ in range(codes)]
         books = rng.normal(size=(codes, PARTS, WORDS, self.padded // PARTS))
         self.books = books / np.linalg.norm(books, axis=-1, keepdims=True)
+        probe = np.zeros((64, self.padded))
+        probe[:, :dim] = rng.normal(size=(64, dim))
+        parts = (probe / np.linalg.norm(probe, axis=1, keepdims=True) @ self.turns[0]).reshape(64, PARTS, -1)
+        s = np.einsum("npd,pwd->npw", parts, self.books[0])
+        scores = (s[:, 0, :, None] + s[:, 1, None, :]).ravel()
+        above = min(len(scores) - 1, int(64 * each))
+        #: What a vector's score has to reach: measured on random vectors, as the tail depends on the dimension.
+        self.tau = -np.partition(-scores, above)[above]
 
     def caps(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each row of unit vectors the sorted ids of its caps, code << 16 | direction."""
@@ -143,7 +150,7 @@ def _link(least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.98, codes: int = 6, threshold: float = 3.5, block: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.98, codes: int = 6, each: float = 9.0, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label); other columns are not read.
 
     Rows with a null label, vec_id or embedding, a null or non-finite component, or
@@ -167,14 +174,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, codes: int = 6, thresh
                 caps: list[bytes] = [b""] * len(raw)
                 for dim in {len(r) // 4 for r in raw}:
                     if dim not in books:
-                        books[dim] = Codes(dim, codes, threshold)
+                        books[dim] = Codes(dim, codes, each)
                     which = [i for i, r in enumerate(raw) if len(r) == 4 * dim]
                     for i, c in zip(which, books[dim].caps(_unit([raw[i] for i in which])), strict=True):
                         caps[i] = c.astype("<i4").tobytes()
                 # a cap is of one label and one dimension
                 group = [((label * 4096 + len(r) // 4) & 0x7FFFFFFF) << 32 for label, r in zip(part.column("label").to_pylist(), raw, strict=True)]
-                each = [[g | c for c in np.frombuffer(b, "<i4").tolist()] for g, b in zip(group, caps, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("copies"), pa.array(raw, pa.binary()), pa.array(caps, pa.binary()), pa.array(each, pa.list_(pa.int64()))], names=["cid", "copies", "vec", "caps", "each"])
+                listed = [[g | c for c in np.frombuffer(b, "<i4").tolist()] for g, b in zip(group, caps, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("copies"), pa.array(raw, pa.binary()), pa.array(caps, pa.binary()), pa.array(listed, pa.list_(pa.int64()))], names=["cid", "copies", "vec", "caps", "each"])
 
     decoded = materialize(classes.select("cid", "copies", "label", "vec").mapInArrow(decode, "cid long, copies long, vec binary, caps binary, each array<long>"), "caps")
     entries = decoded.select("cid", F.explode("each").alias("cap"))

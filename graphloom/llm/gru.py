@@ -195,7 +195,7 @@ class Net:
         flat /= len(symbols)
         return h, flat, -float(lp.mean())
 
-    def train(self, texts: list[np.ndarray], squares: np.ndarray, lanes: int = 64, window: int = 24, rate: float = 0.06) -> float:
+    def train(self, texts: list[np.ndarray], squares: np.ndarray, lanes: int = 128, window: int = 24, rate: float = 0.06) -> float:
         """One pass over texts in place (Adagrad; squares: its sums so far). The mean loss met."""
         deal = Lanes(texts, lanes)
         h = np.zeros((deal.symbol.shape[1], self.shape.hidden), np.float32)

@@ -29,7 +29,7 @@ from graphloom.llm.gru import WIDTH, Net, Shape
 
 #: The end of a text as a token; no word holds white space.
 END = b"\n"
-OPEN = 64
+OPEN = 48
 HEAD, LONGEST = 1 << 17, 64
 
 
@@ -165,7 +165,7 @@ def learn_network(train: DataFrame, vocabulary: Vocabulary, hidden: int, share:
                 for text in text_bytes(batch.column("text")):
                     held.append(v.symbols(tokens(text)))
                     size += len(held[-1])
-                    if size > 300_000:
+                    if size > 1_000_000:
                         net.train(held, squares)
                         seen, held, size = seen + size, [], 0
             if held:
@@ -189,7 +189,7 @@ def learn_network(train: DataFrame, vocabulary: Vocabulary, hidden: int, share:
 _nets: dict[int, tuple] = {}
 
 
-def score_documents(docs: DataFrame, train: DataFrame, members: int = 2048, hidden: int = 32, share: int = 8, rounds: int = 4, tokens_each: int = 2_000_000, chunk_tokens: int = 400_000) -> DataFrame:
+def score_documents(docs: DataFrame, train: DataFrame, members: int = 1536, hidden: int = 24, share: int = 16, rounds: int = 4, tokens_each: int = 1_000_000, chunk_tokens: int = 2_500_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     train: rows (doc_id, text) to count and learn from. Words: A-Z lower-cased, parted by

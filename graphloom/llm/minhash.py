@@ -7,9 +7,12 @@ c - t + 1 of its c shared values, t being the fewest values that two sketches of
 sufficiently similar sets share: two such classes meet in some list. The bottom
 k of both sketches' union estimate the similarity; the full sets confirm it.
 
-Work in a list is linear at first: each member is compared to the list's least.
-Confirmed links join components; then only members of different components are
-compared with each other, so a large group of near copies costs no square.
+Work in a list is linear at first: each member is compared to the list's center,
+the member that shares most of its sketch: of copies of one text, that text.
+Confirmed links join components. Then members of different components are
+compared with each other, in blocks: a list's members are dealt into blocks, each
+pair of blocks is one piece of work, and a piece gives links of a forest and pairs
+whose sets are too large to decide there, never all its pairs.
 
 k = 48 and t = 0.52 of the sketch: two sets of similarity 0.85 share fewer
 sketch values than that with probability about 1e-7, less for more similar ones.
@@ -30,6 +33,8 @@ from graphloom.llm.components import components, join_hot
 from graphloom.llm.shingles import set_key, shingle_sets
 
 K, SHARE = 48, 0.52
+#: Members of a block, and values of a set that a piece of work holds; a set of no more is whole.
+BLOCK, WHOLE = 512, 256
 #: Bits of the filter that tells the second pass which sets may be asked for: 2 MB whatever the input.
 FILTER_BITS = 24
 CHUNK = 1 << 20
@@ -78,6 +83,94 @@ def _least(m):
     return F.ceil(m * F.lit(SHARE))
 
 
+def _compared(left: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b, sure out of rows (value, key, root, size) of lists: links between members of different roots.
+
+    sure: both sets are whole there and the link is certain; a piece gives no more
+    of these than join its roots. Others passed a bound on the sketches."""
+    items = sets.select("key", F.slice("items", 1, WHOLE).alias("items"))
+    rows = left.join(items, "key").join(classes.select("key", F.col("n").alias("whole")), "key")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("value", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "key", "root", "whole", "items")
+    dealt = dealt.repartition("value", "lo", "hi").sortWithinPartitions("value", "lo", "hi")
+
+    def work(t: pa.Table) -> tuple[list[int], list[int], list[bool]]:
+        root, key, n = (t[c].to_numpy() for c in ("root", "key", "whole"))
+        if len(key) < 2 or (root == root[0]).all():
+            return [], [], []
+        mine = t["mine"].to_numpy()
+        across = t["lo"][0].as_py() != t["hi"][0].as_py()
+        column = t["items"].combine_chunks()
+        flat, who = column.flatten().to_numpy(), np.repeat(np.arange(len(key)), np.diff(column.offsets.to_numpy()))
+        _, value, count = np.unique(flat, return_inverse=True, return_counts=True)
+        common = count[value] > 1
+        who, value = who[common], np.unique(value[common], return_inverse=True)[1]
+        both = np.zeros((len(key), len(key)), np.float32)
+        for at in range(0, int(value.max(initial=-1)) + 1, 4096):
+            use = (value >= at) & (value < at + 4096)
+            m = np.zeros((len(key), 4096), np.float32)
+            m[who[use], value[use] - at] = 1
+            both += m @ m.T
+        small = n <= WHOLE
+        certain = small[:, None] & small[None, :]
+        most, least = np.maximum.outer(n, n), np.minimum.outer(n, n)
+        linked = np.where(certain, both * 100 >= (n[:, None] + n[None, :] - both) * percent, False)
+        share = np.minimum(1.0, percent / (100 + percent) * (n[:, None] + n[None, :]) / most)
+        held = np.minimum(least, WHOLE)
+        bound = share * held - 5.5 * np.sqrt(held * share * (1 - share)) - (most - least) * (least <= WHOLE) - 1
+        maybe = ~certain & (both >= bound) & (least * 100 >= most * percent)
+        open_ = np.triu((root[:, None] != root[None, :]) & (~np.equal.outer(mine, mine) if across else True), 1)
+        a, b, sure = [], [], []
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero(linked & open_)), strict=True):
+            x, y = top(int(root[i])), top(int(root[j]))
+            if x != y:
+                up[x] = y
+                a.append(int(key[i]))
+                b.append(int(key[j]))
+                sure.append(True)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(maybe & open_)), strict=True):
+            if top(int(root[i])) != top(int(root[j])):
+                a.append(int(min(key[i], key[j])))
+                b.append(int(max(key[i], key[j])))
+                sure.append(False)
+        return a, b, sure
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            value, lo, hi = (t[c].to_numpy() for c in ("value", "lo", "hi"))
+            new = np.flatnonzero((value[1:] != value[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            got = [work(t.slice(x, y - x)) for x, y in zip([0, *new.tolist()], [*new.tolist(), len(t)], strict=True)]
+            a, b, sure = ([v for g in got for v in g[i]] for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not len(t):
+                continue
+            value, lo, hi = (t[c].to_numpy() for c in ("value", "lo", "hi"))
+            same = np.flatnonzero((value != value[-1]) | (lo != lo[-1]) | (hi != hi[-1]))
+            cut = int(same[-1]) + 1 if len(same) else 0
+            rest = t.slice(cut)
+            if cut:
+                yield from out(t.slice(0, cut))
+        if rest is not None and len(rest):
+            yield from out(rest)
+
+    return dealt.mapInArrow(run, "a long, b long, sure boolean")
+
+
 def link_classes(docs: DataFrame, sketches: DataFrame, percent: int, width: int, k: int) -> DataFrame:
     """node, root over keys of different sets that links (intersection x 100 >= union x percent) connect."""
     classes = materialize(sketches.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
@@ -88,13 +181,14 @@ def link_classes(docs: DataFrame, sketches: DataFrame, percent: int, width: int,
     by_key = Window.partitionBy("key")
     prefix = (
         shared.withColumn("c", F.count("*").over(by_key)).filter(F.col("c") >= _least(F.col("m")))
-        .withColumn("r", F.row_number().over(by_key.orderBy("df", "value"))).filter(F.col("r") <= F.col("c") - _least(F.col("m")) + 1).select("value", "key")
+        .withColumn("r", F.row_number().over(by_key.orderBy("df", "value"))).filter(F.col("r") <= F.col("c") - _least(F.col("m")) + 1)
+        .select("value", "key", (F.col("c") / F.col("m")).alias("part"))
     )
     prefix = materialize(prefix, "prefix")
-    lists = prefix.groupBy("value").agg(F.min("key").alias("center"), F.count("*").alias("n")).filter("n > 1")
+    lists = prefix.groupBy("value").agg(F.max_by("key", F.struct("part", "key")).alias("center"), F.count("*").alias("n")).filter("n > 1")
     lists = materialize(lists, "lists")
     size = lists.agg(F.sum("n")).first()[0] or 1
-    member = materialize(join_hot(prefix, lists, "value", "n", size), "members")
+    member = materialize(join_hot(prefix.select("value", "key"), lists, "value", "n", size), "members")
     discard(prefix)
     sets = materialize(_full_sets(docs, width, member.select("key").distinct()), "sets")
 
@@ -108,17 +202,16 @@ def link_classes(docs: DataFrame, sketches: DataFrame, percent: int, width: int,
         both = F.size(F.array_intersect("ia", "ib"))
         return near.join(ia, "a").join(ib, "b").withColumn("both", both).filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
-    spokes = materialize(member.filter("key != center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct(), "spokes")
+    spokes = materialize(member.filter("key != center").select(F.least("center", "key").alias("a"), F.greatest("center", "key").alias("b")).distinct(), "spokes")
     first = materialize(confirmed(spokes), "links")
     root = materialize(components(first), "roots")
     rooted = member.join(root.select(F.col("node").alias("key"), "root"), "key", "left").select("value", "key", "n", F.coalesce("root", "key").alias("root"))
     rooted = materialize(rooted, "rooted")
     open_ = rooted.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("size")).filter("lo != hi").select("value", "size")
     left = materialize(join_hot(rooted, open_, "value", "size", size), "open")
-    x = left.select("value", F.col("key").alias("a"), F.col("root").alias("ra"))
-    y = left.select("value", F.col("key").alias("b"), F.col("root").alias("rb"))
-    rest = x.join(y, "value").filter("a < b and ra != rb").select("a", "b").distinct().join(spokes, ["a", "b"], "left_anti")
-    second = confirmed(rest)
+    links = materialize(_compared(left, sets, classes, percent), "compared")
+    rest = links.filter("not sure").select("a", "b").distinct().join(spokes, ["a", "b"], "left_anti")
+    second = confirmed(rest).unionByName(links.filter("sure").select("a", "b"))
     done = components(first.unionByName(second))
     for t in (rooted, left, member, common, lists):
         discard(t)

@@ -162,6 +162,31 @@ def properties_last_write(spark, d):
     return out.select("node_id", F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("properties"))
 
 
+@query("select id from nodes where pinned or type = 'tool'")
+def pin_nodes(spark, d):
+    g = _g(spark, d)
+    return graph.pin(g, g.nodes.filter("type = 'tool'").select("id")).nodes.filter("pinned").select("id")
+
+
+@query("select node_id, tag from tags union select 'supplier-' || s_suppkey, 'supply' from supplier")
+def add_tags(spark, d):
+    """Tags offered twice, of which none was there, beside all that were offered again."""
+    g = _g(spark, d)
+    new = P.read(spark, d, "supplier").select(F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("node_id"), F.lit("supply").alias("tag"))
+    return graph.add_tags(g, new.unionByName(new).unionByName(g.tags)).tags
+
+
+@query("""select node_id, len(embedding) as dims, floor(embedding[1]::double * 1e6 + 0.5) / 1e6 as first_value from node_embeddings where substr(node_id, 6)::bigint % 3 != 0
+union all select node_id, 2, 0.25 from node_embeddings where substr(node_id, 6)::bigint % 3 = 0""")
+def upsert_embeddings(spark, d):
+    """Every third vector written twice; the second counts."""
+    g = _g(spark, d)
+    third = g.embeddings.filter("cast(substring(node_id, 6) as bigint) % 3 = 0").select("node_id")
+    written = lambda seq, *v: third.select("node_id", F.array(*map(F.lit, v)).cast("array<float>").alias("embedding"), F.lit(seq).alias("seq"))
+    out = graph.upsert_embeddings(g, written(2, 0.25, 0.5).unionByName(written(1, 1.0))).embeddings
+    return out.select("node_id", F.size("embedding").cast("long").alias("dims"), r6(F.get("embedding", F.lit(0)).cast("double")).alias("first_value"))
+
+
 # ---- aggregates
 
 
@@ -606,6 +631,19 @@ def stale_code(spark, d):
     return code_index.stale_nodes(n, n.filter("file_path not like '%1.cs'").select("file_path").distinct()).select("id")
 
 
+@query("""with t as (select p_brand || '.cs' as f, 'Shop.Part' || p_partkey as q from part),
+old as (select f, 'code:' || f || ':class:' || q as id from t union select f, 'code:' || f || ':method:' || q || '.Run' from t where q like '%5' union select f, 'code:' || f || ':file:' || f from t),
+new as (select f, 'code:' || f || ':class:' || q as id from t where f like '%1.cs' and q like '%3')
+select id from old where f not like '%2.cs' and f not in (select f from new) union all select id from new union all select distinct 'code:' || f || ':file:' || f from new""")
+def reindex_code(spark, d):
+    """Some files parsed anew with fewer classes, some no longer walked; the others stay."""
+    every = _parsed(spark, d)
+    new = code_index.code_nodes(every.filter("file_path like '%1.cs' and entity_type = 'class' and fqn like '%3'"))
+    g = graph.Graph.empty(spark)
+    out = code_index.reindex(g.with_(nodes=code_index.code_nodes(every)), new, g.edges, every.filter("file_path not like '%2.cs'").select("file_path").distinct())
+    return out.nodes.select("id")
+
+
 @query("""with r as (select 'customer-' || c_custkey as entity_id, c_custkey % 50 as k, c_custkey as doc_id, c_name from customer)
 select entity_id, 'code:Method' || k as code_id, doc_id from r where k % 2 = 0""")
 def code_references(spark, d):
@@ -629,6 +667,43 @@ def heartbeat_salience(spark, d):
     return o.select(F.col("o_orderkey").alias("k"), r6(s).alias("salience"))
 
 
+@query("""select 'fix-order-' || o_orderkey as id, 'Fix order ' || o_orderkey as name, 'rule' as type, 0.9::double as salience from orders
+union all select 'order-' || o_orderkey || '-was-late', 'Order ' || o_orderkey || ' was late', 'concept', floor((least(0.9, greatest(0.5, 0.7 - greatest(0, date_diff('day', o_orderdate::date, date '1999-01-01')) / 7.0 * 0.01) + 0.05)) * 1e6 + 0.5) / 1e6 from orders
+union all select 'undated-order-' || o_orderkey, 'Undated order ' || o_orderkey, 'concept', 0.7 from orders""")
+def memory_import(spark, d):
+    """A memory file an order: a corrected bullet, one of another section, a learned one reinforced later, and one without a date."""
+    key, day = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.concat(
+        F.lit("# Memory\n## Corrected\n- Fix order "), key, F.lit(" - *corrected: "), day, F.lit("*\n## Elsewhere\n- Passed over\n## Learned\n- Order "), key,
+        F.lit(" was late - *learned: "), day, F.lit(", reinforced: 1998-12-01*\n- Undated order "), key)
+    entries = notes.parse_memory(P.read(spark, d, "orders").select(key.alias("path"), text.alias("text")), F.lit("1999-01-01"))
+    out = notes.memory_nodes(entries, P.nodes(spark, d), F.to_date(F.lit("1999-01-01")))
+    return out.select("id", "name", "type", r6("salience").alias("salience"))
+
+
+@query("""select trim(regexp_replace(lower(r_name), '[^a-z0-9]+', '-', 'g'), '-') as id, 'domain' as type, 0.8::double as salience from region
+union all select trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-'), 'initiative', 0.8 from nation union all select trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-'), 'person', 0.7 from customer""")
+def vault_nodes(spark, d):
+    """Folders and files of a vault: a domain a region, an initiative a nation, a person a customer."""
+    at = lambda table, folder, c, rest: P.read(spark, d, table).select(F.concat(F.lit(f"vault/{folder}/"), F.col(c), F.lit(rest)).alias("path"))
+    files = at("region", "domains", "r_name", "/notes.md").unionByName(at("nation", "initiatives", "n_name", ".md")).unionByName(at("customer", "people", "c_name", "/log.md"))
+    return notes.vault_nodes(files).select("id", "type", "salience")
+
+
+@query("""with k as (select c_custkey as k, 'customer-' || c_custkey as parent from customer)
+select 'anna-keller' as source_id, parent as target_id, 'mentioned_in' as relationship, 0.6::double as weight from k union all select 'anna-keller-takes-plan-' || k, parent, 'belongs_to', 0.8 from k
+union all select 'anna-keller-takes-plan-' || k, 'anna-keller', 'authored_by', 0.6 from k union all select 'anna-keller', parent, 'belongs_to', 0.7 from k union all select 'boris-novak', parent, 'belongs_to', 0.5 from k""")
+def vault_edges(spark, d):
+    """A note, a decision, an open and a done action in a file a customer."""
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("## 2024-01-02 Sync\n### Notes\n- Talked with Anna Keller\n### Decisions\n- Anna Keller takes plan "), key, F.lit("\n### Next steps\n- Anna Keller: call back\n- ✅ Boris: sent the draft"))
+    c = P.read(spark, d, "customer")
+    people = spark.createDataFrame([("anna-keller", "Anna Keller"), ("boris-novak", "Boris Novak")], "id string, name string")
+    sections = notes.parse_sections(c.select(key.alias("path"), text.alias("text")))
+    out = notes.vault_edges(sections, c.select(key.alias("path"), F.concat(F.lit("customer-"), key).alias("parent_id")), people)
+    return out.select("source_id", "target_id", "relationship", r6("weight").alias("weight"))
+
+
 @query("""with fixed as (select id, 'Pinned' as section, salience from nodes where pinned order by salience desc, id limit 100),
 own as (select id, type as section, salience from nodes where salience >= 0.3 and source_agent = 'building' and coalesce(sensitivity, 0) <= 1 order by salience desc, id limit 150),
 tagged as (select id, type as section, salience from nodes where salience >= 0.3 and id in (select node_id from tags where tag = 'building') and coalesce(sensitivity, 0) <= 1 order by salience desc, id limit 150),

@@ -572,11 +572,46 @@ def crossdoc(spark, d):
     return ingest.cross_document(_ents(spark, d)).select("source_id", "target_id", "shared", r6("weight").alias("weight"))
 
 
+def _whole_chunks(spark, d) -> DataFrame:
+    """Chunks of whole documents by line, each document a file of its own."""
+    files = P.files(spark, d).select(F.concat("path", F.lit("#"), F.col("doc_id").cast("string")).alias("path"), "text")
+    return ingest.chunk(files, separator="\n")
+
+
 @query()
 def ingest_full(spark, d):
     """All rules over whole documents, chunked by line: path, chunk, id, type, weight-ready spans."""
-    files = P.files(spark, d).select(F.concat("path", F.lit("#"), F.col("doc_id").cast("string")).alias("path"), "text")
-    return ingest.entities(ingest.chunk(files, separator="\n")).select("path", "chunk_seq", "ent_seq", "id", "type", "start", "end", "rule")
+    return ingest.entities(_whole_chunks(spark, d)).select("path", "chunk_seq", "ent_seq", "id", "type", "start", "end", "rule")
+
+
+# The queries on leads are bound to their SQL; these do the same on whole documents, without SQL.
+
+
+@query()
+def chunks_full(spark, d):
+    return _whole_chunks(spark, d).groupBy("path").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query()
+def person_spans_full(spark, d):
+    return ingest.people(_whole_chunks(spark, d)).select("path", "chunk_seq", "name", F.col("start").cast("long").alias("start"))
+
+
+@query()
+def tool_hits_full(spark, d):
+    return ingest.tools(_whole_chunks(spark, d)).select("path", "chunk_seq", "id", F.col("start").cast("long").alias("start"))
+
+
+@query()
+def pair_edges_full(spark, d):
+    (e,) = settle(ingest.entities(_whole_chunks(spark, d)))
+    return ingest.pair_edges(e).select("path", "chunk_seq", "source_id", "target_id", r6("weight").alias("weight"))
+
+
+@query()
+def crossdoc_full(spark, d):
+    (e,) = settle(ingest.entities(_whole_chunks(spark, d)))
+    return ingest.cross_document(e).select("source_id", "target_id", "shared", r6("weight").alias("weight"))
 
 
 @query(r"""with n as (select doc_id, lead, unnest(list_distinct(regexp_extract_all(lead, '\b([A-Z][a-z]+ [A-Z][a-z]+)\b', 1))) as name from files),
@@ -598,6 +633,22 @@ def summaries(spark, d):
     return P.files(spark, d).select("doc_id", summary(F.col("lead")).alias("summary"))
 
 
+@query()
+def detect_relationships_full(spark, d):
+    f = P.files(spark, d).select("doc_id", F.col("text").alias("content"))
+    name = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"), 1)))
+    spans = f.select("doc_id", "content", name.alias("text")).withColumn("start", F.expr("instr(content, text)") - 1).withColumn("end", F.col("start") + F.length("text"))
+    spans = spans.withColumn("seq", F.struct("start", "text")).withColumn("label", F.lit("thing"))
+    return extraction.detect_relations(f, spans).select("doc_id", "source", "target", "relationship", "weight")
+
+
+@query()
+def summaries_full(spark, d):
+    from graphloom.functions.text import summary
+
+    return P.files(spark, d).select("doc_id", summary(F.col("text")).alias("summary"))
+
+
 @query("select p_partkey as key, substr(trim(regexp_replace(lower(p_name || ' -- ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40) as slug from part")
 def slugs(spark, d):
     return P.read(spark, d, "part").select(F.col("p_partkey").alias("key"), slug(F.concat("p_name", F.lit(" -- "), "p_type")).alias("slug"))

@@ -384,9 +384,9 @@ def parse_md_log(spark, d):
 # ---- extraction
 
 
-def _extractions(spark, d) -> DataFrame:
-    """An extraction an order: its customer and priority as entities, and an edge between them, as JSON."""
-    o = P.read(spark, d, "orders").filter("o_orderkey % 3 = 0")
+def _extractions(spark, d, every: bool = False) -> DataFrame:
+    """An extraction an order: its customer and priority as entities, and an edge between them, as JSON. The SQL has one order in three."""
+    o = P.read(spark, d, "orders").filter("true" if every else "o_orderkey % 3 = 0")
     name = F.concat(F.lit("Customer "), (F.col("o_custkey") % 200).cast("string"))
     body = F.struct(
         F.array(F.struct(F.lit("").alias("id"), F.lit("person").alias("type"), name.alias("name"), F.repeat(F.lit("d"), (F.col("o_orderkey") % 9).cast("int")).alias("description"), F.lit(0.4).alias("salience")),
@@ -400,26 +400,56 @@ _MENTIONS = """m as (
   union all select o_orderkey, 1, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-'), 'concept', o_orderpriority, 'p', 0.6 from orders where o_orderkey % 3 = 0)"""
 
 
+def _llm_parse(spark, d, every: bool = False) -> DataFrame:
+    e, _, _ = extraction.parse_extractions(_extractions(spark, d, every))
+    return e.select("seq", "pos", "id", "type", "name", r6("salience").alias("salience"))
+
+
 @query(f"with {_MENTIONS} select seq, pos, id, type, name, floor(salience * 1e6 + 0.5) / 1e6 as salience from m")
 def llm_parse(spark, d):
-    e, _, _ = extraction.parse_extractions(_extractions(spark, d))
-    return e.select("seq", "pos", "id", "type", "name", r6("salience").alias("salience"))
+    return _llm_parse(spark, d)
+
+
+@query()
+def llm_parse_full(spark, d):
+    """All orders."""
+    return _llm_parse(spark, d, every=True)
+
+
+def _load_extractions(spark, d, every: bool = False) -> DataFrame:
+    e, _, _ = extraction.parse_extractions(_extractions(spark, d, every))
+    return extraction.fold_nodes(P.nodes(spark, d), e).select("id", "mentions", "added", r6("salience").alias("salience"), "description")
 
 
 @query(f"""with {_MENTIONS}, f as (select id, count(*) as n, arg_min(salience, seq) as first, arg_max(description, length(description) * 1000000000 - seq) as new from m group by 1)
 select f.id, f.n as mentions, nodes.id is null as added, floor(case when nodes.id is not null then least(1.0, nodes.salience + 0.1 * n) when n = 1 then first else least(1.0, first + 0.1 * (n - 1)) end * 1e6 + 0.5) / 1e6 as salience,
   case when nodes.id is not null and length(new) <= length(nodes.description) then nodes.description else new end as description from f left join nodes on nodes.id = f.id""")
 def load_extractions(spark, d):
-    e, _, _ = extraction.parse_extractions(_extractions(spark, d))
-    return extraction.fold_nodes(P.nodes(spark, d), e).select("id", "mentions", "added", r6("salience").alias("salience"), "description")
+    return _load_extractions(spark, d)
+
+
+@query()
+def load_extractions_full(spark, d):
+    """All orders."""
+    return _load_extractions(spark, d, every=True)
+
+
+def _edge_fold(spark, d, every: bool = False) -> DataFrame:
+    e, x, _ = extraction.parse_extractions(_extractions(spark, d, every))
+    edges, _ = extraction.fold_edges(P.nodes(spark, d), P.edges(spark, d), e, x)
+    return edges.select("source_id", "target_id", "relationship", "attempts", r6("weight").alias("weight"))
 
 
 @query(f"""with {_MENTIONS}, r as (select a.seq, a.id as source_id, b.id as target_id from m a join m b on a.seq = b.seq and a.pos = 0 and b.pos = 1)
 select source_id, target_id, 'depends_on' as relationship, count(*) as attempts, floor(case when count(*) = 1 then 1.0 else least(1.0, 1.0 + 0.1 * (count(*) - 1)) end * 1e6 + 0.5) / 1e6 as weight from r group by 1, 2""")
 def edge_fold(spark, d):
-    e, x, _ = extraction.parse_extractions(_extractions(spark, d))
-    edges, _ = extraction.fold_edges(P.nodes(spark, d), P.edges(spark, d), e, x)
-    return edges.select("source_id", "target_id", "relationship", "attempts", r6("weight").alias("weight"))
+    return _edge_fold(spark, d)
+
+
+@query()
+def edge_fold_full(spark, d):
+    """All orders."""
+    return _edge_fold(spark, d, every=True)
 
 
 # ---- search

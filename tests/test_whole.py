@@ -110,3 +110,18 @@ def test_relations_of_whole_documents(spark, whole):
 def test_summaries_of_whole_documents(spark, whole):
     want = [(i, next((x for x in (re.sub("^- ", "", y.strip()) for y in t.split("\n")) if len(x) > 10 and x[0] != "_"), t)[:200]) for i, (_, t) in texts().items()]
     assert got(spark, whole, "summaries_full") == sorted(want)
+
+
+def test_all_orders_are_parsed_and_folded(spark, tmp_path, monkeypatch):
+    orders = [(k, k % 4, ["1-URGENT", "5-LOW"][k % 2]) for k in range(1, 9)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"file://{tmp_path}/orders.parquet")
+    monkeypatch.setattr(catalogue.P, "nodes", lambda s, d: s.createDataFrame([], "id string, type string, name string, description string, salience double"))
+    monkeypatch.setattr(catalogue.P, "edges", lambda s, d: s.createDataFrame([], "source_id string, target_id string, relationship string, weight double"))
+    d = f"file://{tmp_path}"
+    ids = [(k, i, n) for k, c, p in orders for i, n in ((0, f"customer-{c}"), (1, p.lower()))]
+    assert sorted((r["seq"], r["pos"], r["id"]) for r in catalogue.QUERIES["llm_parse_full"](spark, d).collect()) == sorted(ids)
+    loaded = {r["id"]: (r["mentions"], r["salience"]) for r in catalogue.QUERIES["load_extractions_full"](spark, d).collect()}
+    times = {n: sum(m == n for *_, m in ids) for *_, n in ids}
+    assert loaded == {n: (k, pytest.approx(min(1, (0.4 if n[0] == "c" else 0.6) + 0.1 * (k - 1)), abs=1e-6)) for n, k in times.items()}
+    pairs = [(f"customer-{c}", p.lower()) for _, c, p in orders]
+    assert {(r["source_id"], r["target_id"]): r["attempts"] for r in catalogue.QUERIES["edge_fold_full"](spark, d).collect()} == {x: pairs.count(x) for x in pairs}

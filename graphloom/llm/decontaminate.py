@@ -63,9 +63,9 @@ def best_match(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 
 
 class Matcher:
-    """items: (id, normalised text), none empty."""
+    """items: (id or None, normalised text), none empty."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
         self.items, self.rate = items, rate
         self._automaton = None
 
@@ -91,7 +91,7 @@ class Matcher:
         return self._automaton
 
     def find(self, data: bytes) -> dict[int, tuple[int, int]]:
-        """For each item met: its least distance, and where in the normalised text the first such place ends."""
+        """For each item met, by its place in items: its least distance, and where in the normalised text the first such place ends."""
         if not self.items or not data:
             return {}
         text = normalise(data)
@@ -101,7 +101,7 @@ class Matcher:
                 starts.setdefault(i, set()).add(end - n + 1 - offset)
         out = {}
         for i, places in starts.items():
-            name, item = self.items[i]
+            item = self.items[i][1]
             k = self.budget(item)
             best, window = None, None
             for place in [*sorted(places), None]:  # places whose windows meet are looked at together
@@ -115,19 +115,19 @@ class Matcher:
                         best = (got[0], got[1] + low)
                 window = (place - k, place + len(item) + k) if place is not None else None
             if best:
-                out[name] = best
+                out[i] = best
         return out
 
 
 def matchers(benchmark: DataFrame, rate: float = RATE, block_bytes: int = 4 << 20) -> Iterator[Matcher]:
     """Matchers over all items of benchmark (item_id, text), block by block, none above about block_bytes of text.
 
-    Items that are null or hold no letter or digit match nothing."""
+    Items whose text is null or holds no letter or digit match nothing."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
     for b in range(blocks):
-        rows = benchmark.filter((F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) & F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").collect()
-        yield Matcher(sorted((r["item_id"], t) for r in rows if (t := normalise(r["text"].encode()))), rate)
+        rows = benchmark.filter((F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) & F.col("text").isNotNull()).select("item_id", "text").collect()
+        yield Matcher(sorted(((r["item_id"], t) for r in rows if (t := normalise(r["text"].encode()))), key=lambda x: (x[0] is not None, x)), rate)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -136,7 +136,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE
     distance: the least over the document's places; ends_at: where in the
     normalised text (UTF-8 bytes) the first such place ends. Null and empty texts
     hold nothing; other columns are not read; repeated rows and repeated items
-    each give their rows; a null doc_id is reported as null. Items shorter than
+    each give their rows; a null doc_id or item_id is reported as null. Items shorter than
     1 / rate must be met unchanged. No shuffle."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -147,7 +147,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(d, item, k, end) for d, t in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True) for item, (k, end) in shared.value.find(t).items()]
+                found = [(d, shared.value.items[i][0], k, end) for d, t in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True) for i, (k, end) in shared.value.find(t).items()]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "ends_at"])
 

@@ -1,6 +1,7 @@
 """Text operators on rows that a cut would lose."""
 
 import corpus_pipeline
+from graphloom.llm import decontaminate
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -12,3 +13,12 @@ def test_pipeline_drops_pairs_of_similarity_80(spark, tmp_path):
     spark.createDataFrame(rows, DOCS).write.parquet(f"file://{tmp_path}/docs")
     kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"file://{tmp_path}/docs"), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_items_without_id_and_with_one_id(spark):
+    x, y = "the quick brown fox jumps over the lazy dog again", "pack my box with five dozen liquor jugs tonight"
+    bench = spark.createDataFrame([(None, x), (5, y), (5, y.replace("five", "fivx"))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"Well: {x}."), (2, f"And {y}!"), (3, "nothing of that kind here")], "doc_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_contamination(docs, bench).collect()]
+    assert sorted(got, key=repr) == [(1, None, 0), (2, 5, 0), (2, 5, 1)]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]

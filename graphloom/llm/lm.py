@@ -189,7 +189,7 @@ def learn_network(train: DataFrame, vocabulary: Vocabulary, hidden: int, share:
 _nets: dict[int, tuple] = {}
 
 
-def score_documents(docs: DataFrame, train: DataFrame, members: int = 1536, hidden: int = 24, share: int = 16, rounds: int = 4, tokens_each: int = 1_000_000, chunk_tokens: int = 2_500_000) -> DataFrame:
+def score_documents(docs: DataFrame, train: DataFrame, members: int = 1536, hidden: int = 24, share: int = 1, rounds: int = 4, tokens_each: int = 1_000_000, chunk_tokens: int = 2_500_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     train: rows (doc_id, text) to count and learn from. Words: A-Z lower-cased, parted by

@@ -1,7 +1,7 @@
 """Text operators on rows that a cut would lose."""
 
 import corpus_pipeline
-from graphloom.llm import decontaminate
+from graphloom.llm import decontaminate, lm
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -22,3 +22,11 @@ def test_items_without_id_and_with_one_id(spark):
     got = [(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_contamination(docs, bench).collect()]
     assert sorted(got, key=repr) == [(1, None, 0), (2, 5, 0), (2, 5, 1)]
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
+
+
+def test_network_learns_from_every_training_row(spark):
+    docs = spark.createDataFrame([(i, "red green blue " * 400) for i in range(2)], "doc_id long, text string")
+    for i in range(2):
+        one = docs.filter(f"doc_id = {i}")
+        learnt, blank = (lm.score_documents(one, one, **k).first()["score"] for k in ({}, {"rounds": 0}))
+        assert learnt > blank

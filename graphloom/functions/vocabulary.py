@@ -66,16 +66,35 @@ NOT_PEOPLE = [
     "Phase 1", "Phase 2", "Phase 3", "Phase 4",
 ]
 
-NOT_NAMES = """System Built Framework Decision Architecture Ecosystem Restructure Report Pipeline Integration Research Session Handover Vision
-Morning Evening Afternoon Night Memory Consolidation Heartbeat Domain Patching Lifecycle Description Feature Populated Diagnosed Fixed Expansion
-Recap Update Notes Audit Rewrite Connectivity Actions Patch Control Graph Sync Code Data Tool Skill Agent Rule Convention Pattern Bug Sprint
-Backlog Setup Config Status Deployment Orchestration Convergence Breakthough Day Refinement Established Analyzed Discovered Updated Created
-Calendar Channel Chat Message Personal Recurring Security Credential Geneva Private Instance Coast Pulse Time Dark Scheduler Task Windows Uses
-Setting Line Descriptions Multi Azure Connection Preview Public Key Value Table West East North South""".split()
+NOT_NAMES = [
+    "System", "Built", "Framework", "Decision", "Architecture", "Ecosystem", "Restructure", "Report", "Pipeline", "Integration", "Research",
+    "Session", "Handover", "Vision", "Morning", "Evening", "Afternoon", "Night", "Memory", "Consolidation", "Heartbeat", "Domain", "Patching",
+    "Lifecycle", "Description", "Feature", "Populated", "Diagnosed", "Fixed", "Expansion", "Recap", "Update", "Notes", "Audit", "Rewrite",
+    "Connectivity", "Actions", "Patch", "Control", "Graph", "Sync", "Code", "Data", "Tool", "Skill", "Agent", "Rule", "Convention", "Pattern", "Bug",
+    "Sprint", "Backlog", "Setup", "Config", "Status", "Deployment", "Orchestration", "Convergence", "Breakthough", "Day", "Refinement", "Established",
+    "Analyzed", "Discovered", "Updated", "Created", "Calendar", "Channel", "Chat", "Message", "Personal", "Recurring", "Security", "Credential",
+    "Geneva", "Private", "Instance", "Coast", "Pulse", "Time", "Dark", "Scheduler", "Task", "Windows", "Uses", "Setting", "Line", "Descriptions",
+    "Multi", "Azure", "Connection", "Preview", "Public", "Key", "Value", "Table", "West", "East", "North", "South",
+]
 
-GARBAGE = """person people bug bugs bugfix tool tools pattern patterns decision decisions rule rules meeting meetings initiative concept convention
-open closed fixed done pending blocked error warning issue issues feature features code data file files config setup update system module service
-api cli ui test tests build deploy run start stop true false null undefined none yes no ok the this that reparse""".split() + ["real tools"]
+GARBAGE = [
+    "person", "people", "bug", "bugs", "bugfix", "tool", "tools", "pattern", "patterns", "decision", "decisions", "rule", "rules", "meeting",
+    "meetings", "initiative", "concept", "convention", "open", "closed", "fixed", "done", "pending", "blocked", "error", "warning", "issue", "issues",
+    "feature", "features", "code", "data", "file", "files", "config", "setup", "update", "system", "module", "service", "api", "cli", "ui", "test",
+    "tests", "build", "deploy", "run", "start", "stop", "true", "false", "null", "undefined", "none", "yes", "no", "ok", "the", "this", "that",
+    "real tools", "reparse",
+]
 
-GENERIC_CODE_NAMES = """service execute created domain output module resource config default common location result client context options request
-response handler provider factory builder helper manager worker monitor status source target deploy update delete create""".split()
+GENERIC_CODE_NAMES = [
+    "service", "execute", "created", "domain", "output", "module", "resource", "config", "default", "common", "location", "result", "client",
+    "context", "options", "request", "response", "handler", "provider", "factory", "builder", "helper", "manager", "worker", "monitor", "status",
+    "source", "target", "deploy", "update", "delete", "create",
+]
+
+#: Phrases that announce a decision, a bug or a pattern, and the capitalised phrase that must follow.
+SIGNALS = [
+    ("decision", r"(?i:\b(?:decided to|agreed on|chose|approved|settled on|going with)\b)"),
+    ("bug", r"(?i:\b(?:bug in|broken|crash(?:es|ed)?|regression|root cause|workaround for)\b)"),
+    ("pattern", r"(?i:\b(?:pattern for|best practice|convention|anti-pattern|always use|never use)\b)"),
+]
+SIGNAL_TAIL = r"^\s+(?:the\s+)?([A-Z][A-Za-z0-9 ]+?)(?:[.,;:\n]|$)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import cap_first
@@ -17,11 +17,17 @@ def code_id(file, kind, fqn):
 
 
 def code_nodes(entities: DataFrame) -> DataFrame:
-    """File and entity nodes, salience 1."""
-    own = entities.select(code_id(F.col("file_path"), F.col("entity_type"), F.col("fqn")).alias("id"), cap_first(F.col("entity_type")).alias("type"), "name", F.lit(1.0).alias("salience"), F.lit("code").alias("category"), "file_path", "line_start", "line_end", "namespace")
-    files = entities.select("file_path", "namespace").groupBy("file_path").agg(F.min("namespace").alias("namespace"))
-    of = files.select(code_id(F.col("file_path"), F.lit("file"), F.col("file_path")).alias("id"), F.lit("File").alias("type"), F.col("file_path").alias("name"), F.lit(1.0).alias("salience"), F.lit("code").alias("category"), "file_path", F.lit(1).alias("line_start"), F.lit(None).cast("int").alias("line_end"), "namespace")
-    return own.unionByName(of).dropDuplicates(["id"])
+    """File and entity nodes, salience 1; of equal ids the one that begins last."""
+    words = F.concat_ws(" ", F.when(F.size("modifiers") > 0, F.array_join("modifiers", " ")), "entity_type", "name", F.when(F.size("base_types") > 0, F.concat(F.lit("extends "), F.array_join("base_types", ", "))))
+    always = [F.lit(1.0).alias("salience"), F.lit("code").alias("category"), F.lit("code-graph").alias("source_agent")]
+    own = entities.select(code_id(F.col("file_path"), F.col("entity_type"), F.col("fqn")).alias("id"), cap_first(F.col("entity_type")).alias("type"), "name", words.alias("description"), *always, "file_path", "line_start", "line_end", "namespace")
+    files = entities.groupBy("file_path").agg(F.min("namespace").alias("namespace"))
+    name = F.element_at(F.split("file_path", "/"), -1)
+    of = files.select(code_id(F.col("file_path"), F.lit("file"), F.col("file_path")).alias("id"), F.lit("File").alias("type"), name.alias("name"), F.concat(F.lit("Source file: "), "file_path").alias("description"), *always, "file_path", F.lit(1).alias("line_start"), F.lit(None).cast("int").alias("line_end"), "namespace")
+    every = own.unionByName(of)
+    rest = [c for c in every.columns if c != "id"]
+    last = every.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("line_start", "description")).alias("r"))
+    return last.select("id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def structural_edges(entities: DataFrame, imports: DataFrame | None = None) -> DataFrame:
@@ -51,3 +57,18 @@ def reindex(g: Graph, nodes: DataFrame, edges: DataFrame, walked: DataFrame) ->
     old = g.nodes.filter("category = 'code'").join(parsed, "file_path", "left_semi").select("id").unionByName(stale_nodes(g.nodes, walked).select("id")).distinct()
     clean = delete_nodes(g, old)
     return clean.with_(nodes=clean.nodes.unionByName(nodes, allowMissingColumns=True), edges=clean.edges.unionByName(edges, allowMissingColumns=True))
+
+
+def index_code(g: Graph, entities: DataFrame, walked: DataFrame, as_of: Column, imports: DataFrame | None = None, namespace: str | None = None) -> Graph:
+    """The graph with the entities of parsed files (ENTITY columns) put in anew, nodes and structural edges, of weight 1; walked: file_path of all files there are now.
+
+    Ends of structural edges are names, as types from elsewhere have no node. namespace
+    names the whole index and goes before the code's own."""
+    nodes = code_nodes(entities).withColumns({"confidence": F.lit(1.0), "created_at": as_of, "last_reinforced": as_of})
+    if namespace is not None:
+        nodes = nodes.withColumn("namespace", F.lit(namespace))
+    edges = structural_edges(entities, imports).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), "relationship").distinct()
+    edges = edges.select("*", F.lit(1.0).alias("weight"), F.lit("").alias("description"), F.lit("code-graph").alias("source_agent"), as_of.alias("created_at"), as_of.alias("last_reinforced"))
+    out = reindex(g, nodes, edges.limit(0), walked)
+    kept = out.edges.join(edges, ["source_id", "target_id", "relationship"], "left_anti")
+    return out.with_(edges=kept.unionByName(edges, allowMissingColumns=True))

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import vocabulary as V
-from graphloom.functions.text import round_to
+from graphloom.functions.text import near_pairs, round_to
+from graphloom.sources.shared import settle
 
 RESULT = """struct<entities: array<struct<id: string, type: string, name: string, description: string, salience: double, tags: array<string>>>,
 relationships: array<struct<source: string, target: string, relationship: string, description: string>>>"""
@@ -31,9 +32,10 @@ def parse_extractions(rows: DataFrame, default_salience: float = 0.5) -> tuple[D
     pos, source_id, target_id, relationship, description. Unknown types are concepts,
     unknown relationships relates_to. What isn't JSON goes to quarantine."""
     fenced = F.regexp_extract("json", r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    source = F.when(F.expr("try_parse_json(json)").isNotNull(), F.col("json")).when(F.expr(r"try_parse_json(regexp_extract(json, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1))").isNotNull(), fenced)
-    parsed = rows.withColumn("_src", source)
-    good = parsed.filter(F.col("_src").isNotNull()).withColumn("r", F.from_json("_src", RESULT))
+    source = F.when(F.try_parse_json("json").isNotNull(), F.col("json")).when(F.try_parse_json(fenced).isNotNull(), fenced)
+    # parsed once, however many results are read
+    parsed = settle(rows.withColumn("_src", source).select("seq", F.when(F.col("_src").isNull(), F.col("json")).alias("json"), F.col("_src").isNotNull().alias("ok"), F.from_json("_src", RESULT).alias("r")))[0]
+    good = parsed.filter("ok")
     e = good.select("seq", F.posexplode("r.entities").alias("pos", "e"))
     name = F.coalesce("e.name", F.lit("Unknown"))
     raw = F.when(F.coalesce("e.id", F.lit("")) != "", F.col("e.id")).otherwise(F.coalesce("e.name", F.lit("unknown")))
@@ -45,7 +47,7 @@ def parse_extractions(rows: DataFrame, default_salience: float = 0.5) -> tuple[D
     relations = x.select(
         "seq", "pos", slugged(F.col("x.source")).alias("source_id"), slugged(F.col("x.target")).alias("target_id"), F.when(F.col("x.relationship").isin(V.RELATIONSHIPS), F.col("x.relationship")).otherwise("relates_to").alias("relationship"),
         F.coalesce("x.description", F.lit("")).alias("description")).filter("source_id != '' and target_id != ''")
-    return entities, relations, parsed.filter(F.col("_src").isNull()).select("seq", "json")
+    return entities, relations, parsed.filter("not ok").select("seq", "json")
 
 
 def fold_nodes(nodes: DataFrame, mentions: DataFrame, longest_description: bool = True) -> DataFrame:
@@ -80,11 +82,8 @@ def detect_relations(texts: DataFrame, spans: DataFrame, *, most: int = 300, rat
     Close: the gap is at most min(most, ratio of the text's length). The phrase of
     highest priority between the two names the relation. Of pairs with the same two
     names the first by seq counts; names are in order."""
-    a = spans.select("doc_id", *[F.col(c).alias(f"a_{c}") for c in ("seq", "text", "label", "start", "end")])
-    b = spans.select("doc_id", *[F.col(c).alias(f"b_{c}") for c in ("seq", "text", "label", "start", "end")])
     bound = F.least(F.lit(most), F.floor(F.length("content") * ratio))
-    gap = F.when(F.col("a_end") <= F.col("b_start"), F.col("b_start") - F.col("a_end")).when(F.col("b_end") <= F.col("a_start"), F.col("a_start") - F.col("b_end")).otherwise(0)
-    p = a.join(b, "doc_id").filter("a_seq < b_seq").join(texts.select("doc_id", "content"), "doc_id").withColumn("gap", gap).withColumn("bound", bound).filter("gap <= bound")
+    p = near_pairs(spans.select("doc_id", "seq", "text", "label", "start", "end"), ["doc_id"], most).join(texts.select("doc_id", "content"), "doc_id").withColumn("bound", bound).filter("gap <= bound")
     if skip_people:
         p = p.filter("not (a_label = 'person' and b_label = 'person')")
     swap = F.col("a_text") < F.col("b_text")

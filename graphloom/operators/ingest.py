@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import vocabulary as V
-from graphloom.functions.text import contains_any, is_person, is_valid_entity, slug
+from graphloom.functions.text import NAME, contains_any, is_person, is_valid_entity, near_pairs, slug
+from graphloom.operators.graph import Graph, complete
+from graphloom.sources.shared import settle
 
 CHUNK = 600
 
@@ -27,7 +29,7 @@ def chunk(files: DataFrame, size: int = CHUNK, separator: str = r"\n\s*\n") -> D
 
 def people(chunks: DataFrame) -> DataFrame:
     """path, chunk_seq, id, name, type, start, end, rule: two capitalised words, first place of each."""
-    found = chunks.withColumn("name", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"), 1)))).filter(is_person(F.col("name")))
+    found = chunks.withColumn("name", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(NAME), 1)))).filter(is_person(F.col("name")))
     start = F.expr("instr(text, name)") - 1
     return found.select("path", "chunk_seq", slug(F.col("name")).alias("id"), "name", F.lit("person").alias("type"), start.alias("start"), (start + F.length("name")).alias("end"), F.lit(1).alias("rule"))
 
@@ -40,24 +42,15 @@ def tools(chunks: DataFrame) -> DataFrame:
     return found.select("path", "chunk_seq", slug(name).alias("id"), name.alias("name"), F.lit("tool").alias("type"), "start", (F.col("start") + F.length("k")).alias("end"), F.lit(2).alias("rule"))
 
 
-#: Phrases that announce a decision, a bug or a pattern; the entity is the capitalised phrase after it.
-SIGNALS = [
-    ("decision", r"(?i:\b(?:decided to|agreed on|chose|approved|settled on|going with)\b)"),
-    ("bug", r"(?i:\b(?:bug in|broken|crash(?:es|ed)?|regression|root cause|workaround for)\b)"),
-    ("pattern", r"(?i:\b(?:pattern for|best practice|convention|anti-pattern|always use|never use)\b)"),
-]
-
-
 def signals(chunks: DataFrame) -> DataFrame:
     """The first signal of each kind, if a capitalised phrase of over 3 characters follows."""
     out = None
-    for kind, pattern in SIGNALS:
+    for kind, pattern in V.SIGNALS:
         first = F.regexp_extract("text", pattern, 0)
-        rows = chunks.withColumn("s", first).filter("s != ''").withColumn("start", F.expr("instr(text, s)") - 1)
+        rows = chunks.withColumn("s", first).filter("s != ''").withColumn("start", F.regexp_instr("text", F.lit(pattern)) - 1)
         rows = rows.withColumn("after", F.col("text").substr(F.col("start") + F.length("s") + 1, F.lit(120)))
-        tail = r"^\s+(?:the\s+)?([A-Z][A-Za-z0-9 ]+?)(?:[.,;:\n]|$)"
-        rows = rows.withColumn("name", F.substring(F.trim(F.regexp_extract("after", tail, 1)), 1, 60)).filter(F.length("name") > 3)
-        end = F.col("start") + F.length("s") + F.length(F.regexp_extract("after", tail, 0))
+        rows = rows.withColumn("name", F.substring(F.trim(F.regexp_extract("after", V.SIGNAL_TAIL, 1)), 1, 60)).filter(F.length("name") > 3)
+        end = F.col("start") + F.length("s") + F.length(F.regexp_extract("after", V.SIGNAL_TAIL, 0))
         part = rows.select("path", "chunk_seq", slug(F.col("name")).alias("id"), "name", F.lit(kind).alias("type"), "start", end.alias("end"), F.lit(3).alias("rule"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -83,22 +76,82 @@ def entities(chunks: DataFrame) -> DataFrame:
     return first.withColumn("ent_seq", F.row_number().over(Window.partitionBy("path", "chunk_seq").orderBy("rule", "start", "id")))
 
 
-def pair_edges(ents: DataFrame, most: int = 300, fast: bool = True, confidence: float = 0.5) -> DataFrame:
-    """path, chunk_seq, source_id, target_id (in order), weight, gap for pairs of a chunk at most `most` apart, not two people."""
-    a = ents.select("path", "chunk_seq", *[F.col(c).alias(f"a_{c}") for c in ("ent_seq", "id", "type", "start", "end")])
-    b = ents.select("path", "chunk_seq", *[F.col(c).alias(f"b_{c}") for c in ("ent_seq", "id", "type", "start", "end")])
-    gap = F.when(F.col("a_end") <= F.col("b_start"), F.col("b_start") - F.col("a_end")).when(F.col("b_end") <= F.col("a_start"), F.col("a_start") - F.col("b_end")).otherwise(0)
-    p = a.join(b, ["path", "chunk_seq"]).filter("a_ent_seq < b_ent_seq and not (a_type = 'person' and b_type = 'person')").withColumn("gap", gap).filter(F.col("gap") <= most)
+def pair_mentions(ents: DataFrame, chunks: DataFrame | None = None, most: int = 300, fast: bool = True, confidence: float = 0.5) -> DataFrame:
+    """path, chunk_seq, a_seq, b_seq, source_id, target_id (in order), weight, gap for pairs of a chunk at most `most` apart, not two people; with chunks (path, chunk_seq, text) also what stands between."""
+    key = ["path", "chunk_seq"]
+    rows = ents.select(*key, F.col("ent_seq").alias("seq"), "id", "type", "start", "end")
+    p = near_pairs(rows, key, most).filter("not (a_type = 'person' and b_type = 'person')")
     near = F.greatest(F.lit(0.3), 1.0 - 0.7 * F.col("gap") / most)
     weight = near if fast else F.greatest(F.lit(0.3), (near + confidence) / 2)
-    return p.select("path", "chunk_seq", F.least("a_id", "b_id").alias("source_id"), F.greatest("a_id", "b_id").alias("target_id"), weight.alias("weight"), "gap")
+    out = p.withColumn("weight", weight).withColumn("source_id", F.least("a_id", "b_id")).withColumn("target_id", F.greatest("a_id", "b_id"))
+    columns = [*key, "a_seq", "b_seq", "source_id", "target_id", "weight", "gap"]
+    if chunks is None:
+        return out.select(columns)
+    low = F.least("a_start", "b_start")
+    between = F.col("text").substr(low + 1, F.least(F.lit(100), F.greatest("a_end", "b_end") - low))
+    return out.join(chunks.select(*key, "text"), key).select(*columns, between.alias("description"))
+
+
+def pair_edges(ents: DataFrame, most: int = 300, fast: bool = True, confidence: float = 0.5) -> DataFrame:
+    """path, chunk_seq, source_id, target_id (in order), weight, gap for pairs of a chunk at most `most` apart, not two people."""
+    return pair_mentions(ents, None, most, fast, confidence).select("path", "chunk_seq", "source_id", "target_id", "weight", "gap")
+
 
+def cross_document(ents: DataFrame, block: int = 256, with_files: bool = False) -> DataFrame:
+    """source_id, target_id, shared, weight for entities met in two files or more that share a file; the source is the one seen first. with_files adds the first three shared paths.
 
-def cross_document(ents: DataFrame) -> DataFrame:
-    """source_id, target_id, shared, weight for entities met in two files or more that share a file; the source is the one seen first."""
+    A file's entities are dealt into blocks and each pair of blocks is matched on
+    its own, so a file with very many of them isn't one task."""
     files = ents.groupBy("id", "path").agg(F.min(F.struct("path", "chunk_seq", "ent_seq")).alias("at"))
     seen = files.groupBy("id").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n >= 2")
     many = files.select("id", "path").join(seen.select("id", "first"), "id")
-    a, b = (many.select("path", F.col("id").alias(f"{s}_id"), F.col("first").alias(f"{s}_first")) for s in "ab")
-    p = a.join(b, "path").filter("a_first < b_first").groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
-    return p.select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"), "shared", F.least(F.lit(1.0), 0.4 + 0.15 * F.col("shared")).alias("weight"))
+    size = many.groupBy("path").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = many.join(size, "path").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    a, b = (dealt.select("path", "lo", "hi", F.col("id").alias(f"{s}_id"), F.col("first").alias(f"{s}_first"), F.col("mine").alias(f"{s}_mine")) for s in "ab")
+    p = a.join(b, ["path", "lo", "hi"]).filter("a_first < b_first and (lo = hi or a_mine != b_mine)")
+    met = p.groupBy("a_id", "b_id").agg(F.count("*").alias("shared"), *([F.slice(F.array_sort(F.collect_set("path")), 1, 3).alias("files")] if with_files else []))
+    return met.select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"), "shared", F.least(F.lit(1.0), 0.4 + 0.15 * F.col("shared")).alias("weight"), *(["files"] if with_files else []))
+
+
+def ingest(g: Graph, files: DataFrame, as_of: Column, namespace: str, agent: str = "ingest", fast: bool = True, confidence: float = 0.5, separator: str = r"\n\s*\n") -> tuple[Graph, DataFrame]:
+    """The graph with the entities and links of files (path, text) put in, and one row of counts.
+
+    A new entity has the type, name and chunk's beginning of its first mention and a
+    salience of 0.6; every mention after that adds 0.1, as each does for one that was
+    there. Pairs of a chunk relate to each other with a weight by nearness, entities
+    that share files by their number; a pair met again adds 0.1. Mentions count in
+    the order of path, chunk and place; links across files come last. Without a
+    model, confidence stands for the sureness of 'relates_to' where not fast."""
+    key = ["source_id", "target_id", "relationship"]
+    parts = settle(chunk(files.select("path", "text"), separator=separator))[0]
+    ents = settle(entities(parts))[0]
+    told = ents.join(parts.select("path", "chunk_seq", F.substring("text", 1, 200).alias("description")), ["path", "chunk_seq"])
+    at = F.struct("path", "chunk_seq", "ent_seq")
+    met = told.groupBy("id").agg(F.count("*").alias("n"), *[F.min_by(c, at).alias(c) for c in ("type", "name", "description")])
+    grown = lambda first, n: F.least(F.lit(1.0), first + 0.1 * n)
+    n = F.col("_n")
+    old = g.nodes.join(met.select("id", F.col("n").alias("_n")), "id", "left")
+    old = old.withColumns({"salience": F.when(n.isNotNull(), grown(F.col("salience"), n)).otherwise(F.col("salience")), "last_reinforced": F.when(n.isNotNull(), as_of).otherwise(F.col("last_reinforced"))})
+    fresh = settle(met.join(g.nodes.select("id"), "id", "left_anti"))[0]
+    new = complete(fresh.select("id", "type", "name", "description", grown(F.lit(0.6), F.col("n") - 1).alias("salience"), F.lit(agent).alias("source_agent"), F.lit(namespace).alias("namespace")), as_of)
+    keep = [c for c in g.nodes.columns if c in new.columns]
+    tags = g.tags.unionByName(fresh.select(F.col("id").alias("node_id"), F.explode(F.array(F.lit("ingest"), "type")).alias("tag"))).dropDuplicates(["node_id", "tag"])
+
+    relates = F.lit("relates_to").alias("relationship")
+    pairs = pair_mentions(ents, parts, fast=fast, confidence=confidence).select("source_id", "target_id", relates, "weight", "description", F.struct(F.lit(0).alias("stage"), "path", "chunk_seq", "a_seq", "b_seq").alias("at"))
+    shared = F.concat(F.lit("Co-occur in "), F.col("shared").cast("string"), F.lit(" file(s): "), F.array_join("files", ", "))
+    nothing = [F.lit("").alias("path"), *[F.lit(0).alias(c) for c in ("chunk_seq", "a_seq", "b_seq")]]
+    across = cross_document(ents, with_files=True).select("source_id", "target_id", relates, "weight", shared.alias("description"), F.struct(F.lit(1).alias("stage"), *nothing).alias("at"))
+    links = pairs.unionByName(across).groupBy(*key).agg(F.count("*").alias("_n"), F.min_by("weight", "at").alias("_w"), F.min_by("description", "at").alias("_d"))
+    links = settle(links)[0]
+    kept = g.edges.join(links.select(*key, "_n"), key, "left").withColumns({"weight": F.when(n.isNotNull(), grown(F.col("weight"), n)).otherwise(F.col("weight"))})
+    if "last_reinforced" in g.edges.columns:
+        kept = kept.withColumn("last_reinforced", F.when(n.isNotNull(), as_of).otherwise(F.col("last_reinforced")))
+    added = links.join(g.edges.select(key), key, "left_anti").select(*key, grown(F.col("_w"), n - 1).alias("weight"), F.col("_d").alias("description"), F.lit(agent).alias("source_agent"), as_of.alias("created_at"), as_of.alias("last_reinforced"))
+    out = g.with_(nodes=old.select(keep).unionByName(new.select(keep)), edges=kept.select(g.edges.columns).unionByName(added.select([c for c in g.edges.columns if c in added.columns]), allowMissingColumns=True), tags=tags)
+
+    one = lambda df, *aggs: df.agg(*aggs)
+    sums = one(parts, F.countDistinct("path").alias("files"), F.count("*").alias("chunks")).crossJoin(one(ents, F.countDistinct("path", "chunk_seq").alias("chunks_with_entities"), F.count("*").alias("entities")))
+    sums = sums.crossJoin(one(fresh, F.count("*").alias("nodes_added"))).withColumn("nodes_reinforced", F.col("entities") - F.col("nodes_added"))
+    return out, sums.crossJoin(one(links, F.coalesce(F.sum("_n"), F.lit(0)).alias("edges_added")))  # one row each

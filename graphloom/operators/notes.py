@@ -61,14 +61,15 @@ def parse_sections(files: DataFrame) -> DataFrame:
 
 def actions(items: DataFrame) -> DataFrame:
     """items' columns, then person, action, completed: 'Name: action' and 'A + B: action' bullets, one row a person."""
-    name = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
-    done = F.col("item").rlike(r"(?i)^✅|^\(✅|^\[x\]")
-    clean = F.regexp_replace("item", r"(?i)^✅\s*|^\(✅\s*\)\s*|^\[x\]\s*", "")
-    rows = items.withColumn("_c", clean).withColumn("completed", done)
-    pattern = rf"^({name})(?:\s*\+\s*({name}))?\s*:\s+(.+)"
-    rows = rows.withColumns({"_a": F.regexp_extract("_c", pattern, 1), "_b": F.regexp_extract("_c", pattern, 2), "action": F.trim(F.regexp_extract("_c", pattern, 3))}).filter("_a != ''")
-    who = F.filter(F.array("_a", "_b"), lambda x: x != "")
-    return rows.withColumn("person", F.explode(who)).select(*items.columns, "person", "action", "completed")
+    done = r"(?i)^✅|^\(✅|\[x\]"
+    mark = F.lit(r"(?i)^✅\s*|^\(✅\s*\)\s*|\[x\]\s*")
+    at = F.regexp_instr("item", mark)  # the first mark alone is taken out
+    clean = F.when(at > 0, F.concat(F.substring("item", F.lit(1), at - 1), F.col("item").substr(at + F.length(F.regexp_substr("item", mark)), F.length("item")))).otherwise(F.col("item"))
+    one, two = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)\s*:\s+(.+)", r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*\+\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*:\s+(.+)"
+    rows = items.withColumn("_c", clean).withColumn("completed", F.col("item").rlike(done)).withColumn("_both", F.col("_c").rlike(two))
+    part = lambda pattern, i: F.trim(F.regexp_extract("_c", pattern, i))
+    rows = rows.withColumn("_who", F.when(F.col("_both"), F.array(part(two, 1), part(two, 2))).otherwise(F.array(part(one, 1)))).withColumn("action", F.when(F.col("_both"), part(two, 3)).otherwise(part(one, 2)))
+    return rows.withColumn("person", F.explode("_who")).filter("person != ''").select(*items.columns, "person", "action", "completed")
 
 
 def vault_nodes(files: DataFrame, people_dir: str = "people", initiatives_dir: str = "initiatives", domains_dir: str = "domains") -> DataFrame:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from graphloom.operators.code_index import ENTITY
+from graphloom.sources.shared import ship
 
 COLUMNS = ["file_path", "language", "namespace", "entity_type", "name", "fqn", "parent_fqn", "line_start", "line_end", "modifiers", "base_types"]
 
@@ -218,6 +219,7 @@ def parse_entities(files: DataFrame) -> DataFrame:
             rows = [r for f in part.itertuples(index=False) for r in parse(f.text, f.file_path, f.language).rows]
             yield pd.DataFrame(rows, columns=COLUMNS)
 
+    ship(files.sparkSession)
     return files.select("file_path", "language", "text").mapInPandas(run, ENTITY)
 
 
@@ -229,4 +231,5 @@ def parse_imports(files: DataFrame) -> DataFrame:
             rows = [(f.file_path, m) for f in part.itertuples(index=False) for m in parse(f.text, f.file_path, f.language).modules]
             yield pd.DataFrame(rows, columns=["file_path", "module"])
 
+    ship(files.sparkSession)
     return files.select("file_path", "language", "text").mapInPandas(run, "file_path string, module string")

@@ -25,7 +25,7 @@ def append_entries(entries: DataFrame, path: str) -> None:
 
 
 def select_entries(entries: DataFrame, *, agent: str | None = None, since_date: str | None = None, after: str | None = None, kind: str | None = None, last: int | None = None) -> DataFrame:
-    """Entries of an agent from a date on, strictly after a timestamp, of a type; of these the last by (ts, seq)."""
+    """Entries of an agent from a date on, strictly after a timestamp, of a type; of these the last ones written, by seq."""
     out = entries
     if agent is not None:
         out = out.filter(F.col("agent") == agent)
@@ -35,7 +35,7 @@ def select_entries(entries: DataFrame, *, agent: str | None = None, since_date:
         out = out.filter(F.col("ts") > after)
     if kind is not None:
         out = out.filter(F.col("type") == kind)
-    return out if last is None else out.orderBy(F.desc("ts"), F.desc("seq")).limit(last)
+    return out if last is None else out.orderBy(F.desc("seq")).limit(last)
 
 
 def entry_content() -> Column:

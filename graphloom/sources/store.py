@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import SparkSession
 
 from graphloom.operators.graph import Graph
+from graphloom.sources.shared import settle
+
+__all__ = ["backup", "load", "retain", "rotate_backups", "save", "settle", "versions"]
 
 TABLES = ["nodes", "edges", "tags", "properties", "embeddings", "state"]
 
@@ -51,19 +56,33 @@ def retain(spark: SparkSession, root: str, keep: int = 3) -> list[int]:
     return gone
 
 
-def settle(*tables):
-    """The tables written to spark.checkpoint.dir and read back, so that plans built on them stay small. A folder of its own where none is set."""
-    import tempfile
-    import uuid
-
-    out = []
-    for df in tables:
-        spark = df.sparkSession
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        path = f"{root.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out.append(spark.read.parquet(path))
-    return out
+def backup(spark: SparkSession, root: str, when: datetime) -> str | None:
+    """Copy the snapshots at root beside them, as <root>.backup-YYYYMMDDHHmmss; nothing where there are none, or where that day has a copy."""
+    fs, hadoop = _fs(spark, root)
+    if not versions(spark, root):
+        return None
+    stamp = when.strftime("%Y%m%d%H%M%S")
+    if any(s.startswith(stamp[:8]) for s in _backups(spark, root)):
+        return None
+    path = f"{root.rstrip('/')}.backup-{stamp}"
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, hadoop.Path(root), fs, hadoop.Path(path), False, spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
+def _backups(spark: SparkSession, root: str) -> list[str]:
+    """The stamps of root's copies, whatever they look like."""
+    fs, hadoop = _fs(spark, root)
+    top = hadoop.Path(root.rstrip("/"))
+    prefix = f"{top.getName()}.backup-"
+    names = [s.getPath().getName() for s in fs.listStatus(top.getParent())] if fs.exists(top.getParent()) else []
+    return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
+
+
+def rotate_backups(spark: SparkSession, root: str, now: datetime, days: int = 7) -> int:
+    """Delete the copies whose stamp is over `days` old; how many they were. Copies with another kind of name stay."""
+    fs, hadoop = _fs(spark, root)
+    gone = 0
+    for stamp in _backups(spark, root):
+        if len(stamp) == 14 and stamp.isdigit() and now - datetime.strptime(stamp, "%Y%m%d%H%M%S") > timedelta(days=days):
+            gone += bool(fs.delete(hadoop.Path(f"{root.rstrip('/')}.backup-{stamp}"), True))
+    return gone

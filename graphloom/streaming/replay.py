@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from graphloom.operators.extraction import fold_edges, fold_nodes, parse_extractions
-from graphloom.operators.graph import Graph, complete
+from graphloom.operators.consolidate import apply_extractions
+from graphloom.operators.extraction import parse_extractions
+from graphloom.operators.graph import Graph
 from graphloom.sources.logs import ENTRY
 from graphloom.sources.store import load, save
 
@@ -24,16 +25,7 @@ def carried(entries: DataFrame) -> DataFrame:
 def apply_batch(graph: Graph, entries: DataFrame, extractor: Extractor, as_of) -> Graph:
     """The graph after a batch of entries (seq, agent, context ...)."""
     found, relations, _ = parse_extractions(extractor(entries))
-    folded = fold_nodes(graph.nodes, found)
-    edges, _ = fold_edges(graph.nodes, graph.edges, found, relations)
-    old = graph.nodes.join(folded, "id", "left_anti")
-    touched = graph.nodes.drop("salience", "description").join(folded.filter("not added").select("id", "salience", "description"), "id").withColumn("last_reinforced", as_of)
-    new = complete(folded.filter("added").select("id", "type", "name", "description", "salience"), as_of)
-    nodes = old.unionByName(touched.select(old.columns)).unionByName(new.select(old.columns))
-    key = ["source_id", "target_id", "relationship"]
-    kept = graph.edges.join(edges, key, "left_anti")
-    both = edges.join(graph.edges.select(*key, "description", "source_agent", "created_at"), key, "left").withColumns({"created_at": F.coalesce("created_at", as_of), "last_reinforced": as_of})
-    return graph.with_(nodes=nodes, edges=kept.unionByName(both.select(kept.columns)))
+    return apply_extractions(graph, found, relations, as_of)[0]
 
 
 def start(spark: SparkSession, logs: str, root: str, checkpoint: str, extractor: Extractor = carried, as_of=None) -> StreamingQuery:

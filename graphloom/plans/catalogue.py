@@ -10,7 +10,7 @@ from graphloom.functions import vocabulary as V
 from graphloom.functions.text import round_to, slug
 from graphloom.operators import aggregates, code_index, extraction, graph, homeostasis, ingest, notes, replay, reports, search, traverse
 from graphloom.plans import projection as P
-from graphloom.sources.store import settle
+from graphloom.sources.shared import settle
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -249,9 +249,11 @@ def orphan_nodes(spark, d):
     return homeostasis.orphan_nodes(P.nodes(spark, d), P.edges(spark, d).filter("relationship = 'belongs_to'")).select("id")
 
 
-@query("select node_id from node_embeddings where node_id not in (select id from nodes)")
+@query("select node_id from node_embeddings where node_id not in (select id from nodes where not (type = 'pattern' and salience < 0.3))")
 def orphan_embeddings(spark, d):
-    return homeostasis.orphan_embeddings(P.embeddings(spark, d), P.nodes(spark, d)).select("node_id")
+    """Vectors of parts, of which the least salient are no nodes any more."""
+    n = P.nodes(spark, d).filter("not (type = 'pattern' and salience < 0.3)")
+    return homeostasis.orphan_embeddings(P.embeddings(spark, d), n).select("node_id")
 
 
 @query(f"""with e0 as (select * from edges where relationship != 'relates_to'),
@@ -347,7 +349,7 @@ def sleep_chunks(spark, d):
     return replay.chunks(replay.pending(P.log(spark, d), _state(spark, d))).select("agent", F.col("chunk").cast("long").alias("chunk"), "n", "first_ts", "last_ts", "text")
 
 
-@query("select seq, ts, type from log where agent = 'agent-1' and ts > '2024-01-05' order by ts desc, seq desc limit 15")
+@query("select seq, ts, type from log where agent = 'agent-1' and ts > '2024-01-05' order by seq desc limit 15")
 def recent_logs(spark, d):
     from graphloom.sources.logs import select_entries
 
@@ -384,9 +386,9 @@ def parse_md_log(spark, d):
 # ---- extraction
 
 
-def _extractions(spark, d, every: bool = False) -> DataFrame:
-    """An extraction an order: its customer and priority as entities, and an edge between them, as JSON. The SQL has one order in three."""
-    o = P.read(spark, d, "orders").filter("true" if every else "o_orderkey % 3 = 0")
+def _extractions(spark, d) -> DataFrame:
+    """An extraction an order: its customer and priority as entities, and an edge between them, as JSON."""
+    o = P.read(spark, d, "orders")
     name = F.concat(F.lit("Customer "), (F.col("o_custkey") % 200).cast("string"))
     body = F.struct(
         F.array(F.struct(F.lit("").alias("id"), F.lit("person").alias("type"), name.alias("name"), F.repeat(F.lit("d"), (F.col("o_orderkey") % 9).cast("int")).alias("description"), F.lit(0.4).alias("salience")),
@@ -396,68 +398,38 @@ def _extractions(spark, d, every: bool = False) -> DataFrame:
 
 
 _MENTIONS = """m as (
-  select o_orderkey as seq, 0 as pos, 'customer-' || (o_custkey % 200) as id, 'person' as type, 'Customer ' || (o_custkey % 200) as name, repeat('d', (o_orderkey % 9)::int) as description, 0.4::double as salience from orders where o_orderkey % 3 = 0
-  union all select o_orderkey, 1, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-'), 'concept', o_orderpriority, 'p', 0.6 from orders where o_orderkey % 3 = 0)"""
-
-
-def _llm_parse(spark, d, every: bool = False) -> DataFrame:
-    e, _, _ = extraction.parse_extractions(_extractions(spark, d, every))
-    return e.select("seq", "pos", "id", "type", "name", r6("salience").alias("salience"))
+  select o_orderkey as seq, 0 as pos, 'customer-' || (o_custkey % 200) as id, 'person' as type, 'Customer ' || (o_custkey % 200) as name, repeat('d', (o_orderkey % 9)::int) as description, 0.4::double as salience from orders
+  union all select o_orderkey, 1, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-'), 'concept', o_orderpriority, 'p', 0.6 from orders)"""
 
 
 @query(f"with {_MENTIONS} select seq, pos, id, type, name, floor(salience * 1e6 + 0.5) / 1e6 as salience from m")
 def llm_parse(spark, d):
-    return _llm_parse(spark, d)
-
-
-@query()
-def llm_parse_full(spark, d):
-    """All orders."""
-    return _llm_parse(spark, d, every=True)
-
-
-def _load_extractions(spark, d, every: bool = False) -> DataFrame:
-    e, _, _ = extraction.parse_extractions(_extractions(spark, d, every))
-    return extraction.fold_nodes(P.nodes(spark, d), e).select("id", "mentions", "added", r6("salience").alias("salience"), "description")
+    e, _, _ = extraction.parse_extractions(_extractions(spark, d))
+    return e.select("seq", "pos", "id", "type", "name", r6("salience").alias("salience"))
 
 
 @query(f"""with {_MENTIONS}, f as (select id, count(*) as n, arg_min(salience, seq) as first, arg_max(description, length(description) * 1000000000 - seq) as new from m group by 1)
 select f.id, f.n as mentions, nodes.id is null as added, floor(case when nodes.id is not null then least(1.0, nodes.salience + 0.1 * n) when n = 1 then first else least(1.0, first + 0.1 * (n - 1)) end * 1e6 + 0.5) / 1e6 as salience,
   case when nodes.id is not null and length(new) <= length(nodes.description) then nodes.description else new end as description from f left join nodes on nodes.id = f.id""")
 def load_extractions(spark, d):
-    return _load_extractions(spark, d)
-
-
-@query()
-def load_extractions_full(spark, d):
-    """All orders."""
-    return _load_extractions(spark, d, every=True)
-
-
-def _edge_fold(spark, d, every: bool = False) -> DataFrame:
-    e, x, _ = extraction.parse_extractions(_extractions(spark, d, every))
-    edges, _ = extraction.fold_edges(P.nodes(spark, d), P.edges(spark, d), e, x)
-    return edges.select("source_id", "target_id", "relationship", "attempts", r6("weight").alias("weight"))
+    e, _, _ = extraction.parse_extractions(_extractions(spark, d))
+    return extraction.fold_nodes(P.nodes(spark, d), e).select("id", "mentions", "added", r6("salience").alias("salience"), "description")
 
 
 @query(f"""with {_MENTIONS}, r as (select a.seq, a.id as source_id, b.id as target_id from m a join m b on a.seq = b.seq and a.pos = 0 and b.pos = 1)
 select source_id, target_id, 'depends_on' as relationship, count(*) as attempts, floor(case when count(*) = 1 then 1.0 else least(1.0, 1.0 + 0.1 * (count(*) - 1)) end * 1e6 + 0.5) / 1e6 as weight from r group by 1, 2""")
 def edge_fold(spark, d):
-    return _edge_fold(spark, d)
-
-
-@query()
-def edge_fold_full(spark, d):
-    """All orders."""
-    return _edge_fold(spark, d, every=True)
+    e, x, _ = extraction.parse_extractions(_extractions(spark, d))
+    edges, _ = extraction.fold_edges(P.nodes(spark, d), P.edges(spark, d), e, x)
+    return edges.select("source_id", "target_id", "relationship", "attempts", r6("weight").alias("weight"))
 
 
 # ---- search
 
 
-@query("select id, floor(salience * 1e6 + 0.5) / 1e6 as salience from nodes where (name ilike '%brass%' or description ilike '%brass%') and coalesce(sensitivity, 0) <= 1 order by nodes.salience desc, id limit 20")
+@query("select id, floor(salience * 1e6 + 0.5) / 1e6 as salience from nodes where (name ilike '%brand#1%' or description ilike '%brand#1%') and coalesce(sensitivity, 0) <= 1 order by nodes.salience desc, id limit 20")
 def keyword_like(spark, d):
-    return search.keyword_like(P.nodes(spark, d), "brass", 1, 20).select("id", r6("salience").alias("salience"))
+    return search.keyword_like(P.nodes(spark, d), "brand#1", 1, 20).select("id", r6("salience").alias("salience"))
 
 
 _WORDS = "w as (select id, sensitivity, list_filter(regexp_split_to_array(lower(name || ' ' || description), '[^a-z0-9]+'), lambda x: x != '') as w from nodes)"
@@ -474,11 +446,18 @@ def _bm25_sql(words: list[str]) -> str:
 _FIRST = ["brand", "12"]
 
 
-@query(_bm25_sql(_FIRST) + " select id, floor(rank / (1 + rank) * 1e6 + 0.5) / 1e6 as score from s order by floor(rank * 1e9), id limit 10")
+@query(_bm25_sql(_FIRST) + " select id, floor(rank / (1 + rank) * 1e6 + 0.5) / 1e6 as score from s")
 def bm25_all(spark, d):
-    """Nodes with both words, whatever their rank, ten by id of those least relevant."""
+    """Every node with both words, with its score."""
     r = search.bm25(P.nodes(spark, d), "brand 12", 1)
-    return r.orderBy(F.floor(F.col("rank") * 1e9), "id").limit(10).select("id", r6(F.col("rank") / (1 + F.col("rank"))).alias("score"))
+    return r.select("id", r6(F.col("rank") / (1 + F.col("rank"))).alias("score"))
+
+
+@query(_bm25_sql(_FIRST) + " select id, floor(rank / (1 + rank) * 1e6 + 0.5) / 1e6 as score from s order by floor(rank * 1e9) desc, id limit 10")
+def bm25_top(spark, d):
+    """The ten most relevant."""
+    r = search.bm25(P.nodes(spark, d), "brand 12", 1)
+    return r.orderBy(F.desc(F.floor(F.col("rank") * 1e9)), "id").limit(10).select("id", r6(F.col("rank") / (1 + F.col("rank"))).alias("score"))
 
 
 _DIST = "sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::double - q[i]::double) * (embedding[i]::double - q[i]::double))))"
@@ -550,135 +529,6 @@ def subgraph_prune_d2(spark, d):
     return _subgraph(spark, d, 2, "prune")
 
 
-# ---- documents
-
-
-@query("select path, count(*) as n_chunks, max(length(text)) as longest from (select doc_id as path, unnest(chunks) as text from (select doc_id, case when length(lead) + 2 + 3 > 0 then [lead || chr(10) || chr(10) || 'end'] end as chunks from files)) group by 1")
-def chunks(spark, d):
-    """Two short paragraphs a document become one chunk."""
-    f = P.files(spark, d).select(F.col("doc_id").alias("path"), F.concat("lead", F.lit("\n \n\n end ")).alias("text"))
-    return ingest.chunk(f).groupBy("path").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).cast("long").alias("longest"))
-
-
-def _leads(spark, d) -> DataFrame:
-    return P.files(spark, d).select("path", (F.col("doc_id") % 10).cast("int").alias("chunk_seq"), F.col("lead").alias("text"))
-
-
-@query(r"""with p as (select path, (doc_id % 10)::int as chunk_seq, lead, unnest(list_distinct(regexp_extract_all(lead, '\b([A-Z][a-z]+ [A-Z][a-z]+)\b', 1))) as name from files)
-select path, chunk_seq, name, instr(lead, name) - 1 as start from p where len(list_intersect(string_split(name, ' '), """ + P._array(V.NOT_NAMES) + ")) = 0")
-def person_spans(spark, d):
-    return ingest.people(_leads(spark, d)).select("path", "chunk_seq", "name", F.col("start").cast("long").alias("start"))
-
-
-@query(f"with k as (select unnest({P._array(V.TOOL_KEYWORDS)}) as k) select path, (doc_id % 10)::int as chunk_seq, k as id, instr(lower(lead), k) - 1 as start from files, k where contains(lower(lead), k)")
-def tool_hits(spark, d):
-    return ingest.tools(_leads(spark, d)).select("path", "chunk_seq", "id", F.col("start").cast("long").alias("start"))
-
-
-_ENTS = r"""ents as (
-  select path, (doc_id % 10)::int as chunk_seq, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as id, 'person' as type, instr(lead, name) - 1 as s, instr(lead, name) - 1 + length(name) as e, 1 as rule
-  from (select *, unnest(list_distinct(regexp_extract_all(lead, '\b([A-Z][a-z]+ [A-Z][a-z]+)\b', 1))) as name from files) where len(list_intersect(string_split(name, ' '), """ + P._array(V.NOT_NAMES) + r""")) = 0
-  union all select path, (doc_id % 10)::int, k, 'tool', instr(lower(lead), k) - 1, instr(lower(lead), k) - 1 + length(k), 2 from files, (select unnest(""" + P._array(V.TOOL_KEYWORDS) + r""") as k) where contains(lower(lead), k))"""
-
-
-def _ents(spark, d) -> DataFrame:
-    c = _leads(spark, d)
-    every = ingest.people(c).unionByName(ingest.tools(c))
-    return every.withColumn("ent_seq", F.row_number().over(Window.partitionBy("path", "chunk_seq").orderBy("rule", "start", "id")))
-
-
-@query(f"""with {_ENTS}, n as (select *, row_number() over (partition by path, chunk_seq order by rule, s, id) as q from ents)
-select a.path, a.chunk_seq, least(a.id, b.id) as source_id, greatest(a.id, b.id) as target_id, floor(greatest(0.3, 1.0 - 0.7 * greatest(0, a.s - b.e, b.s - a.e) / 300.0) * 1e6 + 0.5) / 1e6 as weight
-from n a join n b on a.path = b.path and a.chunk_seq = b.chunk_seq and a.q < b.q where not (a.type = 'person' and b.type = 'person') and greatest(0, a.s - b.e, b.s - a.e) <= 300""")
-def pair_edges(spark, d):
-    return ingest.pair_edges(_ents(spark, d)).select("path", "chunk_seq", "source_id", "target_id", r6("weight").alias("weight"))
-
-
-@query(f"""with {_ENTS}, n as (select *, row_number() over (partition by path, chunk_seq order by rule, s, id) as q from ents),
-f as (select id, path, min(row(path, chunk_seq, q)) as pos from n group by 1, 2), s as (select id, min(pos) as first from f group by 1 having count(*) >= 2)
-select a.id as source_id, b.id as target_id, count(*) as shared, floor(least(1.0, 0.4 + 0.15 * count(*)) * 1e6 + 0.5) / 1e6 as weight
-from f a join f b on a.path = b.path join s x on x.id = a.id join s y on y.id = b.id where x.first < y.first group by 1, 2""")
-def crossdoc(spark, d):
-    return ingest.cross_document(_ents(spark, d)).select("source_id", "target_id", "shared", r6("weight").alias("weight"))
-
-
-def _whole_chunks(spark, d) -> DataFrame:
-    """Chunks of whole documents by line, each document a file of its own."""
-    files = P.files(spark, d).select(F.concat("path", F.lit("#"), F.col("doc_id").cast("string")).alias("path"), "text")
-    return ingest.chunk(files, separator="\n")
-
-
-@query()
-def ingest_full(spark, d):
-    """All rules over whole documents, chunked by line: path, chunk, id, type, weight-ready spans."""
-    return ingest.entities(_whole_chunks(spark, d)).select("path", "chunk_seq", "ent_seq", "id", "type", "start", "end", "rule")
-
-
-# The queries on leads are bound to their SQL; these do the same on whole documents, without SQL.
-
-
-@query()
-def chunks_full(spark, d):
-    return _whole_chunks(spark, d).groupBy("path").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).cast("long").alias("longest"))
-
-
-@query()
-def person_spans_full(spark, d):
-    return ingest.people(_whole_chunks(spark, d)).select("path", "chunk_seq", "name", F.col("start").cast("long").alias("start"))
-
-
-@query()
-def tool_hits_full(spark, d):
-    return ingest.tools(_whole_chunks(spark, d)).select("path", "chunk_seq", "id", F.col("start").cast("long").alias("start"))
-
-
-@query()
-def pair_edges_full(spark, d):
-    (e,) = settle(ingest.entities(_whole_chunks(spark, d)))
-    return ingest.pair_edges(e).select("path", "chunk_seq", "source_id", "target_id", r6("weight").alias("weight"))
-
-
-@query()
-def crossdoc_full(spark, d):
-    (e,) = settle(ingest.entities(_whole_chunks(spark, d)))
-    return ingest.cross_document(e).select("source_id", "target_id", "shared", r6("weight").alias("weight"))
-
-
-@query(r"""with n as (select doc_id, lead, unnest(list_distinct(regexp_extract_all(lead, '\b([A-Z][a-z]+ [A-Z][a-z]+)\b', 1))) as name from files),
-s as (select doc_id, lead, name, instr(lead, name) - 1 as s, instr(lead, name) - 1 + length(name) as e from n),
-p as (select a.doc_id, least(a.name, b.name) as source, greatest(a.name, b.name) as target, greatest(0, b.s - a.e, a.s - b.e) as gap, least(300, floor(length(a.lead) * 0.4)) as bound,
-  lower(substr(a.lead, least(a.s, b.s) + 1, greatest(a.e, b.e) - least(a.s, b.s))) as t from s a join s b on a.doc_id = b.doc_id and a.name < b.name)
-select doc_id, source, target, case when contains(t, 'wrote') then 'authored_by' else 'relates_to' end as relationship, floor(greatest(0.3, 1.0 - gap / bound * 0.7) * 1000 + 0.5) / 1000 as weight from p where gap <= bound""")
-def detect_relationships(spark, d):
-    f = P.files(spark, d)
-    name = F.explode(F.array_distinct(F.regexp_extract_all("lead", F.lit(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"), 1)))
-    spans = f.select("doc_id", "lead", name.alias("text")).withColumn("start", F.expr("instr(lead, text)") - 1).withColumn("end", F.col("start") + F.length("text")).withColumn("seq", F.col("start")).withColumn("label", F.lit("thing"))
-    return extraction.detect_relations(f.select("doc_id", F.col("lead").alias("content")), spans).select("doc_id", "source", "target", "relationship", "weight")
-
-
-@query(r"select doc_id, case when length(trim(string_split(lead, chr(10))[1])) > 10 then substr(trim(lead), 1, 200) else lead end as summary from files")
-def summaries(spark, d):
-    from graphloom.functions.text import summary
-
-    return P.files(spark, d).select("doc_id", summary(F.col("lead")).alias("summary"))
-
-
-@query()
-def detect_relationships_full(spark, d):
-    f = P.files(spark, d).select("doc_id", F.col("text").alias("content"))
-    name = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"), 1)))
-    spans = f.select("doc_id", "content", name.alias("text")).withColumn("start", F.expr("instr(content, text)") - 1).withColumn("end", F.col("start") + F.length("text"))
-    spans = spans.withColumn("seq", F.struct("start", "text")).withColumn("label", F.lit("thing"))
-    return extraction.detect_relations(f, spans).select("doc_id", "source", "target", "relationship", "weight")
-
-
-@query()
-def summaries_full(spark, d):
-    from graphloom.functions.text import summary
-
-    return P.files(spark, d).select("doc_id", summary(F.col("text")).alias("summary"))
-
-
 @query("select p_partkey as key, substr(trim(regexp_replace(lower(p_name || ' -- ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40) as slug from part")
 def slugs(spark, d):
     return P.read(spark, d, "part").select(F.col("p_partkey").alias("key"), slug(F.concat("p_name", F.lit(" -- "), "p_type")).alias("slug"))

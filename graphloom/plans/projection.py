@@ -117,6 +117,7 @@ log0 as (
     case when event_id % 11 = 0 then 'ops, private' when event_id % 13 = 0 then 'internal' else '' end as tags from events),
 log as (select *, case when heading = '' then content else heading || chr(10) || content end as full_text from log0),
 files as (
-  select doc_id, coalesce(source, '') || '/' || (doc_id // 10) as path, ({_array(SENTENCES)})[(doc_id % {len(SENTENCES)} + 1)::int] as lead from documents),
+  select *, lead || chr(10) || body as text from (
+    select doc_id, coalesce(source, '') || '/' || (doc_id // 10) as path, ({_array(SENTENCES)})[(doc_id % {len(SENTENCES)} + 1)::int] as lead, coalesce(text, '') as body from documents)),
 node_embeddings as (select 'part-' || vec_id as node_id, embedding from embeddings)
 """

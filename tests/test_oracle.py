@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from graphloom.plans import catalogue
+from graphloom.plans import catalogue, consolidation, ingestion, walks  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()

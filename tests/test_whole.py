@@ -5,7 +5,7 @@ import re
 import pytest
 
 from graphloom.functions import vocabulary as V
-from graphloom.plans import catalogue
+from graphloom.plans import catalogue, ingestion  # noqa: F401
 from graphloom.plans.projection import SENTENCES
 
 FAR = "x" * 40
@@ -50,15 +50,15 @@ def got(spark, whole, name):
 def test_chunks_of_whole_documents(spark, whole):
     want = [(p, len(packed(t)), max(map(len, packed(t)))) for p, t in texts().values()]
     assert max(n for _, n, _ in want) > 1
-    assert got(spark, whole, "chunks_full") == sorted(want)
+    assert got(spark, whole, "chunks") == sorted(want)
 
 
 def test_people_and_tools_of_whole_documents(spark, whole):
     people = [(p, i, n, c.index(n)) for p, i, c in every_chunk() for n in dict.fromkeys(NAME.findall(c)) if not set(n.split()) & set(V.NOT_NAMES) and n not in V.NOT_PEOPLE]
     tools = [(p, i, k, c.lower().index(k)) for p, i, c in every_chunk() for k in V.TOOL_KEYWORDS if k in c.lower()]
     assert any(n == "Dora Lindt" for _, _, n, _ in people) and any(i > 0 for _, i, _, _ in tools)
-    assert got(spark, whole, "person_spans_full") == sorted(people)
-    assert got(spark, whole, "tool_hits_full") == sorted(tools)
+    assert got(spark, whole, "person_spans") == sorted(people)
+    assert got(spark, whole, "tool_hits") == sorted(tools)
 
 
 def entities(spark, whole):
@@ -74,7 +74,7 @@ def test_pairs_of_whole_documents(spark, whole):
     pairs = [(a, b) for a in e for b in e if (a["path"], a["chunk_seq"]) == (b["path"], b["chunk_seq"]) and a["ent_seq"] < b["ent_seq"] and {a["type"], b["type"]} != {"person"} and gap(a, b) <= 300]
     want = sorted((a["path"], a["chunk_seq"], *sorted((a["id"], b["id"])), pytest.approx(max(0.3, 1 - 0.7 * gap(a, b) / 300), abs=1e-6)) for a, b in pairs)
     assert any("emil-vance" in w for w in want)
-    assert got(spark, whole, "pair_edges_full") == want
+    assert got(spark, whole, "pair_edges") == want
 
 
 def test_links_across_whole_documents(spark, whole):
@@ -86,7 +86,7 @@ def test_links_across_whole_documents(spark, whole):
     first = {i: min(at[i, p] for p in paths[i]) for i in paths if len(paths[i]) > 1}
     want = sorted((a, b, len(paths[a] & paths[b]), pytest.approx(min(1, 0.4 + 0.15 * len(paths[a] & paths[b])), abs=1e-6)) for a in first for b in first if first[a] < first[b] and paths[a] & paths[b])
     assert any({"emil-vance", "postgres"} == {a, b} for a, b, *_ in want)
-    assert got(spark, whole, "crossdoc_full") == want
+    assert got(spark, whole, "crossdoc") == want
 
 
 def kind(between):
@@ -104,12 +104,12 @@ def test_relations_of_whole_documents(spark, whole):
                 if space <= bound:
                     want.append((i, *sorted((a, b)), kind(t[s : max(s + len(a), s2 + len(b))].lower()), pytest.approx(max(0.3, 1 - 0.7 * space / bound), abs=6e-4)))
     assert any({"Emil Vance", "Emil Vanceman"} == {a, b} for _, a, b, *_ in want)
-    assert got(spark, whole, "detect_relationships_full") == sorted(want, key=lambda w: w[:3])
+    assert got(spark, whole, "detect_relationships") == sorted(want, key=lambda w: w[:3])
 
 
 def test_summaries_of_whole_documents(spark, whole):
     want = [(i, next((x for x in (re.sub("^- ", "", y.strip()) for y in t.split("\n")) if len(x) > 10 and x[0] != "_"), t)[:200]) for i, (_, t) in texts().items()]
-    assert got(spark, whole, "summaries_full") == sorted(want)
+    assert got(spark, whole, "summaries") == sorted(want)
 
 
 def test_all_orders_are_parsed_and_folded(spark, tmp_path, monkeypatch):
@@ -119,9 +119,9 @@ def test_all_orders_are_parsed_and_folded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalogue.P, "edges", lambda s, d: s.createDataFrame([], "source_id string, target_id string, relationship string, weight double"))
     d = f"file://{tmp_path}"
     ids = [(k, i, n) for k, c, p in orders for i, n in ((0, f"customer-{c}"), (1, p.lower()))]
-    assert sorted((r["seq"], r["pos"], r["id"]) for r in catalogue.QUERIES["llm_parse_full"](spark, d).collect()) == sorted(ids)
-    loaded = {r["id"]: (r["mentions"], r["salience"]) for r in catalogue.QUERIES["load_extractions_full"](spark, d).collect()}
+    assert sorted((r["seq"], r["pos"], r["id"]) for r in catalogue.QUERIES["llm_parse"](spark, d).collect()) == sorted(ids)
+    loaded = {r["id"]: (r["mentions"], r["salience"]) for r in catalogue.QUERIES["load_extractions"](spark, d).collect()}
     times = {n: sum(m == n for *_, m in ids) for *_, n in ids}
     assert loaded == {n: (k, pytest.approx(min(1, (0.4 if n[0] == "c" else 0.6) + 0.1 * (k - 1)), abs=1e-6)) for n, k in times.items()}
     pairs = [(f"customer-{c}", p.lower()) for _, c, p in orders]
-    assert {(r["source_id"], r["target_id"]): r["attempts"] for r in catalogue.QUERIES["edge_fold_full"](spark, d).collect()} == {x: pairs.count(x) for x in pairs}
+    assert {(r["source_id"], r["target_id"]): r["attempts"] for r in catalogue.QUERIES["edge_fold"](spark, d).collect()} == {x: pairs.count(x) for x in pairs}

@@ -98,3 +98,7 @@ SIGNALS = [
     ("pattern", r"(?i:\b(?:pattern for|best practice|convention|anti-pattern|always use|never use)\b)"),
 ]
 SIGNAL_TAIL = r"^\s+(?:the\s+)?([A-Z][A-Za-z0-9 ]+?)(?:[.,;:\n]|$)"
+
+#: The dates at the end of a remembered bullet, between asterisks or bare.
+DATED_STARRED = r"\s*-\s*\*(?:corrected|learned):\s*(\d{4}-\d{2}-\d{2})(?:,\s*reinforced:\s*(\d{4}-\d{2}-\d{2}))?\s*\*\s*$"
+DATED_BARE = r"\s*-\s*(?:corrected|learned):\s*(\d{4}-\d{2}-\d{2})(?:,\s*reinforced:\s*(\d{4}-\d{2}-\d{2}))?\s*$"

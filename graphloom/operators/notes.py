@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import vocabulary as V
 from graphloom.functions.text import slug, title_case
+from graphloom.operators.graph import reinforce_nodes
 
 # ---- memory files
 
@@ -18,8 +19,10 @@ def parse_memory(files: DataFrame, today: Column) -> DataFrame:
     kind = F.last(section, ignorenulls=True).over(Window.partitionBy("path").orderBy("seq"))
     rows = lines.withColumn("head", section.isNotNull()).withColumn("kind", kind).filter(~F.col("head") & F.col("kind").isin("corrected", "learned") & F.col("line").startswith("-"))
     body = F.regexp_replace("line", r"^-\s*", "")
-    tail = r"\s*-\s*\*?(?:corrected|learned):\s*(\d{4}-\d{2}-\d{2})(?:,\s*reinforced:\s*(\d{4}-\d{2}-\d{2}))?\s*\*?\s*$"
-    got = rows.withColumn("body", body).withColumn("d", F.regexp_extract("body", tail, 1)).withColumn("r", F.regexp_extract("body", tail, 2)).withColumn("text", F.trim(F.regexp_replace("body", tail, "")))
+    starred = F.col("body").rlike(V.DATED_STARRED)
+    part = lambda i: F.when(starred, F.regexp_extract("body", V.DATED_STARRED, i)).otherwise(F.regexp_extract("body", V.DATED_BARE, i))
+    text = F.when(starred, F.regexp_replace("body", V.DATED_STARRED, "")).otherwise(F.regexp_replace("body", V.DATED_BARE, ""))
+    got = rows.withColumn("body", body).withColumn("d", part(1)).withColumn("r", part(2)).withColumn("text", F.trim(text))
     return got.filter("text != ''").select("path", "seq", "text", "kind", F.when(F.col("d") == "", today).otherwise(F.col("d")).alias("date"), F.nullif(F.col("r"), F.lit("")).alias("reinforced"))
 
 
@@ -114,3 +117,59 @@ def phrase_signals(texts: DataFrame) -> DataFrame:
     at = F.expr("instr(lower(item), phrase)")
     begin = F.greatest(F.lit(1), at - 30)
     return rows.withColumn("context", F.col("item").substr(begin, at + F.length("phrase") + 60 - begin))
+
+
+def next_actions(files: DataFrame) -> DataFrame:
+    """path, seq, section (open, done or unknown), item: the bullets of next-action files (path, text), by the '## Open' or '## Done' above them."""
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    head = F.when(F.col("line").rlike(r"(?i)^##\s+Open"), "open").when(F.col("line").rlike(r"(?i)^##\s+Done"), "done")
+    above = F.coalesce(F.last(head, ignorenulls=True).over(Window.partitionBy("path").orderBy("seq")), F.lit("unknown"))
+    item = F.trim(F.regexp_extract("line", r"^\s*-\s+(.+)", 1))
+    return lines.withColumn("section", above).withColumn("item", item).filter("item != ''").select("path", "seq", "section", "item")
+
+
+def reinforce_owners(nodes: DataFrame, bullets: DataFrame, owners: DataFrame, as_of: Column) -> DataFrame:
+    """Nodes after each open bullet has added 0.05 to its file's owner (owners: path, person_id)."""
+    hits = bullets.filter("section = 'open'").join(owners, "path").select(F.col("person_id").alias("id"))
+    return reinforce_nodes(nodes, hits, as_of, boost=0.05)
+
+
+def parent_actions(bullets: DataFrame, parents: DataFrame, people: DataFrame) -> DataFrame:
+    """source_id, target_id, relationship, weight of 'Name: action' bullets in files of a domain or initiative (parents: path, parent_id); people: id, name, met by first name.
+
+    The first bullet sets 0.7 if it is open, else 0.5; each after it adds 0.1. Of people with one first name the last by id counts."""
+    first = people.groupBy(F.split("name", " ")[0].alias("person")).agg(F.max("id").alias("source_id"))
+    name = F.regexp_extract("item", r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)\s*:\s+(.+)", 1)
+    rows = bullets.withColumn("person", name).join(first, "person").join(parents, "path")
+    at = F.struct("path", "seq")
+    weight = F.when(F.col("section") == "open", 0.7).otherwise(0.5)
+    met = rows.groupBy("source_id", F.col("parent_id").alias("target_id")).agg(F.min_by(weight, at).alias("w"), F.count("*").alias("n"))
+    return met.select("source_id", "target_id", F.lit("belongs_to").alias("relationship"), F.least(F.lit(1.0), F.col("w") + 0.1 * (F.col("n") - 1)).alias("weight"))
+
+
+def alias_edges(people: DataFrame, nodes: DataFrame) -> DataFrame:
+    """source_id, target_id, relationship, weight, description: from a node called by a first name alone to the people (id, name) of that name."""
+    first = F.split("name", " ")[0]
+    rows = people.select(F.col("id").alias("target_id"), slug(first).alias("source_id"), first.alias("first"), "name").filter("source_id != target_id")
+    known = rows.join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    return known.select("source_id", "target_id", F.lit("relates_to").alias("relationship"), F.lit(1.0).alias("weight"), F.concat(F.lit("Alias: "), "first", F.lit(" → "), "name").alias("description"))
+
+
+def named_in(files: DataFrame, people: DataFrame) -> DataFrame:
+    """path, person_id: people (id, name) whose full or first name stands in a file (path, text) as words; once each."""
+    words = F.array_distinct(F.array_union(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+\b"), 0), F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+(?= [A-Z][a-z]+\b)"), 0)))
+    first = people.select(F.split("name", " ")[0].alias("word"), F.col("id").alias("person_id"))
+    return files.select("path", F.explode(words).alias("word")).join(first, "word").select("path", "person_id").distinct()
+
+
+def people_edges(notes: DataFrame, owners: DataFrame, people: DataFrame) -> DataFrame:
+    """relates_to edges of 0.6, 0.1 more for each further file, from the owner of a note (notes: path, text; owners: path, person_id) to the others it names."""
+    met = named_in(notes, people).join(owners.select("path", F.col("person_id").alias("source_id")), "path").filter("source_id != person_id")
+    n = met.groupBy("source_id", F.col("person_id").alias("target_id")).agg(F.count("*").alias("n"))
+    return n.select("source_id", "target_id", F.lit("relates_to").alias("relationship"), F.least(F.lit(1.0), 0.6 + 0.1 * (F.col("n") - 1)).alias("weight"))
+
+
+def expertise_edges(files: DataFrame, areas: DataFrame, people: DataFrame) -> DataFrame:
+    """learned_from edges of 0.5, 0.1 more for each further file, from people to the areas (path, area_id) whose files (path, text) name them."""
+    n = named_in(files, people).join(areas, "path").groupBy(F.col("person_id").alias("source_id"), F.col("area_id").alias("target_id")).agg(F.count("*").alias("n"))
+    return n.select("source_id", "target_id", F.lit("learned_from").alias("relationship"), F.least(F.lit(1.0), 0.5 + 0.1 * (F.col("n") - 1)).alias("weight"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import edges_with_names, find_nodes, top_edges
+from graphloom.operators.graph import Graph, edges_with_names, find_nodes, top_edges
+from graphloom.operators.replay import pending
 
 
 def boot_nodes(nodes: DataFrame, tags: DataFrame, agent: str | None = None, min_salience: float = 0.3, limit: int = 30, ceiling: int = 1, pinned_ceiling: int | None = None) -> DataFrame:
@@ -58,3 +61,30 @@ def doctor(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame) -> DataFra
     embedded = nodes.join(embeddings.select(F.col("node_id").alias("id")), "id", "left_semi")
     loose = edges.join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_anti").agg(F.count("*").alias("value")).select(F.lit("dangling_targets").alias("check"), "value", F.when(F.col("value") > 0, "warning").otherwise("ok").alias("status"))
     return one(nodes, "nodes", "error").unionByName(one(edges, "edges", "warning")).unionByName(one(embedded, "embedded_nodes", "warning")).unionByName(loose)
+
+
+def resolve_agent(names: list[str], env: dict[str, str], cwd: str = "", pattern: str | None = None) -> str | None:
+    """The agent that a process runs for: the first of the named variables that is set, else the first group of pattern at the end of the working folder; in lower case."""
+    for name in names:
+        if env.get(name):
+            return env[name].lower()
+    found = re.search(pattern, cwd, re.IGNORECASE) if pattern else None
+    return found[1].lower() if found else None
+
+
+def boot_text(g: Graph, entries: DataFrame, agent: str | None = None, limit: int = 30, recent: int = 15, guidance: str = "") -> str:
+    """A session's first text: the briefing, the agent's last entries after its watermark, guidance, and a hint where something is unwell.
+
+    Brings bounded rows to the driver: limit nodes, three edges each, `recent` entries, four checks."""
+    briefed = boot_nodes(g.nodes, g.tags, agent, limit=limit)
+    parts = [f"# Graph Briefing — {agent or 'generic'}", render_boot(briefed, boot_edges(briefed, g.nodes, g.edges)) or "No matching nodes."]
+    rows = pending(entries if agent is None else entries.filter(F.col("agent") == agent), g.state)
+    last = rows.orderBy(F.desc("seq")).limit(recent).select("seq", "ts", "type", "summary").collect()
+    if last:
+        parts.append("\n".join(["## Recent", *[f"- [{r['ts'][:16]}] {r['type']}: {r['summary'] or ''}" for r in sorted(last, key=lambda r: r["seq"])]]))
+    if guidance:
+        parts.append(guidance)
+    unwell = [f"{r['check']} ({r['value']})" for r in doctor(g.nodes, g.edges, g.embeddings).filter("status != 'ok'").orderBy("check").collect()]
+    if unwell:
+        parts.append("Health: " + ", ".join(unwell))
+    return "\n\n".join(parts)

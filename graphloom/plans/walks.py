@@ -95,3 +95,67 @@ def find_nodes_by_path(spark, d):
     """Type in whatever case, and a part of the file path."""
     n = P.nodes(spark, d).withColumn("file_path", F.when(F.col("type") == "pattern", F.concat(F.lit("src/"), "name", F.lit(".cs"))))
     return graph.find_nodes(n, type="Pattern", any_case=True, path_part="RED", min_salience=0.2, limit=None).select("id", r6("salience").alias("salience"))
+
+
+# ---- vaults: next actions, aliases, people and areas
+
+
+def _people(spark, d) -> DataFrame:
+    """A person a nation, with three first names among them."""
+    k = F.col("n_nationkey")
+    first = F.element_at(F.array(F.lit("Ann"), F.lit("Bo"), F.lit("Cy")), (k % 3 + 1).cast("int"))
+    return P.read(spark, d, "nation").select(F.concat(F.lit("person-"), k.cast("string")).alias("id"), F.concat(first, F.lit(" Lee")).alias("name"))
+
+
+_PEOPLE = "people as (select 'person-' || n_nationkey as id, (['Ann', 'Bo', 'Cy'])[(n_nationkey % 3 + 1)::int] || ' Lee' as name from nation)"
+_TODO = "## Open\n- Ann: call {k}\n- Bo: write\n- no name\n## Done\n- Ann: old\n- Cy: gone\nplain"
+
+
+def _todo(spark, d) -> DataFrame:
+    """A next-actions file an order, of its customer: path, text, c."""
+    k = F.col("o_orderkey").cast("string")
+    head, tail = _TODO.split("{k}")
+    return P.read(spark, d, "orders").select(k.alias("path"), F.concat(F.lit(head), k, F.lit(tail)).alias("text"), F.col("o_custkey").alias("c"))
+
+
+@query(f"""with {_PEOPLE}, f as (select split_part(name, ' ', 1) as person, max(id) as id from people group by 1), b as (
+  select 'Ann' as person, 0.7::double as w, 2 as n union all select 'Bo', 0.7, 1 union all select 'Cy', 0.5, 1), o as (select 'customer-' || o_custkey as parent, count(*) as files from orders group by 1)
+select f.id as source_id, parent as target_id, 'belongs_to' as relationship, floor(least(1.0, w + 0.1 * (n * files - 1)) * 1e6 + 0.5) / 1e6 as weight from o, b join f using (person)""")
+def parent_actions(spark, d):
+    """Open and done actions of people in a customer's files."""
+    t = _todo(spark, d)
+    out = notes.parent_actions(notes.next_actions(t), t.select("path", F.concat(F.lit("customer-"), F.col("c").cast("string")).alias("parent_id")), _people(spark, d))
+    return out.select("source_id", "target_id", "relationship", r6("weight").alias("weight"))
+
+
+@query("select id, floor(least(1.0, salience + 0.05 * 3 * n) * 1e6 + 0.5) / 1e6 as salience from nodes join (select 'customer-' || o_custkey as id, count(*) as n from orders group by 1) using (id)")
+def reinforced_owners(spark, d):
+    """Each open bullet of an owner's files reinforces the owner."""
+    t = _todo(spark, d)
+    n = P.nodes(spark, d)
+    owners = t.select("path", F.concat(F.lit("customer-"), F.col("c").cast("string")).alias("person_id"))
+    out = notes.reinforce_owners(n, notes.next_actions(t), owners, F.to_timestamp(F.lit(P.AS_OF)))
+    return out.filter("type = 'person'").join(owners.select(F.col("person_id").alias("id")).distinct(), "id", "left_semi").select("id", r6("salience").alias("salience"))
+
+
+@query(f"with {_PEOPLE} select lower(split_part(name, ' ', 1)) as source_id, id as target_id, 1.0::double as weight, 'Alias: ' || split_part(name, ' ', 1) || ' → ' || name as description from people where split_part(name, ' ', 1) != 'Cy'")
+def alias_edges(spark, d):
+    """From nodes known by a first name to the people who have it; there is none called Cy."""
+    known = spark.createDataFrame([("ann",), ("bo",)], "id string")
+    return notes.alias_edges(_people(spark, d), known).select("source_id", "target_id", "weight", "description")
+
+
+_TALK = ["Met Ann today", "Bo Lee and Cy spoke", "nobody", "Anna is not Ann Lee", "Boris"]
+
+
+@query(f"""with {_PEOPLE}, n as (select 'person-' || (o_custkey % 25) as source_id, o_orderkey as path, ({P._array(_TALK)})[(o_orderkey % {len(_TALK)} + 1)::int] as t from orders),
+m as (select source_id, p.id as target_id, count(*) as n from n join people p on list_contains(regexp_extract_all(t, '[A-Za-z]+'), split_part(p.name, ' ', 1)) group by 1, 2)
+select 'relates_to' as relationship, source_id, target_id, floor(least(1.0, 0.6 + 0.1 * (n - 1)) * 1e6 + 0.5) / 1e6 as weight from m where source_id != target_id
+union all select 'learned_from', p.id, 'area-' || (path % 3), floor(least(1.0, 0.5 + 0.1 * (count(*) - 1)) * 1e6 + 0.5) / 1e6 from n join people p on list_contains(regexp_extract_all(t, '[A-Za-z]+'), split_part(p.name, ' ', 1)) group by p.id, path % 3""")
+def people_and_areas(spark, d):
+    """Who is named in whose notes, and in which area's files."""
+    k = F.col("o_orderkey")
+    t = P.read(spark, d, "orders").select(k.cast("string").alias("path"), F.element_at(F.array([F.lit(x) for x in _TALK]), (k % len(_TALK) + 1).cast("int")).alias("text"), F.concat(F.lit("person-"), (F.col("o_custkey") % 25).cast("string")).alias("person_id"), F.concat(F.lit("area-"), (k % 3).cast("string")).alias("area_id"))
+    people = _people(spark, d)
+    out = notes.people_edges(t.select("path", "text"), t.select("path", "person_id"), people).unionByName(notes.expertise_edges(t.select("path", "text"), t.select("path", "area_id"), people))
+    return out.select("relationship", "source_id", "target_id", r6("weight").alias("weight"))

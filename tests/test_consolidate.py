@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import near_pairs
-from graphloom.operators import code_index, consolidate, graph, ingest, notes, replay
+from graphloom.operators import code_index, consolidate, graph, ingest, notes, replay, reports
 from graphloom.sources import code_parsers, files, store
 
 
@@ -117,3 +117,13 @@ def test_copies_once_a_day_and_kept_a_week(spark, tmp_path):
     assert store.backup(spark, root, datetime(2024, 1, 6)) and (tmp_path / "g.backup-old").mkdir() is None
     assert store.rotate_backups(spark, root, datetime(2024, 1, 9)) == 1 and store.load(spark, f"{root}.backup-20240106000000").nodes.count() == 0
     assert (tmp_path / "g.backup-old").exists()
+
+
+def test_boot_text_and_agent(spark):
+    assert reports.resolve_agent(["A", "B"], {"B": "Zed"}) == "zed" and reports.resolve_agent(["A"], {}, "/x/work-Ann2", r"work-([a-z]+)\d*$") == "ann" and reports.resolve_agent(["A"], {}) is None
+    nodes = spark.createDataFrame([("a", "tool", "Alpha", "d", 0.9, "zed", True), ("b", "bug", "Beta", None, 0.6, "zed", False)], "id string, type string, name string, description string, salience double, source_agent string, pinned boolean")
+    g = graph.Graph.empty(spark)
+    g = g.with_(nodes=graph.complete(nodes, now()), edges=g.edges.unionByName(spark.createDataFrame([("b", "a", "relates_to", 0.5)], "source_id string, target_id string, relationship string, weight double"), allowMissingColumns=True))
+    log = spark.createDataFrame([(i, f"2024-01-0{i}T00:00:00", "zed", "finding", f"s{i}") for i in range(1, 5)], "seq long, ts string, agent string, type string, summary string")
+    text = reports.boot_text(g, log, "zed", recent=2, guidance="Log what you decide.")
+    assert text.index("Alpha") < text.index("Beta") < text.index("s3") < text.index("s4") < text.index("Log what") < text.index("embedded_nodes (0)") and "s2" not in text and "relates_to Alpha" in text

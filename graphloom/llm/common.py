@@ -8,21 +8,26 @@ the same files gives again, also when a lost task is run anew.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
-import zipfile
 import zlib
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+from graphloom.sources.shared import ship as ship_package
+
+#: Tables that materialize() wrote and nothing deleted yet, oldest first.
+_made: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,18 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of this machine's only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, outlives executors."""
+def materialize(df: DataFrame, name: str = "step", keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, outlives executors. keep: scratch() leaves it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((spark, path))
+    if not keep:
+        _made[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out
@@ -54,29 +62,61 @@ def discard(df: DataFrame | None) -> None:
     """Delete a table that materialize() made, once nothing will read it again."""
     path = getattr(df, "_graphloom_path", None)
     if path:
+        _made.pop(path, None)
         _delete(df.sparkSession, path)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, the tables that were made within it; what was built on them must be written by then."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before]:
+            _delete(_made.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: The most bytes of an Arrow batch: what a worker, and the executor beside it, hold at once however long texts are.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_graphloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    folder = tempfile.mkdtemp(prefix="graphloom-zip-")
-    atexit.register(shutil.rmtree, folder, True)
-    path = os.path.join(folder, "graphloom_package.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted((root / "graphloom").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(path)
-    sc._graphloom_shipped = True
+    """Give this package to the Python workers, wherever they run, and bound the batches that they get."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound) == str(64 << 20) + "b":  # its default; a smaller one that was asked for stays
+        spark.conf.set(bound, BATCH_BYTES)
+    ship_package(spark)
+
+
+_lone: dict[object, object] = {}
+
+
+def lone(key: object, make: Callable[[], object] | None = None) -> object:
+    """What make() gives, kept in this worker process under key for later tasks; whatever was kept under another key is let go and its memory given back.
+
+    A worker serves stage after stage, so without this each stage's caches would stay beside the next one's."""
+    if key not in _lone:
+        _lone.clear()
+        gc.collect()
+        give_back()
+        _lone[key] = make() if make else None
+    return _lone[key]
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -135,10 +175,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_
     """text, label of at most `bound` labelled training rows: those of labels whose crc32(doc_id) mod modulus isn't held_out.
 
     The sample is taken from the labels alone, so what is broadcast is at most
-    `bound` pairs of numbers. A doc_id that docs repeats gives each of its rows."""
+    `bound` pairs of numbers. Of rows with one doc_id that of the least hash counts,
+    so there are at most `bound` rows however often docs repeats one."""
     train = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
     few = bounded_sample(train.dropDuplicates(["doc_id"]), bound, "doc_id")
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("label").alias("label")).select("text", "label")
 
 
 def sigmoid(x):
@@ -164,15 +206,25 @@ def row_bits(rows: DataFrame, slot: Column) -> DataFrame:
     return slots.groupBy(F.expr("cast(slot div 64 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with underscores before it until no column of taken is called so, in whatever case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def drop_rows(docs: DataFrame, gone: DataFrame, bits: int = 24) -> DataFrame:
     """docs without the rows whose row_key() is in gone (rid).
 
     A bit set of 2**bits hashed keys, of at most 4 MB, is broadcast; only rows
     that it marks are joined with gone by a shuffle, so texts that stay don't move."""
-    slot = F.pmod(F.xxhash64("rid"), F.lit(1 << bits))
-    marks = row_bits(gone, slot).withColumnRenamed("at", "_at").withColumnRenamed("bits", "_bits")
-    keyed = docs.select("*", row_key().alias("rid")) if "rid" not in docs.columns else docs.select([F.col(c).alias("_doc_rid") if c == "rid" else F.col(c) for c in docs.columns] + [row_key().alias("rid")])
-    keyed = keyed.withColumn("_slot", slot).join(F.broadcast(marks), F.expr("cast(_slot div 64 as int) = _at"), "left")
-    keyed = keyed.withColumn("_marked", F.coalesce(F.expr("(shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1) = 1"), F.lit(False)))
-    stay = keyed.filter("not _marked").unionByName(keyed.filter("_marked").join(gone, "rid", "left_anti"))
-    return stay.select([F.col("_doc_rid").alias("rid") if c == "rid" else F.col(c) for c in docs.columns])
+    rid, at, mask, marked = (free_name(c, docs.columns) for c in ("rid", "at", "mask", "marked"))
+    gone = gone.select(F.col("rid").alias(rid))
+    slot = F.pmod(F.xxhash64(rid), F.lit(1 << bits))
+    marks = row_bits(gone, slot).select(F.col("at").alias(at), F.col("bits").alias(mask))
+    keyed = docs.withColumn(rid, row_key())
+    keyed = keyed.join(F.broadcast(marks), F.floor(slot / 64).cast("int") == F.col(at), "left")
+    keyed = keyed.withColumn(marked, F.coalesce(F.getbit(F.col(mask), F.pmod(slot, F.lit(64)).cast("int")) == 1, F.lit(False)))
+    stay = keyed.filter(~F.col(marked)).unionByName(keyed.filter(F.col(marked)).join(gone, rid, "left_anti"))
+    return stay.select([F.col(f"`{c}`") for c in docs.columns])

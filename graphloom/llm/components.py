@@ -11,7 +11,7 @@ from graphloom.llm.common import discard, materialize
 HOT = 4096
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, facts: DataFrame, key: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined to facts (one row per key; weight: about how many rows the key has) without one task getting a hot key's rows.
 
     Keys with over total / HOT rows number under HOT, as the weights add up to
@@ -57,4 +57,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._graphloom_path = links._graphloom_path  # so that discard() takes it
+    return out

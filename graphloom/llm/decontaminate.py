@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import ship, table, text_bytes
+from graphloom.llm.common import lone, row_key, ship, table, text_bytes
 
 #: Edits allowed for each byte of a normalised item.
 RATE = 0.08
@@ -126,7 +126,7 @@ def matchers(benchmark: DataFrame, rate: float = RATE, block_bytes: int = 4 << 2
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
     for b in range(blocks):
-        rows = benchmark.filter((F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) & F.col("text").isNotNull()).select("item_id", "text").collect()
+        rows = benchmark.filter((F.pmod(F.xxhash64("item_id", "text", row_key()), F.lit(blocks)) == b) & F.col("text").isNotNull()).select("item_id", "text").collect()
         yield Matcher(sorted(((r["item_id"], t) for r in rows if (t := normalise(r["text"].encode()))), key=lambda x: (x[0] is not None, x)), rate)
 
 
@@ -146,6 +146,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE
         shared = docs.sparkSession.sparkContext.broadcast(matcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            lone("decontaminate")
             for batch in batches:
                 found = [(d, shared.value.items[i][0], k, end) for d, t in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True) for i, (k, end) in shared.value.find(t).items()]
                 if found:
@@ -163,6 +164,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
         shared = docs.sparkSession.sparkContext.broadcast(matcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            lone("decontaminate")
             for batch in batches:
                 yield batch.filter(pa.array([not shared.value.find(t) for t in text_bytes(batch.column("text"))], pa.bool_()))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import bounded_sample, remainder, ship, slices, table, text_bytes
+from graphloom.llm.common import bounded_sample, discard, lone, materialize, remainder, ship, slices, table, text_bytes
 
 BITS = 15
 NGRAMS, AFFIXES = (1, 2, 3, 4), (2, 3, 4)
@@ -207,15 +207,24 @@ class Labeller:
         return out, score
 
 
-_labellers: dict[int, Labeller] = {}
-
-
-def learn_field(docs: DataFrame, bound: int = 2000, modulus: int = 4, held_out: int = 2, lexicon_size: int = 4000) -> Field:
-    """A field from at most bound documents with a lang, those held out by crc32(doc_id) left out. The driver holds their texts."""
-    sample = bounded_sample(docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out)).select("doc_id").dropDuplicates(), bound, "doc_id")
-    got = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull()).join(F.broadcast(sample), "doc_id").select("lang", "text").collect()
-    got = sorted((r["lang"], words_of((r["text"] or "").encode())) for r in got)
-    got = [x for x in got if x[1]]
+def learn_field(docs: DataFrame, bound: int = 2000, modulus: int = 4, held_out: int = 2, lexicon_size: int = 4000, most_bytes: int = 1 << 26) -> Field:
+    """A field from at most bound documents with a lang, those held out by crc32(doc_id) left out.
+
+    The driver holds their texts, of at most most_bytes together: in the order of the
+    sample documents are taken that still fit. Of rows with one doc_id that of the
+    least hash counts."""
+    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
+    sample = bounded_sample(known.select("doc_id").dropDuplicates(), bound, "doc_id")
+    one = known.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.xxhash64("lang", "text")).alias("r"))
+    one = materialize(one.select("doc_id", "r.lang", "r.text"), "langsample")
+    room, chosen = most_bytes, []
+    for r in one.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= room:
+            room -= r["n"]
+            chosen.append(r["doc_id"])
+    got = [(r["lang"], words_of((r["text"] or "").encode())) for r in one.filter(F.col("doc_id").isin(chosen)).select("lang", "text").collect()] if chosen else []
+    discard(one)
+    got = sorted(x for x in got if x[1])
     labels = sorted({lang for lang, _ in got})
     counts = Counter(w for _, t in got for w in set(t))
     lexicon = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:lexicon_size] if n > 2]
@@ -238,10 +247,7 @@ def identify(docs: DataFrame, field: Field, chunk_bytes: int = 1 << 21) -> DataF
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _labellers:
-            _labellers.clear()
-            _labellers[key] = Labeller(shared.value)
-        labeller = _labellers[key]
+        labeller = lone(key, lambda: Labeller(shared.value))
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             for a, b in slices(texts, [len(t) for t in texts], chunk_bytes):

@@ -11,6 +11,8 @@ logistic turns it into a score.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import labelled, logistic_fit, materialize, remainder, ship, sigmoid, table, text_bytes
+from graphloom.llm.common import labelled, logistic_fit, lone, materialize, remainder, ship, sigmoid, table, text_bytes
 
 #: Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 LOOKALIKE = dict(zip("абвеіјкмнорстухѕԁցһαβεικνορτυχωϲ013457@$", "abbeijkmhopctyxsdghabeiknoptuxwcoleastas", strict=True)) | {"ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ß", "æ": "ae", "œ": "oe"}
@@ -96,9 +98,13 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        for a, b in spared:
-            for at in [x for x in found if a <= x < b]:
-                del found[at]
+        if spared and found:
+            spared.sort()
+            begins, ends = [a for a, _ in spared], list(itertools.accumulate((b for _, b in spared), max))
+            for at in list(found):
+                i = bisect.bisect_right(begins, at)
+                if i and at < ends[i - 1]:
+                    del found[at]
         return found
 
     def measures(self, data: bytes) -> tuple[float, float]:
@@ -124,6 +130,7 @@ def _counted(rows: DataFrame, terms_of) -> DataFrame:
     """term, n0, n1: the documents of either label that hold a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lone("toxicity")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -173,6 +180,7 @@ def learn_lexicon(rows: DataFrame, size: int = 4000, exception_size: int = 1000)
     final = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lone("toxicity")
         for batch in batches:
             m = [final.value.measures(t) for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in m], pa.float64()), pa.array([x for _, x in m], pa.float64()), batch.column("label")], names=["a", "b", "label"])
@@ -196,6 +204,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lone("toxicity")
         for batch in batches:
             s = shared.value.score(text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])

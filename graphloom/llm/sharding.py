@@ -1,9 +1,10 @@
 """Histogram sort into shards of near equal bytes.
 
-Rows get a 63-bit key: 12 bits of a hash of the text, then bits of a hash of
-doc_id and text. So equal texts lie in one zone of 1/4096 of the key space,
-yet a text that fills a third of all rows still spreads over 2**51 keys and
-can be cut anywhere. Splitters are found by counting: exact bytes below the
+Rows get a 63-bit key: 12 bits of a hash of the text, 35 of a hash of doc_id and
+text, 16 of a hash of the row's place in its file. So equal texts lie in one zone
+of 1/4096 of the key space, yet a text that fills a third of all rows still spreads
+over that zone's keys and can be cut anywhere; rows equal in doc_id and text too
+spread over 65,536 keys. Splitters are found by counting: exact bytes below the
 4096 probes that the first 12 bits give, then, only inside the bins where a
 target falls, below 4096 finer probes each, until every splitter is within the
 tolerance or its bin holds one key. Then rows are exchanged once, by
@@ -20,16 +21,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, table
+from graphloom.llm.common import discard, free_name, materialize, row_key, table
 
 KEY_BITS, STEP = 63, 12
+#: Low bits of a key that tell equal rows apart, and bits by which heavy bins are cut finer for the exchange.
+ROW_BITS, FINE = 16, 8
 
 
-def key_of(doc_id: Column, text: Column) -> Column:
+def key_of(doc_id: Column, text: Column, row: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     zone = F.shiftrightunsigned(F.xxhash64(text), 52)
-    rest = F.shiftrightunsigned(F.xxhash64(doc_id, text, F.lit(1)), 13)
-    return F.shiftleft(zone, 51).bitwiseOR(rest)
+    middle = F.shiftrightunsigned(F.xxhash64(doc_id, text, F.lit(1)), 13 + ROW_BITS)
+    low = F.shiftrightunsigned(F.xxhash64(row), 64 - ROW_BITS)
+    return F.shiftleft(zone, 51).bitwiseOR(F.shiftleft(middle, ROW_BITS)).bitwiseOR(low)
 
 
 def size_of(text: Column) -> Column:
@@ -42,7 +46,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> tuple[list[int]
 
     A splitter's error is how far the bytes below it are from its share of all
     bytes; rounds go on until each is within tolerance x a shard's bytes or its
-    bin is one key wide (a single row, or repeats of one row)."""
+    bin is one key wide (a single row, or a 65,536th of one row's repeats)."""
     shift = KEY_BITS - STEP
     top = keys.groupBy(F.shiftright("key", shift).alias("bin")).agg(F.sum("size").alias("bytes")).orderBy("bin").collect()
     total = sum(r["bytes"] for r in top)
@@ -94,41 +98,51 @@ def shard_rows(docs: DataFrame, shards: int = 16, tolerance: float = 0.002, heav
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
 
     Null text: size 1 and the crc of nothing. Null doc_id: kept. Repeated rows
-    stay, each with a slot. Empty table: no rows. Fewer rows than shards: some
-    shards stay empty. Ties between equal keys are broken by doc_id and size;
-    rows equal in all of these are interchangeable. Other columns are not read.
+    stay, each with a slot, and spread like others. Empty table: no rows. Fewer
+    rows than shards: some shards stay empty. Which of rows equal in doc_id and text
+    goes where depends on their place in the file; all else on their values alone.
+    Other columns are not read.
 
     heavy: a bin of the first 12 bits with over so many times the mean rows is
-    cut finer for the exchange, so that no bin is a large part of all rows."""
-    key = key_of(F.col("doc_id"), F.col("text"))
+    cut finer for the exchange by the next 8 bits, and what is heavy then, which is
+    equal rows, by the last 8, so that no bin is a large part of all rows."""
+    key = key_of(F.col("doc_id"), F.col("text"), row_key())
     keys = materialize(
         docs.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), key.alias("key")),
         "shardkeys",
     )
     cuts, _ = splitters(keys, shards, tolerance)
     shard = sum((F.when(F.col("key") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    zone = F.shiftright("key", KEY_BITS - STEP)
-    counts = keys.groupBy(zone.alias("zone")).count()
+    bin_of = lambda bits: F.shiftright("key", KEY_BITS - bits)
+    counts = keys.groupBy(bin_of(STEP).alias("bin")).count()
     mean = counts.agg(F.avg("count")).first()[0] or 1
-    large = [r["zone"] for r in counts.filter(F.col("count") > heavy * mean).select("zone").collect()]
-    fine = F.when(zone.isin(large), F.shiftright("key", KEY_BITS - 2 * STEP)).otherwise(F.shiftleft(zone, STEP)) if large else F.shiftleft(zone, STEP)
+    # of either kind there are at most 4096 / heavy
+    large = [r["bin"] for r in counts.filter(F.col("count") > heavy * mean).select("bin").collect()]
+    second = keys.filter(bin_of(STEP).isin(large)).groupBy(bin_of(STEP + FINE).alias("bin")).count()
+    equal = [r["bin"] for r in second.filter(F.col("count") > heavy * mean).select("bin").collect()] if large else []
+    fine = F.shiftleft(F.when(bin_of(STEP).isin(large), bin_of(STEP + FINE)).otherwise(F.shiftleft(bin_of(STEP), FINE)) if large else F.shiftleft(bin_of(STEP), FINE), FINE)
+    if equal:
+        fine = fine.bitwiseOR(F.when(bin_of(STEP + FINE).isin(equal), F.col("key").bitwiseAND(F.lit((1 << FINE) - 1))).otherwise(F.lit(0)))
     dealt = keys.select("*", shard.alias("shard"), fine.alias("fine"))
     starts = dealt.groupBy("shard", "fine").count().select(
         "shard", "fine", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     inner = Window.partitionBy("shard", "fine").orderBy("key", "doc_id", "size")
-    # starts has at most 4096 x (1 + heavy bins, of which there are at most 4096 / heavy) + shards rows of 20 bytes
+    # starts has at most 4096 + 2 x (4096 / heavy) x 256 bins, of which those that a splitter cuts count twice, of 20 bytes each
     numbered = dealt.withColumn("n", F.row_number().over(inner)).join(F.broadcast(starts), ["shard", "fine"])
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.002) -> None:
-    """The same law applied to whole rows: docs written below path in folders shard=0.., by key within a file."""
-    key = key_of(F.col("doc_id"), F.col("text"))
-    keyed = docs.select("*", key.alias("_key"))
-    cuts, _ = splitters(materialize(docs.select(size_of(F.col("text")).alias("size"), key.alias("key")), "shardkeys"), shards, tolerance)
-    shard = sum((F.when(F.col("_key") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    keyed.withColumn("shard", shard).repartitionByRange("shard", "_key").sortWithinPartitions("shard", "_key").drop("_key").write.partitionBy("shard").parquet(path)
+    """The same law applied to whole rows: docs written below path in folders shard=0.. (_shard where docs has a column of that name), by key within a file."""
+    name, at = free_name("key", docs.columns), free_name("shard", docs.columns)
+    key = key_of(F.col("doc_id"), F.col("text"), row_key())
+    counted = materialize(docs.select(size_of(F.col("text")).alias("size"), key.alias("key")), "shardkeys")
+    cuts, _ = splitters(counted, shards, tolerance)
+    discard(counted)
+    shard = sum((F.when(F.col(name) >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
+    keyed = docs.withColumn(name, key).withColumn(at, shard)
+    keyed.repartitionByRange(at, name).sortWithinPartitions(at, name).drop(name).write.partitionBy(at).parquet(path)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

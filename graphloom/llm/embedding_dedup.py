@@ -1,13 +1,18 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 Filter directions are products of random codes: a vector is turned at random and
-cut into two parts, each part has a codebook of 256 random unit vectors, and every
+cut into two parts, each part has a codebook of random unit vectors, and every
 choice of a code word for each part is a direction. A vector lies in the caps of all
 directions that it exceeds by a threshold; because a direction's score is the sum
-of its parts' scores, those are listed without trying all (list decoding). Vectors of one label that share a cap are compared in double precision.
+of its parts' scores, those are listed without trying all (list decoding). Vectors
+of one label and dimension that share a cap are compared in double precision.
 
 Several independent codes make it all but sure that two vectors at the least
-cosine share a cap (recall against brute force is in the README).
+cosine share a cap (recall against brute force is in the README). The codebooks
+grow with the square root of the largest label, so that the caps outnumber what
+lies in them by chance and the shared ones grow in proportion to the vectors.
+Vectors of fewer than 8 dimensions have too few directions for that; they share
+cells of a grid, which near ones do without exception.
 
 Equal vectors are one class with a count. A cap's members are dealt into blocks
 of about `block`, and each pair of blocks is one piece of work, so no task
@@ -17,6 +22,7 @@ its pairs; a pair that shares several caps counts only in the least of them.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,49 +33,84 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import discard, materialize, ship, table
 from graphloom.llm.components import components, join_hot
 
-PARTS, WORDS = 2, 256
+PARTS = 2
+#: Bits of a code word in a cap's number; a codebook has at most so many words.
+WORD_BITS = 12
+#: The least caps of a vector in each code, so that one that lies off all directions has some too.
+FEWEST = 4
+#: Below so many dimensions a grid is used.
+FEW_DIMS = 8
+
+
+def words_for(n: int, each: float) -> int:
+    """Words of a codebook for labels of up to n vectors: each of the directions has about 1 / 16 of a vector by chance."""
+    return min(1 << WORD_BITS, max(128, int(4 * np.sqrt(each * n))))
 
 
 class Codes:
     """Random product codes for vectors of one dimension; a random vector lies in about `each` caps of a code."""
 
-    def __init__(self, dim: int, codes: int, each: float, seed: int = 11):
+    def __init__(self, dim: int, codes: int, each: float, words: int, seed: int = 11):
         self.dim = dim
         width = -(-dim // PARTS)
         self.padded = width * PARTS
         rng = np.random.default_rng(seed)
         self.turns = [np.linalg.qr(rng.normal(size=(self.padded, self.padded)))[0] for _ in range(codes)]
-        books = rng.normal(size=(codes, PARTS, WORDS, self.padded // PARTS))
+        books = rng.normal(size=(codes, PARTS, words, width))
         self.books = books / np.linalg.norm(books, axis=-1, keepdims=True)
-        probe = np.zeros((64, self.padded))
-        probe[:, :dim] = rng.normal(size=(64, dim))
-        parts = (probe / np.linalg.norm(probe, axis=1, keepdims=True) @ self.turns[0]).reshape(64, PARTS, -1)
-        s = np.einsum("npd,pwd->npw", parts, self.books[0])
-        scores = (s[:, 0, :, None] + s[:, 1, None, :]).ravel()
-        above = min(len(scores) - 1, int(64 * each))
+        probe = rng.normal(size=(64, dim))
+        left, right = self._scores(probe / np.linalg.norm(probe, axis=1, keepdims=True), 0)
+        right.sort(1)
+        low, high = 0.0, 2.0
         #: What a vector's score has to reach: measured on random vectors, as the tail depends on the dimension.
-        self.tau = -np.partition(-scores, above)[above]
+        for _ in range(40):
+            self.tau = (low + high) / 2
+            above = sum(words * words - int(np.searchsorted(r, self.tau - x).sum()) for x, r in zip(left, right, strict=True))
+            low, high = (self.tau, high) if above > each * len(probe) else (low, self.tau)
 
-    def caps(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each row of unit vectors the sorted ids of its caps, code << 16 | direction."""
+    def _scores(self, unit: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.zeros((len(unit), self.padded))
         x[:, : self.dim] = unit
+        x = x @ self.turns[code]
+        half = self.padded // PARTS
+        return x[:, :half] @ self.books[code, 0].T, x[:, half:] @ self.books[code, 1].T
+
+    def caps(self, unit: np.ndarray) -> list[np.ndarray]:
+        """For each row of unit vectors the sorted numbers of its caps: code, word of the first part, word of the second. Of a code at least the FEWEST best."""
         out: list[list[np.ndarray]] = [[] for _ in unit]
-        for c, turn in enumerate(self.turns):
-            parts = (x @ turn).reshape(len(x), PARTS, -1)
-            s = np.einsum("npd,pwd->npw", parts, self.books[c])
-            left, right = s[:, 0], s[:, 1]
+        for c in range(len(self.turns)):
+            left, right = self._scores(unit, c)
             top_l, top_r = left.max(1), right.max(1)
-            for i in range(len(x)):
+            for i in range(len(unit)):
                 a = np.flatnonzero(left[i] >= self.tau - top_r[i])
                 b = np.flatnonzero(right[i] >= self.tau - top_l[i])
                 u, v = np.nonzero(left[i, a][:, None] + right[i, b] >= self.tau)
-                out[i].append(c << 16 | a[u] << 8 | b[v])
+                if len(u) < FEWEST:
+                    a, b = np.argsort(-left[i])[:FEWEST], np.argsort(-right[i])[:FEWEST]
+                    u, v = np.divmod(np.argsort(-(left[i, a][:, None] + right[i, b]), axis=None)[:FEWEST], len(b))
+                out[i].append(c << 2 * WORD_BITS | a[u] << WORD_BITS | b[v])
         return [np.sort(np.concatenate(o)).astype(np.int32) for o in out]
 
 
+class Grid:
+    """Cells over the first three coordinates. A cell's side is twice the distance of the least near pair, and a vector lies in those that its box of that distance meets: two near vectors share one for sure."""
+
+    def __init__(self, least: float):
+        self.reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
+
+    def caps(self, unit: np.ndarray) -> list[np.ndarray]:
+        low, high = (np.floor((unit[:, :3] + d * self.reach / 2) / (2 * self.reach)).astype(np.int64) for d in (-1, 1))
+        out = []
+        for a, b in zip(low.tolist(), high.tolist(), strict=True):
+            cells = itertools.product(*({x, y} for x, y in zip(a, b, strict=True)))
+            out.append(np.array(sorted({sum((v + 512 & 1023) << 10 * i for i, v in enumerate(cell)) for cell in cells}), np.int32))
+        return out
+
+
 def _unit(rows: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1).astype(float)
+    """Rows of one dimension, scaled to length 1."""
+    x = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -88,13 +129,28 @@ def _pairs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lag += 1
 
 
+PIECE = ["label", "dim", "cap", "lo", "hi"]
+
+
+def _changes(t: pa.Table | pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Where in t a row differs from the one before it in one of columns."""
+    differs = np.zeros(max(0, t.num_rows - 1), bool)
+    for c in columns:
+        x = t.column(c).to_numpy()
+        differs |= x[1:] != x[:-1]
+    return np.flatnonzero(differs) + 1
+
+
 def _link(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (cap, lo, hi): one row (cid, links, root) for each member that has links in a piece."""
+        """Rows sorted by PIECE: one row (cid, links, root) for each member that has links in a piece."""
 
         def work(t: pa.Table) -> pa.RecordBatch:
+            """t: whole pieces of one label and dimension."""
             cap, lo, hi, mine, cid, copies = (t[c].to_numpy() for c in ("cap", "lo", "hi", "mine", "cid", "copies"))
-            piece = np.cumsum(np.append(0, (cap[1:] != cap[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+            piece = np.zeros(len(cid), np.int64)
+            piece[_changes(t, PIECE)] = 1
+            piece = np.cumsum(piece)
             unit = _unit(t["vec"].to_pylist())
             caps = t["caps"].to_pylist()
             links, root = np.zeros(len(cid), np.int64), np.arange(len(cid))
@@ -107,7 +163,7 @@ def _link(least: float):
                 if not len(i):
                     continue
                 found.append((i, j))
-                mine_first = np.array([min(caps_of(caps[a]) & caps_of(caps[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)]) == (cap[i] & 0xFFFFFFFF)
+                mine_first = np.array([min(caps_of(caps[a]) & caps_of(caps[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)]) == cap[i]
                 np.add.at(links, i[mine_first], copies[j[mine_first]])
                 np.add.at(links, j[mine_first], copies[i[mine_first]])
             if found:
@@ -132,20 +188,23 @@ def _link(least: float):
                 memo[raw] = frozenset(np.frombuffer(raw, "<i4").tolist())
             return memo[raw]
 
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            cuts = [0, *_changes(t, ["label", "dim"]).tolist(), t.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield work(t.slice(a, b - a).combine_chunks())
+
         rest: pa.Table | None = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t])
-            if not len(t):
-                continue
-            cap, lo, hi = (t[c].to_numpy() for c in ("cap", "lo", "hi"))
-            same = np.flatnonzero((cap != cap[-1]) | (lo != lo[-1]) | (hi != hi[-1]))
-            cut = int(same[-1]) + 1 if len(same) else 0
-            rest = t.slice(cut)
-            if cut:
-                yield work(t.slice(0, cut).combine_chunks())
-        if rest is not None and len(rest):
-            yield work(rest.combine_chunks())
+            cuts = _changes(t, PIECE)
+            rest = t.slice(int(cuts[-1])) if len(cuts) else t
+            if len(cuts):
+                yield from out(t.slice(0, int(cuts[-1])))
+        if rest is not None:
+            yield from out(rest)
 
     return run
 
@@ -155,43 +214,45 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, codes: int = 6, each:
 
     Rows with a null label, vec_id or embedding, a null or non-finite component, or
     no length link with nothing: n_links 0, component_id their own. Vectors of
-    different dimensions link with nothing across. Repeated rows are equal vectors
+    different dimensions or labels link with nothing across. Repeated rows are equal vectors
     and count as others. Ties at the least cosine link, in double precision."""
     ship(vectors.sparkSession)
-    vec = F.col("embedding").cast("array<float>")
+    vec = F.col("embedding").cast("array<double>")
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vec, lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), vec.alias("vec"), F.coalesce(sound, F.lit(False)).alias("sound"))
-    live = rows.filter("sound").withColumn("vec", F.transform("vec", lambda v: v + F.lit(0.0).cast("float"))).withColumn("h", F.xxhash64("label", "vec"))
+    live = rows.filter("sound").withColumn("vec", F.transform("vec", lambda v: v + F.lit(0.0))).withColumn("h", F.xxhash64("label", "vec"))
     classes = materialize(live.groupBy("h", "label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")), "vectors")
-    classes = classes.withColumn("cid", F.monotonically_increasing_id())
-    books: dict[int, Codes] = {}
+    stored = classes
+    classes = classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("vec"))
+    # one row a dimension comes to the driver
+    words = {r["dim"]: words_for(r["n"], each) for r in classes.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n")).collect()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books: dict[int, Codes | Grid] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                raw = [np.array(v, "<f4").tobytes() for v in part.column("vec").to_pylist()]
-                caps: list[bytes] = [b""] * len(raw)
-                for dim in {len(r) // 4 for r in raw}:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                dims, raw = part.column("dim").to_pylist(), [np.array(v, "<f8").tobytes() for v in part.column("vec").to_pylist()]
+                caps: list[np.ndarray] = [np.zeros(0, np.int32)] * len(raw)
+                for dim in set(dims):
                     if dim not in books:
-                        books[dim] = Codes(dim, codes, each)
-                    which = [i for i, r in enumerate(raw) if len(r) == 4 * dim]
+                        books[dim] = Codes(dim, codes, each, words[dim]) if dim >= FEW_DIMS else Grid(least)
+                    which = [i for i, d in enumerate(dims) if d == dim]
                     for i, c in zip(which, books[dim].caps(_unit([raw[i] for i in which])), strict=True):
-                        caps[i] = c.astype("<i4").tobytes()
-                # a cap is of one label and one dimension
-                group = [((label * 4096 + len(r) // 4) & 0x7FFFFFFF) << 32 for label, r in zip(part.column("label").to_pylist(), raw, strict=True)]
-                listed = [[g | c for c in np.frombuffer(b, "<i4").tolist()] for g, b in zip(group, caps, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("copies"), pa.array(raw, pa.binary()), pa.array(caps, pa.binary()), pa.array(listed, pa.list_(pa.int64()))], names=["cid", "copies", "vec", "caps", "each"])
-
-    decoded = materialize(classes.select("cid", "copies", "label", "vec").mapInArrow(decode, "cid long, copies long, vec binary, caps binary, each array<long>"), "caps")
-    entries = decoded.select("cid", F.explode("each").alias("cap"))
-    shared = materialize(entries.groupBy("cap").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+                        caps[i] = c
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("cid", "copies", "label", "dim")] + [pa.array(raw, pa.binary()), pa.array([c.astype("<i4").tobytes() for c in caps], pa.binary()), pa.array(caps, pa.list_(pa.int32()))], names=["cid", "copies", "label", "dim", "vec", "caps", "each"])
+
+    decoded = materialize(classes.select("cid", "copies", "label", "dim", "vec").mapInArrow(decode, "cid long, copies long, label long, dim int, vec binary, caps binary, each array<int>"), "caps")
+    key = ["label", "dim", "cap"]
+    entries = decoded.select("cid", "label", "dim", F.explode("each").alias("cap"))
+    shared = materialize(entries.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     total = shared.agg(F.sum("n")).first()[0] or 1
-    wide = join_hot(decoded.select("cid", "copies", "vec", "caps", F.explode("each").alias("cap")), shared, "cap", "n", total)
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-    dealt = wide.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-    dealt = dealt.select("cap", "lo", "hi", "mine", "cid", "copies", "vec", "caps").repartition("cap", "lo", "hi").sortWithinPartitions("cap", "lo", "hi")
+    # numbers meet in the join; a vector and its caps are fetched once for each piece that it is in
+    met = join_hot(entries, shared, key, "n", total).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = met.select(*key, F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "cid").join(decoded.select("cid", "copies", "vec", "caps"), "cid")
+    dealt = dealt.repartition(*PIECE).sortWithinPartitions(*PIECE)
     linked = materialize(dealt.mapInArrow(_link(least), "cid long, links long, root long"), "linked")
     root = components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     sums = linked.groupBy("cid").agg(F.sum("links").alias("links"))
@@ -202,7 +263,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, codes: int = 6, each:
     out = join_hot(live, known, "h", "copies", live.count() or 1).filter((F.col("label") == F.col("l")) & (F.col("vec") == F.col("v")))
     out = out.select("vec_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
     alone = rows.filter(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    discard(shared)
+    for t in (shared, decoded, linked, root, stored):
+        discard(t)
     out = out.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -19,6 +19,7 @@ with add_special_tokens=False: a special token's string in a text becomes its id
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import uuid
@@ -30,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from graphloom.llm.common import ship, slices, table, text_bytes
+from graphloom.llm.common import lone, ship, slices, table, text_bytes
 
 _NEVER = 1 << 60
 #: The byte-level split pattern, with white space spelled out as the Unicode property.
@@ -79,7 +80,6 @@ class TrieEncoder:
         hidden = set(model.special.values())
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self._spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         #: Tokens that their own bytes encode to; no other token is ever in an encoding.
         self.ids = {b: i for i, b in enumerate(model.bytes_of) if b and i not in hidden and self.whole(i)}
         self.longest = max(map(len, self.ids))
@@ -89,15 +89,12 @@ class TrieEncoder:
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that in turn end (side 1) or begin (side 0) the token while it is built, each with the rank of the merge that takes it up."""
-        key = (token, side)
-        if key not in self._spines:
-            down, t = [(token, _NEVER)], token
-            while t in self.made:
-                r = self.made[t][2]
-                t = self.made[t][side]
-                down.append((t, r))
-            self._spines[key] = down[::-1]
-        return self._spines[key]
+        down, t = [(token, _NEVER)], token
+        while t in self.made:
+            r = self.made[t][2]
+            t = self.made[t][side]
+            down.append((t, r))
+        return down[::-1]
 
     def follows(self, a: int, b: int) -> bool:
         """Whether a then b stay two tokens when their bytes are encoded together."""
@@ -198,9 +195,9 @@ class TrieEncoder:
 
 
 class Encoder:
-    """Encodes text after text, remembering words as packed little-endian ids; of too many words, those met in more than one batch stay."""
+    """Encodes text after text, remembering words as packed little-endian ids; of too many words, those met in more than one batch stay, up to half as many as fit."""
 
-    def __init__(self, model: Model, most_words: int = 400_000):
+    def __init__(self, model: Model, most_words: int = 250_000):
         self.trie, self.most = TrieEncoder(model), most_words
         self.packed: dict[str, bytes] = {s: i.to_bytes(4, "little") for s, i in model.special.items()}
         self.unit = [i.to_bytes(4, "little") for i in range(len(model.bytes_of))]
@@ -209,10 +206,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.trie.parts(t) for t in texts]
         if len(self.packed) > self.most:
-            kept = self.again if len(self.again) < self.most // 2 else self.trie.special.keys()
+            kept = itertools.islice(self.again, self.most // 2)
             self.packed = {w: self.packed[w] for w in {*kept, *self.trie.special}}
             self.again = set()
-            self.trie.forget(1_000_000)
+        self.trie.forget(2 * self.most)
         words = set().union(*parts)
         new = words - self.packed.keys()
         self.again |= words - new
@@ -227,18 +224,7 @@ class Encoder:
         return raw.decode("utf-8", "replace").encode()
 
 
-_encoders: dict[int, Encoder] = {}
-
-
-def encoder_of(model_id: int, model: Model) -> Encoder:
-    """The worker process's encoder: its words outlast a task."""
-    if model_id not in _encoders:
-        _encoders.clear()
-        _encoders[model_id] = Encoder(model)
-    return _encoders[model_id]
-
-
-def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, chunk_bytes: int = 1 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, chunk_bytes: int = 1 << 19) -> DataFrame:
     """All columns of docs, then n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids (little-endian unsigned 32-bit).
 
     docs needs a text column; columns named as one of the results are replaced.
@@ -253,7 +239,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, chunk_b
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] + [T.StructField("token_ids", T.BinaryType())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(key, model.value)
+        encoder = lone(key, lambda: Encoder(model.value))
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             for a, b in slices(texts, [len(t) for t in texts], chunk_bytes):

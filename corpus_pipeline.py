@@ -1,8 +1,15 @@
 """A corpus pipeline: quality, language, near duplicates, benchmark passages, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one works on,
-with the columns of documents; the last returns tokens. Between stages the rows
-are written to the shared folder as Parquet and read again.
+with the columns of documents, more of them too and whatever they are called; the
+last returns tokens. Between stages the rows are written to the shared folder as
+Parquet and read again, and what a stage wrote besides is deleted.
+
+Null and empty texts: they have no language, so the second stage drops them. Rows
+with a null doc_id go through like others. Repeated rows are near duplicates of
+each other: one stays. Empty tables give no rows; without labels no document is
+rejected by quality, without a known language all are by the second stage; an
+empty benchmark rejects none.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import default_path, encode_documents
-from graphloom.llm.common import discard, materialize, table
+from graphloom.llm.common import discard, materialize, scratch, table
 from graphloom.llm.decontaminate import drop_contaminated
 from graphloom.llm.langid import UNKNOWN, identify, learn_field
 from graphloom.llm.minhash import drop_near_duplicates
@@ -23,17 +30,23 @@ LEAST_LANG_SCORE = 0.5
 NEAR_PERCENT = 80
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with all columns but doc_id and text under names that no operator uses, and what gives them back."""
+    names = [c if c in ("doc_id", "text") else f"_column_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking predicts as 1."""
-    scored = score_quality(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c not in ("doc_id", "text")}), table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 1").select([F.col(c if c in ("doc_id", "text") else f"_{c}").alias(c) for c in docs.columns])
+    given, back = _aside(docs)
+    return score_quality(given, table(spark, sf_dir, "labels")).filter("predicted = 1").select(back)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are mostly in one learned language."""
-    found = identify(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c not in ("doc_id", "text")}), learn_field(docs))
+    given, back = _aside(docs)
     keep = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_LANG_SCORE)
-    return found.filter(keep).select([F.col(c if c in ("doc_id", "text") else f"_{c}").alias(c) for c in docs.columns])
+    return identify(given, learn_field(docs)).filter(keep).select(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +72,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch():
+            made = stage(spark, docs, sf_dir)
+            docs = materialize(made, name, keep=True)
         discard(before)
         before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

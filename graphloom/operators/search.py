@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import terms
@@ -19,35 +19,41 @@ K1, B = 1.2, 0.75
 
 
 def inverted_index(nodes: DataFrame) -> DataFrame:
-    """term, id, tf, length over name and description."""
+    """term, id, tf, length over name and description. Stored clustered by term (repartitionByRange("term")), a query reads its terms' row groups alone."""
     words = nodes.select("id", terms(F.concat_ws(" ", "name", "description")).alias("w"))
     return words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
+def index_totals(nodes: DataFrame) -> DataFrame:
+    """One row: docs, and mean, the average length."""
+    return nodes.select(F.size(terms(F.concat_ws(" ", "name", "description"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+
+
 def _under(nodes: DataFrame, ceiling: int | None) -> DataFrame:
     return nodes if ceiling is None else nodes.filter(F.coalesce("sensitivity", F.lit(0)) <= ceiling)
 
 
+def _words(query: str) -> list[str]:
+    return sorted(set(re.findall("[a-z0-9]+", query.lower())))
+
+
+def bm25_indexed(index: DataFrame, totals: DataFrame, nodes: DataFrame, query: str, ceiling: int | None = None) -> DataFrame:
+    """id, rank of nodes that hold every word of query, out of a stored inverted_index() and its index_totals()."""
+    asked = _words(query)
+    met = index.filter(F.col("term").isin(asked)) if asked else index.limit(0)
+    idf = met.groupBy("term").agg(F.count("*").alias("df")).crossJoin(totals)  # a row a word of the query
+    idf = idf.select("term", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    # summed in the order of the words, so that equal nodes have equal ranks; a node has a part for each word of the query at most
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))), lambda x: x["part"])
+    ranked = met.join(F.broadcast(idf), "term").groupBy("id").agg(parts.alias("p")).filter(F.size("p") == len(asked))
+    ranked = ranked.withColumn("rank", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
+    return (ranked if ceiling is None else ranked.join(_under(nodes, ceiling).select("id"), "id", "left_semi")).select("id", "rank")
+
+
 def bm25(nodes: DataFrame, query: str, ceiling: int | None = None) -> DataFrame:
-    """id, rank of nodes that hold every word of query. Document frequencies and mean length are of all nodes; the ceiling cuts the hits."""
-    asked = sorted(set(re.findall("[a-z0-9]+", query.lower())))
-    words = nodes.select("id", "sensitivity", terms(F.concat_ws(" ", "name", "description")).alias("w"))
-    def times(word: str):
-        return F.size(F.filter("w", lambda x: x == word))
-
-    tf = [times(t) for t in asked]
-    counted = words.select("id", "sensitivity", F.size("w").alias("length"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
-    whole = counted.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(asked))])
-    hits = _under(counted, ceiling)
-    for i in range(len(asked)):
-        hits = hits.filter(F.col(f"tf{i}") > 0)
-    if not asked:
-        hits = hits.limit(0)
-    rank = F.lit(0.0)
-    for i in range(len(asked)):
-        idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        rank = rank + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return hits.crossJoin(F.broadcast(whole)).select("id", rank.alias("rank"))  # whole is one row
+    """The same from the nodes themselves, read once. Document frequencies and mean length are of all nodes; the ceiling cuts the hits."""
+    return bm25_indexed(inverted_index(nodes), index_totals(nodes), nodes, query, ceiling)
 
 
 def keyword_like(nodes: DataFrame, query: str, ceiling: int | None = None, limit: int = 10) -> DataFrame:
@@ -56,13 +62,21 @@ def keyword_like(nodes: DataFrame, query: str, ceiling: int | None = None, limit
     return _under(nodes, ceiling).filter(F.col("name").ilike(pattern) | F.col("description").ilike(pattern)).orderBy(F.desc("salience"), "id").limit(limit)
 
 
-def query_by_keyword(nodes: DataFrame, query: str, ceiling: int | None = None, limit: int = 10) -> DataFrame:
-    """id, score, legacy_score (1 / (1 + rank)), best first; falls back to keyword_like with the salience as score."""
-    if re.fullmatch(r"[A-Za-z0-9\s]+", query):
-        hits = bm25(nodes, query, ceiling).orderBy(F.desc("rank"), "id").limit(limit)
-        if not hits.isEmpty():
-            return hits.select("id", (F.col("rank") / (1 + F.col("rank"))).alias("score"), (1 / (1 + F.col("rank"))).alias("legacy_score"))
-    return keyword_like(nodes, query, ceiling, limit).select("id", F.col("salience").alias("score"), F.col("salience").alias("legacy_score"))
+def _best_tier(rows: DataFrame) -> DataFrame:
+    """Those of few rows that have the least tier."""
+    return rows.withColumn("_least", F.min("tier").over(Window.partitionBy())).filter("tier = _least").drop("_least")
+
+
+def query_by_keyword(nodes: DataFrame, query: str, ceiling: int | None = None, limit: int = 10, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """id, score, legacy_score (1 / (1 + rank)), best first; without a hit keyword_like with the salience as score. One plan, of at most 2 x limit rows where the two meet.
+
+    index: inverted_index() and index_totals() as stored, to be read instead of all nodes."""
+    pieces = keyword_like(nodes, query, ceiling, limit).select("id", F.col("salience").alias("score"), F.col("salience").alias("legacy_score"), F.lit(1).alias("tier"))
+    if not re.fullmatch(r"[A-Za-z0-9\s]+", query):
+        return pieces.drop("tier")
+    hits = (bm25(nodes, query, ceiling) if index is None else bm25_indexed(*index, nodes, query, ceiling)).orderBy(F.desc("rank"), "id").limit(limit)
+    hits = hits.select("id", (F.col("rank") / (1 + F.col("rank"))).alias("score"), (1 / (1 + F.col("rank"))).alias("legacy_score"), F.lit(0).alias("tier"))
+    return _best_tier(hits.unionByName(pieces)).drop("tier").orderBy(F.desc("score"), "id")
 
 
 def semantic_search(nodes: DataFrame, embeddings: DataFrame, vector: list[float], limit: int = 20, category: str | None = None, namespace: str | None = None, ceiling: int | None = None) -> DataFrame:
@@ -83,10 +97,13 @@ def merge_hits(keyword: DataFrame, vector: DataFrame, limit: int = 10) -> DataFr
 
 def hybrid(nodes: DataFrame, embeddings: DataFrame, query: str, vector: list[float] | None, limit: int = 10, ceiling: int | None = 1) -> DataFrame:
     """Keyword hits; if they are fewer than limit and there is a vector, merged with vector hits."""
-    found = query_by_keyword(nodes, query, ceiling, limit)
-    if vector is None or found.count() >= limit:
-        return found.select("id", "score")
-    return merge_hits(found, semantic_search(nodes, embeddings, vector, limit, ceiling=ceiling), limit)
+    found = query_by_keyword(nodes, query, ceiling, limit).select("id", "score")
+    if vector is None:
+        return found
+    near = semantic_search(nodes, embeddings, vector, limit, ceiling=ceiling).select("id", (1 / (1 + F.col("distance"))).alias("score"))
+    both = found.withColumn("word", F.lit(1)).unionByName(near.withColumn("word", F.lit(0)))
+    enough = both.withColumn("_n", F.sum("word").over(Window.partitionBy())).filter((F.col("word") == 1) | (F.col("_n") < limit))  # of at most 2 x limit rows
+    return enough.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def show(nodes: DataFrame, part: str, ceiling: int | None = None, limit: int = 10) -> DataFrame:

@@ -435,6 +435,9 @@ def keyword_like(spark, d):
 _WORDS = "w as (select id, sensitivity, list_filter(regexp_split_to_array(lower(name || ' ' || description), '[^a-z0-9]+'), lambda x: x != '') as w from nodes)"
 
 
+_DIST = "sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::double - q[i]::double) * (embedding[i]::double - q[i]::double))))"
+
+
 def _bm25_sql(words: list[str]) -> str:
     tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as tf{i}" for i, t in enumerate(words))
     df = ", ".join(f"sum((tf{i} > 0)::int) as df{i}" for i in range(len(words)))
@@ -443,7 +446,7 @@ def _bm25_sql(words: list[str]) -> str:
     return f"with {_WORDS}, c as (select id, sensitivity, len(w) as len, {tf} from w), t as (select count(*) as docs, avg(len) as mean, {df} from c), s as (select id, {score} as rank from c, t where {hit} and coalesce(sensitivity, 0) <= 1)"
 
 
-_FIRST = ["brand", "12"]
+_FIRST = ["12", "brand"]
 
 
 @query(_bm25_sql(_FIRST) + " select id, floor(rank / (1 + rank) * 1e6 + 0.5) / 1e6 as score from s")
@@ -453,6 +456,36 @@ def bm25_all(spark, d):
     return r.select("id", r6(F.col("rank") / (1 + F.col("rank"))).alias("score"))
 
 
+@query(_bm25_sql(["ring", "small"]) + """ select id, floor(score * 1e6 + 0.5) / 1e6 as score from (select id, rank / (1 + rank) as score from s order by rank desc, id limit 10)""")
+def keyword_hits(spark, d):
+    """Both words, by an index that is stored by term."""
+    n = P.nodes(spark, d)
+    index = settle(search.inverted_index(n).repartitionByRange("term").sortWithinPartitions("term"), search.index_totals(n))
+    return search.query_by_keyword(n, "small ring", 1, 10, tuple(index)).select("id", r6("score").alias("score"))
+
+
+@query("""select id, floor(salience * 1e6 + 0.5) / 1e6 as score from nodes where name ilike '%#0000000%' and coalesce(sensitivity, 0) <= 1 order by nodes.salience desc, id limit 10""")
+def keyword_pieces(spark, d):
+    """No words alone, so looked up as a piece of text."""
+    return search.query_by_keyword(P.nodes(spark, d), "#0000000", 1, 10).select("id", r6("score").alias("score"))
+
+
+@query(_bm25_sql(["ring"]) + f""", q as (select embedding as q from embeddings where vec_id = 1), kw as (select id, rank / (1 + rank) as score from s order by rank desc, id limit 10),
+vec as (select node_id as id, 1 / (1 + {_DIST}) as score from node_embeddings, q where node_id in (select id from nodes where coalesce(sensitivity, 0) <= 1) order by {_DIST}, node_id limit 10)
+select id, floor(max(score) * 1e6 + 0.5) / 1e6 as score from (select * from kw union all select * from vec where (select count(*) from kw) < 10) group by id order by max(score) desc, id limit 10""")
+def hybrid_words(spark, d):
+    """As many keyword hits as asked for: no vector counts."""
+    return search.hybrid(P.nodes(spark, d), P.embeddings(spark, d), "ring", _vector(spark, d), 10).select("id", r6("score").alias("score"))
+
+
+@query(_bm25_sql(["12", "brand", "hot"]) + f""", q as (select embedding as q from embeddings where vec_id = 1), kw as (select id, rank / (1 + rank) as score from s order by rank desc, id limit 10),
+vec as (select node_id as id, 1 / (1 + {_DIST}) as score from node_embeddings, q where node_id in (select id from nodes where coalesce(sensitivity, 0) <= 1) order by {_DIST}, node_id limit 10)
+select id, floor(max(score) * 1e6 + 0.5) / 1e6 as score from (select * from kw union all select * from vec where (select count(*) from kw) < 10) group by id order by max(score) desc, id limit 10""")
+def hybrid_both(spark, d):
+    """Few keyword hits or none: vectors fill up."""
+    return search.hybrid(P.nodes(spark, d), P.embeddings(spark, d), "brand 12 hot", _vector(spark, d), 10).select("id", r6("score").alias("score"))
+
+
 @query(_bm25_sql(_FIRST) + " select id, floor(rank / (1 + rank) * 1e6 + 0.5) / 1e6 as score from s order by floor(rank * 1e9) desc, id limit 10")
 def bm25_top(spark, d):
     """The ten most relevant."""
@@ -460,9 +493,6 @@ def bm25_top(spark, d):
     return r.orderBy(F.desc(F.floor(F.col("rank") * 1e9)), "id").limit(10).select("id", r6(F.col("rank") / (1 + F.col("rank"))).alias("score"))
 
 
-_DIST = "sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::double - q[i]::double) * (embedding[i]::double - q[i]::double))))"
-
-
 def _vector(spark, d) -> list[float]:
     return P.read(spark, d, "embeddings").filter("vec_id = 1").first()["embedding"]
 

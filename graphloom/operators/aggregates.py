@@ -38,3 +38,13 @@ def embedding_coverage(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 def entries_by(entries: DataFrame, *keys: str) -> DataFrame:
     return entries.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def attempts_by_relationship(links: DataFrame) -> DataFrame:
+    """relationship, n: how often a run offered edges of each relationship, repeats too (links: relationship, attempts)."""
+    return links.groupBy("relationship").agg(F.sum("attempts").alias("n"))
+
+
+def max_salience(entities: DataFrame) -> DataFrame:
+    """One row, salience: the highest of an extraction's entities, 0 without one."""
+    return entities.agg(F.coalesce(F.max("salience"), F.lit(0.0)).alias("salience"))

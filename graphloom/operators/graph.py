@@ -185,3 +185,10 @@ def upsert_embeddings(g: Graph, rows: DataFrame) -> Graph:
 def clamp_salience(nodes: DataFrame) -> tuple[DataFrame, Column]:
     """Nodes with salience within 0 to 1, and a column over the old nodes that is true where it wasn't."""
     return nodes.withColumn("salience", clamp(F.col("salience"))), (F.col("salience") < 0) | (F.col("salience") > 1)
+
+
+def add_named(g: Graph, rows: DataFrame, as_of: Column) -> Graph:
+    """add_nodes with tags as one text a row, parted by commas (rows: name, tags and any node columns); tags go to nodes that were there too."""
+    out, _ = add_nodes(g, rows.drop("tags"), as_of)
+    given = rows.select(F.coalesce("id", slug(F.col("name"))).alias("node_id") if "id" in rows.columns else slug(F.col("name")).alias("node_id"), F.explode(F.split("tags", ",")).alias("tag"))
+    return add_tags(out, given.select("node_id", F.trim("tag").alias("tag")).filter("tag != ''"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import code_index, consolidate, graph, replay
+from graphloom.functions import vocabulary as V
+from graphloom.operators import code_index, consolidate, graph
 from graphloom.plans import projection as P
 from graphloom.plans.catalogue import _DAYS, _IMP, _MARKS, _MENTIONS, _NOV, _as_of, _extractions, _g, _parsed, _state, query, r6
 from graphloom.sources.code_parsers import parse_entities
@@ -187,3 +188,47 @@ def _parser_query(language: str):
 
 for _language in _SOURCES:
     _parser_query(_language)
+
+
+# ---- counters, and the commands that add a node or list a log
+
+
+@query("select 'depends_on' as relationship, count(*)::bigint as n from orders")
+def attempts_by_relationship(spark, d):
+    from graphloom.operators import aggregates, extraction
+
+    e, x, _ = extraction.parse_extractions(_extractions(spark, d))
+    edges, _ = extraction.fold_edges(P.nodes(spark, d), P.edges(spark, d), e, x)
+    return aggregates.attempts_by_relationship(edges).select("relationship", F.col("n").cast("long").alias("n"))
+
+
+@query("select 0.6::double as salience")
+def max_salience(spark, d):
+    from graphloom.operators import aggregates, extraction
+
+    return aggregates.max_salience(extraction.parse_extractions(_extractions(spark, d))[0])
+
+
+@query("""with p as (select trim(regexp_replace(lower(p_name || ' ' || p_partkey), '[^a-z0-9]+', '-', 'g'), '-') as id, lower(p_brand) as a, lower(p_type) as b from part)
+select id, array_to_string(list_sort([a, b]), ',') as tags from p""")
+def add_named(spark, d):
+    """Nodes from a name and a text of tags."""
+    rows = P.read(spark, d, "part").select(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lower("p_brand"), F.lit(", "), F.lower("p_type"), F.lit(",")).alias("tags"))
+    return graph.tags_by_node(graph.add_named(graph.Graph.empty(spark), rows, _as_of()).tags).select(F.col("node_id").alias("id"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("select count(*) as n from log where heading != '' or content != ''")
+def entry_count(spark, d):
+    from graphloom.sources import logs
+
+    blank = P.log(spark, d).select(F.lit("  ").alias("value"))
+    return logs.entry_count(P.log(spark, d).select(F.col("full_text").alias("value")).unionByName(blank))
+
+
+@query(f"with s as (select *, {_IMP} as imp, {_NOV} as nov from (select seq, content as full_text, case when regexp_matches(content, '(?i)\\b(" + "|".join(V.DECISION_WORDS) + ")\\b') then 'decision' else '' end as type from log)) select seq, floor(imp * 1000 + 0.5) / 1000 as importance, floor(nov * 1000 + 0.5) / 1000 as novelty, " + _COMB + " as combined from s")
+def scored_sections(spark, d):
+    """A Markdown log an entry, parsed and scored."""
+    from graphloom.sources import logs
+
+    files = P.log(spark, d).select(F.col("seq").cast("string").alias("path"), F.concat(F.lit("## 2024-01-01\n"), "content").alias("text"))
+    return logs.scored_sections(files).select(F.col("path").cast("long").alias("seq"), "importance", "novelty", "combined")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.signals import entry_class, full_text
+from graphloom.functions.signals import entry_class, full_text, salience
 
 ENTRY = "ts string, agent string, type string, summary string, detail string, sessionId string, session_id string, tags array<string>, context string, _bad string"
 
@@ -74,3 +74,14 @@ def parse_markdown(texts: DataFrame) -> DataFrame:
     out = sections.join(text, ["path", "part"]).withColumn("content", trimmed).withColumn("heading", F.coalesce("heading", F.lit("")))
     out = out.filter(F.col("date").isNotNull() & (F.col("content") != "") & ~F.col("content").rlike(r"^_Consolidated .+\._$"))
     return out.select("path", "seq", "date", "heading", "content", entry_class(F.col("heading"), F.col("content")).alias("entry_type"))
+
+
+def entry_count(lines: DataFrame) -> DataFrame:
+    """One row, n: the lines (value) that aren't blank."""
+    return lines.filter(F.trim("value") != "").agg(F.count("*").alias("n"))
+
+
+def scored_sections(texts: DataFrame) -> DataFrame:
+    """A Markdown log's sections with what a reader of them is shown: path, seq, date, heading, entry_type, importance, novelty, combined."""
+    s = salience(full_text(F.col("heading"), F.col("content")), F.col("entry_type"))
+    return parse_markdown(texts).withColumn("s", s).select("path", "seq", "date", "heading", "entry_type", "s.importance", "s.novelty", "s.combined")

@@ -84,127 +84,194 @@ class Lanes:
         self.alive = np.searchsorted(-length[order], -np.arange(steps), side="left")
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 class Net:
+    """Within a window arrays are (time, feature, lane), so that each feature's lanes lie side by side."""
+
     def __init__(self, shape: Shape, flat: np.ndarray, row_of: np.ndarray, class_of: np.ndarray):
         """row_of, class_of: by symbol, its input row and its class. Symbols below shape.members are members."""
         self.shape, self.flat, self.p = shape, flat, shape.unpack(flat)
-        self.row_of, self.class_of = row_of, class_of
-
-    def run(self, lanes: Lanes, a: int, b: int, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """The state after times a to b, and for each time what backpropagation needs."""
-        p, k = self.p, self.shape.hidden
-        kept = []
-        first = self.shape.inputs - 1
-        for t in range(a, b):
-            n = lanes.alive[t]
-            new = lanes.begins[t, :n]
-            rows = np.where(new, first, self.row_of[lanes.symbol[t - 1, :n]]) if t else np.full(n, first)
-            before = np.where(new[:, None], np.float32(0), h[:n])
-            x, u = p["x"][rows], before @ p["u"]
-            zr = _sigmoid(x[:, : 2 * k] + u[:, : 2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            c = np.tanh(x[:, 2 * k :] + r * u[:, 2 * k :])
-            h = c + z * (before - c)
-            kept.append((n, new, rows, before, z, r, c, u[:, 2 * k :], h))
-        return h, kept
+        self.row_of, self.class_of = row_of, class_of.astype(np.int16)
+
+    def run(self, lanes: Lanes, a: int, b: int, h: np.ndarray) -> tuple[np.ndarray, dict]:
+        """The state (lane, feature) after times a to b, and what outputs and backpropagation need of the window."""
+        p, k, kind = self.p, self.shape.hidden, self.flat.dtype
+        alive = lanes.alive[a:b]
+        most, steps = int(alive[0]), b - a
+        whole = int(alive[-1]) == most
+        new = lanes.begins[a:b, :most]
+        last = lanes.symbol[a - 1 : b - 1, :most] if a else np.concatenate([np.zeros((1, most), np.int32), lanes.symbol[: b - 1, :most]])
+        rows = np.where(new, self.shape.inputs - 1, self.row_of[last])
+        # a sigmoid is half a tanh of half its input: gates' inputs are halved here
+        x = np.ascontiguousarray(p["x"][rows].transpose(0, 2, 1))
+        x[:, : 2 * k] *= 0.5
+        u = p["u"].T.copy()
+        u[: 2 * k] *= 0.5
+        make = np.empty if whole else np.zeros
+        before, gates, drive, c, state = (make((steps, m, most), kind) for m in (k, 2 * k, 3 * k, k, k))
+        some = new.any(1)
+        now = np.ascontiguousarray(h[:most].T)
+        for t, n in enumerate(alive.tolist()):
+            was, g, d, cand, out = before[t, :, :n], gates[t, :, :n], drive[t, :, :n], c[t, :, :n], state[t, :, :n]
+            was[:] = now[:, :n]
+            if some[t]:
+                was[:, new[t, :n]] = 0
+            if whole:
+                np.matmul(u, was, out=d)
+            else:
+                d[:] = u @ was
+            np.add(x[t, : 2 * k, :n], d[: 2 * k], out=g)
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            np.multiply(g[k:], d[2 * k :], out=cand)
+            cand += x[t, 2 * k :, :n]
+            np.tanh(cand, out=cand)
+            np.subtract(was, cand, out=out)
+            out *= g[:k]
+            out += cand
+            now = out
+        cells = None if whole else np.flatnonzero((np.arange(most) < alive[:, None]).ravel())
+        return now.T, {"rows": rows, "new": new, "some": some, "alive": alive, "before": before, "gates": gates, "drive": drive, "c": c, "state": state, "cells": cells}
+
+    @staticmethod
+    def by_cell(window: dict, x: np.ndarray) -> np.ndarray:
+        """Rows of x (time, feature, lane) by cell, time after time; only cells where a lane still runs."""
+        flat = np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
+        return flat if window["cells"] is None else flat[window["cells"]]
+
+    @staticmethod
+    def of_cells(window: dict, x: np.ndarray) -> np.ndarray:
+        """The same for x (time, lane, ...)."""
+        flat = x[: len(window["alive"]), : window["new"].shape[1]].ravel()
+        return flat if window["cells"] is None else flat[window["cells"]]
+
+    @staticmethod
+    def exponents(logits: np.ndarray) -> np.ndarray:
+        """exp(logits) by row up to a factor of the row, in place; logits are lowered by the same, so that no row over- or underflows."""
+        if len(logits) and (logits.max() > 40 or logits.min() < -40):
+            logits -= logits.max(1, keepdims=True)
+        return np.exp(logits)
 
     def outputs(self, states: np.ndarray, symbols: np.ndarray, slopes: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln probability of symbols given states; with slopes, also adds the parameters' gradients to it and gives the states'."""
         p, kind = self.p, self.class_of[symbols]
+        order = np.argsort(kind, kind="stable")
+        kind, symbols, states = kind[order], symbols[order], states[order]
         at = np.arange(len(symbols))
-        logits = states @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
+        logits = states @ p["wc"]
+        logits += p["bc"]
+        e = self.exponents(logits)
         total = e.sum(1)
         lp = logits[at, kind] - np.log(total)
         back = None
         if slopes is not None:
-            d = e / total[:, None]
-            d[at, kind] -= 1
-            slopes["wc"] += states.T @ d
-            slopes["bc"] += d.sum(0)
-            back = d @ p["wc"].T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.shape.own + 1))
-        for c in range(self.shape.own):
-            i = order[edges[c] : edges[c + 1]]
-            if not len(i):
+            e /= total[:, None]
+            e[at, kind] -= 1
+            slopes["wc"] += states.T @ e
+            slopes["bc"] += e.sum(0)
+            back = e @ p["wc"].T
+        edges = np.searchsorted(kind, np.arange(self.shape.own + 1)).tolist()
+        for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if a == b:
                 continue
-            s, member = states[i], symbols[i] - c * WIDTH
-            logits = s @ p["wo"][c] + p["bo"][c]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
+            s, member, at = states[a:b], symbols[a:b] - c * WIDTH, np.arange(b - a)
+            logits = s @ p["wo"][c]
+            logits += p["bo"][c]
+            e = self.exponents(logits)
             total = e.sum(1)
-            lp[i] += logits[np.arange(len(i)), member] - np.log(total)
+            lp[a:b] += logits[at, member] - np.log(total)
             if slopes is not None:
-                d = e / total[:, None]
-                d[np.arange(len(i)), member] -= 1
-                slopes["wo"][c] += s.T @ d
-                slopes["bo"][c] += d.sum(0)
-                back[i] += d @ p["wo"][c].T
-        return lp, back
-
-    def score(self, texts: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
+                e /= total[:, None]
+                e[at, member] -= 1
+                slopes["wo"][c] += s.T @ e
+                slopes["bo"][c] += e.sum(0)
+                back[a:b] += e @ p["wo"][c].T
+        out = np.empty_like(lp)
+        out[order] = lp
+        if back is not None:
+            given = np.empty_like(back)
+            given[order] = back
+            back = given
+        return out, back
+
+    def score(self, texts: list[np.ndarray], lanes: int = 128, window: int = 32) -> np.ndarray:
         """ln probability of each text, summed over its symbols that count: member softmax or class."""
         out = np.zeros(len(texts))
         deal = Lanes(texts, lanes)
-        h = np.zeros((deal.symbol.shape[1], self.shape.hidden), np.float32)
+        h = np.zeros((deal.symbol.shape[1], self.shape.hidden), self.flat.dtype)
         for a in range(0, len(deal.alive), window):
             b = min(a + window, len(deal.alive))
             h, kept = self.run(deal, a, b, h)
-            states = np.concatenate([x[-1] for x in kept])
-            n = deal.alive[a:b]
-            symbols = np.concatenate([deal.symbol[t, :m] for t, m in zip(range(a, b), n, strict=True)])
-            text = np.concatenate([deal.text[t, :m] for t, m in zip(range(a, b), n, strict=True)])
-            out += np.bincount(text, self.outputs(states, symbols)[0], len(texts))
+            symbols, text = self.of_cells(kept, deal.symbol[a:b]), self.of_cells(kept, deal.text[a:b])
+            out += np.bincount(text, self.outputs(self.by_cell(kept, kept["state"]), symbols)[0], len(texts))
         return out
 
     def slope(self, lanes: Lanes, a: int, b: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """The state after a window, the gradient of the mean loss in it, and that loss; nothing flows back past the window's begin."""
         shape, p, k = self.shape, self.p, self.shape.hidden
-        flat = np.zeros(shape.total, np.float32)
+        flat = np.zeros(shape.total, self.flat.dtype)
         g = shape.unpack(flat)
         h, kept = self.run(lanes, a, b, h)
-        states = np.concatenate([x[-1] for x in kept])
-        symbols = np.concatenate([lanes.symbol[t, : x[0]] for t, x in zip(range(a, b), kept, strict=True)])
-        lp, back = self.outputs(states, symbols, g)
-        ends = np.cumsum([x[0] for x in kept])
-        later = np.zeros((kept[0][0], k), np.float32)
-        rows_all, dx_all = [], []
-        for (n, new, rows, before, z, r, c, un, _), end in zip(kept[::-1], ends[::-1], strict=True):
-            dh = back[end - n : end] + later[:n]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dc * r], 1)
-            g["u"] += before.T @ du
-            rows_all.append(rows)
-            dx_all.append(np.concatenate([dz, dr, dc], 1))
-            flow = dh * z + du @ p["u"].T
-            flow[new] = 0
-            later[:n] = flow
-            later[n:] = 0
-        rows, dx = np.concatenate(rows_all), np.concatenate(dx_all)
-        order = np.argsort(rows, kind="stable")
+        symbols = self.of_cells(kept, lanes.symbol[a:b])
+        lp, back = self.outputs(self.by_cell(kept, kept["state"]), symbols, g)
+        alive, new, before, c = kept["alive"], kept["new"], kept["before"], kept["c"]
+        z, r = kept["gates"][:, :k], kept["gates"][:, k:]
+        if kept["cells"] is not None:
+            every = np.zeros((new.size, k), back.dtype)
+            every[kept["cells"]] = back
+            back = every
+        back = np.ascontiguousarray(back.reshape(*new.shape, k).transpose(0, 2, 1))
+        rest = 1 - z
+        to_c = c * c
+        np.subtract(1, to_c, out=to_c)
+        to_c *= rest
+        to_z = before - c
+        to_z *= z
+        to_z *= rest
+        to_r = 1 - r
+        to_r *= r
+        to_r *= kept["drive"][:, 2 * k :]
+        du, dc = np.zeros((len(alive), 3 * k, new.shape[1]), flat.dtype), np.zeros_like(c)
+        later = np.zeros((k, new.shape[1]), flat.dtype)
+        for t in range(len(alive) - 1, -1, -1):
+            n = int(alive[t])
+            dh, d, cand = back[t, :, :n], du[t, :, :n], dc[t, :, :n]
+            dh += later[:, :n]
+            np.multiply(dh, to_c[t, :, :n], out=cand)
+            np.multiply(dh, to_z[t, :, :n], out=d[:k])
+            np.multiply(cand, to_r[t, :, :n], out=d[k : 2 * k])
+            np.multiply(cand, r[t, :, :n], out=d[2 * k :])
+            flow = p["u"] @ d
+            dh *= z[t, :, :n]
+            flow += dh
+            if kept["some"][t]:
+                flow[:, new[t, :n]] = 0
+            later[:, :n] = flow
+            later[:, n:] = 0
+        g["u"] += np.matmul(before, du.transpose(0, 2, 1)).sum(0)
+        rows, dx = self.of_cells(kept, kept["rows"]), np.empty((*new.shape, 3 * k), flat.dtype)
+        dx[..., : 2 * k], dx[..., 2 * k :] = du[:, : 2 * k].transpose(0, 2, 1), dc.transpose(0, 2, 1)
+        dx = dx.reshape(-1, 3 * k)
+        if kept["cells"] is not None:
+            dx = dx[kept["cells"]]
+        order = np.argsort(rows.astype(np.int16) if shape.inputs < 1 << 15 else rows, kind="stable")
         cuts = np.flatnonzero(np.append(True, np.diff(rows[order]) > 0))
         g["x"][rows[order][cuts]] = np.add.reduceat(dx[order], cuts)
         flat /= len(symbols)
         return h, flat, -float(lp.mean())
 
-    def train(self, texts: list[np.ndarray], squares: np.ndarray, lanes: int = 128, window: int = 24, rate: float = 0.06) -> float:
+    def train(self, texts: list[np.ndarray], squares: np.ndarray, lanes: int = 128, window: int = 24, rate: float = 0.15) -> float:
         """One pass over texts in place (Adagrad; squares: its sums so far). The mean loss met."""
         deal = Lanes(texts, lanes)
-        h = np.zeros((deal.symbol.shape[1], self.shape.hidden), np.float32)
+        h = np.zeros((deal.symbol.shape[1], self.shape.hidden), self.flat.dtype)
         total = count = 0.0
         for a in range(0, len(deal.alive), window):
             b = min(a + window, len(deal.alive))
             n = int(deal.alive[a:b].sum())
             h, g, loss = self.slope(deal, a, b, h)
             squares += g * g
-            self.flat -= rate * min(1.0, n / (lanes * window / 4)) * g / np.sqrt(squares + 1e-10)
+            g *= rate * min(1.0, n / (lanes * window / 4))
+            g /= np.sqrt(squares + 1e-10)
+            self.flat -= g
             total, count = total + loss * n, count + n
         return total / max(1.0, count)

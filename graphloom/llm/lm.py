@@ -3,16 +3,18 @@
 Counts of words cover all training documents. The most frequent words are the
 members of the model's classes; every other word, also one never met, belongs to
 an open class by its ending, and has within it the probability of its count.
-The network is trained on a fixed share of the training documents by many
-trainers, each on its part, whose parameters are averaged after each round.
+The network is trained on all training documents by many trainers, each on its
+part, whose parameters are averaged after each round.
 
-Broadcast: the network, and the counts of at most 2**17 frequent words of at most
-64 bytes. Counts of other words are met by a join; none of them has more than
-1 in some tens of thousands of all tokens, as that many words are more frequent.
+Broadcast: the network, and the counts of at most 2**17 frequent words; a word of
+over 64 bytes goes by a digest everywhere. Counts of other words are met by a join;
+none of them has more than 1 in some tens of thousands of all tokens, as that many
+words are more frequent.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections import Counter
@@ -24,18 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize, remainder, row_key, ship, slices, table, text_bytes, tokens
+from graphloom.llm.common import discard, lone, materialize, remainder, row_key, ship, slices, table, text_bytes, tokens
 from graphloom.llm.gru import WIDTH, Net, Shape
+from graphloom.llm.shingles import word_hashes, word_spans
 
 #: The end of a text as a token; no word holds white space.
 END = b"\n"
+CLOSING = b".,;:!?"
 OPEN = 48
 HEAD, LONGEST = 1 << 17, 64
+#: Bytes of text whose words are looked up together.
+SLICE = 1 << 19
+
+
+def token_of(word: bytes) -> bytes:
+    """What stands for a word in tables: itself, or a digest of a long one, after white space as no word has."""
+    return word if len(word) <= LONGEST else b" " + hashlib.sha256(word).digest()
 
 
 def open_class(word: bytes) -> int:
     """An open class for a word: by its last two bytes before closing punctuation, and whether there is some."""
-    core = word.rstrip(b".,;:!?")
+    core = word.rstrip(CLOSING)
     return zlib.crc32(core[-2:]) % (OPEN // 2) * 2 + (len(core) < len(word))
 
 
@@ -46,6 +57,8 @@ def count_words(docs: DataFrame) -> DataFrame:
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
+            for word in [w for w in counts if len(w) > LONGEST]:
+                counts[token_of(word)] += counts.pop(word)
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["token", "c"])
 
         for batch in batches:
@@ -60,13 +73,38 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+#: open_class of one and of two last bytes, by their number.
+_ONE = np.array([zlib.crc32(bytes([i])) % (OPEN // 2) * 2 for i in range(256)], np.int32)
+_TWO = np.array([zlib.crc32(bytes([i >> 8, i & 255])) % (OPEN // 2) * 2 for i in range(1 << 16)], np.int32)
+_CLOSING = np.isin(np.arange(256), list(CLOSING))
+
+
+def open_classes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """open_class of words that lie in data."""
+    core = ends.copy()
+    while True:
+        more = (core > begins) & _CLOSING[data[np.maximum(core, 1) - 1]]
+        if not more.any():
+            break
+        core -= more
+    n = core - begins
+    last = data[np.maximum(core, 1) - 1].astype(np.int32)
+    two = _TWO[data[np.maximum(core, 2) - 2].astype(np.int32) << 8 | last]
+    return np.where(n > 1, two, np.where(n == 1, _ONE[last], zlib.crc32(b"") % (OPEN // 2) * 2)) + (core < ends)
+
+
 class Vocabulary:
     """Symbols: members first (END is 0), then other frequent words, then one for each open class."""
 
     def __init__(self, head: list[tuple[bytes, int]], members: int, n: int, v: int, open_n: np.ndarray, open_v: np.ndarray):
         """head: frequent words with counts, most frequent first, END first of all."""
         self.members = min(members, len(head))
-        self.symbol = {w: i for i, (w, _) in enumerate(head)}
+        # words are told by 64-bit hashes; END and digests of long words are none that a text holds as such
+        own = [(i, w) for i, (w, _) in enumerate(head) if w != END and not w.startswith(b" ")]
+        hashes, _ = word_hashes([w for _, w in own])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.of_hash = hashes[order], np.array([i for i, _ in own], np.int32)[order]
+        self.long = {w: i for i, (w, _) in enumerate(head) if w.startswith(b" ")}
         self.head = len(head)
         c = np.array([c for _, c in head], float)
         rest = np.array([open_class(w) for w, _ in head[self.members :]], np.int64)
@@ -80,23 +118,42 @@ class Vocabulary:
         self.within = np.concatenate([np.zeros(self.members), within, np.zeros(OPEN)])
         self.known = np.concatenate([c > 0, np.zeros(OPEN, bool)])
         self.counts = c[: self.members]
-        self._rare: dict[bytes, int] = {}
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        """Symbols of words, END added."""
-        get = self.symbol.get
-        out = [get(w, -1) for w in words]
-        out.append(0)
-        ids = np.array(out, np.int32)
-        for i in np.flatnonzero(ids < 0).tolist():
-            ids[i] = self.head + open_class(words[i])
-        return ids
+    def symbols(self, texts: list[bytes], rest: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Symbols of all texts' words, with an END after each text's; how many each text has; with rest the tokens that are not among the head, and which text each is of."""
+        whole, begins, ends, hashes, at = word_spans(texts)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        hit = self.hashes[place] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        hit &= ends - begins <= LONGEST
+        symbol = np.zeros(len(hashes), np.int32)
+        symbol[hit] = self.of_hash[place[hit]]
+        miss = np.flatnonzero(~hit)
+        first, last = begins[miss], ends[miss]
+        symbol[miss] = self.head + open_classes(np.frombuffer(whole, np.uint8), first, last)
+        for i in np.flatnonzero(last - first > LONGEST).tolist():
+            token = token_of(whole[first[i] : last[i]])
+            symbol[miss[i]] = self.long.get(token, self.head + open_class(token))
+        count = np.diff(at)
+        text = np.repeat(np.arange(len(texts)), count)
+        out = np.zeros(len(hashes) + len(texts), np.int32)
+        out[np.arange(len(hashes)) + text] = symbol
+        new = np.flatnonzero(symbol[miss] >= self.head) if rest else miss[:0]
+        rare = [token_of(whole[a:b]) for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
+        return out, count + 1, rare, text[miss[new]]
+
+    def each(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The symbols of each text."""
+        out = []
+        for a, b in slices(texts, [len(t) + 1 for t in texts], SLICE):
+            symbols, n, _, _ = self.symbols(texts[a:b], rest=False)
+            out += np.split(symbols, np.cumsum(n)[:-1])
+        return out
 
 
 def learn_vocabulary(counts: DataFrame, members: int) -> Vocabulary:
     """From the table of counts: sums over all of it, and its frequent words."""
     bucket = F.floor(F.log2("c") * 8).cast("int")
-    usable = (F.length("token") <= LONGEST) & (F.col("token") != F.lit(END))
+    usable = F.col("token") != F.lit(END)
     hist = counts.groupBy(bucket.alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(usable.cast("int")).alias("u")).collect()
     n, v = sum(r["n"] for r in hist), sum(r["v"] for r in hist)
     least, room = None, HEAD
@@ -128,10 +185,11 @@ def learn_vocabulary(counts: DataFrame, members: int) -> Vocabulary:
     return out
 
 
-def _averaged(models: DataFrame, width: int = 16) -> np.ndarray:
+def _averaged(models: DataFrame, width: int = 4) -> np.ndarray:
     """The mean of the rows' arrays (i, flat), width rows at a time."""
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
         weight = rows["weight"].to_numpy(float)
         total = sum(np.frombuffer(b, np.float32) * np.float32(w / weight.sum()) for b, w in zip(rows["flat"], weight, strict=True))
         return pd.DataFrame({"i": [int(rows["i"].iloc[0]) // width], "weight": [weight.sum()], "flat": [total.astype(np.float32).tobytes()]})
@@ -140,18 +198,18 @@ def _averaged(models: DataFrame, width: int = 16) -> np.ndarray:
     while n > width:
         models = materialize(models.groupBy(F.expr(f"i div {width}")).applyInPandas(mean, "i long, weight double, flat binary"), "models")
         n = -(-n // width)
-    return np.frombuffer(mean(models.toPandas().sort_values("i"))["flat"][0], np.float32).copy()
+    return np.frombuffer(mean(models.toPandas())["flat"][0], np.float32).copy()
 
 
-def learn_network(train: DataFrame, vocabulary: Vocabulary, hidden: int, share: int, rounds: int, tokens_each: int) -> tuple[Shape, np.ndarray]:
-    """A network from 1 / share of the rows of train (text), each gone over `rounds` / 2 times.
+def learn_network(train: DataFrame, vocabulary: Vocabulary, hidden: int, rounds: int, tokens_each: int) -> tuple[Shape, np.ndarray]:
+    """A network from all rows of train (doc_id, text), each gone over once.
 
-    A round goes over half of them; a trainer gets about tokens_each tokens of it."""
+    A round goes over one of `rounds` parts of them, by a hash; a trainer gets about
+    tokens_each tokens of it, from neighbouring files, so no text is moved."""
     spark = train.sparkSession
     shape = Shape(vocabulary.members, OPEN, hidden)
     flat = np.concatenate([shape.start(vocabulary.counts, vocabulary.open_n), np.full(shape.total, 1e-8, np.float32)])
-    sample = materialize(train.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select(F.pmod(F.xxhash64("text", "doc_id"), F.lit(2)).alias("half"), "text"), "lmsample")
-    trainers = max(1, round(vocabulary.total / share / 2 / tokens_each))
+    trainers = max(1, round(vocabulary.total / max(1, rounds) / tokens_each))
     words = spark.sparkContext.broadcast(vocabulary)
     for r in range(rounds):
         now = spark.sparkContext.broadcast(flat)
@@ -162,12 +220,12 @@ def learn_network(train: DataFrame, vocabulary: Vocabulary, hidden: int, share:
             net, squares = Net(shape, mine[: shape.total], v.row_of, v.class_of), mine[shape.total :]
             seen, held, size = 0, [], 0
             for batch in batches:
-                for text in text_bytes(batch.column("text")):
-                    held.append(v.symbols(tokens(text)))
-                    size += len(held[-1])
-                    if size > 1_000_000:
-                        net.train(held, squares)
-                        seen, held, size = seen + size, [], 0
+                new = v.each(text_bytes(batch.column("text")))
+                held += new
+                size += sum(map(len, new))
+                if size > 1_000_000:
+                    net.train(held, squares)
+                    seen, held, size = seen + size, [], 0
             if held:
                 net.train(held, squares)
                 seen += size
@@ -176,20 +234,16 @@ def learn_network(train: DataFrame, vocabulary: Vocabulary, hidden: int, share:
 
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([mine.tobytes()], pa.binary())], names=["i", "weight", "flat"])
 
-        part = sample.filter(F.col("half") == r % 2).select("text").repartition(trainers)
+        part = train.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(rounds)) == r).select("text").coalesce(trainers)
         models = materialize(part.mapInArrow(run, "i long, weight double, flat binary"), "models")
         if not models.isEmpty():
             flat = _averaged(models)
         discard(models)
         now.unpersist()
-    discard(sample)
     return shape, flat[: shape.total]
 
 
-_nets: dict[int, tuple] = {}
-
-
-def score_documents(docs: DataFrame, train: DataFrame, members: int = 1536, hidden: int = 24, share: int = 1, rounds: int = 4, tokens_each: int = 1_000_000, chunk_tokens: int = 2_500_000) -> DataFrame:
+def score_documents(docs: DataFrame, train: DataFrame, members: int = 1536, hidden: int = 24, rounds: int = 4, tokens_each: int = 2_000_000, chunk_tokens: int = 1_500_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     train: rows (doc_id, text) to count and learn from. Words: A-Z lower-cased, parted by
@@ -201,51 +255,62 @@ def score_documents(docs: DataFrame, train: DataFrame, members: int = 1536, hidd
     ship(spark)
     counts = materialize(count_words(train), "counts")
     vocabulary = learn_vocabulary(counts, members)
-    shape, flat = learn_network(train, vocabulary, hidden, share, rounds, tokens_each)
+    shape, flat = learn_network(train, vocabulary, hidden, rounds, tokens_each)
     shared, key = spark.sparkContext.broadcast((vocabulary, shape, flat)), uuid.uuid4().int
 
+    def scorer() -> tuple[Vocabulary, Net]:
+        v, shape, flat = shared.value
+        return v, Net(shape, flat, v.row_of, v.class_of)
+
+    def scored(v: Vocabulary, net: Net, ids: list[int], names: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
+        rid, token, times = [], [], []
+        symbols, n, known, base, fixed = [], [], [], [], []
+        for a, b in slices(texts, [len(t) + 1 for t in texts], SLICE):
+            s, count, rare, of = v.symbols(texts[a:b])
+            begin = np.cumsum(count) - count
+            symbols += np.split(s, begin[1:])
+            n += count.tolist()
+            known += np.add.reduceat(v.known[s], begin, dtype=np.int64).tolist()
+            base += np.add.reduceat(v.base[s], begin).tolist()
+            fixed += np.add.reduceat(v.within[s], begin).tolist()
+            met = Counter(zip(of.tolist(), rare, strict=True))
+            rid += [ids[a + i] for i, _ in met]
+            token += [w for _, w in met]
+            times += met.values()
+        kind = [open_class(w) for w in token]
+        score = net.score(symbols) / np.log(10) + np.array(fixed)
+        k, r = len(ids), len(rid)
+        # a text's own row has a key that is no word, so these rows spread like words do
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids + rid, pa.int64()), pa.array(names + [None] * r, pa.int64()), pa.array([b" %d" % i for i in ids] + token, pa.binary()), pa.array([0] * k + times, pa.int32()),
+             pa.array([0] * k + kind, pa.int32()), pa.array(n + [0] * r, pa.int64()), pa.array(known + [0] * r, pa.int64()), pa.array(base + [0.0] * r), pa.array([*score.tolist(), *[0.0] * r])],
+            names=["rid", "doc_id", "token", "times", "kind", "n_tokens", "n_known", "base_score", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _nets:
-            _nets.clear()
-            v, shape, flat = shared.value
-            _nets[key] = v, Net(shape, flat, v.row_of, v.class_of)
-        v, net = _nets[key]
+        v, net = lone(key, scorer)
+        ids, names, texts, size = [], [], [], 0
         for batch in batches:
-            ids, texts = batch.column("rid").to_pylist(), text_bytes(batch.column("text"))
-            for a, b in slices(texts, [len(t) // 5 + 1 for t in texts], chunk_tokens):
-                rid, token, times, kind = [], [], [], []
-                symbols, n, known, base, fixed = [], [], [], [], []
-                for i, text in zip(ids[a:b], texts[a:b], strict=True):
-                    words = tokens(text)
-                    s = v.symbols(words)
-                    symbols.append(s)
-                    n.append(len(s))
-                    known.append(int(v.known[s].sum()))
-                    base.append(float(v.base[s].sum()))
-                    fixed.append(float(v.within[s].sum()))
-                    rare = Counter([words[j] for j in np.flatnonzero(s >= v.head).tolist()])
-                    rid += [i] * len(rare)
-                    token += rare.keys()
-                    times += rare.values()
-                    kind += [open_class(w) for w in rare]
-                score = net.score(symbols) / np.log(10) + np.array(fixed)
-                k, r = b - a, len(rid)
-                # a text's own row has a key that is no word, so these rows spread like words do
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b] + rid, pa.int64()), pa.array([b" %d" % i for i in ids[a:b]] + token, pa.binary()), pa.array([0] * k + times, pa.int32()), pa.array([0] * k + kind, pa.int32()),
-                     pa.array(n + [0] * r, pa.int64()), pa.array(known + [0] * r, pa.int64()), pa.array(base + [0.0] * r), pa.array([*score.tolist(), *[0.0] * r])],
-                    names=["rid", "token", "times", "kind", "n_tokens", "n_known", "base_score", "score"])
+            ids += batch.column("rid").to_pylist()
+            names += batch.column("doc_id").to_pylist()
+            new = text_bytes(batch.column("text"))
+            texts += new
+            size += sum(len(t) // 5 + 1 for t in new)
+            if size > chunk_tokens:
+                yield scored(v, net, ids, names, texts)
+                ids, names, texts, size = [], [], [], 0
+        if ids:
+            yield scored(v, net, ids, names, texts)
 
     ordered = docs.select(row_key().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = ordered.select("rid", "text").mapInArrow(run, "rid long, token binary, times int, kind int, n_tokens long, n_known long, base_score double, score double")
+    parts = ordered.mapInArrow(run, "rid long, doc_id long, token binary, times int, kind int, n_tokens long, n_known long, base_score double, score double")
     met = parts.join(counts.withColumnRenamed("token", "t"), F.col("token") == F.col("t"), "left")
     c = F.coalesce("c", F.lit(0))
     whole = F.element_at(F.array([F.lit(float(x)) for x in vocabulary.open_total]), F.col("kind") + 1)
     n_v = float(vocabulary.total + vocabulary.distinct + 1)
-    sums = met.groupBy("rid").agg(
-        F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
+    # rid tells rows apart; a row's id comes with its own part, so rows are numbered in one reading alone
+    out = met.groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base_score") + F.col("times") * F.log10((c + 1) / n_v)).alias("base_score"), F.sum(F.col("score") + F.col("times") * F.log10((c + 1) / whole)).alias("score"))
-    out = ordered.select("rid", "doc_id").join(sums, "rid")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

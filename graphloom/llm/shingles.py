@@ -32,9 +32,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A-Z lower-cased, and for each text where its words begin (one more entry ends the last)."""
-    data = np.frombuffer((b" ".join(texts) + b" ").lower(), np.uint8)
+def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one, A-Z lower-cased; where its words begin and end, and their hashes; for each text the number of its first word (one more entry ends the last)."""
+    whole = (b" ".join(texts) + b" ").lower()
+    data = np.frombuffer(whole, np.uint8)
     n = len(data)
     white = (data == 32) | ((data >= 9) & (data <= 13))
     gap = np.concatenate([[True], white])
@@ -44,7 +45,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:n])])
     hashes = mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
     at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
-    return hashes, np.searchsorted(begins, at)
+    return whole, begins, ends, hashes, np.searchsorted(begins, at)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and for each text the number of its first word (one more entry ends the last)."""
+    _, _, _, hashes, at = word_spans(texts)
+    return hashes, at
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:

@@ -113,7 +113,7 @@ def test_lm_base_score_is_exact_and_model_better(spark, odd):
     for r in train.collect():
         counts.update([*(r["text"] or "").encode().lower().split(), b"\n"])
     n, v = sum(counts.values()), len(counts)
-    got = lm.score_documents(docs, train, share=1).collect()
+    got = lm.score_documents(docs, train).collect()
     assert len(got) == 300 + len(ODD)
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in got:

@@ -11,7 +11,6 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import os
 import re
 import shutil
 import tempfile

@@ -130,45 +130,48 @@ class Field:
             out += self.weights[whole[:, i]]
         return out
 
-    def fit(self, texts: list[list[bytes]], gold: list[int], rounds: int = 40, rate: float = 0.15, ridge: float = 1e-5) -> None:
-        """Full-batch steps (Adam) on the labels' log likelihood; the label of a text is that of its words."""
-        flat = [w for t in texts for w in t]
+    def fit(self, texts: list[list[bytes]], gold: list[int], rounds: int = 40, rate: float = 0.15, ridge: float = 1e-5, most: int = 256) -> None:
+        """Full-batch steps (Adam) on the labels' log likelihood; the label of a text is that of its words. Long texts are learned from in parts of at most `most` words."""
+        parts = [(t[a : a + most], y) for t, y in zip(texts, gold, strict=True) for a in range(0, len(t), most)]
+        flat = [w for t, _ in parts for w in t]
+        gold = np.array([y for _, y in parts])
         distinct = sorted(set(flat))
         index = {w: i for i, w in enumerate(distinct)}
-        lengths = np.array([len(t) for t in texts])
+        lengths = np.array([len(t) for t, _ in parts])
         chains = Chains(lengths)
         ids = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))[chains.source]
-        labels = np.repeat(np.array(gold), lengths)[chains.source]
+        labels = np.repeat(gold, lengths)[chains.source]
         grams, begins, whole = self.features.of(distinct)
         word_of_place = np.repeat(np.arange(len(distinct)), np.diff(np.append(begins, len(grams))))
+        # the words of each feature that is met, feature by feature; weights of others stay 0
+        feature = np.concatenate([grams.ravel(), whole.ravel()])
+        word = np.concatenate([np.repeat(word_of_place, grams.shape[1]), np.repeat(np.arange(len(distinct)), whole.shape[1])])
+        order = np.argsort(feature, kind="stable")
+        order = order[np.searchsorted(feature[order], 1) :]
+        feature, word = feature[order], word[order]
+        cuts = np.flatnonzero(np.append(True, np.diff(feature) > 0))
+        rows = feature[cuts]
         k = len(self.labels)
         held = np.eye(k, dtype=np.float32)
-        n_pairs = np.zeros((k, k))
-        for y, n in zip(gold, lengths, strict=True):
-            n_pairs[y, y] += n - 1
-        firsts = np.bincount(np.array(gold), minlength=k)
-        parts = (self.weights, self.steps, self.first)
-        m, v = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
+        n_pairs = np.diag(np.bincount(gold, lengths - 1, k))
+        firsts = np.bincount(gold, minlength=k)
+        learned = [np.zeros((len(rows), k), np.float32), self.steps, self.first]
+        m, v = [np.zeros_like(p) for p in learned], [np.zeros_like(p) for p in learned]
         for r in range(1, rounds + 1):
             e = self.scores(grams, begins, whole)[ids]
             e = np.exp(e - e.max(1, keepdims=True))
             got, pairs = chains.posterior(e, np.exp(self.steps), np.exp(self.first))
             diff = held[labels] - got
-            by_word = np.stack([np.bincount(ids, diff[:, j], len(distinct)) for j in range(k)], 1)
-            slope = np.zeros(self.weights.shape)
+            slope = np.empty(learned[0].shape)
             for j in range(k):
-                col = by_word[:, j]
-                for i in range(grams.shape[1]):
-                    slope[:, j] += np.bincount(grams[:, i], col[word_of_place], len(slope))
-                for i in range(whole.shape[1]):
-                    slope[:, j] += np.bincount(whole[:, i], col, len(slope))
-            slope[0] = 0
-            n_words, n_texts = len(flat), len(texts)
-            slopes = (slope / n_words - ridge * self.weights, (n_pairs - pairs) / n_words, (firsts - got[: n_texts].sum(0)) / n_texts)
-            for i, (p, g) in enumerate(zip(parts, slopes, strict=True)):
+                slope[:, j] = np.add.reduceat(np.bincount(ids, diff[:, j], len(distinct))[word], cuts)
+            n_words, n_parts = len(flat), len(parts)
+            slopes = (slope / n_words - ridge * learned[0], (n_pairs - pairs) / n_words, (firsts - got[:n_parts].sum(0)) / n_parts)
+            for i, (p, g) in enumerate(zip(learned, slopes, strict=True)):
                 m[i] += 0.1 * (g - m[i])
                 v[i] += 0.01 * (g * g - v[i])
                 p += (rate * (m[i] / (1 - 0.9**r)) / (np.sqrt(v[i] / (1 - 0.99**r)) + 1e-8)).astype(np.float32)
+            self.weights[rows] = learned[0]
 
 
 class Labeller:

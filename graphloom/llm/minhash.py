@@ -104,6 +104,7 @@ def _in_blocks(rows: DataFrame, payload: list[str], work: Callable[[pa.Table], l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lone("minhash")
+
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             value, lo, hi = (t[c].to_numpy() for c in ("value", "lo", "hi"))
             new = np.flatnonzero((value[1:] != value[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import signals as S
 from graphloom.functions import vocabulary as V
 from graphloom.functions.text import round_to, slug
-from graphloom.operators import aggregates, code_index, extraction, graph, homeostasis, ingest, notes, replay, reports, search, traverse
+from graphloom.operators import aggregates, code_index, extraction, graph, homeostasis, notes, replay, reports, search, traverse
 from graphloom.plans import projection as P
 from graphloom.sources.shared import settle
 

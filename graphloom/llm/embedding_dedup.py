@@ -114,21 +114,6 @@ def _unit(rows: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _pairs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of places with one key, for sorted keys, in bounded pieces."""
-    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(new, len(key)))
-    ends = np.repeat(new + size, size)
-    place = np.arange(len(key))
-    lag = 1
-    while True:
-        place = place[place + lag < ends[place]]
-        if not len(place):
-            return
-        yield place, place + lag
-        lag += 1
-
-
 PIECE = ["label", "dim", "cap", "lo", "hi"]
 
 
@@ -148,46 +133,41 @@ def _link(least: float):
         def work(t: pa.Table) -> pa.RecordBatch:
             """t: whole pieces of one label and dimension."""
             cap, lo, hi, mine, cid, copies = (t[c].to_numpy() for c in ("cap", "lo", "hi", "mine", "cid", "copies"))
-            piece = np.zeros(len(cid), np.int64)
-            piece[_changes(t, PIECE)] = 1
-            piece = np.cumsum(piece)
             unit = _unit(t["vec"].to_pylist())
-            caps = t["caps"].to_pylist()
+            raw = t["caps"].to_pylist()
+            size = np.array([len(r) for r in raw]) // 4
+            value, flat = np.unique(np.frombuffer(b"".join(raw), "<i4"), return_inverse=True)
+            caps = np.full((len(raw), size.max()), len(value))  # sorted in each row
+            caps[np.arange(size.max()) < size[:, None]] = flat
+            here = np.searchsorted(value, cap)
+            mark = np.zeros(len(value) + 1, bool)
             links, root = np.zeros(len(cid), np.int64), np.arange(len(cid))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for i, j in _pairs(piece):
-                near = (lo[i] == hi[i]) | (mine[i] != mine[j])
-                i, j = i[near], j[near]
-                near = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
-                i, j = i[near], j[near]
-                if not len(i):
-                    continue
-                found.append((i, j))
-                mine_first = np.array([min(caps_of(caps[a]) & caps_of(caps[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)]) == cap[i]
-                np.add.at(links, i[mine_first], copies[j[mine_first]])
-                np.add.at(links, j[mine_first], copies[i[mine_first]])
-            if found:
-                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-                while True:
-                    low = np.minimum(root[i], root[j])
-                    before = root.copy()
-                    np.minimum.at(root, i, low)
-                    np.minimum.at(root, j, low)
-                    root = root[root]
-                    if (root == before).all():
-                        break
+            cuts = [0, *_changes(t, PIECE).tolist(), len(cid)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                across = lo[a] != hi[a]
+                for i in range(a, b - 1):
+                    near = unit[i + 1 : b] @ unit[i] >= least
+                    if across:
+                        near &= mine[i + 1 : b] != mine[i]
+                    j = np.flatnonzero(near) + i + 1
+                    if not len(j):
+                        continue
+                    mark[caps[i]] = True
+                    mark[-1] = False
+                    theirs = caps[j]
+                    first = theirs[np.arange(len(j)), mark[theirs].argmax(1)]
+                    mark[caps[i]] = False
+                    j = j[first == here[i]]
+                    links[i] += copies[j].sum()
+                    links[j] += copies[i]
+                    met = np.unique(root[j])
+                    if len(met) > 1 or len(met) == 1 and met[0] != root[i]:
+                        part = root[a:b]
+                        met = np.append(met, root[i])
+                        part[np.isin(part, met)] = met.min()
             use = np.flatnonzero((links > 0) | (root != np.arange(len(cid))))
             return pa.RecordBatch.from_arrays([pa.array(cid[use]), pa.array(links[use]), pa.array(cid[root[use]])], names=["cid", "links", "root"])
 
-        memo: dict[bytes, frozenset] = {}
-
-        def caps_of(raw: bytes) -> frozenset:
-            if raw not in memo:
-                if len(memo) > 20_000:
-                    memo.clear()
-                memo[raw] = frozenset(np.frombuffer(raw, "<i4").tolist())
-            return memo[raw]
-
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             cuts = [0, *_changes(t, ["label", "dim"]).tolist(), t.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):

@@ -197,7 +197,7 @@ class TrieEncoder:
 class Encoder:
     """Encodes text after text, remembering words as packed little-endian ids; of too many words, those met in more than one batch stay, up to half as many as fit."""
 
-    def __init__(self, model: Model, most_words: int = 250_000):
+    def __init__(self, model: Model, most_words: int = 400_000):
         self.trie, self.most = TrieEncoder(model), most_words
         self.packed: dict[str, bytes] = {s: i.to_bytes(4, "little") for s, i in model.special.items()}
         self.unit = [i.to_bytes(4, "little") for i in range(len(model.bytes_of))]
@@ -224,12 +224,13 @@ class Encoder:
         return raw.decode("utf-8", "replace").encode()
 
 
-def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, chunk_bytes: int = 1 << 19) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, chunk_bytes: int = 1 << 19, most_words: int = 400_000) -> DataFrame:
     """All columns of docs, then n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids (little-endian unsigned 32-bit).
 
     docs needs a text column; columns named as one of the results are replaced.
     Null and empty text: no tokens. Repeated rows each give a row. No shuffle; a
-    task holds the words of chunk_bytes of text, or of one text."""
+    task holds the words of chunk_bytes of text, or of one text, and a worker the ids
+    of at most about most_words words: fewer take less memory and more time."""
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(Model(path))
@@ -239,7 +240,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, chunk_b
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] + [T.StructField("token_ids", T.BinaryType())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = lone(key, lambda: Encoder(model.value))
+        encoder = lone(key, lambda: Encoder(model.value, most_words))
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             for a, b in slices(texts, [len(t) for t in texts], chunk_bytes):

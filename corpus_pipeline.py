@@ -61,7 +61,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, digests of the ids and of the decoded text, and the ids."""
-    return encode_documents(docs.select("doc_id", "lang", "source", "text"), default_path(), with_ids=True).drop("text")
+    return encode_documents(docs.select("doc_id", "lang", "source", "text"), default_path(), with_ids=True, most_words=250_000).drop("text")
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("bpe", bpe)]

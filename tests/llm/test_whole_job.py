@@ -1,7 +1,10 @@
 """Text operators on rows that a cut would lose."""
 
+import numpy as np
+
 import corpus_pipeline
-from graphloom.llm import decontaminate, lm
+from graphloom.llm import decontaminate, lm, quality
+from graphloom.llm.common import logistic_fit, sigmoid
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -30,3 +33,37 @@ def test_network_learns_from_every_training_row(spark):
         one = docs.filter(f"doc_id = {i}")
         learnt, blank = (lm.score_documents(one, one, **k).first()["score"] for k in ({}, {"rounds": 0}))
         assert learnt > blank
+
+
+def test_quality_learns_from_every_labelled_row_and_every_pair(spark):
+    rng = np.random.default_rng(3)
+    kinds = [" ".join(rng.choice(["Aa", "b!", "c9", "dd-", "e\n"], 1 + i % 7)) for i in range(30)]
+    n = 12_000
+    kind, label = np.arange(n) % 30, (rng.random(n) < 0.2 + 0.02 * (np.arange(n) % 30)).astype(int)
+    docs = spark.createDataFrame([(i, kinds[k]) for i, k in enumerate(kind.tolist())], "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(label.tolist())), "doc_id long, quality int")
+    rows = quality.training_rows(docs, labels, 4, 5)  # no remainder is 5: none is held out
+    assert rows.count() == n
+    x = np.array([quality.features(t.encode()) for t in kinds])
+    whole, spread = quality.Ranker(x[kind], label), quality.Ranker.of_rows(rows)
+    assert np.allclose(whole.weights, spread.weights, atol=1e-3) and abs(whole.threshold - spread.threshold) < 1e-2
+    # the loss of all pairs of rows is flat at the weights
+    z = whole.expand(x)
+    s = z @ whole.weights
+    good, bad = np.bincount(kind, label), np.bincount(kind, 1 - label)
+    pull = good[:, None] * bad * sigmoid(s - s[:, None])
+    slope = (pull.sum(1) @ z - pull.sum(0) @ z) / (good.sum() * bad.sum()) - 2.5e-5 * whole.weights
+    assert np.abs(slope).max() < 2e-5
+    # no other threshold tells the rows' labels better apart
+    gain = [bad[s < t].sum() / bad.sum() - good[s < t].sum() / good.sum() for t in [*s, s.max() + 1, whole.threshold]]
+    assert gain[-1] == max(gain)
+
+
+def test_quality_loss_is_that_of_all_pairs():
+    rng = np.random.default_rng(1)
+    x = rng.random((200, quality.N_FEATURES))
+    y = (x[:, 0] + x[:, 3] / 2 + rng.normal(0, 0.2, 200) > 0.7).astype(int)
+    r = quality.Ranker(x, y)
+    z = r.expand(x)
+    pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    assert np.abs(r.weights - logistic_fit(pairs, None, 2.5e-5 * len(pairs))).max() < 1e-3

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import bounded_sample, discard, lone, materialize, remainder, ship, slices, table, text_bytes
+from graphloom.llm.common import bounded_sample, discard, give_back, lone, materialize, remainder, ship, slices, table, text_bytes
 
 BITS = 15
 NGRAMS, AFFIXES = (1, 2, 3, 4), (2, 3, 4)
@@ -115,6 +115,9 @@ class Chains:
 
 
 class Field:
+    #: Places whose label probabilities, and words whose scores, are made together when learning.
+    CHUNK, PIECE = 1 << 18, 1 << 14
+
     def __init__(self, labels: list[str], features: Features):
         self.labels, self.features = labels, features
         self.weights = np.zeros((features.rows, len(labels)), np.float32)
@@ -130,43 +133,68 @@ class Field:
             out += self.weights[whole[:, i]]
         return out
 
-    def fit(self, texts: list[list[bytes]], gold: list[int], rounds: int = 40, rate: float = 0.15, ridge: float = 1e-5, most: int = 256) -> None:
-        """Full-batch steps (Adam) on the labels' log likelihood; the label of a text is that of its words. Long texts are learned from in parts of at most `most` words."""
-        parts = [(t[a : a + most], y) for t, y in zip(texts, gold, strict=True) for a in range(0, len(t), most)]
-        flat = [w for t, _ in parts for w in t]
-        gold = np.array([y for _, y in parts])
-        distinct = sorted(set(flat))
-        index = {w: i for i, w in enumerate(distinct)}
-        lengths = np.array([len(t) for t, _ in parts])
-        chains = Chains(lengths)
-        ids = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))[chains.source]
-        labels = np.repeat(gold, lengths)[chains.source]
-        grams, begins, whole = self.features.of(distinct)
-        word_of_place = np.repeat(np.arange(len(distinct)), np.diff(np.append(begins, len(grams))))
-        # the words of each feature that is met, feature by feature; weights of others stay 0
-        feature = np.concatenate([grams.ravel(), whole.ravel()])
-        word = np.concatenate([np.repeat(word_of_place, grams.shape[1]), np.repeat(np.arange(len(distinct)), whole.shape[1])])
-        order = np.argsort(feature, kind="stable")
-        order = order[np.searchsorted(feature[order], 1) :]
-        feature, word = feature[order], word[order]
-        cuts = np.flatnonzero(np.append(True, np.diff(feature) > 0))
-        rows = feature[cuts]
-        k = len(self.labels)
+    def fit(self, texts: Iterable[list[bytes]], gold: list[int], rounds: int = 40, rate: float = 0.15, ridge: float = 1e-5, most: int = 256) -> None:
+        """Full-batch steps (Adam) on the labels' log likelihood; the label of a text is that of its words. Long texts are learned from in parts of at most `most` words.
+
+        Texts are gone over once and held as numbers of words. What a step needs is made for CHUNK places or PIECE words at a time."""
+        index: dict[bytes, int] = {}
+        parts = []
+        for t, y in zip(texts, gold, strict=True):
+            numbers = np.fromiter((index.setdefault(w, len(index)) for w in t), np.int32, len(t))
+            parts += [(numbers[a : a + most], y) for a in range(0, len(t), most)]
+        distinct, k = list(index), len(self.labels)
+        del index
+        parts.sort(key=lambda p: -len(p[0]))
+        lengths, gold_of = np.array([len(p) for p, _ in parts]), np.array([y for _, y in parts])
+        chunks = []
+        for a, b in slices(parts, lengths.tolist(), self.CHUNK):
+            chains = Chains(lengths[a:b])
+            ids = np.concatenate([p for p, _ in parts[a:b]])[chains.source]
+            chunks.append((chains, ids, np.repeat(gold_of[a:b].astype(np.int16), lengths[a:b])[chains.source], b - a))
+            del chains.lane, chains.source
+        del parts
+        pieces = [self.features.of(distinct[a : a + self.PIECE]) for a in range(0, len(distinct), self.PIECE)]
+        rows, met = [], []
+        # the words of each feature that is met, kind by kind, as kinds share no feature; weights of others stay 0
+        for kind in range(len(NGRAMS) + 2 * len(AFFIXES) + 1):
+            by_place = kind < len(NGRAMS)
+            feature = np.concatenate([grams[:, kind] if by_place else whole[:, kind - len(NGRAMS)] for grams, _, whole in pieces])
+            word = np.arange(len(distinct), dtype=np.int32)
+            if by_place:
+                word = np.repeat(word, np.concatenate([np.diff(np.append(begins, len(grams))) for grams, begins, _ in pieces]))
+            order = np.argsort(feature, kind="stable")
+            feature, word = feature[order], word[order]
+            skip = int(np.searchsorted(feature, 1))
+            feature, word = feature[skip:], word[skip:]
+            if len(feature):
+                cuts = np.flatnonzero(np.append(True, np.diff(feature) > 0))
+                rows.append(feature[cuts])
+                met.append((word, cuts))
+        del feature, word, order
+        rows = np.concatenate(rows)
         held = np.eye(k, dtype=np.float32)
-        n_pairs = np.diag(np.bincount(gold, lengths - 1, k))
-        firsts = np.bincount(gold, minlength=k)
+        n_pairs = np.diag(np.bincount(gold_of, lengths - 1, k))
+        firsts = np.bincount(gold_of, minlength=k)
+        n_words, n_parts = int(lengths.sum()), len(lengths)
         learned = [np.zeros((len(rows), k), np.float32), self.steps, self.first]
         m, v = [np.zeros_like(p) for p in learned], [np.zeros_like(p) for p in learned]
         for r in range(1, rounds + 1):
-            e = self.scores(grams, begins, whole)[ids]
-            e = np.exp(e - e.max(1, keepdims=True))
-            got, pairs = chains.posterior(e, np.exp(self.steps), np.exp(self.first))
-            diff = held[labels] - got
-            slope = np.empty(learned[0].shape)
+            known = np.concatenate([self.scores(*p) for p in pieces])
+            known = np.exp(known - known.max(1, keepdims=True))
+            step, first = np.exp(self.steps), np.exp(self.first)
+            lack, pairs, began = np.zeros((k, len(distinct))), np.zeros((k, k)), np.zeros(k)
+            for chains, ids, labels, n in chunks:
+                got, more = chains.posterior(known[ids], step, first)
+                pairs += more
+                began += got[:n].sum(0)
+                np.subtract(held[labels], got, out=got)
+                for j in range(k):
+                    lack[j] += np.bincount(ids, got[:, j], len(distinct))
+            slope = np.empty(learned[0].shape, np.float32)
             for j in range(k):
-                slope[:, j] = np.add.reduceat(np.bincount(ids, diff[:, j], len(distinct))[word], cuts)
-            n_words, n_parts = len(flat), len(parts)
-            slopes = (slope / n_words - ridge * learned[0], (n_pairs - pairs) / n_words, (firsts - got[:n_parts].sum(0)) / n_parts)
+                slope[:, j] = np.concatenate([np.add.reduceat(lack[j][word], cuts) for word, cuts in met]) / n_words
+            slope -= ridge * learned[0]
+            slopes = (slope, (n_pairs - pairs) / n_words, (firsts - began) / n_parts)
             for i, (p, g) in enumerate(zip(learned, slopes, strict=True)):
                 m[i] += 0.1 * (g - m[i])
                 v[i] += 0.01 * (g * g - v[i])
@@ -225,15 +253,22 @@ def learn_field(docs: DataFrame, bound: int = 2000, modulus: int = 4, held_out:
         if r["n"] <= room:
             room -= r["n"]
             chosen.append(r["doc_id"])
-    got = [(r["lang"], words_of((r["text"] or "").encode())) for r in one.filter(F.col("doc_id").isin(chosen)).select("lang", "text").collect()] if chosen else []
+    got = [(r["lang"], (r["text"] or "").encode()) for r in one.filter(F.col("doc_id").isin(chosen)).select("lang", "text").toLocalIterator()] if chosen else []
     discard(one)
-    got = sorted(x for x in got if x[1])
-    labels = sorted({lang for lang, _ in got})
-    counts = Counter(w for _, t in got for w in set(t))
+    got.sort()
+    counts, known = Counter(), []
+    for lang, text in got:
+        words = set(words_of(text))
+        counts.update(words)
+        known += [(lang, text)] if words else []
+    del got
+    labels = sorted({lang for lang, _ in known})
     lexicon = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:lexicon_size] if n > 2]
+    del counts
     field = Field(labels, Features(lexicon))
-    if got:
-        field.fit([t for _, t in got], [labels.index(lang) for lang, _ in got])
+    if known:
+        field.fit((words_of(t) for _, t in known), [labels.index(lang) for lang, _ in known])
+    give_back()
     return field
 
 

@@ -1,9 +1,11 @@
 """Text operators on rows that a cut would lose."""
 
+import tracemalloc
+
 import numpy as np
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, lm, quality
+from graphloom.llm import decontaminate, langid, lm, quality
 from graphloom.llm.common import logistic_fit, sigmoid
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,3 +69,27 @@ def test_quality_loss_is_that_of_all_pairs():
     z = r.expand(x)
     pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
     assert np.abs(r.weights - logistic_fit(pairs, None, 2.5e-5 * len(pairs))).max() < 1e-3
+
+
+def test_pipeline_learns_languages_in_little_memory(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = [f"{a:x}q{a * 7919 % 99991:x}".encode() for a in range(30_000)]
+    texts = [[words[i] for i in rng.integers(0, len(words), 400)] for _ in range(1000)]
+    gold = (np.arange(1000) % 4).tolist()
+
+    def fitted(n):
+        field = langid.Field(list("abcd"), langid.Features(words[:100]))
+        field.fit(texts[:n], gold[:n], rounds=2)
+        return field
+
+    tracemalloc.start()
+    try:
+        fitted(1000)
+        assert tracemalloc.get_traced_memory()[1] < 70e6  # 110e6 when all places are worked on at once
+    finally:
+        tracemalloc.stop()
+    at_once = fitted(60)
+    monkeypatch.setattr(langid.Field, "CHUNK", 1000)
+    monkeypatch.setattr(langid.Field, "PIECE", 777)
+    for a, b in zip((at_once.weights, at_once.steps, at_once.first), (lambda f: (f.weights, f.steps, f.first))(fitted(60)), strict=True):
+        assert np.allclose(a, b, atol=1e-3)

@@ -119,8 +119,8 @@ class Vocabulary:
         self.known = np.concatenate([c > 0, np.zeros(OPEN, bool)])
         self.counts = c[: self.members]
 
-    def symbols(self, texts: list[bytes], rest: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Symbols of all texts' words, with an END after each text's; how many each text has; with rest the tokens that are not among the head, and which text each is of."""
+    def symbols(self, texts: list[bytes], rest: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all texts' words, with an END after each text's; how many each text has; with rest the tokens that are not among the head, which text each is of, how often the text has it, and its open class."""
         whole, begins, ends, hashes, at = word_spans(texts)
         place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         hit = self.hashes[place] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
@@ -137,15 +137,26 @@ class Vocabulary:
         text = np.repeat(np.arange(len(texts)), count)
         out = np.zeros(len(hashes) + len(texts), np.int32)
         out[np.arange(len(hashes)) + text] = symbol
-        new = np.flatnonzero(symbol[miss] >= self.head) if rest else miss[:0]
-        rare = [token_of(whole[a:b]) for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
-        return out, count + 1, rare, text[miss[new]]
+        new = miss[symbol[miss] >= self.head] if rest else miss[:0]
+        # a text's repeats of a word lie together; long words go by their tokens, as their hashes may be made to agree
+        wide = ends[new] - begins[new] > LONGEST
+        long, new = new[wide], new[~wide]
+        new = new[np.lexsort((hashes[new], text[new]))]
+        own = np.ones(len(new), bool)
+        own[1:] = (hashes[new[1:]] != hashes[new[:-1]]) | (text[new[1:]] != text[new[:-1]])
+        cuts = np.flatnonzero(own)
+        times, new = np.diff(np.append(cuts, len(new))), new[cuts]
+        rare = [whole[a:b] for a, b in zip(begins[new].tolist(), ends[new].tolist(), strict=True)]
+        met = Counter(zip(text[long].tolist(), [token_of(whole[a:b]) for a, b in zip(begins[long].tolist(), ends[long].tolist(), strict=True)], strict=True))
+        of = np.append(text[new], np.array([i for i, _ in met], np.int64))
+        kind = np.append(symbol[new] - self.head, np.array([open_class(w) for _, w in met], np.int64))
+        return out, count + 1, rare + [w for _, w in met], of, np.append(times, np.array(list(met.values()), np.int64)), kind
 
     def each(self, texts: list[bytes]) -> list[np.ndarray]:
         """The symbols of each text."""
         out = []
         for a, b in slices(texts, [len(t) + 1 for t in texts], SLICE):
-            symbols, n, _, _ = self.symbols(texts[a:b], rest=False)
+            symbols, n, *_ = self.symbols(texts[a:b], rest=False)
             out += np.split(symbols, np.cumsum(n)[:-1])
         return out
 
@@ -262,29 +273,31 @@ def score_documents(docs: DataFrame, train: DataFrame, members: int = 1536, hidd
         v, shape, flat = shared.value
         return v, Net(shape, flat, v.row_of, v.class_of)
 
-    def scored(v: Vocabulary, net: Net, ids: list[int], names: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
-        rid, token, times = [], [], []
+    own_type = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def rows(rid: np.ndarray, token: list[bytes], times: np.ndarray, kind: np.ndarray, own: pa.Array) -> pa.RecordBatch:
+        columns = [pa.array(rid, pa.int64()), pa.array(token, pa.binary()), pa.array(times, pa.int32()), pa.array(kind, pa.int32()), own]
+        return pa.RecordBatch.from_arrays(columns, names=["rid", "token", "times", "kind", "own"])
+
+    def scored(v: Vocabulary, net: Net, ids: list[int], names: list[int | None], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """A row for each of a text's words whose count is to be met, and the text's own row."""
+        rid = np.array(ids, np.int64)
         symbols, n, known, base, fixed = [], [], [], [], []
         for a, b in slices(texts, [len(t) + 1 for t in texts], SLICE):
-            s, count, rare, of = v.symbols(texts[a:b])
+            s, count, rare, of, times, kind = v.symbols(texts[a:b])
             begin = np.cumsum(count) - count
             symbols += np.split(s, begin[1:])
-            n += count.tolist()
-            known += np.add.reduceat(v.known[s], begin, dtype=np.int64).tolist()
-            base += np.add.reduceat(v.base[s], begin).tolist()
-            fixed += np.add.reduceat(v.within[s], begin).tolist()
-            met = Counter(zip(of.tolist(), rare, strict=True))
-            rid += [ids[a + i] for i, _ in met]
-            token += [w for _, w in met]
-            times += met.values()
-        kind = [open_class(w) for w in token]
-        score = net.score(symbols) / np.log(10) + np.array(fixed)
-        k, r = len(ids), len(rid)
+            n.append(count)
+            known.append(np.add.reduceat(v.known[s], begin, dtype=np.int64))
+            base.append(np.add.reduceat(v.base[s], begin))
+            fixed.append(np.add.reduceat(v.within[s], begin))
+            if rare:
+                yield rows(rid[a + of], rare, times, kind, pa.nulls(len(rare), own_type))
+        score = net.score(symbols) / np.log(10) + np.concatenate(fixed)
+        parts = [pa.array(names, pa.int64()), *(pa.array(np.concatenate(x), t) for x, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()))), pa.array(score, pa.float64())]
+        none = np.zeros(len(ids), np.int32)
         # a text's own row has a key that is no word, so these rows spread like words do
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids + rid, pa.int64()), pa.array(names + [None] * r, pa.int64()), pa.array([b" %d" % i for i in ids] + token, pa.binary()), pa.array([0] * k + times, pa.int32()),
-             pa.array([0] * k + kind, pa.int32()), pa.array(n + [0] * r, pa.int64()), pa.array(known + [0] * r, pa.int64()), pa.array(base + [0.0] * r), pa.array([*score.tolist(), *[0.0] * r])],
-            names=["rid", "doc_id", "token", "times", "kind", "n_tokens", "n_known", "base_score", "score"])
+        yield rows(rid, [b" %d" % i for i in ids], none, none, pa.StructArray.from_arrays(parts, fields=list(own_type)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = lone(key, scorer)
@@ -296,21 +309,21 @@ def score_documents(docs: DataFrame, train: DataFrame, members: int = 1536, hidd
             texts += new
             size += sum(len(t) // 5 + 1 for t in new)
             if size > chunk_tokens:
-                yield scored(v, net, ids, names, texts)
+                yield from scored(v, net, ids, names, texts)
                 ids, names, texts, size = [], [], [], 0
         if ids:
-            yield scored(v, net, ids, names, texts)
+            yield from scored(v, net, ids, names, texts)
 
     ordered = docs.select(row_key().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = ordered.mapInArrow(run, "rid long, doc_id long, token binary, times int, kind int, n_tokens long, n_known long, base_score double, score double")
+    parts = ordered.mapInArrow(run, "rid long, token binary, times int, kind int, own struct<doc_id: long, n_tokens: long, n_known: long, base_score: double, score: double>")
     met = parts.join(counts.withColumnRenamed("token", "t"), F.col("token") == F.col("t"), "left")
     c = F.coalesce("c", F.lit(0))
     whole = F.element_at(F.array([F.lit(float(x)) for x in vocabulary.open_total]), F.col("kind") + 1)
     n_v = float(vocabulary.total + vocabulary.distinct + 1)
     # rid tells rows apart; a row's id comes with its own part, so rows are numbered in one reading alone
     out = met.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base_score") + F.col("times") * F.log10((c + 1) / n_v)).alias("base_score"), F.sum(F.col("score") + F.col("times") * F.log10((c + 1) / whole)).alias("score"))
+        F.max("own.doc_id").alias("doc_id"), F.sum("own.n_tokens").alias("n_tokens"), F.sum(F.coalesce("own.n_known", F.when(c > 0, F.col("times")).otherwise(0))).alias("n_known"),
+        F.sum(F.coalesce("own.base_score", F.col("times") * F.log10((c + 1) / n_v))).alias("base_score"), F.sum(F.coalesce("own.score", F.col("times") * F.log10((c + 1) / whole))).alias("score"))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -93,3 +93,24 @@ def test_pipeline_learns_languages_in_little_memory(monkeypatch):
     monkeypatch.setattr(langid.Field, "PIECE", 777)
     for a, b in zip((at_once.weights, at_once.steps, at_once.first), (lambda f: (f.weights, f.steps, f.first))(fitted(60)), strict=True):
         assert np.allclose(a, b, atol=1e-3)
+
+
+def test_lm_rare_words_of_a_text_come_once_with_counts_and_classes():
+    rng = np.random.default_rng(4)
+    head = [(lm.END, 9), (b"the", 5), (b" " + b"x" * 32, 2)]
+    v = lm.Vocabulary(head, 2, 100, 40, np.ones(lm.OPEN), np.ones(lm.OPEN))
+    words = ["the", "a,", "rare", "Rare", "é!", "y" * 64, "z" * 65, "z" * 66, "..."]
+    texts = [" ".join(rng.choice(words, n)).encode() for n in (0, 1, 30, 200)]
+    _, n, rare, of, times, kind = v.symbols(texts)
+    want = {}
+    for i, t in enumerate(texts):
+        for w in t.lower().split():
+            if w != b"the":
+                want[i, lm.token_of(w)] = want.get((i, lm.token_of(w)), 0) + 1
+    got = {}
+    for i, w, c in zip(of.tolist(), rare, times.tolist(), strict=True):
+        got[i, w] = got.get((i, w), 0) + c
+    assert got == want and n.tolist() == [len(t.split()) + 1 for t in texts]
+    assert kind.tolist() == [lm.open_class(w) for w in rare]
+    assert len(rare) == len(want)
+    assert len(v.symbols(texts, rest=False)[2]) == 0

@@ -72,8 +72,9 @@ class Model:
 
 
 class TrieEncoder:
-    def __init__(self, model: Model):
-        self.special = model.special
+    def __init__(self, model: Model, plain: bool = False):
+        """plain: special tokens' strings in a text are ordinary text."""
+        self.special = {} if plain else model.special
         self.bytes_of = model.bytes_of
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(model.merges)}
         self.made = {c: (a, b, r) for r, (a, b, c) in reversed(list(enumerate(model.merges)))}
@@ -197,9 +198,9 @@ class TrieEncoder:
 class Encoder:
     """Encodes text after text, remembering words as packed little-endian ids; of too many words, those met in more than one batch stay, up to half as many as fit."""
 
-    def __init__(self, model: Model, most_words: int = 400_000):
-        self.trie, self.most = TrieEncoder(model), most_words
-        self.packed: dict[str, bytes] = {s: i.to_bytes(4, "little") for s, i in model.special.items()}
+    def __init__(self, model: Model, most_words: int = 400_000, plain: bool = False):
+        self.trie, self.most = TrieEncoder(model, plain), most_words
+        self.packed: dict[str, bytes] = {s: i.to_bytes(4, "little") for s, i in self.trie.special.items()}
         self.unit = [i.to_bytes(4, "little") for i in range(len(model.bytes_of))]
         self.again: set[str] = set()
 

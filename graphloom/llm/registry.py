@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toxicity", "lm", "decontaminate", "bpe", "quality", "sharding", "embedding_dedup", "minhash", "warc", "langid", "alignment", "suffix_dedup"]
+MODULES = ["toxicity", "lm", "decontaminate", "bpe", "quality", "sharding", "embedding_dedup", "minhash", "warc", "langid", "alignment", "suffix_dedup", "importance"]
 
 
 def _all(name: str) -> dict:

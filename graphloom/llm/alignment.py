@@ -16,30 +16,72 @@ however frequent its tokens are; what comes together is one chunk.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import Encoder, Model, default_path
+from graphloom.llm.bpe import SPLIT, SPLIT_ASCII, byte_alphabet, default_path
 from graphloom.llm.common import lone, materialize, ship, slices, table, text_bytes
 
 _UNIT = re.compile(" +[^ ]*")
 _SHIFT = np.int64(1) << np.int64(32)
 
 
-class Pieces:
+class Words:
+    """Remembers the packed ids of words, `most` at most; of too many, all are forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.packed = most, {}
+
+    def made(self, words: list[str]) -> list[bytes | None]:
+        raise NotImplementedError
+
+    def learn(self, words: set[str]) -> None:
+        new = list(words - self.packed.keys())
+        if len(self.packed) + len(new) > self.most:
+            self.packed, new = {}, list(words)
+        self.packed.update(zip(new, self.made(new), strict=True))
+
+
+class Bytes(Words):
+    """Encodes with a byte-level file, word by word of its split pattern; special tokens' strings are plain text."""
+
+    def __init__(self, spec: str, most: int):
+        super().__init__(most)
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.model = Tokenizer.from_str(spec)
+        self.model.encode_special_tokens = True
+        alphabet = byte_alphabet()
+        names = [self.model.id_to_token(i) for i in range(self.model.get_vocab_size())]
+        self.bytes_of = [bytes(alphabet[c] for c in n) if set(n) <= alphabet.keys() else n.encode() for n in names]
+        self.pattern, self.ascii = regex.compile(SPLIT), re.compile(SPLIT_ASCII)
+
+    def split(self, text: str) -> list[str]:
+        return (self.ascii if text.isascii() else self.pattern).findall(" " + text)
+
+    def made(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch(words, add_special_tokens=False)]
+
+
+class Pieces(Words):
     """Encodes with a sentencepiece model, unit by unit: spaces and what follows up to the next space.
 
     No piece of such a vocabulary reaches from another character into a space, so
     units don't meet; where one does, a text is one unit."""
 
     def __init__(self, model: bytes, most: int):
+        super().__init__(most)
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -47,40 +89,36 @@ class Pieces:
         self.bytes_of = [bytes([int(n[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", n) else n.replace("▁", " ").encode() for n in names]
         self.space = self.model.piece_to_id("▁")
         self.whole = any(re.search("[^▁]▁", n) for n in names)
-        self.most, self.packed = most, {}
 
-    def encode(self, text: str) -> bytes | None:
-        """Ids of the text, packed; None where their bytes aren't the space and the text."""
-        if "▁" in text:
-            return None
-        units = [" " + text] if self.whole else _UNIT.findall(" " + text)
-        new = list({u for u in units if u not in self.packed})
-        if new:
-            if len(self.packed) + len(new) > self.most:
-                self.packed = {}
-                new = list(set(units))
-            for unit, ids in zip(new, self.model.encode([u[1:] for u in new], num_threads=1), strict=True):
-                ids = ids or [self.space]
-                same = b"".join(map(self.bytes_of.__getitem__, ids)) == unit.encode()
-                self.packed[unit] = np.array(ids, "<u4").tobytes() if same else None
-        try:
-            return b"".join(map(self.packed.__getitem__, units))
-        except TypeError:
-            return None
+    def split(self, text: str) -> list[str]:
+        return [" " + text] if self.whole else _UNIT.findall(" " + text)
+
+    def made(self, words: list[str]) -> list[bytes | None]:
+        """None where the pieces' bytes aren't the unit's."""
+        out = []
+        for unit, ids in zip(words, self.model.encode([u[1:] for u in words], num_threads=1), strict=True):
+            ids = ids or [self.space]
+            out.append(array("I", ids).tobytes() if b"".join(map(self.bytes_of.__getitem__, ids)) == unit.encode() else None)
+        return out
 
 
 class Aligner:
-    def __init__(self, model: Model, pieces: bytes, most_words: int):
-        self.left, self.right = Encoder(model, most_words, plain=True), Pieces(pieces, most_words)
-        self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.left.trie.bytes_of, self.right.bytes_of)]
+    def __init__(self, spec: str, pieces: bytes, most_words: int):
+        self.left, self.right = Bytes(spec, most_words), Pieces(pieces, most_words)
+        self.sizes = [np.array([len(x) for x in side.bytes_of], np.int64) for side in (self.left, self.right)]
         self.said = [f"{i}{end}".encode() for side, last in zip(self.sizes, "|;", strict=True) for i in range(len(side)) for end in ("," + last)]
 
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids of either side for each text; none where there is no text or its bytes don't come back."""
-        out = []
-        for text, a in zip(texts, self.left.encode([" " + t if t else "" for t in texts]), strict=True):
-            b = self.right.encode(text) if text else b""
-            out.append((np.frombuffer(a if b else b"", "<u4").astype(np.int64), np.frombuffer(b or b"", "<u4").astype(np.int64)))
+        out, split = [], []
+        for side in (self.left, self.right):
+            split.append([side.split(t) if t else [] for t in texts])
+            side.learn(set().union(*split[-1]))
+        for text, words, units in zip(texts, *split, strict=True):
+            b = [*map(self.right.packed.__getitem__, units)]
+            kept = None not in b and "▁" not in text
+            a = map(self.left.packed.__getitem__, words) if kept else ()
+            out.append(tuple(np.frombuffer(b"".join(x), np.uint32).astype(np.int64) for x in (a, b if kept else ())))
         return out
 
     def align(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
@@ -119,8 +157,8 @@ def link_tokens(docs: DataFrame, left: str, right: str, chunk_bytes: int = 1 <<
     docs needs doc_id and text. A task holds one Arrow batch (4 MB, or one text), aligned in pieces of chunk_bytes."""
     spark = docs.sparkSession
     ship(spark)
-    with open(right, "rb") as f:
-        models = spark.sparkContext.broadcast((Model(left), f.read()))
+    with open(left, encoding="utf-8") as f, open(right, "rb") as g:
+        models = spark.sparkContext.broadcast((f.read(), g.read()))
     key = uuid.uuid4().int
     schema = _LINKS.format(id="doc_id", type=docs.schema["doc_id"].dataType.simpleString())
     ints, pair_type = pa.list_(pa.int32()), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("docs", pa.int32())]))
@@ -134,8 +172,9 @@ def link_tokens(docs: DataFrame, left: str, right: str, chunk_bytes: int = 1 <<
                 made, links, text_of = aligner.align(aligner.encode([t.decode() for t in texts[i:j]]))
                 for name, values in made.items():
                     found.setdefault(name, []).extend(values)
-                order = np.lexsort((links, text_of))
-                links, text_of = links[order], text_of[order]
+                edges = np.concatenate([[0], made["n_links"]]).cumsum()
+                for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    links[x:y].sort()
                 starts = np.flatnonzero(np.append(True, (links[1:] != links[:-1]) | (text_of[1:] != text_of[:-1]))) if len(links) else np.zeros(0, np.int64)
                 pairs.append(links[starts])
                 times.append(np.diff(np.append(starts, len(links))))

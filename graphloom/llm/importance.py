@@ -1,23 +1,40 @@
 """Resampling of documents towards a target corpus by hashed n-gram importance.
 
 Features are the runs of one to three words of a text. Distinct feature strings
-are counted over all documents and over the target, each is hashed once to one
-of 10,000 buckets, buckets are added up, and the log ratio of a bucket's smoothed
-shares is its gain. Gains are joined back to each document's feature counts; a
+are counted, each is hashed once to one of 10,000 buckets, buckets are added up
+over all documents and over the target, and the log ratio of a bucket's smoothed
+shares is its gain. Gains are joined back to each document's features; a
 document's weight is their sum, and the Gumbel top-k of the weights is a draw
 without replacement in proportion to their exponentials.
+
+dictionary() is the table of all distinct strings of a corpus. As three features
+begin at every word and most are rare, it is several times the texts: resample()
+therefore builds the dictionary of each Arrow batch (chunk) in the task that reads
+it, and what is shuffled are bucket counts. A chunk's distinct strings are pairs of
+a string known before and a word, and so are their hashes: crc32 of the first part,
+moved on by the length of the second, by exclusive or with the crc32 of the second.
 """
 
 from __future__ import annotations
 
+import collections
+import functools
+import itertools
+import re
 import string
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, row_key, table
+from graphloom.llm.common import materialize, row_key, ship, slices, table, text_bytes
 
 BUCKETS = 10_000
+#: Bytes of text that share a dictionary.
+CHUNK = 4 << 20
 #: What separates words: all of ASCII but digits and letters.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -32,15 +49,99 @@ def runs_of(words: Column, longest: int = 3) -> Column:
     return F.when(F.size(words) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), at))).otherwise(F.array().cast("array<string>"))
 
 
-def feature_counts(docs: DataFrame) -> DataFrame:
-    """rid, feature, n: how often each row of docs (row_key) holds each feature."""
-    keyed = docs.select(row_key().alias("rid"), words_of(F.col("text")).alias("words"))
-    return keyed.select("rid", F.explode(runs_of(F.col("words"))).alias("feature")).groupBy("rid", "feature").agg(F.count("*").alias("n"))
-
-
-def dictionary(counts: DataFrame) -> DataFrame:
-    """feature, n, bucket: every distinct feature string, its count, and its bucket, hashed once."""
-    return counts.groupBy("feature").agg(F.sum("n").alias("n")).withColumn("bucket", F.crc32(F.col("feature").cast("binary")) % BUCKETS)
+def dictionary(docs: DataFrame) -> DataFrame:
+    """feature, n, bucket: every distinct feature string of docs (text), its count, and its bucket."""
+    features = docs.select(F.explode(runs_of(words_of(F.col("text")))).alias("feature"))
+    return features.groupBy("feature").agg(F.count("*").alias("n")).withColumn("bucket", F.crc32(F.col("feature").cast("binary")) % BUCKETS)
+
+
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_BYTE_SHIFT = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)
+
+
+def _moved(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return tables[0, x & 255] ^ tables[1, x >> 8 & 255] ^ tables[2, x >> 16 & 255] ^ tables[3, x >> 24]
+
+
+@functools.lru_cache(maxsize=4096)
+def move(n: int) -> np.ndarray:
+    """Tables, one a byte of the value, that move a crc32 on by n bytes."""
+    if n == 0:
+        return np.arange(256, dtype=np.uint32)[None] << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    if n == 1:
+        x = move(0)
+        return x >> 8 ^ _BYTE_SHIFT[x & 255]
+    half = move(n // 2)
+    out = _moved(half, half)
+    return _moved(move(1), out) if n % 2 else out
+
+
+class Chunk:
+    """The features of some texts: a bucket for each word's run of one, two and three, where the run ends in its text."""
+
+    def __init__(self, texts: list[bytes]):
+        number = collections.defaultdict(itertools.count().__next__)
+        words = [np.fromiter(map(number.__getitem__, _WORD.findall(t.lower())), np.int64) for t in texts]
+        self.n_words = np.array([len(w) for w in words], np.int64)
+        self.edges = np.append(0, self.n_words.cumsum())
+        at = np.concatenate(words) if words else np.zeros(0, np.int64)
+        left = np.repeat(self.edges[1:], self.n_words) - np.arange(len(at))  # words from here to the text's end
+        first = np.array([zlib.crc32(w) for w in number], np.uint32)
+        after = np.array([zlib.crc32(b" " + w) for w in number], np.uint32)
+        sizes, size_of = np.unique(np.array([len(w) + 1 for w in number], np.int64), return_inverse=True)
+        tables = np.stack([move(int(n)) for n in sizes]) if len(sizes) else np.zeros((0, 4, 256), np.uint32)
+        self.buckets, hashes, run = [], first, at
+        self.buckets.append((first % BUCKETS).astype(np.int64)[at])
+        for more in (1, 2):
+            inside = np.flatnonzero(left > more)
+            known, which = np.unique(run[inside] << 32 | at[inside + more], return_inverse=True)
+            head, word = hashes[known >> 32], known & 0xFFFFFFFF
+            size = size_of[word]
+            hashes = tables[size, 0, head & 255] ^ tables[size, 1, head >> 8 & 255] ^ tables[size, 2, head >> 16 & 255] ^ tables[size, 3, head >> 24] ^ after[word]
+            run = np.zeros(len(at), np.int64)
+            run[inside] = which
+            buckets = np.full(len(at), -1, np.int64)
+            buckets[inside] = (hashes % BUCKETS)[which]
+            self.buckets.append(buckets)
+
+    def counts(self) -> np.ndarray:
+        return sum(np.bincount(b[b >= 0], minlength=BUCKETS) for b in self.buckets)
+
+    def sums(self, gain: np.ndarray) -> np.ndarray:
+        """Of each text, the sum of its features' gains."""
+        gain = np.append(gain, 0)  # -1: no run
+        return np.diff(np.append(0, sum(gain[b] for b in self.buckets).cumsum())[self.edges])
+
+
+def bucket_counts(docs: DataFrame) -> DataFrame:
+    """bucket, n: how many features of docs (text) fall into a bucket, a row for each task."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            texts = text_bytes(batch.column("text"))
+            for a, b in slices(texts, [len(t) for t in texts], CHUNK):
+                total += Chunk(texts[a:b]).counts()
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["bucket", "n"])
+
+    return docs.select("text").mapInArrow(run, "bucket long, n long")
+
+
+def weights(docs: DataFrame, gain: np.ndarray) -> DataFrame:
+    """rid, doc_id, n_words, n_features, weight for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column("text"))
+            for a, b in slices(texts, [len(t) for t in texts], CHUNK):
+                chunk = Chunk(texts[a:b])
+                n = chunk.n_words
+                columns = [*batch.select(["rid", "doc_id"]).slice(a, b - a).columns, pa.array(n), pa.array(sum(np.maximum(n - k, 0) for k in range(3))), pa.array(chunk.sums(gain))]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "n_words", "n_features", "weight"])
+
+    return docs.select(row_key().alias("rid"), "doc_id", "text").mapInArrow(run, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_features long, weight long")
 
 
 def gains(corpus: DataFrame, target: DataFrame) -> DataFrame:
@@ -87,14 +188,9 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     draws its noise as an empty one. Repeated rows are rows of their own. With an empty
     target all gains follow from no counts; with no documents there are no rows. Other
     columns are not read."""
-    counts = materialize(feature_counts(docs), "features")
-    known = dictionary(counts)
-    gain = gains(known, dictionary(feature_counts(target)))
-    # a row for each bucket
-    of_feature = known.join(F.broadcast(gain), "bucket").select("feature", "gain")
-    weights = counts.join(of_feature, "feature").groupBy("rid").agg(F.sum("n").alias("n_features"), F.sum(F.col("n") * F.col("gain")).alias("weight"))
-    rows = docs.select(row_key().alias("rid"), "doc_id", F.size(words_of(F.col("text"))).alias("n_words")).join(weights, "rid", "left").na.fill(0, ["n_features", "weight"])
-    scored = materialize(rows.withColumn("score", F.col("weight") + gumbel(F.col("doc_id"))), "weights")
+    ratios = gains(bucket_counts(docs), bucket_counts(target))
+    gain = np.array([r["gain"] for r in ratios.orderBy("bucket").collect()], np.int64)  # BUCKETS rows
+    scored = materialize(weights(docs, gain).withColumn("score", F.col("weight") + gumbel(F.col("doc_id"))), "weights")
     return draw(scored, percent, least_words).select("doc_id", "n_features", "weight", "score", "rank")
 
 

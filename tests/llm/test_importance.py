@@ -7,7 +7,7 @@ import re
 import zlib
 
 from graphloom.llm.common import materialize
-from graphloom.llm.importance import resample
+from graphloom.llm.importance import Chunk, dictionary, move, resample
 
 SCHEMA = "doc_id long, text string, n_words string, bucket int"
 ODD = [None, "", "  ", "one", "one two", "One TWO three", "É é 数 x_y-z 12ab", "a " * 500, "Zeile eins zwei drei " * 30, "w" * 3000 + " end", "x\x00y\x7fz"]
@@ -57,3 +57,22 @@ def test_empty_tables(spark):
 def test_repeated_id_is_spread(spark):
     rows = [(1, "the same words again and again " * 5)] * 300
     assert got(spark, rows, ["same words"], percent=50) == plain(rows, ["same words"], 50)
+
+
+def test_dictionary_of_all_strings(spark):
+    docs = spark.createDataFrame([(t,) for t in ODD], "text string")
+    want = collections.Counter(f for t in ODD for f in features(t)[1])
+    assert {r["feature"]: (r["n"], r["bucket"]) for r in dictionary(docs).collect()} == {f: (n, zlib.crc32(f.encode()) % 10_000) for f, n in want.items()}
+
+
+def test_chunk_hashes_are_those_of_the_strings():
+    chunk = Chunk([(t or "").encode() for t in ODD])
+    want = [zlib.crc32(f.encode()) % 10_000 for t in ODD for f in features(t)[1]]
+    assert sorted(b for k in chunk.buckets for b in k.tolist() if b >= 0) == sorted(want)
+    assert chunk.counts().sum() == len(want)
+    for n in (0, 1, 2, 5, 100, 70_001):
+        zeros = b"\0" * n
+        moved = zlib.crc32(b"head" + zeros) ^ zlib.crc32(zeros)
+        tables = move(n)
+        x = zlib.crc32(b"head")
+        assert int(tables[0, x & 255] ^ tables[1, x >> 8 & 255] ^ tables[2, x >> 16 & 255] ^ tables[3, x >> 24]) == moved

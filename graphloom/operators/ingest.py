@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,20 +78,30 @@ def entities(chunks: DataFrame) -> DataFrame:
     return first.withColumn("ent_seq", F.row_number().over(Window.partitionBy("path", "chunk_seq").orderBy("rule", "start", "id")))
 
 
-def pair_mentions(ents: DataFrame, chunks: DataFrame | None = None, most: int = 300, fast: bool = True, confidence: float = 0.5) -> DataFrame:
-    """path, chunk_seq, a_seq, b_seq, source_id, target_id (in order), weight, gap for pairs of a chunk at most `most` apart, not two people; with chunks (path, chunk_seq, text) also what stands between."""
+Classifier = Callable[[DataFrame], DataFrame]
+
+
+def pair_mentions(ents: DataFrame, chunks: DataFrame | None = None, most: int = 300, fast: bool = True, confidence: float = 0.5, classify: Classifier | None = None) -> DataFrame:
+    """path, chunk_seq, a_seq, b_seq, source_id, target_id (in order), weight, gap for pairs of a chunk at most `most` apart, not two people; with chunks (path, chunk_seq, text) also what stands between.
+
+    classify (needs chunks, and not fast) gets the pairs with the text from the first
+    of the two to the last as context, and gives them class and confidence: then
+    each pair has its own sureness, and its class stands in relationship."""
     key = ["path", "chunk_seq"]
     rows = ents.select(*key, F.col("ent_seq").alias("seq"), "id", "type", "start", "end")
     p = near_pairs(rows, key, most).filter("not (a_type = 'person' and b_type = 'person')")
     near = F.greatest(F.lit(0.3), 1.0 - 0.7 * F.col("gap") / most)
-    weight = near if fast else F.greatest(F.lit(0.3), (near + confidence) / 2)
-    out = p.withColumn("weight", weight).withColumn("source_id", F.least("a_id", "b_id")).withColumn("target_id", F.greatest("a_id", "b_id"))
+    weight = lambda sure: near if fast else F.greatest(F.lit(0.3), (near + sure) / 2)
+    out = p.withColumn("weight", weight(confidence)).withColumn("source_id", F.least("a_id", "b_id")).withColumn("target_id", F.greatest("a_id", "b_id"))
     columns = [*key, "a_seq", "b_seq", "source_id", "target_id", "weight", "gap"]
     if chunks is None:
         return out.select(columns)
     low = F.least("a_start", "b_start")
-    between = F.col("text").substr(low + 1, F.least(F.lit(100), F.greatest("a_end", "b_end") - low))
-    return out.join(chunks.select(*key, "text"), key).select(*columns, between.alias("description"))
+    context = F.col("text").substr(low + 1, F.greatest("a_end", "b_end") - low)
+    told = out.join(chunks.select(*key, "text"), key).select(*columns, context.alias("context"))
+    if classify is None or fast:
+        return told.select(*columns, F.lit("relates_to").alias("relationship"), F.substring("context", 1, 100).alias("description"))
+    return classify(told).withColumn("weight", weight(F.col("confidence"))).select(*columns, F.col("class").alias("relationship"), F.substring("context", 1, 100).alias("description"), "confidence")
 
 
 def pair_edges(ents: DataFrame, most: int = 300, fast: bool = True, confidence: float = 0.5) -> DataFrame:
@@ -114,15 +126,16 @@ def cross_document(ents: DataFrame, block: int = 256, with_files: bool = False)
     return met.select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"), "shared", F.least(F.lit(1.0), 0.4 + 0.15 * F.col("shared")).alias("weight"), *(["files"] if with_files else []))
 
 
-def ingest(g: Graph, files: DataFrame, as_of: Column, namespace: str, agent: str = "ingest", fast: bool = True, confidence: float = 0.5, separator: str = r"\n\s*\n") -> tuple[Graph, DataFrame]:
+def ingest(g: Graph, files: DataFrame, as_of: Column, namespace: str, agent: str = "ingest", fast: bool = True, confidence: float = 0.5, separator: str = r"\n\s*\n", classify: Classifier | None = None) -> tuple[Graph, DataFrame]:
     """The graph with the entities and links of files (path, text) put in, and one row of counts.
 
     A new entity has the type, name and chunk's beginning of its first mention and a
     salience of 0.6; every mention after that adds 0.1, as each does for one that was
     there. Pairs of a chunk relate to each other with a weight by nearness, entities
     that share files by their number; a pair met again adds 0.1. Mentions count in
-    the order of path, chunk and place; links across files come last. Without a
-    model, confidence stands for the sureness of 'relates_to' where not fast."""
+    the order of path, chunk and place; links across files come last. Where not fast,
+    classify gives each pair its relationship and sureness (prototypes.by_prototypes);
+    without it confidence stands for that of 'relates_to'."""
     key = ["source_id", "target_id", "relationship"]
     parts = settle(chunk(files.select("path", "text"), separator=separator))[0]
     ents = settle(entities(parts))[0]
@@ -139,7 +152,7 @@ def ingest(g: Graph, files: DataFrame, as_of: Column, namespace: str, agent: str
     tags = g.tags.unionByName(fresh.select(F.col("id").alias("node_id"), F.explode(F.array(F.lit("ingest"), "type")).alias("tag"))).dropDuplicates(["node_id", "tag"])
 
     relates = F.lit("relates_to").alias("relationship")
-    pairs = pair_mentions(ents, parts, fast=fast, confidence=confidence).select("source_id", "target_id", relates, "weight", "description", F.struct(F.lit(0).alias("stage"), "path", "chunk_seq", "a_seq", "b_seq").alias("at"))
+    pairs = pair_mentions(ents, parts, fast=fast, confidence=confidence, classify=classify).select("source_id", "target_id", "relationship", "weight", "description", F.struct(F.lit(0).alias("stage"), "path", "chunk_seq", "a_seq", "b_seq").alias("at"))
     shared = F.concat(F.lit("Co-occur in "), F.col("shared").cast("string"), F.lit(" file(s): "), F.array_join("files", ", "))
     nothing = [F.lit("").alias("path"), *[F.lit(0).alias(c) for c in ("chunk_seq", "a_seq", "b_seq")]]
     across = cross_document(ents, with_files=True).select("source_id", "target_id", relates, "weight", shared.alias("description"), F.struct(F.lit(1).alias("stage"), *nothing).alias("at"))

@@ -6,6 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import find_nodes
+from graphloom.sources.shared import folder
+
+
+def reach(seeds: DataFrame, both: DataFrame, allowed: DataFrame, depth: int, prune: bool) -> tuple[DataFrame, str]:
+    """id, visible of all that depth rounds of breadth-first search from seeds (id) see, and the folder that holds it.
+
+    both: id, next; allowed: ids that may be visible. Each round's frontier is written
+    below one folder and read from there, so a round's plan is four joins however deep
+    it is, and the search ends with the first round that reaches nothing new."""
+    spark, root = seeds.sparkSession, folder(seeds.sparkSession)
+    write = lambda df, k: df.select("id", "visible").write.parquet(f"{root}/round={k}")
+    read = lambda: spark.read.schema("id string, visible boolean, round int").parquet(root)
+    write(seeds.select("id", F.lit(True).alias("visible")), 0)
+    ok = allowed.select("id", F.lit(True).alias("ok"))
+    for k in range(depth):
+        seen = read()
+        leads = seen.filter((F.col("round") == k) & (F.col("visible") if prune else F.lit(True))).select("id")
+        reached = both.join(leads, "id", "left_semi").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        write(reached.join(ok, "id", "left").select("id", F.coalesce("ok", F.lit(False)).alias("visible")), k + 1)
+        if read().filter(F.col("round") == k + 1).isEmpty():
+            break
+    return read().select("id", "visible"), root
 
 
 def query_subgraph(
@@ -25,18 +47,11 @@ def query_subgraph(
     if mode not in ("skip", "prune"):
         raise ValueError("mode is skip or prune")
     seeds = find_nodes(nodes, tags, min_salience=min_salience, agent=agent, tag=tag, ceiling=ceiling, limit=limit).select("id")
-    seen = seeds.withColumn("visible", F.lit(True))
-    frontier = seen
     both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("next")))
     allowed = nodes.filter(F.col("salience") >= min_salience)
     if ceiling is not None:
         allowed = allowed.filter(F.coalesce("sensitivity", F.lit(0)) <= ceiling)
-    allowed = allowed.select("id", F.lit(True).alias("ok"))
-    for _ in range(depth):
-        leads = frontier.filter("visible") if mode == "prune" and ceiling is not None else frontier
-        reached = both.join(leads.select("id"), "id", "left_semi").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = reached.join(allowed, "id", "left").select("id", F.coalesce("ok", F.lit(False)).alias("visible"))
-        seen = seen.unionByName(frontier)
+    seen, _ = reach(seeds, both, allowed, depth, mode == "prune" and ceiling is not None)
     shown = seen.filter("visible").select("id")
     out = nodes.join(shown, "id", "left_semi").orderBy(F.desc("salience"), "id").limit(limit)
     ends = out.select("id") if trim_edges else shown

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import signals as S
 from graphloom.functions import vocabulary as V
 from graphloom.functions.text import round_to, slug
-from graphloom.operators import aggregates, code_index, extraction, graph, homeostasis, notes, replay, reports, search, traverse
+from graphloom.operators import aggregates, code_index, extraction, graph, homeostasis, notes, replay, reports, search
 from graphloom.plans import projection as P
 from graphloom.sources.shared import settle
 
@@ -519,46 +519,6 @@ def show_nodes(spark, d):
     return search.show(P.nodes(spark, d), "#0000000", 1).select("id", "name")
 
 
-# ---- traversal
-
-
-def _subgraph_sql(depth: int, prune: bool) -> str:
-    visible = "(id in (select id from ok))"
-    lead = "v" if prune else "true"
-    rounds = ["v0 as (select id, true as v from (select id from nodes where source_agent = 'building' and salience >= 0.3 and coalesce(sensitivity, 0) <= 1 order by salience desc, id limit 20))"]
-    for k in range(1, depth + 1):
-        rounds.append(
-            f"v{k} as (select id, v from v{k - 1} union all select id, {visible} as v from (select distinct nxt as id from (select source_id as s, target_id as nxt from e union all select target_id, source_id from e) where s in (select id from v{k - 1} where {lead})) where id not in (select id from v{k - 1}))"
-        )
-    return (
-        "with e as (select * from edges where relationship = 'relates_to' and weight >= 0.2 or relationship = 'belongs_to' and source_id not like 'nation-%'), ok as (select id from nodes where salience >= 0.3 and coalesce(sensitivity, 0) <= 1), "
-        + ", ".join(rounds) + f" select id, floor(salience * 1e6 + 0.5) / 1e6 as salience from nodes where id in (select id from v{depth} where v) order by nodes.salience desc, id limit 200"
-    )
-
-
-def _subgraph(spark, d, depth: int, mode: str) -> DataFrame:
-    e = P.edges(spark, d).filter("relationship = 'relates_to' and weight >= 0.2 or relationship = 'belongs_to' and source_id not like 'nation-%'")
-    n, e = settle(P.nodes(spark, d), e)
-    seeds = graph.find_nodes(n, agent="building", min_salience=0.3, ceiling=1, limit=20).select(F.col("id").alias("node_id"), F.lit("seed").alias("tag"))
-    out, _ = traverse.query_subgraph(n, e, seeds, tag="seed", min_salience=0.3, depth=depth, limit=200, ceiling=1, mode=mode)
-    return out.select("id", r6("salience").alias("salience"))
-
-
-@query(_subgraph_sql(1, False))
-def subgraph_d1(spark, d):
-    return _subgraph(spark, d, 1, "skip")
-
-
-@query(_subgraph_sql(2, False))
-def subgraph_skip_d2(spark, d):
-    return _subgraph(spark, d, 2, "skip")
-
-
-@query(_subgraph_sql(2, True))
-def subgraph_prune_d2(spark, d):
-    return _subgraph(spark, d, 2, "prune")
-
-
 @query("select p_partkey as key, substr(trim(regexp_replace(lower(p_name || ' -- ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40) as slug from part")
 def slugs(spark, d):
     return P.read(spark, d, "part").select(F.col("p_partkey").alias("key"), slug(F.concat("p_name", F.lit(" -- "), "p_type")).alias("slug"))

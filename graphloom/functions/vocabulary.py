@@ -91,7 +91,7 @@ GENERIC_CODE_NAMES = [
     "source", "target", "deploy", "update", "delete", "create",
 ]
 
-#: Phrases that announce a decision, a bug or a pattern, and the capitalised phrase that must follow.
+#: Phrases that announce a decision, a bug or a pattern, and the capitalised phrase that must follow.
 SIGNALS = [
     ("decision", r"(?i:\b(?:decided to|agreed on|chose|approved|settled on|going with)\b)"),
     ("bug", r"(?i:\b(?:bug in|broken|crash(?:es|ed)?|regression|root cause|workaround for)\b)"),
@@ -99,6 +99,17 @@ SIGNALS = [
 ]
 SIGNAL_TAIL = r"^\s+(?:the\s+)?([A-Z][A-Za-z0-9 ]+?)(?:[.,;:\n]|$)"
 
-#: The dates at the end of a remembered bullet, between asterisks or bare.
+#: The dates at the end of a remembered bullet, between asterisks or bare.
 DATED_STARRED = r"\s*-\s*\*(?:corrected|learned):\s*(\d{4}-\d{2}-\d{2})(?:,\s*reinforced:\s*(\d{4}-\d{2}-\d{2}))?\s*\*\s*$"
 DATED_BARE = r"\s*-\s*(?:corrected|learned):\s*(\d{4}-\d{2}-\d{2})(?:,\s*reinforced:\s*(\d{4}-\d{2}-\d{2}))?\s*$"
+
+# Fixed values of notes: what begins a section, its parts, an item, an action and a done one.
+SECTION = r"^##\s+"
+SECTION_DATE = r"^(\d{4}-\d{2}-\d{2})(?:\s+\d{2}:\d{2})?"
+PARTS = [("notes", r"(?i)^###\s+notes"), ("decisions", r"(?i)^###\s+decisions"), ("next_steps", r"(?i)^###\s+next\s+steps"), ("raw", r"^###\s+")]
+ITEM = r"^\s*-\s+(.+)"
+DONE = r"(?i)^✅|^\(✅|\[x\]"
+DONE_MARK = r"(?i)^✅\s*|^\(✅\s*\)\s*|\[x\]\s*"
+ACTION = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)\s*:\s+(.+)"
+ACTION_OF_TWO = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*\+\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*:\s+(.+)"
+OPEN_HEAD, DONE_HEAD = r"(?i)^##\s+Open", r"(?i)^##\s+Done"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import vocabulary as V
+from graphloom.functions.occurrences import near, occurrences
 from graphloom.functions.text import near_pairs, round_to
 from graphloom.sources.shared import settle
 
@@ -114,11 +115,8 @@ def code_index(nodes: DataFrame, least: int = 12) -> DataFrame:
 def code_references(texts: DataFrame, entities: DataFrame, index: DataFrame, most: int = 300) -> DataFrame:
     """entity_id, code_id, doc_id: code names that stand within `most` characters of an entity's name (texts: doc_id, content; entities: doc_id, id, name).
 
-    Names are found by the words of a text: an equi-join on a name's first word of
-    letters and digits, so no text meets every name."""
-    starts = lambda text, name: F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(name) + 1)), lambda i: text.substr(i, F.length(name)) == name)
-    words = texts.select("doc_id", "content", F.explode(F.array_distinct(F.split("content", "[^A-Za-z0-9]+"))).alias("word")).filter("word != ''")
-    named = index.select(F.col("id").alias("code_id"), F.col("name").alias("code"), F.regexp_extract("name", "[A-Za-z0-9]+", 0).alias("word"))
-    code = words.join(named, "word").withColumn("at", F.explode(starts(F.col("content"), F.col("code")))).select("doc_id", "code_id", "at").distinct()
-    ent = entities.select("doc_id", F.col("id").alias("entity_id"), "name").join(texts, "doc_id").withColumn("e_at", F.explode(starts(F.col("content"), F.col("name")))).select("doc_id", "entity_id", "e_at")
-    return ent.join(code, "doc_id").filter(F.abs(F.col("at") - F.col("e_at")) <= most).select("entity_id", "code_id", "doc_id").distinct()
+    Both are pieces of the text in its own case, inside words too; any of their places count."""
+    found = settle(occurrences(texts.select("doc_id", "content"), ["doc_id"], "content", index.select("name").unionByName(entities.select("name"))))[0]
+    code = found.join(index.select("name", F.col("id").alias("code_id")), "name").select("doc_id", "code_id", "at")
+    ent = found.join(entities.select("doc_id", "name", F.col("id").alias("entity_id")), ["doc_id", "name"]).select("doc_id", "entity_id", "at")
+    return near(ent, code, ["doc_id"], most).select("entity_id", "code_id", "doc_id").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import vocabulary as V
+from graphloom.functions.occurrences import occurrences
 from graphloom.functions.text import slug, title_case
 from graphloom.operators.graph import reinforce_nodes
 
@@ -46,30 +47,37 @@ def memory_nodes(entries: DataFrame, nodes: DataFrame, as_of: Column, agent: str
 # ---- vaults
 
 
-def parse_sections(files: DataFrame) -> DataFrame:
-    """path, section, date (null where undated), heading, part (notes, decisions, next_steps, raw), seq, item: bullets of '##' sections."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
-    head = F.when(F.col("line").rlike(r"^##\s+"), F.trim(F.regexp_replace("line", r"^##\s+", "")))
-    part = (
-        F.when(head.isNotNull(), "raw").when(F.col("line").rlike(r"(?i)^###\s+notes"), "notes").when(F.col("line").rlike(r"(?i)^###\s+decisions"), "decisions")
-        .when(F.col("line").rlike(r"(?i)^###\s+next\s+steps"), "next_steps").when(F.col("line").rlike(r"^###\s+"), "raw")
-    )
+def note_lines(files: DataFrame) -> DataFrame:
+    """files' columns but text, then section (from 1; 0 before the first), heading, part (notes, decisions, next_steps, raw), seq, line: the lines of texts, without those that begin a section or one of the three named parts."""
+    lines = files.select(*[c for c in files.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    head = F.when(F.col("line").rlike(V.SECTION), F.trim(F.regexp_replace("line", V.SECTION, "")))
+    part = F.when(head.isNotNull(), "raw")
+    for name, pattern in V.PARTS:
+        part = part.when(F.col("line").rlike(pattern), name)
     w = Window.partitionBy("path").orderBy("seq")
     rows = lines.withColumn("h", head).withColumn("p", part)
     rows = rows.withColumns({"heading": F.last("h", ignorenulls=True).over(w), "part": F.last("p", ignorenulls=True).over(w), "section": F.sum(F.when(F.col("h").isNotNull(), 1).otherwise(0)).over(w)})
-    item = F.trim(F.regexp_extract("line", r"^\s*-\s+(.+)", 1))
-    date = F.nullif(F.regexp_extract("heading", r"^(\d{4}-\d{2}-\d{2})(?:\s+\d{2}:\d{2})?", 1), F.lit(""))
-    return rows.filter("section > 0").withColumn("item", item).filter("item != ''").select("path", "section", date.alias("date"), "heading", "part", "seq", "item")
+    return rows.filter("h is null and (p is null or p = 'raw')").drop("h", "p")
+
+
+def item_of(line: Column) -> Column:
+    """What a bullet says; empty where there is none."""
+    return F.trim(F.regexp_extract(line, V.ITEM, 1))
+
+
+def parse_sections(files: DataFrame) -> DataFrame:
+    """path, section, date (null where undated), heading, part (notes, decisions, next_steps, raw), seq, item: bullets of '##' sections."""
+    rows = note_lines(files.select("path", "text")).filter("section > 0").withColumn("item", item_of(F.col("line"))).filter("item != ''")
+    date = F.nullif(F.regexp_extract("heading", V.SECTION_DATE, 1), F.lit(""))
+    return rows.select("path", "section", date.alias("date"), "heading", "part", "seq", "item")
 
 
 def actions(items: DataFrame) -> DataFrame:
     """items' columns, then person, action, completed: 'Name: action' and 'A + B: action' bullets, one row a person."""
-    done = r"(?i)^✅|^\(✅|\[x\]"
-    mark = F.lit(r"(?i)^✅\s*|^\(✅\s*\)\s*|\[x\]\s*")
+    one, two, mark = V.ACTION, V.ACTION_OF_TWO, F.lit(V.DONE_MARK)
     at = F.regexp_instr("item", mark)  # the first mark alone is taken out
     clean = F.when(at > 0, F.concat(F.substring("item", F.lit(1), at - 1), F.col("item").substr(at + F.length(F.regexp_substr("item", mark)), F.length("item")))).otherwise(F.col("item"))
-    one, two = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)\s*:\s+(.+)", r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*\+\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*:\s+(.+)"
-    rows = items.withColumn("_c", clean).withColumn("completed", F.col("item").rlike(done)).withColumn("_both", F.col("_c").rlike(two))
+    rows = items.withColumn("_c", clean).withColumn("completed", F.col("item").rlike(V.DONE)).withColumn("_both", F.col("_c").rlike(two))
     part = lambda pattern, i: F.trim(F.regexp_extract("_c", pattern, i))
     rows = rows.withColumn("_who", F.when(F.col("_both"), F.array(part(two, 1), part(two, 2))).otherwise(F.array(part(one, 1)))).withColumn("action", F.when(F.col("_both"), part(two, 3)).otherwise(part(one, 2)))
     return rows.withColumn("person", F.explode("_who")).filter("person != ''").select(*items.columns, "person", "action", "completed")
@@ -87,26 +95,49 @@ def vault_nodes(files: DataFrame, people_dir: str = "people", initiatives_dir: s
     return out
 
 
-def vault_edges(sections: DataFrame, parents: DataFrame, people: DataFrame) -> DataFrame:
-    """source_id, target_id, relationship, weight out of sections of files; parents: path, parent_id; people: id, name.
+def first_names(people: DataFrame) -> DataFrame:
+    """first, person_id of people (id, name): of those who share a first name the last by id."""
+    return people.groupBy(F.split("name", " ")[0].alias("first")).agg(F.max("id").alias("person_id"))
 
-    A note that names a person: mentioned_in 0.6. A decision of 10 characters or
-    more: its node belongs_to the parent 0.8, and is authored_by people that it names
-    0.6. An action: its person belongs_to the parent, 0.7 while open, else 0.5.
-    People are met by full name, or by first name where only one person has it."""
-    rows = sections.join(parents, "path")
-    first = F.split("name", " ")[0]
-    alone = people.groupBy(first.alias("word")).agg(F.count("*").alias("n"), F.min("id").alias("person_id")).filter("n = 1").select("word", "person_id")
-    known = people.select(F.col("name").alias("word"), F.col("id").alias("person_id")).unionByName(alone).dropDuplicates(["word"])
-    names = F.array_distinct(F.array_union(F.regexp_extract_all("item", F.lit(r"\b[A-Z][a-z]+\b"), 0), F.regexp_extract_all("item", F.lit(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"), 0)))
-    named = rows.withColumn("word", F.explode(names)).join(known, "word").select("parent_id", "part", "item", "person_id").distinct()
-    notes = named.filter("part = 'notes'").select(F.col("person_id").alias("source_id"), F.col("parent_id").alias("target_id"), F.lit("mentioned_in").alias("relationship"), F.lit(0.6).alias("weight"))
-    decided = rows.filter((F.col("part") == "decisions") & (F.length("item") >= 10))
-    belongs = decided.select(slug(F.col("item")).alias("source_id"), F.col("parent_id").alias("target_id"), F.lit("belongs_to").alias("relationship"), F.lit(0.8).alias("weight"))
-    authored = named.filter((F.col("part") == "decisions") & (F.length("item") >= 10)).select(slug(F.col("item")).alias("source_id"), F.col("person_id").alias("target_id"), F.lit("authored_by").alias("relationship"), F.lit(0.6).alias("weight"))
-    acts = actions(rows.filter("part = 'next_steps'")).join(known, F.col("person") == F.col("word")).select(F.col("person_id").alias("source_id"), F.col("parent_id").alias("target_id"), F.lit("belongs_to").alias("relationship"), F.when(F.col("completed"), 0.5).otherwise(0.7).alias("weight"))
-    every = notes.unionByName(belongs).unionByName(authored).unionByName(acts)
-    return every.groupBy("source_id", "target_id", "relationship").agg(F.max("weight").alias("first"), F.count("*").alias("n")).select("source_id", "target_id", "relationship", F.least(F.lit(1.0), F.col("first") + 0.1 * (F.col("n") - 1)).alias("weight"))
+
+def decision_id(item: Column) -> Column:
+    return slug(F.substring(item, 1, 60))
+
+
+def vault_edges(sections: DataFrame, parents: DataFrame, people: DataFrame) -> DataFrame:
+    """source_id, target_id, relationship, weight, description out of sections of files (path, section, part, seq, item, and date where there is one); parents: path, parent_id and title; people: id, name.
+
+    A note that holds a first name, inside words too: mentioned_in 0.6. A decision of
+    10 characters or more: its node belongs_to the parent 0.8, and is authored_by
+    people whose first names it holds 0.6. An action of a first name: its person
+    belongs_to the parent 0.7. The first by path and line sets weight and text, each after it adds 0.1."""
+    return fold_weights(section_events(sections.join(parents, "path"), people))
+
+
+def section_events(rows: DataFrame, people: DataFrame) -> DataFrame:
+    """source_id, target_id, relationship, weight, description, at: the edges of vault_edges() one by one, in the order of at."""
+    first = first_names(people)
+    title = F.col("title") if "title" in rows.columns else F.lit("")
+    date = F.when(F.col("date").isNotNull(), F.concat(F.lit(" ("), "date", F.lit(")"))).otherwise("") if "date" in rows.columns else F.lit("")
+    at = lambda kind, name=F.lit(""): F.struct("path", "section", F.lit(kind).alias("kind"), "seq", name.alias("name")).alias("at")
+    held = rows.filter("part = 'notes' or part = 'decisions' and length(item) >= 10")
+    named = occurrences(held.select("path", "seq", "item"), ["path", "seq"], "item", first.select(F.col("first").alias("name"))).select("path", "seq", F.col("name").alias("first")).distinct()
+    named = held.join(named, ["path", "seq"]).join(first, "first")
+    edge = lambda df, s, t, kind, w, text, *more: df.select(s.alias("source_id"), t.alias("target_id"), F.lit(kind).alias("relationship"), F.lit(w).alias("weight"), text.alias("description"), at(*more))
+    person, parent, first = F.col("person_id"), F.col("parent_id"), F.col("first")
+    decision = decision_id(F.col("item"))
+    notes = edge(named.filter("part = 'notes'"), person, parent, "mentioned_in", 0.6, F.concat(first, F.lit(" mentioned in "), title, F.lit(" notes"), date), 0, first)
+    belongs = edge(held.filter("part = 'decisions'"), decision, parent, "belongs_to", 0.8, F.concat(F.lit("Decision made in "), title), 1)
+    authored = edge(named.filter("part = 'decisions'"), decision, person, "authored_by", 0.6, F.concat(first, F.lit(" involved in decision")), 1, first)
+    acts = actions(rows.filter("part = 'next_steps'")).join(first_names(people).withColumnRenamed("first", "person"), "person")
+    acts = edge(acts, person, parent, "belongs_to", 0.7, F.concat("person", F.lit(" has action: "), F.substring("action", 1, 60)), 2, F.col("person"))
+    return notes.unionByName(belongs).unionByName(authored).unionByName(acts)
+
+
+def fold_weights(events: DataFrame) -> DataFrame:
+    """Edges of events (source_id, target_id, relationship, weight, description, at): the first sets weight and description, each after it adds 0.1, up to 1."""
+    met = events.groupBy("source_id", "target_id", "relationship").agg(F.min_by("weight", "at").alias("w"), F.min_by("description", "at").alias("description"), F.count("*").alias("n"))
+    return met.select("source_id", "target_id", "relationship", F.least(F.lit(1.0), F.col("w") + 0.1 * (F.col("n") - 1)).alias("weight"), "description")
 
 
 def phrase_signals(texts: DataFrame) -> DataFrame:
@@ -122,10 +153,9 @@ def phrase_signals(texts: DataFrame) -> DataFrame:
 def next_actions(files: DataFrame) -> DataFrame:
     """path, seq, section (open, done or unknown), item: the bullets of next-action files (path, text), by the '## Open' or '## Done' above them."""
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
-    head = F.when(F.col("line").rlike(r"(?i)^##\s+Open"), "open").when(F.col("line").rlike(r"(?i)^##\s+Done"), "done")
+    head = F.when(F.col("line").rlike(V.OPEN_HEAD), "open").when(F.col("line").rlike(V.DONE_HEAD), "done")
     above = F.coalesce(F.last(head, ignorenulls=True).over(Window.partitionBy("path").orderBy("seq")), F.lit("unknown"))
-    item = F.trim(F.regexp_extract("line", r"^\s*-\s+(.+)", 1))
-    return lines.withColumn("section", above).withColumn("item", item).filter("item != ''").select("path", "seq", "section", "item")
+    return lines.withColumn("section", above).withColumn("item", item_of(F.col("line"))).filter("item != ''").select("path", "seq", "section", "item")
 
 
 def reinforce_owners(nodes: DataFrame, bullets: DataFrame, owners: DataFrame, as_of: Column) -> DataFrame:
@@ -134,17 +164,21 @@ def reinforce_owners(nodes: DataFrame, bullets: DataFrame, owners: DataFrame, as
     return reinforce_nodes(nodes, hits, as_of, boost=0.05)
 
 
+def action_events(bullets: DataFrame, parents: DataFrame, people: DataFrame) -> DataFrame:
+    """The edges of parent_actions() one by one, as section_events() gives its own."""
+    part = lambda i: F.regexp_extract("item", V.ACTION, i)
+    rows = bullets.withColumn("first", part(1)).join(first_names(people), "first").join(parents, "path")
+    text = F.concat("first", F.lit(": "), F.substring(part(2), 1, 60))
+    weight = F.when(F.col("section") == "open", 0.7).otherwise(0.5)
+    at = F.struct("path", F.lit(0).cast("long").alias("section"), F.lit(0).alias("kind"), "seq", F.col("first").alias("name"))
+    return rows.select(F.col("person_id").alias("source_id"), F.col("parent_id").alias("target_id"), F.lit("belongs_to").alias("relationship"), weight.alias("weight"), text.alias("description"), at.alias("at"))
+
+
 def parent_actions(bullets: DataFrame, parents: DataFrame, people: DataFrame) -> DataFrame:
-    """source_id, target_id, relationship, weight of 'Name: action' bullets in files of a domain or initiative (parents: path, parent_id); people: id, name, met by first name.
+    """source_id, target_id, relationship, weight, description of 'Name: action' bullets in files of a domain or initiative (parents: path, parent_id); people: id, name, met by first name.
 
     The first bullet sets 0.7 if it is open, else 0.5; each after it adds 0.1. Of people with one first name the last by id counts."""
-    first = people.groupBy(F.split("name", " ")[0].alias("person")).agg(F.max("id").alias("source_id"))
-    name = F.regexp_extract("item", r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)\s*:\s+(.+)", 1)
-    rows = bullets.withColumn("person", name).join(first, "person").join(parents, "path")
-    at = F.struct("path", "seq")
-    weight = F.when(F.col("section") == "open", 0.7).otherwise(0.5)
-    met = rows.groupBy("source_id", F.col("parent_id").alias("target_id")).agg(F.min_by(weight, at).alias("w"), F.count("*").alias("n"))
-    return met.select("source_id", "target_id", F.lit("belongs_to").alias("relationship"), F.least(F.lit(1.0), F.col("w") + 0.1 * (F.col("n") - 1)).alias("weight"))
+    return fold_weights(action_events(bullets, parents, people))
 
 
 def alias_edges(people: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -156,10 +190,10 @@ def alias_edges(people: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def named_in(files: DataFrame, people: DataFrame) -> DataFrame:
-    """path, person_id: people (id, name) whose full or first name stands in a file (path, text) as words; once each."""
-    words = F.array_distinct(F.array_union(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+\b"), 0), F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+(?= [A-Z][a-z]+\b)"), 0)))
-    first = people.select(F.split("name", " ")[0].alias("word"), F.col("id").alias("person_id"))
-    return files.select("path", F.explode(words).alias("word")).join(first, "word").select("path", "person_id").distinct()
+    """path, person_id: people (id, name) whose first name stands in a file (path, text), inside words too; once each. People who share it are all named."""
+    first = people.select(F.split("name", " ")[0].alias("name"), F.col("id").alias("person_id"))
+    found = occurrences(files.select("path", "text"), ["path"], "text", first.select("name"))
+    return found.select("path", "name").distinct().join(first, "name").select("path", "person_id").distinct()
 
 
 def people_edges(notes: DataFrame, owners: DataFrame, people: DataFrame) -> DataFrame:

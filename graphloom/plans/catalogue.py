@@ -565,16 +565,20 @@ def reindex_code(spark, d):
     return out.nodes.select("id")
 
 
-@query("""with r as (select 'customer-' || c_custkey as entity_id, c_custkey % 50 as k, c_custkey as doc_id, c_name from customer)
-select entity_id, 'code:Method' || k as code_id, doc_id from r where k % 2 = 0""")
+_CALLS = "c_name || case when k % 2 = 0 then ' calls my' else repeat('.', 400) end || 'RunTheBigMethod' || k || 'x' || case when k % 3 = 0 then repeat('-', 500) || 'of' || c_name || ' RunTheBigMethodic' else '' end"
+
+
+@query(f"""with c as (select c_custkey, c_name, c_custkey % 50 as k from customer), t as (select c_custkey as doc_id, 'customer-' || c_custkey as entity_id, c_name, {_CALLS} as content from c),
+names as (select 'RunTheBigMethod' || k as name, 'code:Method' || k as code_id from (select distinct k from c) union all select 'RunTheBigMethodic', 'code:ic'),
+met as (select doc_id, entity_id, code_id, list_filter(range(1, length(content) + 1), lambda i: substr(content, i, length(c_name)) = c_name) as a, list_filter(range(1, length(content) + 1), lambda i: substr(content, i, length(name)) = name) as b from t join names on instr(content, name) > 0)
+select distinct entity_id, code_id, doc_id from (select *, unnest(a) as x from met), (select doc_id as d, code_id as cid, unnest(b) as y from met) where doc_id = d and code_id = cid and abs(x - y) <= 300""")
 def code_references(spark, d):
-    """A text a customer, with a code name near or far from the customer's."""
+    """A text a customer, with code names near or far from the customer's, inside words, inside each other, and twice."""
     c = P.read(spark, d, "customer").withColumn("k", F.col("c_custkey") % 50)
-    call = F.concat(F.lit("RunTheBigMethod"), F.col("k").cast("string"))
-    gap = F.when(F.col("k") % 2 == 0, F.lit(" calls ")).otherwise(F.repeat(F.lit("."), 400))
-    texts = c.select(F.col("c_custkey").alias("doc_id"), F.concat("c_name", gap, call).alias("content"))
+    texts = c.select(F.col("c_custkey").alias("doc_id"), F.expr(_CALLS).alias("content"))
     ents = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
-    nodes = c.select("k").distinct().select(F.concat(F.lit("code:Method"), F.col("k").cast("string")).alias("id"), F.concat(F.lit("RunTheBigMethod"), F.col("k").cast("string")).alias("name"), F.lit("Method").alias("type"), F.lit("code").alias("category"))
+    called = c.select(F.col("k").cast("string").alias("k")).distinct().unionByName(spark.createDataFrame([("ic",)], "k string"))
+    nodes = called.select(F.concat(F.when(F.col("k") == "ic", "code:").otherwise("code:Method"), "k").alias("id"), F.concat(F.lit("RunTheBigMethod"), "k").alias("name"), F.lit("Method").alias("type"), F.lit("code").alias("category"))
     return extraction.code_references(texts, ents, extraction.code_index(nodes))
 
 
@@ -612,14 +616,14 @@ def vault_nodes(spark, d):
 
 
 @query("""with k as (select c_custkey as k, 'customer-' || c_custkey as parent from customer)
-select 'anna-keller' as source_id, parent as target_id, 'mentioned_in' as relationship, 0.6::double as weight from k union all select 'anna-keller-takes-plan-' || k, parent, 'belongs_to', 0.8 from k
-union all select 'anna-keller-takes-plan-' || k, 'anna-keller', 'authored_by', 0.6 from k union all select 'anna-keller', parent, 'belongs_to', 0.7 from k union all select 'boris-novak', parent, 'belongs_to', 0.5 from k""")
+select 'anna-roe' as source_id, parent as target_id, 'mentioned_in' as relationship, 0.7::double as weight from k union all select 'annabel-takes-plan-' || k, parent, 'belongs_to', 0.8 from k
+union all select 'annabel-takes-plan-' || k, 'anna-roe', 'authored_by', 0.6 from k union all select 'anna-roe', parent, 'belongs_to', 0.7 from k union all select 'boris-novak', parent, 'belongs_to', 0.8 from k""")
 def vault_edges(spark, d):
-    """A note, a decision, an open and a done action in a file a customer."""
+    """Notes, a decision, open and done actions in a file a customer, a first name of two people, alone and inside words."""
     key = F.col("c_custkey").cast("string")
-    text = F.concat(F.lit("## 2024-01-02 Sync\n### Notes\n- Talked with Anna Keller\n### Decisions\n- Anna Keller takes plan "), key, F.lit("\n### Next steps\n- Anna Keller: call back\n- ✅ Boris: sent the draft"))
+    text = F.concat(F.lit("## 2024-01-02 Sync\n### Notes\n- Talked with Anna Keller\n- Savanna, Joanna, Hannah and Annalena\n### Decisions\n- Annabel takes plan "), key, F.lit("\n- short\n### Next steps\n- Anna: call back\n- ✅ Boris: sent the draft\n- Anna Keller: not a first name\n- Boris + Nobody: again"))
     c = P.read(spark, d, "customer")
-    people = spark.createDataFrame([("anna-keller", "Anna Keller"), ("boris-novak", "Boris Novak")], "id string, name string")
+    people = spark.createDataFrame([("anna-keller", "Anna Keller"), ("anna-roe", "Anna Roe"), ("boris-novak", "Boris Novak")], "id string, name string")
     sections = notes.parse_sections(c.select(key.alias("path"), text.alias("text")))
     out = notes.vault_edges(sections, c.select(key.alias("path"), F.concat(F.lit("customer-"), key).alias("parent_id")), people)
     return out.select("source_id", "target_id", "relationship", r6("weight").alias("weight"))

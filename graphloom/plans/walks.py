@@ -47,11 +47,11 @@ _BULLETS = ["Bo: ship it [x]", "✅ Ann Lee: call", "Ann + Bo: meet [X] now", "(
 
 
 @query(rf"""with b as (select o_orderkey as k, ({P._array(_BULLETS)})[(o_orderkey % {len(_BULLETS)} + 1)::int] || ' ' || o_orderkey as item from orders),
-c as (select k, regexp_matches(item, '(?i)^✅|^\(✅|\[x\]') as completed, regexp_replace(item, '(?i)^✅\s*|^\(✅\s*\)\s*|\[x\]\s*', '') as t from b),
-m as (select *, '^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*\+\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*:\s+(.+)' as two, '^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)\s*:\s+(.+)' as one from c)
-select k, completed, unnest([regexp_extract(t, '^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*\+\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*:\s+(.+)', 1), regexp_extract(t, '^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*\+\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*:\s+(.+)', 2)]) as person,
-  trim(regexp_extract(t, '^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*\+\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*:\s+(.+)', 3)) as action from m where regexp_matches(t, '^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*\+\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*:\s+(.+)')
-union all select k, completed, regexp_extract(t, '^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)\s*:\s+(.+)', 1), trim(regexp_extract(t, '^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)\s*:\s+(.+)', 2)) from m where regexp_matches(t, '^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)\s*:\s+(.+)')""")
+c as (select k, regexp_matches(item, '{V.DONE}') as completed, regexp_replace(item, '{V.DONE_MARK}', '') as t from b),
+m as (select *, '{V.ACTION_OF_TWO}' as two, '{V.ACTION}' as one from c)
+select k, completed, unnest([regexp_extract(t, '{V.ACTION_OF_TWO}', 1), regexp_extract(t, '{V.ACTION_OF_TWO}', 2)]) as person,
+  trim(regexp_extract(t, '{V.ACTION_OF_TWO}', 3)) as action from m where regexp_matches(t, '{V.ACTION_OF_TWO}')
+union all select k, completed, regexp_extract(t, '{V.ACTION}', 1), trim(regexp_extract(t, '{V.ACTION}', 2)) from m where regexp_matches(t, '{V.ACTION}')""")
 def vault_actions(spark, d):
     """A next-steps bullet an order."""
     k = F.col("o_orderkey")
@@ -149,9 +149,9 @@ _TALK = ["Met Ann today", "Bo Lee and Cy spoke", "nobody", "Anna is not Ann Lee"
 
 
 @query(f"""with {_PEOPLE}, n as (select 'person-' || (o_custkey % 25) as source_id, o_orderkey as path, ({P._array(_TALK)})[(o_orderkey % {len(_TALK)} + 1)::int] as t from orders),
-m as (select source_id, p.id as target_id, count(*) as n from n join people p on list_contains(regexp_extract_all(t, '[A-Za-z]+'), split_part(p.name, ' ', 1)) group by 1, 2)
+m as (select source_id, p.id as target_id, count(*) as n from n join people p on contains(t, split_part(p.name, ' ', 1)) group by 1, 2)
 select 'relates_to' as relationship, source_id, target_id, floor(least(1.0, 0.6 + 0.1 * (n - 1)) * 1e6 + 0.5) / 1e6 as weight from m where source_id != target_id
-union all select 'learned_from', p.id, 'area-' || (path % 3), floor(least(1.0, 0.5 + 0.1 * (count(*) - 1)) * 1e6 + 0.5) / 1e6 from n join people p on list_contains(regexp_extract_all(t, '[A-Za-z]+'), split_part(p.name, ' ', 1)) group by p.id, path % 3""")
+union all select 'learned_from', p.id, 'area-' || (path % 3), floor(least(1.0, 0.5 + 0.1 * (count(*) - 1)) * 1e6 + 0.5) / 1e6 from n join people p on contains(t, split_part(p.name, ' ', 1)) group by p.id, path % 3""")
 def people_and_areas(spark, d):
     """Who is named in whose notes, and in which area's files."""
     k = F.col("o_orderkey")

@@ -9,13 +9,16 @@ from graphloom.sources.shared import settle
 
 
 def sift(rows: DataFrame, keys: DataFrame, key: Column, count: int) -> DataFrame:
-    """rows whose key may be among keys (of the same columns), by a broadcast bit set of 16 bits a key, 16 MB at most; with more keys than 8 million the more pass."""
-    bits = min(27, max(10, (16 * count).bit_length()))
-    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    slots = keys.select(slot.alias("_slot"))
-    marks = slots.groupBy(F.expr("cast(_slot div 64 as int)").alias("_at")).agg(F.expr("bit_or(shiftleft(1L, cast(_slot % 64 as int)))").alias("_bits"))
-    marked = rows.withColumn("_slot", slot).join(F.broadcast(marks), F.expr("cast(_slot div 64 as int)") == F.col("_at"))
-    return marked.filter(F.getbit("_bits", F.pmod("_slot", F.lit(64)).cast("int")) == 1).drop("_slot", "_at", "_bits")
+    """rows whose key may be among keys (of the same columns), by a broadcast bit set of 8 to 16 bits a key, 16 MB at most; with more keys than 16 million the more pass.
+
+    The bits lie in rows of 4096."""
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << min(27, max(12, (8 * count).bit_length()))))
+    words = keys.select(slot.alias("_slot")).groupBy(F.expr("_slot div 64").alias("_at")).agg(F.expr("bit_or(shiftleft(1L, cast(_slot % 64 as int)))").alias("_bits"))
+    listed = words.groupBy(F.expr("_at div 64").alias("_block")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("cast(_at % 64 as int)"), "_bits"))).alias("_words"))
+    marks = listed.select("_block", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("_words", i), F.lit(0).cast("long"))).alias("_words"))
+    marked = rows.withColumn("_slot", slot).join(F.broadcast(marks), F.expr("_slot div 4096") == F.col("_block"))
+    word = F.get("_words", F.expr("cast(_slot div 64 % 64 as int)"))
+    return marked.filter(F.getbit(word, F.expr("cast(_slot % 64 as int)")) == 1).drop("_slot", "_block", "_words")
 
 
 def grams(text: Column, q: int) -> Column:

@@ -78,16 +78,33 @@ def log_entries(spark, d):
     return logs.to_log_entries(e).select("seq", "date", "heading", "content", "entry_type")
 
 
-@query("select substr(ts, 1, 10) as date, count(*) as n from log where agent = 'agent-2' and type = 'error' and substr(ts, 1, 10) >= '2024-01-10' group by 1")
+_ORDER = "case agent when 'agent-1' then 1 when 'agent-3' then 2 else 3 end"
+
+
+@query(f"select agent, ts, detail from (select agent, ts, 'no ' || seq as detail, row_number() over (partition by agent in ('agent-1', 'agent-2') order by {_ORDER} desc, seq desc) as a from log where type in ('error', 'decision') and substr(ts, 1, 10) >= '2024-01-10' and agent in ('agent-1', 'agent-2')) where a <= 40")
 def read_log(spark, d):
-    """Entries of an agent and type from a day on, written as JSON lines and read again, by day."""
+    """The last entries of two agents and types from a day on, out of a log appended to three times: one agent, another, then all others, the largest file."""
     from graphloom.sources.shared import folder
 
-    e = P.log(spark, d).select("ts", "agent", "type", F.col("content").alias("summary"), F.lit("").alias("detail"))
+    e = P.log(spark, d).select("seq", "ts", "agent", "type", F.col("content").alias("summary"), F.concat(F.lit("no "), F.col("seq").cast("string")).alias("detail"))
     path = folder(spark)
-    logs.append_entries(e, path)
+    for part in ("agent = 'agent-1'", "agent = 'agent-3'", "agent not in ('agent-1', 'agent-3')"):
+        logs.append_entries(e.filter(part).orderBy("seq").drop("seq"), path)
     rows, _ = logs.read_jsonl(spark, path)
-    return logs.select_entries(rows, agent="agent-2", kind="error", since_date="2024-01-10").groupBy(F.substring("ts", 1, 10).alias("date")).agg(F.count("*").alias("n"))
+    return logs.select_entries(rows.filter("agent in ('agent-1', 'agent-2') and type in ('error', 'decision')"), since_date="2024-01-10", last=40).select("agent", "ts", "detail")
+
+
+@query("select agent, ts, detail from (select agent, ts, 'no ' || seq as detail from log where agent = 'agent-1' order by seq desc limit 25)")
+def read_log_last(spark, d):
+    """The last entries of an agent whose log was cut into appends of falling size: the newest is the smallest."""
+    from graphloom.sources.shared import folder
+
+    e = P.log(spark, d).filter("agent = 'agent-1'").select("seq", "ts", "agent", "type", F.col("content").alias("summary"), F.concat(F.lit("no "), F.col("seq").cast("string")).alias("detail"))
+    path = folder(spark)
+    most = e.agg(F.max("seq")).first()[0]
+    for low, high in ((0.0, 0.7), (0.7, 0.95), (0.95, 1.0)):
+        logs.append_entries(e.filter((F.col("seq") > low * most - (low == 0)) & (F.col("seq") <= high * most)).orderBy("seq").drop("seq"), path)
+    return logs.select_entries(logs.read_jsonl(spark, path)[0], last=25).select("agent", "ts", "detail")
 
 
 @query("select id, floor(salience * 1e6 + 0.5) / 1e6 as salience from (select *, case when type = 'pattern' then 'src/' || name || '.cs' end as file_path from nodes) where lower(type) = 'pattern' and contains(lower(file_path), 'red') and salience >= 0.2")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,22 +13,45 @@ from graphloom.functions.signals import entry_class, full_text, salience
 ENTRY = "ts string, agent string, type string, summary string, detail string, sessionId string, session_id string, tags array<string>, context string, _bad string"
 
 
-def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, quarantine) of JSON lines; entries have seq for their order in a file. Bad lines, and those without ts, are quarantined."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line")).filter(F.trim("line") != "")
-    parsed = lines.withColumn("e", F.from_json("line", ENTRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    good = F.col("e._bad").isNull() & F.col("e.ts").isNotNull()
+def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, quarantine) of lines (line and other columns, which stay): what isn't JSON, or lacks ts, is quarantined as it stands. For streams and tables alike."""
+    parsed = lines.filter(F.trim("line") != "").withColumn("e", F.from_json("line", ENTRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    good = F.coalesce(F.col("e._bad").isNull() & F.col("e.ts").isNotNull(), F.lit(False))
+    others = [c for c in lines.columns if c != "line"]
     rows = parsed.filter(good).select(
-        "file", "seq", "e.ts", "e.agent", "e.type", "e.summary", "e.detail", F.coalesce("e.sessionId", "e.session_id").alias("session_id"), F.coalesce("e.tags", F.array().cast("array<string>")).alias("tags"), "e.context")
-    return rows, parsed.filter(~F.coalesce(good, F.lit(False))).select("file", "seq", "line")
+        *others, "e.ts", "e.agent", "e.type", "e.summary", "e.detail", F.coalesce("e.sessionId", "e.session_id").alias("session_id"), F.coalesce("e.tags", F.array().cast("array<string>")).alias("tags"), "e.context")
+    return rows, parsed.filter(~good).select(*others, "line")
 
 
-def append_entries(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").json(path)
+def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, quarantine) of JSON lines below path. Entries have seq, a number of their own, and written, which orders them as they were written: by the number of their append, else by their file's time; then by file, and by place in it."""
+    commit = F.coalesce(F.try_to_number(F.regexp_extract("_metadata.file_path", r"/commit-(\d{12})/[^/]*$", 1), F.lit("999999999999")).cast("long"), F.lit(0))
+    place = F.struct(commit.alias("commit"), F.when(commit == 0, F.col("_metadata.file_modification_time")).alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    return parse_lines(lines.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("seq"), place.alias("written"), F.col("value").alias("line")))
+
+
+def append_entries(entries: DataFrame, path: str) -> int:
+    """Write entries, in their order, as the next append below path, and give its number. Two writers of one number collide on its folder, and the later one takes the next."""
+    spark = entries.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(top)
+    numbers = [int(n[7:]) for n in (s.getPath().getName() for s in fs.listStatus(top)) if re.fullmatch(r"commit-\d{12}", n)]
+    number = max(numbers, default=0) + 1
+    while True:
+        try:
+            entries.write.mode("errorifexists").json(f"{path.rstrip('/')}/commit-{number:012d}")
+            return number
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            number += 1
 
 
 def select_entries(entries: DataFrame, *, agent: str | None = None, since_date: str | None = None, after: str | None = None, kind: str | None = None, last: int | None = None) -> DataFrame:
-    """Entries of an agent from a date on, strictly after a timestamp, of a type; of these the last ones written, by seq."""
+    """Entries of an agent from a date on, strictly after a timestamp, of a type; of these the last ones written (by written where entries have it, else by seq)."""
     out = entries
     if agent is not None:
         out = out.filter(F.col("agent") == agent)
@@ -35,7 +61,7 @@ def select_entries(entries: DataFrame, *, agent: str | None = None, since_date:
         out = out.filter(F.col("ts") > after)
     if kind is not None:
         out = out.filter(F.col("type") == kind)
-    return out if last is None else out.orderBy(F.desc("seq")).limit(last)
+    return out if last is None else out.orderBy(F.desc("written" if "written" in out.columns else "seq")).limit(last)
 
 
 def entry_content() -> Column:

@@ -26,12 +26,44 @@ def test_snapshots_and_stream(spark, tmp_path):
     context = json.dumps({"entities": [{"name": "Alpha"}, {"name": "Beta"}], "relationships": [{"source": "Alpha", "target": "Beta"}]})
     (src / "1.jsonl").write_text(json.dumps({"ts": "2024-01-01", "agent": "x", "type": "finding", "summary": "s", "context": context}) + "\nbad\n")
     now = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
-    for want in (0.5, 0.5):
-        replay.start(spark, str(src), root, f"file://{tmp_path}/check", as_of=now).awaitTermination()
+    for new in (1, 0):
+        replay.start(spark, str(src), root, f"file://{tmp_path}/check").awaitTermination()
+        assert replay.fold(spark, root, now) == new
         g = store.load(spark, root)
-        assert {r["id"]: r["salience"] for r in g.nodes.collect()} == {"alpha": want, "beta": want} and g.edges.count() == 1
+        assert {r["id"]: r["salience"] for r in g.nodes.collect()} == {"alpha": 0.5, "beta": 0.5} and g.edges.count() == 1
+    assert [(r["source"], r["text"]) for r in replay.quarantined(spark, root).collect()] == [("log", "bad")]
     (src / "2.jsonl").write_text(json.dumps({"ts": "2024-01-02", "agent": "x", "type": "finding", "summary": "s", "context": context}) + "\n")
-    replay.start(spark, str(src), root, f"file://{tmp_path}/check", as_of=now).awaitTermination()
+    (src / "commit-000000000001").mkdir()
+    (src / "commit-000000000001" / "part.json").write_text(json.dumps({"ts": "2024-01-03", "agent": "x", "type": "finding", "context": "not { json"}) + '\n{"no": "time"}\n')
+    replay.start(spark, str(src), root, f"file://{tmp_path}/check").awaitTermination()
+    assert replay.fold(spark, root, now) == 1
     assert {round(r["salience"], 6) for r in store.load(spark, root).nodes.collect()} == {0.6}
+    assert sorted((r["source"], r["text"]) for r in replay.quarantined(spark, root).collect()) == [("extraction", "not { json"), ("log", "bad"), ("log", '{"no": "time"}')]
     assert store.retain(spark, root, 1) == [1] and store.versions(spark, root) == [2]
     assert store.load(spark, f"file://{tmp_path}/none").nodes.count() == 0 and isinstance(g, Graph)
+
+
+def test_a_batch_given_again_counts_once(spark, tmp_path):
+    """The folders of a batch are written anew, and a version knows which batches it holds."""
+    root, src = f"file://{tmp_path}/graph", tmp_path / "logs"
+    src.mkdir()
+    (src / "1.jsonl").write_text(json.dumps({"ts": "2024-01-01", "agent": "x", "type": "finding", "context": json.dumps({"entities": [{"name": "Alpha"}]})}) + "\n")
+    now = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
+    for check in ("one", "two"):  # a checkpoint that is lost: the first batch comes again
+        replay.start(spark, str(src), root, f"file://{tmp_path}/{check}").awaitTermination()
+    assert replay.fold(spark, root, now) == 1 and replay.fold(spark, root, now) == 0
+    assert [(r["id"], r["salience"]) for r in store.load(spark, root).nodes.collect()] == [("alpha", 0.5)]
+
+
+def test_last_written_entries(spark, tmp_path):
+    path = str(tmp_path / "log")
+    entry = lambda i, size: (f"2024-01-0{i % 9 + 1}", "x", "finding", "s" * size, str(i))
+    numbers = []
+    for k, (first, n, size) in enumerate(((0, 3, 5), (3, 40, 1), (43, 5, 400)), 1):
+        rows = spark.createDataFrame([entry(i, size) for i in range(first, first + n)], "ts string, agent string, type string, summary string, detail string").coalesce(1)
+        assert logs.append_entries(rows, path) == k
+        numbers.append(first + n)
+    good, bad = logs.read_jsonl(spark, path)
+    for last in (1, 4, 7, 48):
+        assert [r["detail"] for r in logs.select_entries(good, last=last).orderBy(F.desc("written")).collect()] == [str(i) for i in range(47, 47 - last, -1)]
+    assert bad.count() == 0

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, row_bits, row_key, ship, slices, table, text_bytes
+from graphloom.functions.occurrences import sift
+from graphloom.llm.common import discard, materialize, row_key, ship, slices, table, text_bytes
 from graphloom.llm.components import join_hot
 from graphloom.llm.shingles import _BYTE, _power_tables, mix
 
@@ -136,20 +137,14 @@ def anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.filter(F.octet_length("text") >= length).mapInArrow(run, "rid long, i int, place int, id long")
 
 
-def sift(rows: DataFrame, keys: DataFrame, key: Column, count: int) -> DataFrame:
-    """rows whose key may be among keys (of the same columns), by a broadcast bit set of 16 bits a key, 16 MB at most; with more keys than 8 million the more pass."""
-    bits = min(27, max(10, (16 * count).bit_length()))
-    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    marks = row_bits(keys, slot).select(F.col("at").alias("_at"), F.col("bits").alias("_bits"))
-    marked = rows.withColumn("_slot", slot).join(F.broadcast(marks), F.expr("cast(_slot div 64 as int)") == F.col("_at"))
-    return marked.filter(F.getbit("_bits", F.pmod("_slot", F.lit(64)).cast("int")) == 1).drop("_slot", "_at", "_bits")
-
-
 def twice(rows: DataFrame, name: str) -> DataFrame:
     """The written rows whose id occurs twice at least, written; one id may have any share of the rows."""
     counts = materialize(rows.groupBy("id").count().filter("count > 1"), f"{name}ids")
     met = sift(rows, counts, F.col("id"), counts.count())
-    return materialize(join_hot(met, counts, "id", "count", rows.count()).drop("count"), name)
+    out = materialize(join_hot(met, counts, "id", "count", rows.count()).drop("count"), name)
+    discard(rows)
+    discard(counts)
+    return out
 
 
 def refined(rows: DataFrame, step: int) -> DataFrame:
@@ -226,14 +221,18 @@ def remove(held: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_starts(keyed: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """The texts (rid, text) that may hold repeated strings, and rid, low, high: where such strings of `length` bytes start."""
+    """The texts (rid, text and more) that may hold repeated strings, and rid, cuts (array of low, high): where such strings of `length` bytes start; both written."""
     rows = materialize(anchor_rows(keyed, length), "anchors")
     rows = twice(rows, "shared")
     for step in (1, 2):  # to pairs, to runs of four
-        rows = twice(materialize(refined(rows, step), "runs"), "shared")
+        longer = materialize(refined(rows, step), "runs")
+        discard(rows)
+        rows = twice(longer, "shared")
     by_text = materialize(rows.groupBy("rid").agg(F.collect_list(F.struct("i", "id")).alias("runs")), "bytext")
+    discard(rows)
     texts = by_text.select("rid")
     held = materialize(sift(keyed, texts, F.col("rid"), by_text.count()).join(by_text, "rid"), "held")
+    discard(by_text)
     contexts = materialize(context_rows(held, length), "contexts")
     kinds = materialize(contexts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rid", "low", "high", "run")).alias("one")), "kinds")
     many = kinds.filter("n > 1").select("key", "n")
@@ -247,15 +246,17 @@ def repeated_starts(keyed: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     again = materialize(starts.groupBy("run", "hash").count().filter("count > 1"), "again")
     met = sift(starts.filter("alone"), again, F.struct("run", "hash"), again.count())
     found = join_hot(met, again, ["run", "hash"], "count", starts.count()).select("rid", F.col("start").alias("low"), F.col("start").alias("high"))
-    return held.select("rid", "text"), sure.unionByName(found)
+    places = materialize(sure.unionByName(found).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("cuts")), "cuts")  # fewer than a text has bytes
+    for used in (contexts, kinds, buckets, starts, again):
+        discard(used)
+    return held, places
 
 
-def removals(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """docs as rid, doc_id, text; and rid, n_removed, n_spans, kept of the texts that lose bytes."""
+def removals(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs as rid, doc_id, text; rid, n_removed, n_spans, kept of the texts that lose bytes; and the written table that this is read from."""
     keyed = docs.select(row_key().alias("rid"), "doc_id", "text")
-    held, starts = repeated_starts(keyed.select("rid", "text"), length)
-    cuts = starts.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))  # fewer than a text has bytes
-    return keyed, remove(held.join(cuts, "rid"), length)
+    held, cuts = repeated_starts(keyed.select("rid", "text"), length)
+    return keyed, remove(held.select("rid", "text").join(cuts, "rid"), length), held
 
 
 def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -267,7 +268,7 @@ def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     their own, so a row of `length` bytes that occurs twice loses all its bytes in both.
     Rows without a doc_id are texts like others. An empty table gives no rows. Other
     columns are not read. docs must be a scan of files, as row_key asks."""
-    keyed, gone = removals(docs, length)
+    keyed, gone, _ = removals(docs, length)
     return _counted(keyed, gone).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
 
@@ -277,8 +278,10 @@ def _counted(keyed: DataFrame, gone: DataFrame, *more: Column) -> DataFrame:
 
 
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed, gone = removals(table(spark, sf_dir, "documents"), 400)
-    rows = _counted(keyed, gone.withColumn("less", F.sha2("kept", 256)).drop("kept"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("whole"))
+    keyed, gone, held = removals(table(spark, sf_dir, "documents"), 400)
+    less = materialize(gone.select("rid", "n_removed", "n_spans", F.sha2("kept", 256).alias("less")), "less")
+    discard(held)
+    rows = _counted(keyed, less, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("whole"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("less", "whole").alias("kept_sha256"))
 
 

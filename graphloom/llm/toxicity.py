@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from graphloom.llm.common import labelled, logistic_fit, lone, materialize, remainder, ship, sigmoid, table, text_bytes
 
 #: Letters of other scripts that look like Latin ones, and digits and signs written for letters.
-LOOKALIKE = dict(zip("абвеіјкмнорстухѕԁցһαβεικνορτυχωϲ013457@$", "abbeijkmhopctyxsdghabeiknoptuxwcoleastas", strict=True)) | {"ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ß", "æ": "ae", "œ": "oe"}
+LOOKALIKE = dict(zip("абвеіјкмнорстухѕԁցһαβεικνορτυχωϲ013457@$|", "abbeijkmhopctyxsdghabeiknoptuxwcoleastasl", strict=True)) | {"ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ß", "æ": "ae", "œ": "oe"}
 DROPPED = "​‌‍⁠﻿­"
 #: Stems taken as candidates: word beginnings of these lengths.
 STEMS = range(4, 8)
@@ -43,7 +43,7 @@ class Folding(dict):
         else:
             base = unicodedata.normalize("NFKD", c).casefold()
             base = "".join(x for x in base if not unicodedata.combining(x))
-            base = "".join(LOOKALIKE.get(x, x) for x in base)
+            base = "".join(LOOKALIKE.get(x, x) for x in base).replace("i", "l")  # '1' and '|' are written for both
             out = base if base and all(x.isalpha() for x in base) else (None if unicodedata.combining(c) else " ")
         self[code] = out
         return out
@@ -54,18 +54,13 @@ ASCII_FOLD = bytes(ord(FOLD[i]) for i in range(128)) + bytes(range(128, 256))
 
 
 def fold(data: bytes) -> str:
-    """The folded text: words of letters, a space before, between and after them; '1' may be i or l, and reads as l."""
+    """The folded text: words of letters, a space before, between and after them; i, l, 1 and | are one letter, written l."""
     text = data.translate(ASCII_FOLD).decode() if data.isascii() else data.decode().translate(FOLD)
     return f" {' '.join(text.split())} "
 
 
-def variants(word: str) -> set[str]:
-    """A lexicon word as folding leaves it: i and l, which '1' and '|' stand for, are one letter."""
-    return {word, word.replace("i", "l")}
-
-
 class Lexicon:
-    """entries: (pattern, weight), patterns with a space before, and one after where a whole word is meant. exceptions: phrases with spaces around."""
+    """entries: (pattern, weight), patterns with a space before, and one after where a whole word is meant. exceptions: phrases with spaces around. Both are folded as texts are, sign by sign."""
 
     def __init__(self, entries: list[tuple[str, float]], exceptions: list[str] = (), calibration: tuple[float, ...] = (0.0, 1.0, 0.0)):
         self.entries, self.exceptions, self.calibration = entries, list(exceptions), calibration
@@ -79,11 +74,12 @@ class Lexicon:
         if self._automaton is None:
             a = ahocorasick.Automaton()
             for pattern, weight in self.entries:
-                for v in variants(pattern):
-                    if a.get(v, (0, 0.0))[1] < weight:
-                        a.add_word(v, (len(v), weight))
+                v = pattern.translate(FOLD)
+                if a.get(v, (0, 0.0))[1] < weight:
+                    a.add_word(v, (len(v), weight))
             for phrase in self.exceptions:
-                a.add_word(phrase, (len(phrase), 0.0))
+                v = phrase.translate(FOLD)
+                a.add_word(v, (len(v), 0.0))
             a.make_automaton()
             self._automaton = a
         return self._automaton

@@ -136,16 +136,27 @@ def test_lexicon_equals_naive_search():
     spared = [" abc b ", " b b ", " ii a "]
     lex = toxicity.Lexicon(entries, spared)
     for _ in range(300):
-        text = toxicity.fold(" ".join("".join(rng.choice("abci") for _ in range(rng.randint(1, 4))) for _ in range(12)).encode())
-        want = {}
-        for p, w in {(v, w) for p, w in entries for v in (p, p.replace("i", "l"))}:
+        raw = " ".join("".join(rng.choice("abcil1|") for _ in range(rng.randint(1, 4))) for _ in range(12))
+        alike = lambda a, b: a == b or {a, b} <= set("il1|")
+        stands = lambda p, at: at + len(p) <= len(text) and all(map(alike, p, text[at:]))
+        text, want = f" {raw} ", {}
+        for p, w in entries:
             for at in range(len(text)):
-                if text.startswith(p, at):
+                if stands(p, at):
                     want[at] = max(w, want.get(at, 0))
         for at in list(want):
-            if any(text.startswith(s, a) and a <= at < a + len(s) - 1 for s in spared for a in range(len(text))):
+            if any(stands(s, a) and a <= at < a + len(s) - 1 for s in spared for a in range(len(text))):
                 del want[at]
-        assert lex.hits(text) == want
+        assert lex.hits(toxicity.fold(raw.encode())) == want
+
+
+def test_every_mix_of_signs_for_a_word():
+    signs = {"i": "iIl1|Іιí", "d": "dD", "o": "oO0οо", "t": "tT7т", "a": "aA4@а", "s": "s5$S", "e": "e3е", "l": "lL1|iI"}
+    lex = toxicity.Lexicon([(" idiot", 1.0), (" silly ", 2.0), (" b1lge ", 3.0)])
+    for word, weight in (("idiot", 1.0), ("silly", 2.0)):
+        for mix in itertools.product(*(signs.get(c, c) for c in word)):
+            assert lex.hits(toxicity.fold(f"you {''.join(mix)} there".encode())) == {4: weight}, mix
+    assert lex.hits(toxicity.fold(b"bilge")) == {0: 3.0} and lex.hits(toxicity.fold(b"odious stall bulge")) == {}
 
 
 def test_forward_backward_equals_enumeration():

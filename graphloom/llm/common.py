@@ -10,7 +10,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
+import pickle
 import re
 import shutil
 import tempfile
@@ -182,6 +184,28 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_
     return rows.groupBy("doc_id").agg(F.min_by(value, F.xxhash64(value)).alias(value), F.min("label").alias("label")).select(value, "label")
 
 
+def tree_total(parts: DataFrame, add: Callable[[object, object], object], width: int = 16) -> object | None:
+    """The sum of parts (i: the number of the task, got: a pickled value), in the order of i; None where there is none.
+
+    Values meet in groups of `width` numbers until at most `width` are left, which come
+    to the driver: what it and a task hold doesn't grow with the tasks."""
+
+    def total(rows) -> tuple[int, object]:
+        rows = sorted(rows)
+        return rows[0][0] // width, functools.reduce(add, (pickle.loads(got) for _, got in rows))
+
+    def run(group: pa.Table) -> pa.Table:
+        i, got = total(zip(group["i"].to_pylist(), group["got"].to_pylist(), strict=True))
+        return pa.table({"i": [i], "got": [pickle.dumps(got)]}, schema=pa.schema([("i", pa.int64()), ("got", pa.binary())]))
+
+    n = parts.rdd.getNumPartitions()
+    while n > width:
+        parts = parts.groupBy(F.expr(f"i div {width}").alias("_group")).applyInArrow(run, "i long, got binary")
+        n = -(-n // width)
+    found = [(r["i"], r["got"]) for r in parts.collect()]
+    return total(found)[1] if found else None
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 

@@ -10,21 +10,27 @@ of its words.
 
 from __future__ import annotations
 
+import operator
+import pickle
 import uuid
-from collections import Counter
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import bounded_sample, discard, give_back, lone, materialize, remainder, ship, slices, table, text_bytes
+from graphloom.llm.common import bounded_sample, discard, give_back, lone, materialize, remainder, ship, slices, table, text_bytes, tree_total
 
 BITS = 15
 NGRAMS, AFFIXES = (1, 2, 3, 4), (2, 3, 4)
 UNKNOWN = "und"
+#: Words of a text that are learned from together, and files whose numbers a worker keeps between steps.
+PART, HELD = 256, 4
 #: ASCII letters in lower case; all other ASCII bytes part words; bytes beyond ASCII are of words.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -133,35 +139,73 @@ class Field:
             out += self.weights[whole[:, i]]
         return out
 
-    def fit(self, texts: Iterable[list[bytes]], gold: list[int], rounds: int = 40, rate: float = 0.15, ridge: float = 1e-5, most: int = 256) -> None:
-        """Full-batch steps (Adam) on the labels' log likelihood; the label of a text is that of its words. Long texts are learned from in parts of at most `most` words.
+    def fit(self, texts: Iterable[list[bytes]], gold: list[int], rounds: int = 40, most: int = PART) -> None:
+        """Learn from texts at hand; the label of a text is that of its words. Long texts are learned from in parts of at most `most` words."""
+        share = Share(((t[a : a + most], y) for t, y in zip(texts, gold, strict=True) for a in range(0, len(t), most)), self.features, len(self.labels))
+        self.learn(lambda: share.slopes(self), rounds)
 
-        Texts are gone over once and held as numbers of words. What a step needs is made for CHUNK places or PIECE words at a time."""
+    def learn(self, total: Callable[[], Slopes | None], rounds: int = 40, rate: float = 0.15, ridge: float = 1e-5) -> None:
+        """Full-batch steps (Adam) on the labels' log likelihood. total gives the slopes of all parts at what is learned so far."""
+        learned = [self.weights, self.steps, self.first]
+        m, v = [np.zeros_like(p) for p in learned], [np.zeros_like(p) for p in learned]
+        for r in range(1, rounds + 1):
+            got = total()
+            if got is None:
+                return
+            at = got.rows
+            slopes = ((at, got.slope / got.words - ridge * self.weights[at]), (slice(None), got.pairs / got.words), (slice(None), got.first / got.parts))
+            for i, (p, (where, g)) in enumerate(zip(learned, slopes, strict=True)):  # weights of features that are never met stay 0
+                m[i][where] += 0.1 * (g - m[i][where])
+                v[i][where] += 0.01 * (g * g - v[i][where])
+                p[where] += (rate * (m[i][where] / (1 - 0.9**r)) / (np.sqrt(v[i][where] / (1 - 0.99**r)) + 1e-8)).astype(np.float32)
+
+
+@dataclass
+class Slopes:
+    """Sums over parts of texts: the slope of the log likelihood by weights (of the feature rows that are met, ascending), transitions and first labels; words and parts."""
+
+    rows: np.ndarray
+    slope: np.ndarray
+    pairs: np.ndarray
+    first: np.ndarray
+    words: int
+    parts: int
+
+    def __add__(self, other: Slopes) -> Slopes:
+        rows = np.union1d(self.rows, other.rows)
+        slope = np.zeros((len(rows), self.slope.shape[1]))
+        for x in (self, other):
+            slope[np.searchsorted(rows, x.rows)] += x.slope
+        return Slopes(rows, slope, self.pairs + other.pairs, self.first + other.first, self.words + other.words, self.parts + other.parts)
+
+
+class Share:
+    """Some parts of texts, each a list of words and a label, held as numbers of words."""
+
+    def __init__(self, texts: Iterable[tuple[list[bytes], int]], features: Features, k: int):
         index: dict[bytes, int] = {}
-        parts = []
-        for t, y in zip(texts, gold, strict=True):
-            numbers = np.fromiter((index.setdefault(w, len(index)) for w in t), np.int32, len(t))
-            parts += [(numbers[a : a + most], y) for a in range(0, len(t), most)]
-        distinct, k = list(index), len(self.labels)
+        parts = [(np.fromiter((index.setdefault(w, len(index)) for w in t), np.int32, len(t)), y) for t, y in texts if t]
+        self.distinct, self.k = len(index), k
+        distinct = list(index)
         del index
         parts.sort(key=lambda p: -len(p[0]))
-        lengths, gold_of = np.array([len(p) for p, _ in parts]), np.array([y for _, y in parts])
-        chunks = []
-        for a, b in slices(parts, lengths.tolist(), self.CHUNK):
+        lengths, gold_of = np.array([len(p) for p, _ in parts], np.int64), np.array([y for _, y in parts], np.int64)
+        self.chunks = []
+        for a, b in slices(parts, lengths.tolist(), Field.CHUNK):
             chains = Chains(lengths[a:b])
             ids = np.concatenate([p for p, _ in parts[a:b]])[chains.source]
-            chunks.append((chains, ids, np.repeat(gold_of[a:b].astype(np.int16), lengths[a:b])[chains.source], b - a))
+            self.chunks.append((chains, ids, np.repeat(gold_of[a:b].astype(np.int16), lengths[a:b])[chains.source], b - a))
             del chains.lane, chains.source
         del parts
-        pieces = [self.features.of(distinct[a : a + self.PIECE]) for a in range(0, len(distinct), self.PIECE)]
-        rows, met = [], []
-        # the words of each feature that is met, kind by kind, as kinds share no feature; weights of others stay 0
+        self.pieces = [features.of(distinct[a : a + Field.PIECE]) for a in range(0, len(distinct), Field.PIECE)]
+        rows, self.met = [], []
+        # the words of each feature that is met, kind by kind, as kinds share no feature and follow each other
         for kind in range(len(NGRAMS) + 2 * len(AFFIXES) + 1):
             by_place = kind < len(NGRAMS)
-            feature = np.concatenate([grams[:, kind] if by_place else whole[:, kind - len(NGRAMS)] for grams, _, whole in pieces])
+            feature = np.concatenate([grams[:, kind] if by_place else whole[:, kind - len(NGRAMS)] for grams, _, whole in self.pieces])
             word = np.arange(len(distinct), dtype=np.int32)
             if by_place:
-                word = np.repeat(word, np.concatenate([np.diff(np.append(begins, len(grams))) for grams, begins, _ in pieces]))
+                word = np.repeat(word, np.concatenate([np.diff(np.append(begins, len(grams))) for grams, begins, _ in self.pieces]))
             order = np.argsort(feature, kind="stable")
             feature, word = feature[order], word[order]
             skip = int(np.searchsorted(feature, 1))
@@ -169,37 +213,30 @@ class Field:
             if len(feature):
                 cuts = np.flatnonzero(np.append(True, np.diff(feature) > 0))
                 rows.append(feature[cuts])
-                met.append((word, cuts))
-        del feature, word, order
-        rows = np.concatenate(rows)
+                self.met.append((word, cuts))
+        self.rows = np.concatenate(rows)
+        self.n_pairs = np.diag(np.bincount(gold_of, lengths - 1, k))
+        self.firsts = np.bincount(gold_of, minlength=k)
+        self.words, self.parts = int(lengths.sum()), len(lengths)
+
+    def slopes(self, field: Field) -> Slopes:
+        k = self.k
         held = np.eye(k, dtype=np.float32)
-        n_pairs = np.diag(np.bincount(gold_of, lengths - 1, k))
-        firsts = np.bincount(gold_of, minlength=k)
-        n_words, n_parts = int(lengths.sum()), len(lengths)
-        learned = [np.zeros((len(rows), k), np.float32), self.steps, self.first]
-        m, v = [np.zeros_like(p) for p in learned], [np.zeros_like(p) for p in learned]
-        for r in range(1, rounds + 1):
-            known = np.concatenate([self.scores(*p) for p in pieces])
-            known = np.exp(known - known.max(1, keepdims=True))
-            step, first = np.exp(self.steps), np.exp(self.first)
-            lack, pairs, began = np.zeros((k, len(distinct))), np.zeros((k, k)), np.zeros(k)
-            for chains, ids, labels, n in chunks:
-                got, more = chains.posterior(known[ids], step, first)
-                pairs += more
-                began += got[:n].sum(0)
-                np.subtract(held[labels], got, out=got)
-                for j in range(k):
-                    lack[j] += np.bincount(ids, got[:, j], len(distinct))
-            slope = np.empty(learned[0].shape, np.float32)
+        known = np.concatenate([field.scores(*p) for p in self.pieces])
+        known = np.exp(known - known.max(1, keepdims=True))
+        step, first = np.exp(field.steps), np.exp(field.first)
+        lack, pairs, began = np.zeros((k, self.distinct)), np.zeros((k, k)), np.zeros(k)
+        for chains, ids, labels, n in self.chunks:
+            got, more = chains.posterior(known[ids], step, first)
+            pairs += more
+            began += got[:n].sum(0)
+            np.subtract(held[labels], got, out=got)
             for j in range(k):
-                slope[:, j] = np.concatenate([np.add.reduceat(lack[j][word], cuts) for word, cuts in met]) / n_words
-            slope -= ridge * learned[0]
-            slopes = (slope, (n_pairs - pairs) / n_words, (firsts - began) / n_parts)
-            for i, (p, g) in enumerate(zip(learned, slopes, strict=True)):
-                m[i] += 0.1 * (g - m[i])
-                v[i] += 0.01 * (g * g - v[i])
-                p += (rate * (m[i] / (1 - 0.9**r)) / (np.sqrt(v[i] / (1 - 0.99**r)) + 1e-8)).astype(np.float32)
-            self.weights[rows] = learned[0]
+                lack[j] += np.bincount(ids, got[:, j], self.distinct)
+        slope = np.empty((len(self.rows), k), np.float32)
+        for j in range(k):
+            slope[:, j] = np.concatenate([np.add.reduceat(lack[j][word], cuts) for word, cuts in self.met])
+        return Slopes(self.rows, slope, self.n_pairs - pairs, self.firsts - began, self.words, self.parts)
 
 
 class Labeller:
@@ -238,40 +275,86 @@ class Labeller:
         return out, score
 
 
-def learn_field(docs: DataFrame, bound: int = 2000, modulus: int = 4, held_out: int = 2, lexicon_size: int = 4000, most_bytes: int = 1 << 26) -> Field:
+def text_parts(docs: DataFrame, each: int = PART) -> DataFrame:
+    """lang, words: texts of docs (lang, text) in parts of at most `each` words, which spaces part; none for a text without a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                words = words_of(text)
+                if words:
+                    parts = [b" ".join(words[a : a + each]) for a in range(0, len(words), each)]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts)), pa.array(parts, pa.binary())], names=["lang", "words"])
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, words binary")
+
+
+def learn_field(docs: DataFrame, bound: int = 2000, modulus: int = 4, held_out: int = 2, lexicon_size: int = 4000, part_bytes: int = 1 << 21) -> Field:
     """A field from at most bound documents with a lang, those held out by crc32(doc_id) left out.
 
-    The driver holds their texts, of at most most_bytes together: in the order of the
-    sample documents are taken that still fit. Of rows with one doc_id that of the
-    least hash counts."""
+    Their texts, however long, are written in parts of PART words, about part_bytes to
+    a file. Each step adds up the slopes of the files in tasks, which keep what they
+    made of a file for the next step; the driver holds the weights alone. Of rows
+    with one doc_id that of the least hash counts. Null texts, and those without a
+    letter, teach nothing; without any other there are no labels. With one language
+    every text with a letter has it."""
+    spark = docs.sparkSession
+    ship(spark)
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
     sample = bounded_sample(known.select("doc_id").dropDuplicates(), bound, "doc_id")
     one = known.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.xxhash64("lang", "text")).alias("r"))
-    one = materialize(one.select("doc_id", "r.lang", "r.text"), "langsample")
-    room, chosen = most_bytes, []
-    for r in one.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
-        if r["n"] <= room:
-            room -= r["n"]
-            chosen.append(r["doc_id"])
-    got = [(r["lang"], (r["text"] or "").encode()) for r in one.filter(F.col("doc_id").isin(chosen)).select("lang", "text").toLocalIterator()] if chosen else []
+    one = materialize(one.select("r.lang", "r.text"), "langsample")
+    size = one.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = materialize(text_parts(one).repartition(max(2, -(-size // part_bytes))), "langparts")
+    labels = [r["lang"] for r in parts.select("lang").distinct().orderBy("lang").collect()]
+    field = Field(labels, Features(_frequent(one, lexicon_size)))
     discard(one)
-    got.sort()
-    counts, known = Counter(), []
-    for lang, text in got:
-        words = set(words_of(text))
-        counts.update(words)
-        known += [(lang, text)] if words else []
-    del got
-    labels = sorted({lang for lang, _ in known})
-    lexicon = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:lexicon_size] if n > 2]
-    del counts
-    field = Field(labels, Features(lexicon))
-    if known:
-        field.fit((words_of(t) for _, t in known), [labels.index(lang) for lang, _ in known])
+    if labels:
+        field.learn(_slopes_of(parts, field))
+    discard(parts)
     give_back()
     return field
 
 
+def _frequent(docs: DataFrame, size: int) -> list[bytes]:
+    """The words of the most texts, of three at least, ties in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in text_bytes(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(set(words_of(text))), pa.binary())], names=["word"])
+
+    counts = docs.select("text").mapInArrow(run, "word binary").groupBy("word").agg(F.count("*").alias("n")).filter("n > 2")
+    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def _slopes_of(parts: DataFrame, field: Field) -> Callable[[], Slopes | None]:
+    spark = parts.sparkSession
+    features, labels, key = spark.sparkContext.broadcast(field.features), field.labels, uuid.uuid4().int
+
+    def total() -> Slopes | None:
+        now = spark.sparkContext.broadcast((field.weights, field.steps, field.first))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [r for batch in batches for r in zip(batch.column("words").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
+            if not rows:
+                return
+            shares, mark = lone(key, dict), (len(rows), zlib.crc32(b"\n".join(w for w, _ in rows)))
+            if mark not in shares:
+                if len(shares) >= HELD:
+                    shares.clear()
+                shares[mark] = Share(((w.split(b" "), labels.index(lang)) for w, lang in rows), features.value, len(labels))
+            at = Field.__new__(Field)
+            at.weights, at.steps, at.first = now.value
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pickle.dumps(shares[mark].slopes(at))], pa.binary())], names=["i", "got"])
+
+        out = tree_total(parts.mapInArrow(run, "i long, got binary"), operator.add)
+        now.unpersist()
+        return out
+
+    return total
+
+
 def identify(docs: DataFrame, field: Field, chunk_bytes: int = 1 << 21) -> DataFrame:
     """All columns of docs, then lang_pred and lang_score (mean probability of that label over the words).
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import discard, labelled, lone, materialize, remainder, ship, sigmoid, table, text_bytes
+from graphloom.llm.common import discard, labelled, lone, materialize, remainder, ship, sigmoid, table, text_bytes, tree_total
 
 #: Bytes counted as one kind each.
 KINDS = {
@@ -111,7 +111,7 @@ def add(one: tuple | None, two: tuple) -> tuple:
 
 
 def total_of(rows: DataFrame) -> Total:
-    """Of rows (x, label): a task sends one tuple."""
+    """Of rows (x, label): a task makes one tuple, and they are added up in a tree."""
 
     def total(part: Callable) -> tuple | None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +125,7 @@ def total_of(rows: DataFrame) -> Total:
             if got is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps(got)], pa.binary())], names=["i", "got"])
 
-        out = None
-        for r in sorted(rows.mapInArrow(run, "i long, got binary").collect()):
-            out = add(out, pickle.loads(r["got"]))
-        return out
+        return tree_total(rows.mapInArrow(run, "i long, got binary"), add)
 
     return total
 

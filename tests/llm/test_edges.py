@@ -1,16 +1,19 @@
 """Each text operator where it may go wrong: repeats, ties, extreme values, clashing columns, empty tables; and against plain enumeration."""
 
 import itertools
+import operator
+import pickle
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import bpe, decontaminate, embedding_dedup, langid, lm, minhash, quality, sharding, toxicity, warc
-from graphloom.llm.common import drop_rows, row_key
+from graphloom.llm.common import drop_rows, py_remainder, row_key, tree_total
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 NAMES = ("rid", "key", "value", "root", "slot", "shard", "score", "predicted", "n_tokens", "canonical", "range", "found", "copies", "cid", "cap", "_slot", "_marked", "_bits", "_at", "_doc_rid", "at", "mask", "marked", "token", "kind")
@@ -192,7 +195,30 @@ def test_samples_are_bounded_however_often_an_id_repeats(spark):
     docs = spark.createDataFrame([(1, f"text {i}", "en") for i in range(50)] + [(3, "other", "de")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (9, None)], "doc_id long, quality int")
     assert quality.labelled(docs, labels, "quality", 4, 2, 10).count() == 2
-    assert langid.learn_field(docs, bound=5).labels == ["de", "en"] and langid.learn_field(docs, most_bytes=3).labels == []
+    assert langid.learn_field(docs, bound=5).labels == ["de", "en"]
+
+
+def test_slopes_of_tasks_are_those_of_all_texts(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["kasta", "runok", "zweig", "chlat", "é"]) for _ in range(rng.choice([1, 5, 700]))), rng.choice(["aa", "bb"])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = langid.learn_field(docs, part_bytes=2000)
+    alone = langid.Field(field.labels, field.features)
+    mine = [(t, lang) for i, t, lang in rows if py_remainder(i, 4) != 2]
+    alone.fit([langid.words_of(t.encode()) for t, _ in mine], [field.labels.index(lang) for _, lang in mine])
+    assert np.allclose(field.steps, alone.steps, atol=1e-2) and np.allclose(field.weights, alone.weights, atol=1e-2)
+
+
+def test_one_language_no_text_and_no_table(spark):
+    docs = spark.createDataFrame([(i, "some words", "en") for i in range(9)] + [(20, None, "de"), (21, "12", "fr"), (22, None, None)], "doc_id long, text string, lang string")
+    got = {(r["text"], r["lang_pred"]) for r in langid.identify(docs.select("doc_id", "text"), langid.learn_field(docs)).collect()}
+    assert got == {("some words", "en"), (None, "und"), ("12", "und")}
+    assert langid.learn_field(docs.filter("text is null")).labels == [] and langid.learn_field(docs.limit(0)).labels == []
+
+
+def test_totals_in_a_tree_keep_the_order(spark):
+    parts = spark.range(0, 70, numPartitions=70).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([pickle.dumps([int(x)]) for x in b.column(0).to_pylist()], pa.binary())], names=["i", "got"]) for b in batches), "i long, got binary")
+    assert tree_total(parts, operator.add, width=4) == list(range(70)) and tree_total(parts.limit(0), operator.add) is None
 
 
 # ---- language model

@@ -86,3 +86,16 @@ def is_valid_entity(name: Column, kind: Column) -> Column:
 
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+
+
+def keywords(text: Column, most: int = 8) -> Column:
+    """The first `most` words of over 2 characters (letters and digits of ASCII, _ and -) that are no stop words, in order, repeats too."""
+    from graphloom.functions.vocabulary import STOP_WORDS
+
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^A-Za-z0-9_-]", " "), " +")
+    return F.slice(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS)), 1, most)
+
+
+def shared(a: Column, b: Column) -> Column:
+    """Members that both arrays have, once each, in the order of the first."""
+    return F.array_intersect(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))

@@ -113,3 +113,14 @@ DONE_MARK = r"(?i)^✅\s*|^\(✅\s*\)\s*|\[x\]\s*"
 ACTION = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)\s*:\s+(.+)"
 ACTION_OF_TWO = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*\+\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*:\s+(.+)"
 OPEN_HEAD, DONE_HEAD = r"(?i)^##\s+Open", r"(?i)^##\s+Done"
+
+# Words that are no keywords of a prompt.
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "need", "must", "i", "me", "my", "we", "our", "you", "your", "he", "she", "it", "they", "them",
+    "their", "this", "that", "these", "those", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "into", "about", "between",
+    "through", "after", "before", "above", "and", "or", "but", "not", "no", "nor", "so", "if", "then", "than", "what", "which", "who", "whom",
+    "how", "when", "where", "why", "all", "each", "every", "both", "few", "more", "most", "some", "any", "just", "also", "very", "too", "only",
+    "still", "already", "even", "here", "there", "up", "out", "over", "now", "get", "make", "like", "know", "think", "see", "come", "go", "want",
+    "use", "find", "tell",
+]

@@ -7,10 +7,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from graphloom.plans import catalogue, consolidation, ingestion, walks  # noqa: F401
+from graphloom.plans import catalogue, consolidation, ingestion, searching, sessions, vaults, walks  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings conversations".split()
 
 
 def plain(v):

@@ -117,10 +117,10 @@ def edges_both(spark, d):
 
 
 @query("""with n as (select id, name from nodes where id not like '%7')
-select source_id, target_id, coalesce(a.name, source_id) as source_name, coalesce(b.name, target_id) as target_name from edges left join n a on source_id = a.id left join n b on target_id = b.id where relationship = 'belongs_to'""")
+select source_id, target_id, coalesce(a.name, source_id) as source_name, coalesce(b.name, target_id) as target_name from edges left join n a on source_id = a.id left join n b on target_id = b.id""")
 def edges_with_names(spark, d):
     n = P.nodes(spark, d).filter("id not like '%7'")
-    return graph.edges_with_names(P.edges(spark, d).filter("relationship = 'belongs_to'"), n).select("source_id", "target_id", "source_name", "target_name")
+    return graph.edges_with_names(P.edges(spark, d), n).select("source_id", "target_id", "source_name", "target_name")
 
 
 @query("select source_id, target_id, relationship, rank from (select *, row_number() over (partition by source_id order by weight desc, target_id, relationship) as rank from edges) where rank <= 3")
@@ -243,10 +243,13 @@ def orphan_edges(spark, d):
     return homeostasis.orphan_edges(P.edges(spark, d), n).select("source_id", "target_id", "relationship")
 
 
-@query("""with e as (select * from edges where relationship = 'belongs_to')
-select id from nodes where category in ('knowledge', 'nrem') and salience < 0.5 and not coalesce(pinned, false) and id not in (select source_id from e) and id not in (select target_id from e)""")
+@query("""with n as (select id, category, salience, pinned from nodes union all select 'lone-' || s_suppkey, case when s_nationkey < 5 then 'meta' else 'knowledge' end, (s_acctbal + 1000.0) / 11000.0, s_nationkey > 20 from supplier)
+select id from n where category in ('knowledge', 'nrem') and salience < 0.5 and not coalesce(pinned, false) and id not in (select source_id from edges) and id not in (select target_id from edges)""")
 def orphan_nodes(spark, d):
-    return homeostasis.orphan_nodes(P.nodes(spark, d), P.edges(spark, d).filter("relationship = 'belongs_to'")).select("id")
+    """Of the graph and of a node a supplier that no edge names, some of them pinned or of another category."""
+    n, s = P.nodes(spark, d).select("id", "category", "salience", "pinned"), P.read(spark, d, "supplier")
+    lone = s.select(F.concat(F.lit("lone-"), F.col("s_suppkey").cast("string")).alias("id"), F.when(F.col("s_nationkey") < 5, "meta").otherwise("knowledge").alias("category"), ((F.col("s_acctbal") + 1000.0) / 11000.0).alias("salience"), (F.col("s_nationkey") > 20).alias("pinned"))
+    return homeostasis.orphan_nodes(n.unionByName(lone), P.edges(spark, d)).select("id")
 
 
 @query("select node_id from node_embeddings where node_id not in (select id from nodes where not (type = 'pattern' and salience < 0.3))")
@@ -256,7 +259,7 @@ def orphan_embeddings(spark, d):
     return homeostasis.orphan_embeddings(P.embeddings(spark, d), n).select("node_id")
 
 
-@query(f"""with e0 as (select * from edges where relationship != 'relates_to'),
+@query(f"""with e0 as (select * from edges),
 n1 as (select *, {_DECAY} as s1 from nodes), n2 as (select * from n1 where not (s1 < 0.05 and {_DAYS} > 30 and not coalesce(pinned, false))),
 e2 as (select * from e0 where source_id in (select id from n2) and target_id in (select id from n2)),
 n3 as (select * from n2 where not (category in ('knowledge', 'nrem') and s1 < 0.5 and not coalesce(pinned, false) and id not in (select source_id from e2) and id not in (select target_id from e2)))
@@ -264,7 +267,7 @@ select (select count(*) from n1 where s1 != salience) as decayed, (select count(
   (select count(*) from n3) as nodes_left, (select count(*) from e2) as edges_left, {R6.format('(select sum(s1) from n3)')} as salience_left""")
 def rem_cycle(spark, d):
     g = _g(spark, d)
-    n, e = settle(g.nodes, g.edges.filter("relationship != 'relates_to'"))
+    n, e = settle(g.nodes, g.edges)
     out, counts = homeostasis.rem_cycle(g.with_(nodes=n, edges=e), _as_of())
     n, e, counts = settle(out.nodes.select("id", "salience"), out.edges.select("source_id"), counts)
     rest = n.agg(F.count("*").alias("nodes_left"), r6(F.sum("salience")).alias("salience_left")).crossJoin(e.agg(F.count("*").alias("edges_left")))  # one row each

@@ -23,7 +23,7 @@ grown as (
 @query(f"""with {_FOLD} select id, {R6.format('salience')} as salience, case when added then 'agent-scribe-' || (place % 3) end as namespace, case when added then case type when 'person' then 2 else 0 end end as sensitivity from grown""")
 def ingest_extractions(spark, d):
     """An extraction an order by one of three agents: the nodes that they touch; of those added also namespace and level."""
-    g = _g(spark, d).with_(edges=graph.Graph.empty(spark).edges)
+    g = _g(spark, d)
     given = _extractions(spark, d).withColumn("agent", F.concat(F.lit("scribe-"), (F.col("seq") % 3).cast("string")))
     out, _, _ = consolidate.ingest_extractions(g, given, None, _as_of())
     new = F.col("namespace").startswith("agent-scribe")
@@ -46,7 +46,7 @@ select (select count(*) from e) as entries_processed, (select count(*) from m) a
 def nrem_cycle(spark, d):
     """The log from a day on replayed with an extraction an order: the counts."""
     g = _g(spark, d)
-    out = consolidate.nrem_replay(g.with_(edges=g.edges.filter("relationship = 'belongs_to'")), _entries(spark, d), _as_of(), since=_SINCE, extractions=_extractions(spark, d))
+    out = consolidate.nrem_replay(g, _entries(spark, d), _as_of(), since=_SINCE, extractions=_extractions(spark, d))
     return out.counts.select("entries_processed", "entities_extracted", "relationships_extracted", "nodes_added", "nodes_reinforced", "edges_added")
 
 
@@ -67,7 +67,7 @@ n0 as (
   select nodes.* replace (case when g.id is not null then timestamp '{P.AS_OF}' else last_reinforced end as last_reinforced), coalesce(g.salience, nodes.salience) as s0 from nodes left join grown g on g.id = nodes.id
   union all select g.id, g.type, g.id, g.new, g.salience, '', timestamp '{P.AS_OF}', 'knowledge', 'x', 0, false, g.salience from grown g where added),
 e0 as (
-  select source_id, target_id from edges where relationship = 'belongs_to' union all select distinct 'customer-' || (o_custkey % 200), trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') from orders),
+  select source_id, target_id from edges union all select distinct 'customer-' || (o_custkey % 200), trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') from orders),
 n1 as (select *, {_LESS} as s1 from n0), n2 as (select * from n1 where not (s1 < 0.05 and {_DAYS} > 30 and not coalesce(pinned, false))),
 e2 as (select * from e0 where source_id in (select id from n2) and target_id in (select id from n2)),
 n3 as (select * from n2 where not (category in ('knowledge', 'nrem') and s1 < 0.5 and not coalesce(pinned, false) and id not in (select source_id from e2) and id not in (select target_id from e2)))
@@ -75,7 +75,7 @@ select (select count(*) from n3) as nodes_left, (select count(*) from e2) as edg
 def full_cycle(spark, d):
     """Replay, then decay and pruning: what is left."""
     g = _g(spark, d)
-    n, e = settle(g.nodes, g.edges.filter("relationship = 'belongs_to'"))
+    n, e = settle(g.nodes, g.edges)
     _, after, _ = consolidate.full_cycle(g.with_(nodes=n, edges=e), _entries(spark, d), _as_of(), since=_SINCE, extractions=_extractions(spark, d))
     n, e = settle(after.nodes.select("salience"), after.edges.select("source_id"))
     return n.agg(F.count("*").alias("nodes_left"), r6(F.sum("salience")).alias("salience_left")).crossJoin(e.agg(F.count("*").alias("edges_left"))).select("nodes_left", "edges_left", "salience_left")  # one row each
@@ -193,20 +193,30 @@ for _language in _SOURCES:
 # ---- counters, and the commands that add a node or list a log
 
 
-@query("select 'depends_on' as relationship, count(*)::bigint as n from orders")
+@query("""select case l_returnflag when 'A' then 'depends_on' when 'R' then 'conflicts_with' else 'relates_to' end as relationship, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey where s_nationkey < 20 group by 1""")
 def attempts_by_relationship(spark, d):
+    """A relation a line of an order, from its part to its supplier; some suppliers are no nodes, so theirs are skipped."""
     from graphloom.operators import aggregates, extraction
 
-    e, x, _ = extraction.parse_extractions(_extractions(spark, d))
-    edges, _ = extraction.fold_edges(P.nodes(spark, d), P.edges(spark, d), e, x)
+    line = P.read(spark, d, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "A", "depends_on").when(F.col("l_returnflag") == "R", "conflicts_with").otherwise("relates_to")
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    x = line.select(F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("pos"), named("part-", "l_partkey").alias("source_id"), named("supplier-", "l_suppkey").alias("target_id"), kind.alias("relationship"))
+    known = P.read(spark, d, "supplier").filter("s_nationkey < 20").select(named("supplier-", "s_suppkey").alias("id"))
+    n = P.nodes(spark, d).select("id")
+    none = spark.createDataFrame([], "id string, seq long")
+    edges, _ = extraction.fold_edges(n.filter("id not like 'supplier-%'").unionByName(known), P.edges(spark, d), none, x)
     return aggregates.attempts_by_relationship(edges).select("relationship", F.col("n").cast("long").alias("n"))
 
 
-@query("select 0.6::double as salience")
+@query("select floor(max(s_acctbal) + 0.5) / 20000 as salience from supplier")
 def max_salience(spark, d):
+    """Of extractions, one a supplier, each entity with a salience of its own."""
     from graphloom.operators import aggregates, extraction
 
-    return aggregates.max_salience(extraction.parse_extractions(_extractions(spark, d))[0])
+    s = P.read(spark, d, "supplier")
+    json = F.concat(F.lit('{"entities": [{"name": "s'), F.col("s_suppkey").cast("string"), F.lit('", "salience": '), (F.floor(F.col("s_acctbal") + 0.5) / 20000).cast("decimal(12,6)").cast("string"), F.lit("}]}"))
+    return aggregates.max_salience(extraction.parse_extractions(s.select(F.col("s_suppkey").alias("seq"), json.alias("json")))[0])
 
 
 @query("""with p as (select trim(regexp_replace(lower(p_name || ' ' || p_partkey), '[^a-z0-9]+', '-', 'g'), '-') as id, lower(p_brand) as a, lower(p_type) as b from part)

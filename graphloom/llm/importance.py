@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, row_key, ship, slices, table, text_bytes
+from graphloom.llm.common import give_back, materialize, row_key, ship, slices, table, text_bytes
 
 BUCKETS = 10_000
 #: Bytes of text that share a dictionary.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: What separates words: all of ASCII but digits and letters.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -123,6 +123,7 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
             texts = text_bytes(batch.column("text"))
             for a, b in slices(texts, [len(t) for t in texts], CHUNK):
                 total += Chunk(texts[a:b]).counts()
+        give_back()
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["bucket", "n"])
 
@@ -140,6 +141,7 @@ def weights(docs: DataFrame, gain: np.ndarray) -> DataFrame:
                 n = chunk.n_words
                 columns = [*batch.select(["rid", "doc_id"]).slice(a, b - a).columns, pa.array(n), pa.array(sum(np.maximum(n - k, 0) for k in range(3))), pa.array(chunk.sums(gain))]
                 yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "n_words", "n_features", "weight"])
+        give_back()
 
     return docs.select(row_key().alias("rid"), "doc_id", "text").mapInArrow(run, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_features long, weight long")
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import round_to
 from graphloom.operators.graph import Graph, edges_with_names, find_nodes, top_edges
 from graphloom.operators.replay import pending
 
@@ -55,12 +56,21 @@ def persona_diff(nodes: DataFrame, tags: DataFrame, agent: str, persona: str, mi
     return both.select("id", "name", "type", "salience", group.alias("group"), F.lit(persona.lower()).contains(F.lower("name")).alias("present"))
 
 
-def doctor(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """check, value, status: counts, and warnings where something that should be there isn't."""
-    one = lambda df, name, warn: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("check"), "value", F.when(F.col("value") == 0, warn).otherwise("ok").alias("status"))
-    embedded = nodes.join(embeddings.select(F.col("node_id").alias("id")), "id", "left_semi")
-    loose = edges.join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_anti").agg(F.count("*").alias("value")).select(F.lit("dangling_targets").alias("check"), "value", F.when(F.col("value") > 0, "warning").otherwise("ok").alias("status"))
-    return one(nodes, "nodes", "error").unionByName(one(edges, "edges", "warning")).unionByName(one(embedded, "embedded_nodes", "warning")).unionByName(loose)
+def doctor(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """check, value, status: counts, the percentage of nodes with a vector, how many agents have a log (entries: agent), and warnings where something that should be there isn't.
+
+    Vectors are optional, so few of them are told as 'low' and none as 'none'."""
+    there = nodes.select("id").join(embeddings.select(F.col("node_id").alias("id"), F.lit(1).alias("has")).distinct(), "id", "left").agg(F.count("*").alias("nodes"), F.count("has").alias("embedded"))
+    loose = edges.join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_anti").agg(F.count("*").alias("loose"))
+    logs = (nodes.select(F.lit(None).alias("agent")) if entries is None else entries).agg(F.countDistinct("agent").alias("agents"))
+    one = there.crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(loose).crossJoin(logs)  # a row each
+    percent = F.when(F.col("nodes") > 0, round_to(100.0 * F.col("embedded") / F.col("nodes"), 1)).otherwise(F.lit(0.0))
+    checks = [
+        ("nodes", F.col("nodes"), F.when(F.col("nodes") == 0, "error")), ("edges", F.col("edges"), F.when((F.col("edges") == 0) & (F.col("nodes") > 0), "warning")), ("embedded_nodes", F.col("embedded"), F.when(F.col("embedded") == 0, "none")),
+        ("embedding_percent", percent, F.when(F.col("embedded") == 0, "none").when(percent < 50, "low")), ("dangling_targets", F.col("loose"), F.when(F.col("loose") > 0, "warning")),
+    ] + [("agents_with_log", F.col("agents"), F.when(F.col("agents") == 0, "warning"))] * (entries is not None)
+    row = lambda name, value, status: F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"), F.coalesce(status, F.lit("ok")).alias("status"))
+    return one.select(F.explode(F.array(*[row(*c) for c in checks])).alias("r")).select("r.*")
 
 
 def resolve_agent(names: list[str], env: dict[str, str], cwd: str = "", pattern: str | None = None) -> str | None:
@@ -75,7 +85,7 @@ def resolve_agent(names: list[str], env: dict[str, str], cwd: str = "", pattern:
 def boot_text(g: Graph, entries: DataFrame, agent: str | None = None, limit: int = 30, recent: int = 15, guidance: str = "") -> str:
     """A session's first text: the briefing, the agent's last entries after its watermark, guidance, and a hint where something is unwell.
 
-    Brings bounded rows to the driver: limit nodes, three edges each, `recent` entries, four checks."""
+    Brings bounded rows to the driver: limit nodes, three edges each, `recent` entries, six checks."""
     briefed = boot_nodes(g.nodes, g.tags, agent, limit=limit)
     parts = [f"# Graph Briefing — {agent or 'generic'}", render_boot(briefed, boot_edges(briefed, g.nodes, g.edges)) or "No matching nodes."]
     rows = pending(entries if agent is None else entries.filter(F.col("agent") == agent), g.state)
@@ -84,7 +94,7 @@ def boot_text(g: Graph, entries: DataFrame, agent: str | None = None, limit: int
         parts.append("\n".join(["## Recent", *[f"- [{r['ts'][:16]}] {r['type']}: {r['summary'] or ''}" for r in sorted(last, key=lambda r: r["seq"])]]))
     if guidance:
         parts.append(guidance)
-    unwell = [f"{r['check']} ({r['value']})" for r in doctor(g.nodes, g.edges, g.embeddings).filter("status != 'ok'").orderBy("check").collect()]
+    unwell = [f"{r['check']} ({r['value']:g})" for r in doctor(g.nodes, g.edges, g.embeddings, entries).filter("status in ('error', 'warning')").orderBy("check").collect()]
     if unwell:
         parts.append("Health: " + ", ".join(unwell))
     return "\n\n".join(parts)

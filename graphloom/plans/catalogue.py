@@ -647,10 +647,12 @@ def persona_diff(spark, d):
     return reports.persona_diff(P.nodes(spark, d), P.tags(spark, d).filter("tag = 'nothing'"), "building", "We know Customer#000000001 and others").select("id", "name", "group", "present")
 
 
-@query("""select 'nodes' as "check", count(*) as value, 'ok' as status from nodes union all select 'edges', count(*), 'ok' from edges
-union all select 'embedded_nodes', count(*), 'ok' from nodes where id in (select node_id from node_embeddings) union all select 'dangling_targets', count(*), case when count(*) > 0 then 'warning' else 'ok' end from edges where target_id not in (select id from nodes)""")
+@query("""select 'nodes' as "check", count(*)::double as value, 'ok' as status from nodes union all select 'edges', count(*), 'ok' from edges
+union all select 'embedded_nodes', count(*), 'ok' from nodes where id in (select node_id from node_embeddings)
+union all select 'embedding_percent', p, case when p < 50 then 'low' else 'ok' end from (select floor(1000.0 * (select count(*) from nodes where id in (select node_id from node_embeddings)) / count(*) + 0.5) / 10 as p from nodes)
+union all select 'dangling_targets', count(*), case when count(*) > 0 then 'warning' else 'ok' end from edges where target_id not in (select id from nodes) union all select 'agents_with_log', count(distinct agent), 'ok' from log""")
 def doctor(spark, d):
-    return reports.doctor(P.nodes(spark, d), P.edges(spark, d), P.embeddings(spark, d))
+    return reports.doctor(P.nodes(spark, d), P.edges(spark, d), P.embeddings(spark, d), P.log(spark, d))
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, floor(sum(value) * 1e4 + 0.5) / 1e4 as total from events group by 1, 2")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.operators.graph import Graph
+from graphloom.operators.homeostasis import rem_cycle
 from graphloom.sources.shared import settle
 
-__all__ = ["backup", "load", "retain", "rotate_backups", "save", "settle", "versions"]
+__all__ = ["backup", "load", "refine", "retain", "rotate_backups", "save", "settle", "versions"]
 
 TABLES = ["nodes", "edges", "tags", "properties", "embeddings", "state"]
 
@@ -57,7 +59,7 @@ def retain(spark: SparkSession, root: str, keep: int = 3) -> list[int]:
 
 
 def backup(spark: SparkSession, root: str, when: datetime) -> str | None:
-    """Copy the snapshots at root beside them, as <root>.backup-YYYYMMDDHHmmss; nothing where there are none, or where that day has a copy."""
+    """Copy the snapshots at root beside them, table by table in tasks, as <root>.backup-YYYYMMDDHHmmss; nothing where there are none, or where that day has a copy."""
     fs, hadoop = _fs(spark, root)
     if not versions(spark, root):
         return None
@@ -65,10 +67,22 @@ def backup(spark: SparkSession, root: str, when: datetime) -> str | None:
     if any(s.startswith(stamp[:8]) for s in _backups(spark, root)):
         return None
     path = f"{root.rstrip('/')}.backup-{stamp}"
-    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, hadoop.Path(root), fs, hadoop.Path(path), False, spark.sparkContext._jsc.hadoopConfiguration())
+    for n in versions(spark, root):
+        for t in TABLES:
+            spark.read.parquet(f"{root}/v={n}/{t}").write.mode("errorifexists").parquet(f"{path}/v={n}/{t}")
+        fs.create(hadoop.Path(f"{path}/v={n}/_COMMITTED"), False).close()
     return path
 
 
+def refine(spark: SparkSession, root: str, when: datetime, rate: float = 0.05) -> Row:
+    """Decay and pruning of the graph at root as a new version, after that day's copy is taken; what it did."""
+    backup(spark, root, when)
+    after, counts = rem_cycle(load(spark, root), F.lit(when), rate)
+    tables = dict(zip(TABLES, settle(*(getattr(after, t) for t in TABLES)), strict=True))
+    save(spark, after.with_(**tables), root)
+    return counts.first()
+
+
 def _backups(spark: SparkSession, root: str) -> list[str]:
     """The stamps of root's copies, whatever they look like."""
     fs, hadoop = _fs(spark, root)

@@ -1,8 +1,9 @@
+import datetime
 import json
 
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import Graph
+from graphloom.operators.graph import Graph, complete
 from graphloom.sources import logs, store
 from graphloom.streaming import replay
 
@@ -67,3 +68,15 @@ def test_last_written_entries(spark, tmp_path):
     for last in (1, 4, 7, 48):
         assert [r["detail"] for r in logs.select_entries(good, last=last).orderBy(F.desc("written")).collect()] == [str(i) for i in range(47, 47 - last, -1)]
     assert bad.count() == 0
+
+
+def test_refining_takes_a_copy_first(spark, tmp_path):
+    root = f"file://{tmp_path}/graph"
+    g = Graph.empty(spark)
+    nodes = complete(spark.createDataFrame([("old", 0.01), ("new", 0.9)], "id string, salience double").withColumn("name", F.col("id")), F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    edge = spark.createDataFrame([("new", "new", "r", 1.0)], "source_id string, target_id string, relationship string, weight double")
+    store.save(spark, g.with_(nodes=nodes, edges=g.edges.unionByName(edge, allowMissingColumns=True)), root)
+    counts = store.refine(spark, root, datetime.datetime(2024, 6, 1, 12))
+    assert [r["id"] for r in store.load(spark, root).nodes.collect()] == ["new"] and counts["pruned"] == 1
+    assert sorted(r["id"] for r in store.load(spark, f"{root}.backup-20240601120000").nodes.collect()) == ["new", "old"]
+    assert store.refine(spark, root, datetime.datetime(2024, 6, 1, 13))["pruned"] == 0 and store.versions(spark, root) == [1, 2, 3]

@@ -94,7 +94,7 @@ def boot_text(g: Graph, entries: DataFrame, agent: str | None = None, limit: int
         parts.append("\n".join(["## Recent", *[f"- [{r['ts'][:16]}] {r['type']}: {r['summary'] or ''}" for r in sorted(last, key=lambda r: r["seq"])]]))
     if guidance:
         parts.append(guidance)
-    unwell = [f"{r['check']} ({r['value']:g})" for r in doctor(g.nodes, g.edges, g.embeddings, entries).filter("status in ('error', 'warning')").orderBy("check").collect()]
+    unwell = [f"{r['check']} ({r['value']:g})" for r in doctor(g.nodes, g.edges, g.embeddings, entries).filter("status != 'ok' and check != 'embedding_percent'").orderBy("check").collect()]
     if unwell:
         parts.append("Health: " + ", ".join(unwell))
     return "\n\n".join(parts)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import vocabulary as V
-from graphloom.functions.occurrences import near, occurrences
+from graphloom.functions.occurrences import near, occurrences, own_places
 from graphloom.functions.text import near_pairs, round_to
 from graphloom.sources.shared import settle
 
@@ -115,8 +115,11 @@ def code_index(nodes: DataFrame, least: int = 12) -> DataFrame:
 def code_references(texts: DataFrame, entities: DataFrame, index: DataFrame, most: int = 300) -> DataFrame:
     """entity_id, code_id, doc_id: code names that stand within `most` characters of an entity's name (texts: doc_id, content; entities: doc_id, id, name).
 
-    Both are pieces of the text in its own case, inside words too; any of their places count."""
-    found = settle(occurrences(texts.select("doc_id", "content"), ["doc_id"], "content", index.select("name").unionByName(entities.select("name"))))[0]
-    code = found.join(index.select("name", F.col("id").alias("code_id")), "name").select("doc_id", "code_id", "at")
-    ent = found.join(entities.select("doc_id", "name", F.col("id").alias("entity_id")), ["doc_id", "name"]).select("doc_id", "entity_id", "at")
+    Both are pieces of the text in its own case, inside words too; any of their places
+    count. An entity's name is looked for in its own text alone."""
+    found = occurrences(texts.select("doc_id", "content"), ["doc_id"], "content", index.select("name"))
+    code = settle(found.join(index.select("name", F.col("id").alias("code_id")), "name").select("doc_id", "code_id", "at"))[0]
+    met = entities.join(code.select("doc_id").distinct(), "doc_id", "left_semi")
+    own = own_places(texts.select("doc_id", "content"), ["doc_id"], "content", met)
+    ent = own.join(met.select("doc_id", "name", F.col("id").alias("entity_id")), ["doc_id", "name"]).select("doc_id", "entity_id", "at")
     return near(ent, code, ["doc_id"], most).select("entity_id", "code_id", "doc_id").distinct()

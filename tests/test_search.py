@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.occurrences import near, occurrences
+from graphloom.functions.occurrences import candidates, near, occurrences, own_places
 from graphloom.operators import graph, ingest, prototypes, search, traverse
 from graphloom.operators.graph import Graph
 
@@ -72,6 +72,19 @@ def test_names_in_texts(spark):
         assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_numbered_names_are_tried_where_they_stand(spark):
+    names = [f"Customer#{i:09}" for i in range(300)] + [f"No{i:05}" for i in range(300)]
+    texts = spark.createDataFrame([(i, f"to {n} and so on") for i, n in enumerate(names)], "k long, t string")
+    tried = candidates(texts, ["k"], "t", spark.createDataFrame([(n,) for n in names], "name string"))
+    assert len(names) <= tried.count() <= 2 * len(names)
+
+
+def test_names_in_their_own_texts(spark):
+    texts = spark.createDataFrame([(1, "aaa é😀é"), (2, "aa"), (3, None), (None, "aa")], "k long, t string")
+    names = spark.createDataFrame([(1, "aa"), (1, "aa"), (1, "é"), (1, "zz"), (1, ""), (1, None), (2, "é"), (3, "aa"), (None, "aa"), (9, "aa")], "k long, name string")
+    assert sorted(tuple(r) for r in own_places(texts, ["k"], "t", names).collect()) == [(1, "aa", 0), (1, "aa", 1), (1, "é", 4), (1, "é", 6)]
+
+
 def test_near_places(spark):
     rng = random.Random(3)
     a, b = ([(rng.randint(0, 2), rng.randint(0, 400), f"{s}{i}") for i in range(60)] for s in "ab")

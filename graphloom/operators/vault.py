@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import vocabulary as V
-from graphloom.functions.occurrences import occurrences
+from graphloom.functions.occurrences import occurrences, spread
 from graphloom.functions.text import slug, title_case
 from graphloom.operators import notes
 from graphloom.operators.graph import Graph, complete
@@ -97,7 +97,13 @@ def vault_graph(g: Graph, files: DataFrame, as_of: Column, namespace: str = "vau
     own = settle(own)[0]
     read.append(own.select("path"))
     said = own.filter("file != 'next-actions.md'")
-    named = notes.named_in(said, known).join(said.select("path", "person", "title"), "path").filter("person != person_id").join(people.select(F.col("id").alias("person_id"), F.col("title").alias("other")), "person_id")
+    # people who share a first name are named together, so who names whom stays folded by first name: pairs are formed as they are read
+    first = people.select("id", F.col("title").alias("other"), F.split("title", " ")[0].alias("first"))
+    alone = people.groupBy("id").agg(F.count("*").alias("_n")).filter("_n = 1").select("id")
+    sole, firsts = settle(first.join(alone, "id", "left_semi"), notes.first_names_in(said, known).join(said.select("path", "person", "title"), "path"))
+    told = settle(firsts.groupBy("person", "first").agg(F.count("*").alias("n"), F.min_by("title", "path").alias("title")))[0]
+    shared = first.join(alone, "id", "left_anti")  # folders whose ids are the same
+    named = firsts.join(shared.select("first", "id").distinct(), "first").select("path", "person", "title", "id").distinct().filter("person != id").join(shared.select("id", "other"), "id").withColumnRenamed("id", "person_id")
     events.append(_edges(named, "person", "person_id", "relates_to", 0.6, F.concat("title", F.lit(" mentions "), "other", F.lit(" in notes")), _whole(5, F.concat(F.lit("0"), F.col("other")))))
     places = domains.withColumn("kind", F.lit("1")).unionByName(initiatives.withColumn("kind", F.lit("2")))
     ways = places.select(F.col("id").alias("place"), F.col("title").alias("other"), "kind", F.explode(F.array_distinct(F.array(F.regexp_replace("folder", "-", " "), F.col("folder")))).alias("name"))
@@ -133,10 +139,22 @@ def vault_graph(g: Graph, files: DataFrame, as_of: Column, namespace: str = "vau
     key = ["source_id", "target_id", "relationship"]
     links = every.groupBy(*key).agg(F.count("*").alias("n"), F.min_by("weight", "at").alias("w"), F.min_by("description", "at").alias("text"))
     links = settle(links)[0]
-    kept_edges = g.edges.join(links.select(*key, "n"), key, "left").withColumn("weight", F.when(F.col("n").isNotNull(), F.least(F.lit(1.0), F.col("weight") + 0.1 * F.col("n"))).otherwise(F.col("weight")))
+    pairs = spread(told, ["person", "first"]).join(sole, "first").filter("person != id")
+    pairs = pairs.select(F.col("person").alias("source_id"), F.col("id").alias("target_id"), F.lit("relates_to").alias("relationship"), "n", F.lit(0.6).alias("w"), F.concat("title", F.lit(" mentions "), "other", F.lit(" in notes")).alias("text"))
+
+    def among_pairs(edges: DataFrame) -> DataFrame:
+        """key and n of the edges that are pairs too, without forming pairs."""
+        ends = edges.select(key).distinct().filter("relationship = 'relates_to' and source_id != target_id").join(sole.select(F.col("id").alias("target_id"), "first"), "target_id")
+        return ends.join(told.select(F.col("person").alias("source_id"), "first", "n"), ["source_id", "first"]).select(*key, "n")
+
+    again = links.select(*key, "n").unionByName(among_pairs(g.edges))
+    kept_edges = g.edges.join(again, key, "left").withColumn("weight", F.when(F.col("n").isNotNull(), F.least(F.lit(1.0), F.col("weight") + 0.1 * F.col("n"))).otherwise(F.col("weight")))
     stamp = {"source_agent": F.lit(agent), "created_at": as_of, "last_reinforced": as_of}
-    added = links.join(g.edges.select(key), key, "left_anti").select(*key, F.least(F.lit(1.0), F.col("w") + 0.1 * (F.col("n") - 1)).alias("weight"), F.col("text").alias("description"), *[v.alias(c) for c, v in stamp.items()])
-    alias = notes.alias_edges(known, g.nodes).select(*key, "weight", "description", *[v.alias(c) for c, v in stamp.items()]).join(g.edges.select(key), key, "left_anti").join(added.select(key), key, "left_anti")
+    fresh_links = links.join(g.edges.select(key), key, "left_anti").unionByName(pairs.join(among_pairs(g.edges).select(key), key, "left_anti").select(links.columns))
+    added = fresh_links.select(*key, F.least(F.lit(1.0), F.col("w") + 0.1 * (F.col("n") - 1)).alias("weight"), F.col("text").alias("description"), *[v.alias(c) for c, v in stamp.items()])
+    alias = notes.alias_edges(known, g.nodes).select(*key, "weight", "description", *[v.alias(c) for c, v in stamp.items()])
+    for there in (g.edges, links, among_pairs(alias)):
+        alias = alias.join(there.select(key), key, "left_anti")
     columns = [c for c in g.edges.columns if c in added.columns]
     edges = kept_edges.select(g.edges.columns).unionByName(added.unionByName(alias).select(columns), allowMissingColumns=True)
     # ---- tags and counts
@@ -146,6 +164,9 @@ def vault_graph(g: Graph, files: DataFrame, as_of: Column, namespace: str = "vau
     seen = read[0]
     for more in read[1:]:
         seen = seen.unionByName(more)
-    total = seen.agg(F.count("*").alias("files_processed")).crossJoin(fresh.agg(F.count("*").alias("nodes_added"))).crossJoin(per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n"))).crossJoin(links.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges_added")))  # one row each
+    others = told.join(sole.groupBy("first").agg(F.count("*").alias("_k")), "first").agg(F.sum(F.col("n") * F.col("_k")).alias("_s"))
+    selves = told.join(sole.select(F.col("id").alias("person"), "first"), ["person", "first"]).agg(F.sum(-F.col("n")).alias("_s"))
+    met = links.agg(F.sum("n").alias("_s")).unionByName(others).unionByName(selves).agg(F.coalesce(F.sum("_s"), F.lit(0)).alias("edges_added"))
+    total = seen.agg(F.count("*").alias("files_processed")).crossJoin(fresh.agg(F.count("*").alias("nodes_added"))).crossJoin(per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n"))).crossJoin(met)  # one row each
     counts = total.select("files_processed", "nodes_added", (F.col("_n") - F.col("nodes_added")).alias("nodes_reinforced"), "edges_added")
     return g.with_(nodes=old.unionByName(new.select(g.nodes.columns)), edges=edges, tags=all_tags.dropDuplicates(["node_id", "tag"])), counts

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,38 @@ def test_vault_actions(spark):
     items = spark.createDataFrame([("Ann Lee: write it",), ("✅ Bo + Cy: ship",), ("nothing",)], "item string")
     got = sorted((r["person"], r["action"], r["completed"]) for r in notes.actions(items).collect())
     assert got == [("Ann Lee", "write it", False), ("Bo", "ship", True), ("Cy", "ship", True)]
+
+
+def test_people_named_in_notes_are_paired_as_they_are_read(spark, monkeypatch):
+    """Who names whom is never stored as pairs; folders whose ids are the same, edges that were there and aliases count as before."""
+    from graphloom.operators import vault
+
+    stored = []
+
+    def settle(*tables):
+        out = real(*tables)
+        stored.extend(t.count() for t in out)
+        return out
+
+    real = vault.settle
+    monkeypatch.setattr(vault, "settle", settle)
+    folders = [f"{n}-{i}" for i in range(20) for n in ("ann", "bo")] + ["cy.x-1", "cy-x.1"]
+    title = {f: " ".join(w[:1].upper() + w[1:] for w in f.split("-")) for f in folders}
+    of = {f: "person-" + f.replace(".", "-") for f in folders}
+    text = {f: "Ann and Cy" if f.startswith("bo") else "Ann, Bo, Ann" for f in folders}
+    files = [(f"domains/people/{f}/{k}.md", text[f]) for f in folders for k in range(2)]
+    want = Counter()
+    for path, said in files:
+        f = path.split("/")[2]
+        for other in {of[o] for o in folders if title[o].split(" ")[0] in said} - {of[f]}:
+            want[of[f], other] += sum(of[o] == other for o in folders)
+    now = F.lit("2024-01-01").cast("timestamp")
+    g = graph.Graph.empty(spark)
+    there = spark.createDataFrame([("person-bo-0", "person-ann-0", "relates_to", 0.1), ("ann", "person-ann-1", "relates_to", 0.3), ("person-ann-0", "person-ann-0", "relates_to", 0.2)], "source_id string, target_id string, relationship string, weight double")
+    g = g.with_(nodes=graph.complete(spark.createDataFrame([("ann", "Ann")], "id string, name string"), now), edges=g.edges.unionByName(there, allowMissingColumns=True))
+    out, counts = vault.vault_graph(g, spark.createDataFrame(files, "path string, text string"), now)
+    got = {(r["source_id"], r["target_id"]): r["weight"] for r in out.edges.collect()}
+    weights = {k: min(1.0, 0.6 + 0.1 * (n - 1)) for k, n in want.items()} | {("ann", of[f]): 1.0 for f in folders if f.startswith("ann")}
+    weights |= {("person-bo-0", "person-ann-0"): 0.1 + 0.1 * 2, ("ann", "person-ann-1"): 0.3, ("person-ann-0", "person-ann-0"): 0.2}
+    assert got == pytest.approx(weights) and out.edges.count() == len(weights)
+    assert counts.first()["edges_added"] == sum(want.values()) and max(stored) < len(want) / 5

@@ -135,3 +135,19 @@ def test_people_named_in_notes_are_paired_as_they_are_read(spark, monkeypatch):
     weights |= {("person-bo-0", "person-ann-0"): 0.1 + 0.1 * 2, ("ann", "person-ann-1"): 0.3, ("person-ann-0", "person-ann-0"): 0.2}
     assert got == pytest.approx(weights) and out.edges.count() == len(weights)
     assert counts.first()["edges_added"] == sum(want.values()) and max(stored) < len(want) / 5
+
+
+def test_rem_looks_up_each_end_once(spark):
+    """Edges that lack an end go, null ends too; those without a relationship stay; what is left is read, not worked out again."""
+    n = nodes(spark, [("a", 0.9, 0, False), ("b", 0.9, 0, False), ("faint", 0.01, 0, False), ("lone", 0.1, 0, False)]).withColumn("last_reinforced", ts("2023-01-01 00:00:00"))
+    e = spark.createDataFrame([("a", "b", None), ("a", "b", "x"), (None, "b", "x"), ("a", "z", "x"), ("y", "z", "x"), ("faint", "z", "x"), ("a", "faint", "x")], "source_id string, target_id string, relationship string")
+    g = Graph.empty(spark)
+    g = g.with_(nodes=n, edges=g.edges.unionByName(e, allowMissingColumns=True), tags=spark.createDataFrame([("a", "t"), ("lone", "t"), ("faint", "t")], "node_id string, tag string"))
+    key = ["source_id", "target_id", "relationship"]
+    loose = {tuple(r) for r in homeostasis.orphan_edges(g.edges.filter("source_id is null or source_id != 'faint'"), n).select(key).collect()}
+    assert loose == {(None, "b", "x"), ("a", "z", "x"), ("y", "z", "x")}
+    out, counts = homeostasis.rem_cycle(g, ts())
+    assert {tuple(r) for r in out.edges.select(key).collect()} == {("a", "b", None), ("a", "b", "x")}
+    assert {r["id"] for r in out.nodes.collect()} == {"a", "b"} and [r["node_id"] for r in out.tags.collect()] == ["a"]
+    assert counts.first().asDict() == {"decayed": 4, "pruned": 2, "orphan_edges": 3}
+    assert "Join" not in out.edges._jdf.queryExecution().analyzed().toString() + out.nodes._jdf.queryExecution().analyzed().toString()

@@ -97,6 +97,12 @@ SIGNALS = [
     ("bug", r"(?i:\b(?:bug in|broken|crash(?:es|ed)?|regression|root cause|workaround for)\b)"),
     ("pattern", r"(?i:\b(?:pattern for|best practice|convention|anti-pattern|always use|never use)\b)"),
 ]
+#: Words one of which stands, in lower case, wherever a signal of the kind does.
+SIGNAL_WORDS = {
+    "decision": ["decided to", "agreed on", "chose", "approved", "settled on", "going with"],
+    "bug": ["bug in", "broken", "crash", "regression", "root cause", "workaround for"],
+    "pattern": ["pattern for", "best practice", "convention", "anti-pattern", "always use", "never use"],
+}
 SIGNAL_TAIL = r"^\s+(?:the\s+)?([A-Z][A-Za-z0-9 ]+?)(?:[.,;:\n]|$)"
 
 #: The dates at the end of a remembered bullet, between asterisks or bare.

@@ -26,53 +26,90 @@ def chunk(files: DataFrame, size: int = CHUNK, separator: str = r"\n\s*\n") -> D
         return F.struct(F.when(full, para).otherwise(joined).alias("cur"), F.when(full, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"))
 
     packed = F.aggregate(paragraphs, start, step, lambda acc: F.when(F.length(acc["cur"]) > 0, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]))
-    return files.select("path", F.posexplode(packed).alias("chunk_seq", "text"))
+    return files.select("path", F.posexplode_outer(packed).alias("chunk_seq", "text")).filter("chunk_seq is not null")  # without outer, Spark packs twice to know which are empty
+
+
+def _span(name: Column, kind: Column, start: Column, end: Column, rule: Column) -> Column:
+    return F.struct(slug(name).alias("id"), name.alias("name"), kind.alias("type"), start.cast("int").alias("start"), end.cast("int").alias("end"), rule.alias("rule"))
+
+
+def _people(text: Column) -> Column:
+    """Two capitalised words, first place of each."""
+    names = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(NAME), 1)), is_person)
+    return F.transform(names, lambda x: _span(x, F.lit("person"), F.instr(text, x) - 1, F.instr(text, x) - 1 + F.length(x), F.lit(1)))
+
+
+def _tools(text: Column, low: Column) -> Column:
+    """Known tool words anywhere in the text, inside words too; the name keeps the text's case."""
+    hit = F.array_compact(F.array(*[F.when(low.contains(k), F.lit(k)) for k in V.TOOL_KEYWORDS]))
+    return F.transform(hit, lambda k: _span(text.substr(F.instr(low, k), F.length(k)), F.lit("tool"), F.instr(low, k) - 1, F.instr(low, k) - 1 + F.length(k), F.lit(2)))
+
+
+def _signal(text: Column, low: Column, kind: str, pattern: str) -> Column:
+    """The first signal of a kind, if a capitalised phrase of over 3 characters follows; else null. Its pattern is tried where one of its words stands."""
+    some = contains_any(low, V.SIGNAL_WORDS[kind])
+    met = F.when(some, F.regexp_extract(text, pattern, 0)).otherwise("")
+    start = F.regexp_instr(text, F.lit(pattern)) - 1
+    after = text.substr(start + F.length(met) + 1, F.lit(120))
+    name = F.substring(F.trim(F.regexp_extract(after, V.SIGNAL_TAIL, 1)), 1, 60)
+    end = start + F.length(met) + F.length(F.regexp_extract(after, V.SIGNAL_TAIL, 0))
+    return F.when(some & (met != "") & (F.length(name) > 3), _span(name, F.lit(kind), start, end, F.lit(3)))
+
+
+def _first_line(text: Column) -> Column:
+    """The first Markdown heading or short line."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    usable = F.filter(lines, lambda x: (_label(x) != "") | ((F.length(x) > 5) & (F.length(x) < 80) & ~x.startswith("-") & ~x.startswith("*")))
+    return F.get(usable, F.lit(0))
+
+
+def _label(x: Column) -> Column:
+    return F.when(x.startswith("#"), F.trim(F.regexp_extract(x, r"^#{1,4}\s+(.+)", 1))).otherwise("")
+
+
+def _headings(low: Column, first: Column) -> Column:
+    """For each kind of keyword met, the chunk's heading."""
+    name = F.substring(F.when(_label(first) != "", _label(first)).otherwise(first), 1, 60)
+    kinds = [F.when(contains_any(low, words), F.struct(F.lit(i).alias("i"), F.lit(kind).alias("type"), name.alias("name"))) for i, (kind, words) in enumerate(V.ENTITY_KEYWORDS.items()) if kind != "person"]
+    met = F.filter(F.array_compact(F.array(*kinds)), lambda k: is_valid_entity(k["name"], k["type"]))
+    return F.when(first.isNotNull(), F.transform(met, lambda k: _span(k["name"], k["type"], F.lit(0), F.length(k["name"]), F.lit(4) + k["i"])))
+
+
+def _spans(chunks: DataFrame, found: Callable[..., Column]) -> DataFrame:
+    """path, chunk_seq, id, name, type, start, end, rule: the spans that found(text, low, first) lists; a chunk is lowered and cut into lines once."""
+    rows = chunks.select("path", "chunk_seq", "text", F.lower("text").alias("_low")).withColumn("_first", _first_line(F.col("text")))
+    rows = rows.select("path", "chunk_seq", found(F.col("text"), F.col("_low"), F.col("_first")).alias("_found"))
+    return rows.select("path", "chunk_seq", F.inline_outer("_found")).filter("id is not null")  # without outer, Spark infers a filter that lists all spans once more, and lowers a chunk for each word
 
 
 def people(chunks: DataFrame) -> DataFrame:
     """path, chunk_seq, id, name, type, start, end, rule: two capitalised words, first place of each."""
-    found = chunks.withColumn("name", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(NAME), 1)))).filter(is_person(F.col("name")))
-    start = F.expr("instr(text, name)") - 1
-    return found.select("path", "chunk_seq", slug(F.col("name")).alias("id"), "name", F.lit("person").alias("type"), start.alias("start"), (start + F.length("name")).alias("end"), F.lit(1).alias("rule"))
+    return _spans(chunks, lambda text, low, first: _people(text))
 
 
 def tools(chunks: DataFrame) -> DataFrame:
     """Known tool words anywhere in the text, inside words too; the name keeps the text's case."""
-    hit = F.array_compact(F.array(*[F.when(F.lower("text").contains(k), F.lit(k)) for k in V.TOOL_KEYWORDS]))
-    found = chunks.withColumn("k", F.explode(hit)).withColumn("start", F.expr("instr(lower(text), k)") - 1)
-    name = F.col("text").substr(F.col("start") + 1, F.length("k"))
-    return found.select("path", "chunk_seq", slug(name).alias("id"), name.alias("name"), F.lit("tool").alias("type"), "start", (F.col("start") + F.length("k")).alias("end"), F.lit(2).alias("rule"))
+    return _spans(chunks, lambda text, low, first: _tools(text, low))
+
+
+def _signals(text: Column, low: Column) -> Column:
+    return F.array_compact(F.array(*[_signal(text, low, *x) for x in V.SIGNALS]))
 
 
 def signals(chunks: DataFrame) -> DataFrame:
     """The first signal of each kind, if a capitalised phrase of over 3 characters follows."""
-    out = None
-    for kind, pattern in V.SIGNALS:
-        first = F.regexp_extract("text", pattern, 0)
-        rows = chunks.withColumn("s", first).filter("s != ''").withColumn("start", F.regexp_instr("text", F.lit(pattern)) - 1)
-        rows = rows.withColumn("after", F.col("text").substr(F.col("start") + F.length("s") + 1, F.lit(120)))
-        rows = rows.withColumn("name", F.substring(F.trim(F.regexp_extract("after", V.SIGNAL_TAIL, 1)), 1, 60)).filter(F.length("name") > 3)
-        end = F.col("start") + F.length("s") + F.length(F.regexp_extract("after", V.SIGNAL_TAIL, 0))
-        part = rows.select("path", "chunk_seq", slug(F.col("name")).alias("id"), "name", F.lit(kind).alias("type"), "start", end.alias("end"), F.lit(3).alias("rule"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _spans(chunks, lambda text, low, first: _signals(text, low))
 
 
 def headings(chunks: DataFrame) -> DataFrame:
     """For each kind of keyword met, the chunk's heading: the first Markdown heading or short line."""
-    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
-    label = lambda x: F.trim(F.regexp_extract(x, r"^#{1,4}\s+(.+)", 1))
-    usable = F.filter(lines, lambda x: (label(x) != "") | ((F.length(x) > 5) & (F.length(x) < 80) & ~x.startswith("-") & ~x.startswith("*")))
-    first = F.get(usable, F.lit(0))
-    rows = chunks.withColumn("name", F.substring(F.when(label(first) != "", label(first)).otherwise(first), 1, 60)).filter("name is not null")
-    kinds = F.array_compact(F.array(*[F.when(contains_any(F.lower("text"), words), F.struct(F.lit(i).alias("i"), F.lit(kind).alias("type"))) for i, (kind, words) in enumerate(V.ENTITY_KEYWORDS.items()) if kind != "person"]))
-    found = rows.withColumn("k", F.explode(kinds)).withColumn("type", F.col("k.type")).filter(is_valid_entity(F.col("name"), F.col("type")))
-    return found.select("path", "chunk_seq", slug(F.col("name")).alias("id"), "name", "type", F.lit(0).alias("start"), F.length("name").alias("end"), (F.lit(4) + F.col("k.i")).alias("rule"))
+    return _spans(chunks, lambda text, low, first: _headings(low, first))
 
 
 def entities(chunks: DataFrame) -> DataFrame:
-    """Entities of all rules with ent_seq; of one id in a chunk the first rule's first place counts."""
-    every = people(chunks).unionByName(tools(chunks)).unionByName(signals(chunks)).unionByName(headings(chunks))
+    """Entities of all rules with ent_seq; of one id in a chunk the first rule's first place counts. Every rule reads a chunk in the same pass."""
+    none = F.array().cast("array<struct<id: string, name: string, type: string, start: int, end: int, rule: int>>")
+    every = _spans(chunks, lambda text, low, first: F.concat(_people(text), _tools(text, low), _signals(text, low), F.coalesce(_headings(low, first), none)))
     w = Window.partitionBy("path", "chunk_seq", "id").orderBy("rule", "start", "name")
     first = every.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     return first.withColumn("ent_seq", F.row_number().over(Window.partitionBy("path", "chunk_seq").orderBy("rule", "start", "id")))

@@ -3,10 +3,12 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from graphloom.functions import vocabulary as V
 from graphloom.functions.text import NAME
-from graphloom.operators import ingest
-from graphloom.sources.shared import settle
+from graphloom.operators import extraction, ingest, notes
+from graphloom.sources.shared import deal, settle
 
 
 def plan(df):
@@ -34,3 +36,32 @@ def test_every_signal_has_one_of_its_words():
     for kind, pattern in V.SIGNALS:
         phrases = pattern.replace("(?:es|ed)?", "").removeprefix(r"(?i:\b(?:").removesuffix(r")\b)").split("|")
         assert phrases == V.SIGNAL_WORDS[kind]
+
+
+def test_lines_below_heads_without_a_shuffle_of_lines(spark):
+    text = "- a\n ## Corrected\n- b\n\n## Other\n- c\n## Learned now\n- d\n##\n- e"
+    files = settle(spark.createDataFrame([("m", text), ("n", "## Learned\n- f"), ("o", ""), ("p", None)], "path string, text string"))[0]
+    got = notes.parse_memory(files, F.lit("2024-01-01"))
+    assert sorted((r["path"], r["seq"], r["text"], r["kind"]) for r in got.collect()) == [("m", 2, "b", "corrected"), ("m", 7, "d", "learned"), ("m", 9, "e", "learned"), ("n", 1, "f", "learned")]
+    acts = notes.next_actions(spark.createDataFrame([("m", "- a\n## Open\n- b\n## Done\n\n- c")], "path string, text string"))
+    assert sorted((r["seq"], r["section"], r["item"]) for r in acts.collect()) == [(0, "unknown", "a"), (2, "open", "b"), (5, "done", "c")]
+    assert all("Window" not in plan(x) and "Sort" not in plan(x) for x in (got, acts))
+
+
+def test_parts_grow_with_rows(spark):
+    rows = spark.range(100)
+    assert deal(rows, 100, "id", each=10).rdd.getNumPartitions() == 10
+    assert deal(rows, 40, "id", each=10).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+
+
+def test_relations_whose_ends_come_late(spark):
+    nodes, edges = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([], "source_id string, target_id string, relationship string, weight double")
+    mentions = spark.createDataFrame([("b", 3)], "id string, seq long")
+    rows = [(s, 0, "a", t, "x") for s in range(1, 6) for t in ("a", "b", "c")]
+    r = spark.createDataFrame(rows, "seq long, pos int, source_id string, target_id string, relationship string")
+    for weight in (None, F.col("seq") / 10):
+        got, skipped = extraction.fold_edges(nodes, edges, mentions, r, weight)
+        first = {"a": 1.0, "b": 1.0} if weight is None else {"a": 0.1, "b": 0.3}
+        assert {(x["target_id"], x["attempts"], round(x["weight"], 6)) for x in got.collect()} == {(t, n, round(min(1, first[t] + 0.1 * (n - 1)), 6)) for t, n in (("a", 5), ("b", 3))}
+        assert sorted((x["target_id"], x["seq"]) for x in skipped.collect()) == [("b", 1), ("b", 2), *[("c", s) for s in range(1, 6)]]
+    assert "min_by" not in plan(extraction.fold_edges(nodes, edges, mentions, r)[0])

@@ -66,15 +66,25 @@ def fold_nodes(nodes: DataFrame, mentions: DataFrame, longest_description: bool
 
 def fold_edges(nodes: DataFrame, edges: DataFrame, mentions: DataFrame, relations: DataFrame, weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(source_id, target_id, relationship, weight, added, attempts), and the relations skipped because an end came later or never."""
-    first = mentions.groupBy("id").agg(F.min("seq").alias("_f")).unionByName(nodes.select("id", F.lit(-1).cast("long").alias("_f"))).groupBy("id").agg(F.min("_f").alias("_f"))
-    r = relations.withColumn("_w", F.lit(1.0) if weight is None else weight)
-    r = r.join(first.select(F.col("id").alias("source_id"), F.col("_f").alias("_a")), "source_id", "left").join(first.select(F.col("id").alias("target_id"), F.col("_f").alias("_b")), "target_id", "left")
-    ok = F.coalesce((F.col("_a") <= F.col("seq")) & (F.col("_b") <= F.col("seq")), F.lit(False))
     key = ["source_id", "target_id", "relationship"]
-    g = r.filter(ok).groupBy(*key).agg(F.count("*").alias("n"), F.min_by("_w", F.struct("seq", "pos")).alias("first"))
+    r = relations if weight is None else relations.withColumn("_w", weight)
+    # counts need no sort; without weights all first ones are 1
+    counted = lambda rows, *more: rows.groupBy(*key, *more).agg(F.count("*").alias("n"), F.min("seq").alias("_low"), (F.lit(1.0) if weight is None else F.min_by("_w", F.struct("seq", "pos"))).alias("first"))
+    folded = settle(counted(r))[0]
+    ends = folded.select(F.col("source_id").alias("id")).unionByName(folded.select(F.col("target_id").alias("id"))).distinct()
+    first = mentions.groupBy("id").agg(F.min("seq").alias("_f")).unionByName(nodes.select("id", F.lit(-1).cast("long").alias("_f"))).join(ends, "id", "left_semi").groupBy("id").agg(F.min("_f").alias("_f"))
+    met = folded.join(first.select(F.col("id").alias("source_id"), F.col("_f").alias("_a")), "source_id", "left").join(first.select(F.col("id").alias("target_id"), F.col("_f").alias("_b")), "target_id", "left")
+    # from which extraction on both ends are there; null where one never is
+    met = settle(met.withColumn("_from", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.greatest("_a", "_b"))).drop("_a", "_b"))[0]
+    g = met.filter("_from <= _low").select(*key, "n", "first")
+    late = met.filter("_from > _low").select(*key, "_from")
+    if not late.isEmpty():
+        g = g.unionByName(counted(r.join(late, key).filter("seq >= _from")).select(g.columns))
+    some = met.filter("_from is null or _from > _low").select(*key, "_from")
+    skipped = relations.join(some, key).filter("_from is null or seq < _from")
     j = g.join(edges.select(*key, F.col("weight").alias("_s")), key, "left")
     w = F.when(F.col("_s").isNotNull(), F.least(F.lit(1.0), F.col("_s") + STEP * F.col("n"))).when(F.col("n") == 1, F.col("first")).otherwise(F.least(F.lit(1.0), F.col("first") + STEP * (F.col("n") - 1)))
-    return j.select(*key, w.alias("weight"), F.col("_s").isNull().alias("added"), F.col("n").alias("attempts")), r.filter(~ok).select(*relations.columns)
+    return j.select(*key, w.alias("weight"), F.col("_s").isNull().alias("added"), F.col("n").alias("attempts")), skipped.select(*relations.columns)
 
 
 def detect_relations(texts: DataFrame, spans: DataFrame, *, most: int = 300, ratio: float = 0.4, enforce_types: bool = False, skip_people: bool = False) -> DataFrame:

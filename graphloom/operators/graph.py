@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import clamp, slug
+from graphloom.sources.shared import deal, settle
 
 NODES = """id string, type string, name string, description string, salience double, confidence double, source_agent string,
 created_at timestamp, last_reinforced timestamp, category string, namespace string, file_path string, line_start int, line_end int,
@@ -155,7 +156,8 @@ def edges_with_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def top_edges(edges: DataFrame, n: int = 3) -> DataFrame:
     """For each source its n heaviest outgoing edges, ties by target and relationship."""
     w = Window.partitionBy("source_id").orderBy(F.desc("weight"), "target_id", "relationship")
-    return edges.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    (edges,) = settle(edges)
+    return deal(edges, edges.count(), "source_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def add_tags(g: Graph, rows: DataFrame) -> Graph:

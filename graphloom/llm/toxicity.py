@@ -43,7 +43,7 @@ class Folding(dict):
         else:
             base = unicodedata.normalize("NFKD", c).casefold()
             base = "".join(x for x in base if not unicodedata.combining(x))
-            base = "".join(LOOKALIKE.get(x, x) for x in base).replace("i", "l")  # '1' and '|' are written for both
+            base = "".join(LOOKALIKE.get(x, x) for x in base)
             out = base if base and all(x.isalpha() for x in base) else (None if unicodedata.combining(c) else " ")
         self[code] = out
         return out
@@ -54,11 +54,16 @@ ASCII_FOLD = bytes(ord(FOLD[i]) for i in range(128)) + bytes(range(128, 256))
 
 
 def fold(data: bytes) -> str:
-    """The folded text: words of letters, a space before, between and after them; i, l, 1 and | are one letter, written l."""
+    """The folded text: words of letters, a space before, between and after them; 1 and | are written l."""
     text = data.translate(ASCII_FOLD).decode() if data.isascii() else data.decode().translate(FOLD)
     return f" {' '.join(text.split())} "
 
 
+def merged(folded: str) -> str:
+    """The folded text with i and l as one letter, written l, as 1 and | are written for both."""
+    return folded.replace("i", "l")
+
+
 class Lexicon:
     """entries: (pattern, weight), patterns with a space before, and one after where a whole word is meant. exceptions: phrases with spaces around. Both are folded as texts are, sign by sign."""
 
@@ -74,11 +79,11 @@ class Lexicon:
         if self._automaton is None:
             a = ahocorasick.Automaton()
             for pattern, weight in self.entries:
-                v = pattern.translate(FOLD)
+                v = merged(pattern.translate(FOLD))
                 if a.get(v, (0, 0.0))[1] < weight:
                     a.add_word(v, (len(v), weight))
             for phrase in self.exceptions:
-                v = phrase.translate(FOLD)
+                v = merged(phrase.translate(FOLD))
                 a.add_word(v, (len(v), 0.0))
             a.make_automaton()
             self._automaton = a
@@ -88,7 +93,7 @@ class Lexicon:
         """The heaviest entry at each place of the folded text, those inside exception phrases left out."""
         found: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
-        for end, (n, weight) in self.automaton.iter(folded):
+        for end, (n, weight) in self.automaton.iter(merged(folded)):
             start = end - n + 1
             if weight == 0.0:
                 spared.append((start, end))
@@ -132,7 +137,7 @@ def _counted(rows: DataFrame, terms_of) -> DataFrame:
                 part = batch.slice(at, 500)
                 counts = [Counter(), Counter()]
                 for data, label in zip(text_bytes(part.column("text")), part.column("label").to_pylist(), strict=True):
-                    counts[label].update(terms_of(fold(data)))
+                    counts[label].update(terms_of(merged(fold(data))))
                 keys = list(counts[0].keys() | counts[1].keys())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[0][k] for k in keys], pa.int64()), pa.array([counts[1][k] for k in keys], pa.int64())], names=["term", "n0", "n1"])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.signals import salience, sensitivity
 from graphloom.operators import homeostasis, replay
-from graphloom.operators.extraction import fold_edges, fold_nodes, parse_extractions
+from graphloom.operators.extraction import fold_nodes, grown_edges, parse_extractions, tried_edges
 from graphloom.operators.graph import Graph, clamp_salience, complete
 from graphloom.sources.shared import settle
 
@@ -32,7 +32,8 @@ def apply_extractions(g: Graph, entities: DataFrame, relations: DataFrame, as_of
     of mentions: nodes_added, nodes_reinforced, edges_added (repeats too)."""
     mine = lambda df: F.col("agent") if "agent" in df.columns else F.lit(agent).cast("string")
     folded = fold_nodes(g.nodes, entities)
-    edges, _ = fold_edges(g.nodes, g.edges, entities, relations)
+    tried, _ = tried_edges(g.nodes, entities, relations)
+    edges = grown_edges(g.edges, tried)
     at = F.struct("seq", "pos")
     by = entities.groupBy("id").agg(F.min_by(mine(entities), at).alias("_agent"), F.min_by("tags", at).alias("_tags"))
     old = g.nodes.join(folded, "id", "left_anti")
@@ -54,7 +55,7 @@ def apply_extractions(g: Graph, entities: DataFrame, relations: DataFrame, as_of
     both = both.withColumns({c: F.coalesce(c, fill[c]) for c in given} | {"last_reinforced": as_of})
     out = g.with_(nodes=nodes, edges=kept.unionByName(both.select(kept.columns)), tags=tags)
     counts = folded.agg(F.coalesce(F.sum(F.col("added").cast("int")), F.lit(0)).alias("nodes_added"), F.coalesce(F.sum(F.col("mentions") - F.col("added").cast("int")), F.lit(0)).alias("nodes_reinforced"))
-    return out, counts.crossJoin(edges.agg(F.coalesce(F.sum("attempts"), F.lit(0)).alias("edges_added")))  # one row each
+    return out, counts.crossJoin(tried.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges_added")))  # one row each; counts form no edges of the graph
 
 
 def ingest_extractions(g: Graph, extractions: DataFrame, agent: str | None, as_of: Column) -> tuple[Graph, DataFrame, DataFrame]:
@@ -95,6 +96,7 @@ def nrem_replay(g: Graph, entries: DataFrame, as_of: Column, agent: str = "defau
     given = g.nodes.sparkSession.createDataFrame([], "seq long, json string") if extractions is None else extractions
     given = given.join(F.broadcast(total.filter("entries_processed > 0")), how="left_semi")  # one row or none
     entities, relations, bad = parse_extractions(given)
+    entities, relations = settle(entities, relations)  # parsed once
     out, counts = apply_extractions(g, entities, relations, as_of, agent)
     bad = bad.select("seq", F.lit("extraction").alias("source"))
     found = entities.agg(F.count("*").alias("entities_extracted")).crossJoin(relations.agg(F.count("*").alias("relationships_extracted")))

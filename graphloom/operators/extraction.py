@@ -64,8 +64,8 @@ def fold_nodes(nodes: DataFrame, mentions: DataFrame, longest_description: bool
     return j.select("id", F.coalesce("_t", "type").alias("type"), F.coalesce("_n", "name").alias("name"), text.alias("description"), grown.alias("salience"), (~was).alias("added"), F.col("n").alias("mentions"))
 
 
-def fold_edges(nodes: DataFrame, edges: DataFrame, mentions: DataFrame, relations: DataFrame, weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(source_id, target_id, relationship, weight, added, attempts), and the relations skipped because an end came later or never."""
+def tried_edges(nodes: DataFrame, mentions: DataFrame, relations: DataFrame, weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(source_id, target_id, relationship, n, first): how often relations whose ends are there name an edge, and the first weight; and the relations skipped because an end came later or never."""
     key = ["source_id", "target_id", "relationship"]
     r = relations if weight is None else relations.withColumn("_w", weight)
     # counts need no sort; without weights all first ones are 1
@@ -82,9 +82,21 @@ def fold_edges(nodes: DataFrame, edges: DataFrame, mentions: DataFrame, relation
         g = g.unionByName(counted(r.join(late, key).filter("seq >= _from")).select(g.columns))
     some = met.filter("_from is null or _from > _low").select(*key, "_from")
     skipped = relations.join(some, key).filter("_from is null or seq < _from")
-    j = g.join(edges.select(*key, F.col("weight").alias("_s")), key, "left")
+    return g, skipped.select(*relations.columns)
+
+
+def fold_edges(nodes: DataFrame, edges: DataFrame, mentions: DataFrame, relations: DataFrame, weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(source_id, target_id, relationship, weight, added, attempts), and the relations skipped because an end came later or never."""
+    g, skipped = tried_edges(nodes, mentions, relations, weight)
+    return grown_edges(edges, g), skipped
+
+
+def grown_edges(edges: DataFrame, tried: DataFrame) -> DataFrame:
+    """(source_id, target_id, relationship, weight, added, attempts) of what tried_edges gives, beside the edges that are there."""
+    key = ["source_id", "target_id", "relationship"]
+    j = tried.join(edges.select(*key, F.col("weight").alias("_s")), key, "left")
     w = F.when(F.col("_s").isNotNull(), F.least(F.lit(1.0), F.col("_s") + STEP * F.col("n"))).when(F.col("n") == 1, F.col("first")).otherwise(F.least(F.lit(1.0), F.col("first") + STEP * (F.col("n") - 1)))
-    return j.select(*key, w.alias("weight"), F.col("_s").isNull().alias("added"), F.col("n").alias("attempts")), skipped.select(*relations.columns)
+    return j.select(*key, w.alias("weight"), F.col("_s").isNull().alias("added"), F.col("n").alias("attempts"))
 
 
 def detect_relations(texts: DataFrame, spans: DataFrame, *, most: int = 300, ratio: float = 0.4, enforce_types: bool = False, skip_people: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import vocabulary as V
 from graphloom.functions.text import NAME
-from graphloom.operators import extraction, ingest, notes
+from graphloom.operators import consolidate, extraction, graph, ingest, notes
 from graphloom.sources.shared import deal, settle
 
 
@@ -65,3 +65,15 @@ def test_relations_whose_ends_come_late(spark):
         assert {(x["target_id"], x["attempts"], round(x["weight"], 6)) for x in got.collect()} == {(t, n, round(min(1, first[t] + 0.1 * (n - 1)), 6)) for t, n in (("a", 5), ("b", 3))}
         assert sorted((x["target_id"], x["seq"]) for x in skipped.collect()) == [("b", 1), ("b", 2), *[("c", s) for s in range(1, 6)]]
     assert "min_by" not in plan(extraction.fold_edges(nodes, edges, mentions, r)[0])
+
+
+def test_counts_of_a_replay_form_no_edges(spark):
+    g = graph.Graph.empty(spark)
+    e = spark.createDataFrame([("anna", "docker", "relates_to", 0.4)], "source_id string, target_id string, relationship string, weight double")
+    g = g.with_(edges=g.edges.unionByName(settle(e)[0], allowMissingColumns=True))
+    text = '{"entities": [{"name": "Anna", "type": "person"}, {"name": "Docker", "type": "tool"}], "relationships": [{"source": "Anna", "target": "Docker", "relationship": "relates_to"}]}'
+    given = spark.createDataFrame([(1, text), (2, text)], "seq long, json string")
+    entries = spark.createDataFrame([(1, "2024-01-01", "", "x", "finding", "x")], "seq long, date string, heading string, content string, entry_type string, full_text string")
+    out = consolidate.nrem_replay(g, entries, F.to_timestamp(F.lit("2024-01-02")), extractions=given)
+    assert "weight" not in plan(out.counts) and out.counts.first()["edges_added"] == 2
+    assert [round(r["weight"], 6) for r in out.graph.edges.select("weight").collect()] == [0.6]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import terms
+from graphloom.sources.shared import settle
 
 K1, B = 1.2, 0.75
 
@@ -254,12 +255,16 @@ def update_index(changed: DataFrame, gone: DataFrame, path: str) -> None:
 
 
 def _write_change(nodes: DataFrame, gone: DataFrame, old: DataFrame, path: str, number: int) -> None:
-    sizes = _entries(nodes).select("id", "length")
-    sizes.unionByName(gone.select("id", F.lit(None).cast("int").alias("length"))).write.parquet(f"{path}/docs/change={number}")
+    named = _entries(nodes).select("id", "length").unionByName(gone.select("id", F.lit(None).cast("int").alias("length")))
+    named.write.parquet(f"{path}/docs/change={number}")
+    # what is written is read back, so that words are listed once for lengths and once for postings
+    sizes = nodes.sparkSession.read.schema("id string, length int").parquet(f"{path}/docs/change={number}").filter("length is not null")
     sums = lambda df, sign: df.agg((sign * F.count("*")).alias("docs"), (sign * F.coalesce(F.sum("length"), F.lit(0))).alias("words"))
     totals = sums(sizes, 1).unionByName(sums(old, -1)).agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
     totals.write.parquet(f"{path}/totals/change={number}")
-    inverted_index(nodes).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings/change={number}")
+    # ranges are found by a sample, which would form all postings a second time
+    (postings,) = settle(inverted_index(nodes))
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings/change={number}")
 
 
 def stored_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -275,7 +280,7 @@ def stored_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def merge_index(spark: SparkSession, path: str, into: str) -> None:
     """Write the index below path, all its changes merged into one, to a new folder."""
-    postings, _ = stored_index(spark, path)
+    (postings,) = settle(stored_index(spark, path)[0])
     postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{into}/postings/change=0")
     docs = spark.read.parquet(f"{path}/docs").groupBy("id").agg(F.max_by("length", "change").alias("length")).filter("length is not null")
     docs.write.parquet(f"{into}/docs/change=0")

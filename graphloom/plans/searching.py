@@ -81,7 +81,7 @@ _FINAL = f"w as (select id, sensitivity, salience, {_words('name')} as a, {_word
 @query(_match_sql([(["ring"], False), (["small"], False)], "p0 > 0 and p1 > 0", _FINAL) + _ALL)
 def index_upkeep(spark, d):
     """An index made, three nodes in ten changed, one in ten deleted, some added, some changed and changed back, and all merged: a search gives what it gives over the final nodes."""
-    n = P.nodes(spark, d)
+    (n,) = settle(P.nodes(spark, d).select("id", "type", "name", "description", "sensitivity"))  # every change reads them
     path, merged = folder(spark), folder(spark)
     search.create_index(n, path)
     other = n.withColumns({"name": F.concat(F.lit("changed "), F.col("type")), "description": F.concat(F.lit("small ring "), F.col("description"))})

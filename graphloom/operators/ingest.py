@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import vocabulary as V
 from graphloom.functions.text import NAME, contains_any, is_person, is_valid_entity, near_pairs, slug
 from graphloom.operators.graph import Graph, complete
-from graphloom.sources.shared import settle
+from graphloom.sources.shared import deal, settle
 
 CHUNK = 600
 
@@ -107,9 +107,10 @@ def headings(chunks: DataFrame) -> DataFrame:
 
 
 def entities(chunks: DataFrame) -> DataFrame:
-    """Entities of all rules with ent_seq; of one id in a chunk the first rule's first place counts. Every rule reads a chunk in the same pass."""
+    """Entities of all rules with ent_seq; of one id in a chunk the first rule's first place counts. Every rule reads a chunk in the same pass; what they find is dealt into parts by the number of chunks, which is best stored."""
     none = F.array().cast("array<struct<id: string, name: string, type: string, start: int, end: int, rule: int>>")
     every = _spans(chunks, lambda text, low, first: F.concat(_people(text), _tools(text, low), _signals(text, low), F.coalesce(_headings(low, first), none)))
+    every = deal(every, chunks.count(), "path", "chunk_seq", always=True)
     w = Window.partitionBy("path", "chunk_seq", "id").orderBy("rule", "start", "name")
     first = every.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     return first.withColumn("ent_seq", F.row_number().over(Window.partitionBy("path", "chunk_seq").orderBy("rule", "start", "id")))
@@ -126,7 +127,7 @@ def pair_mentions(ents: DataFrame, chunks: DataFrame | None = None, most: int =
     each pair has its own sureness, and its class stands in relationship."""
     key = ["path", "chunk_seq"]
     rows = ents.select(*key, F.col("ent_seq").alias("seq"), "id", "type", "start", "end")
-    p = near_pairs(rows, key, most).filter("not (a_type = 'person' and b_type = 'person')")
+    p = near_pairs(rows, key, most, ents.count()).filter("not (a_type = 'person' and b_type = 'person')")
     near = F.greatest(F.lit(0.3), 1.0 - 0.7 * F.col("gap") / most)
     weight = lambda sure: near if fast else F.greatest(F.lit(0.3), (near + sure) / 2)
     out = p.withColumn("weight", weight(confidence)).withColumn("source_id", F.least("a_id", "b_id")).withColumn("target_id", F.greatest("a_id", "b_id"))

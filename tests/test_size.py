@@ -77,3 +77,11 @@ def test_counts_of_a_replay_form_no_edges(spark):
     out = consolidate.nrem_replay(g, entries, F.to_timestamp(F.lit("2024-01-02")), extractions=given)
     assert "weight" not in plan(out.counts) and out.counts.first()["edges_added"] == 2
     assert [round(r["weight"], 6) for r in out.graph.edges.select("weight").collect()] == [0.6]
+
+
+def test_spans_keep_to_parts_of_a_size(spark):
+    chunks = settle(spark.createDataFrame([("a", i, "Use docker with redis") for i in range(20)], "path string, chunk_seq int, text string"))[0]
+    ents = settle(ingest.entities(chunks))[0]
+    pairs = ingest.pair_edges(ents)
+    assert pairs.rdd.getNumPartitions() >= 4 and pairs.count() >= 20
+    assert deal(chunks, 20, "path", each=2, always=True).rdd.getNumPartitions() == 10

@@ -10,11 +10,14 @@ and starts anew where a text begins. Gradients stop at a window's edge.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 
 #: Members of a class of the output.
 WIDTH = 64
+#: Rows of one name that are added one at a time.
+ROUNDS = 4
 
 
 class Shape:
@@ -84,13 +87,35 @@ class Lanes:
         self.alive = np.searchsorted(-length[order], -np.arange(steps), side="left")
 
 
+def apart(make: Callable, features: int, steps: int, lanes: int, kind: np.dtype) -> np.ndarray:
+    """An array (feature, time, lane) whose features don't lie a multiple of a page apart, as they would evict each other from a cache."""
+    return make((features, steps * lanes + 16), kind)[:, :-16].reshape(features, steps, lanes)
+
+
+def add_rows(out: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    """Adds each row of x to the row of out that rows names."""
+    order = np.argsort(rows.astype(np.int16) if len(out) < 1 << 15 else rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    times = np.diff(np.append(first, len(rows)))
+    # sums of long runs alone are worth a call of their own each
+    for k in range(ROUNDS):
+        own = first[times > k] + k
+        out[rows[own]] += x.take(order[own], 0)
+    later = np.arange(len(rows)) - np.repeat(first, times) >= ROUNDS
+    if later.any():
+        order, rows = order[later], rows[later]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        out[rows[first]] += np.add.reduceat(x.take(order, 0), first)
+
+
 class Net:
-    """Within a window arrays are (time, feature, lane), so that each feature's lanes lie side by side."""
+    """Within a window arrays are (feature, time, lane) or (feature, cell), so that each feature's cells lie side by side."""
 
     def __init__(self, shape: Shape, flat: np.ndarray, row_of: np.ndarray, class_of: np.ndarray):
         """row_of, class_of: by symbol, its input row and its class. Symbols below shape.members are members."""
         self.shape, self.flat, self.p = shape, flat, shape.unpack(flat)
-        self.row_of, self.class_of = row_of, class_of.astype(np.int16)
+        self.row_of, self.class_of = row_of.astype(np.int32), class_of.astype(np.int16)
 
     def run(self, lanes: Lanes, a: int, b: int, h: np.ndarray) -> tuple[np.ndarray, dict]:
         """The state (lane, feature) after times a to b, and what outputs and backpropagation need of the window."""
@@ -101,97 +126,105 @@ class Net:
         new = lanes.begins[a:b, :most]
         last = lanes.symbol[a - 1 : b - 1, :most] if a else np.concatenate([np.zeros((1, most), np.int32), lanes.symbol[: b - 1, :most]])
         rows = np.where(new, self.shape.inputs - 1, self.row_of[last])
-        # a sigmoid is half a tanh of half its input: gates' inputs are halved here
-        x = np.ascontiguousarray(p["x"][rows].transpose(0, 2, 1))
-        x[:, : 2 * k] *= 0.5
+        x = p["x"].take(rows, 0)
         u = p["u"].T.copy()
-        u[: 2 * k] *= 0.5
+        u[: 2 * k] *= -1
         make = np.empty if whole else np.zeros
-        before, gates, drive, c, state = (make((steps, m, most), kind) for m in (k, 2 * k, 3 * k, k, k))
+        before, gates, drive, c, state = (apart(make, m, steps, most, kind) for m in (k, 2 * k, k, k, k))
         some = new.any(1)
         now = np.ascontiguousarray(h[:most].T)
-        for t, n in enumerate(alive.tolist()):
-            was, g, d, cand, out = before[t, :, :n], gates[t, :, :n], drive[t, :, :n], c[t, :, :n], state[t, :, :n]
-            was[:] = now[:, :n]
-            if some[t]:
-                was[:, new[t, :n]] = 0
-            if whole:
-                np.matmul(u, was, out=d)
-            else:
-                d[:] = u @ was
-            np.add(x[t, : 2 * k, :n], d[: 2 * k], out=g)
-            np.tanh(g, out=g)
-            g *= 0.5
-            g += 0.5
-            np.multiply(g[k:], d[2 * k :], out=cand)
-            cand += x[t, 2 * k :, :n]
-            np.tanh(cand, out=cand)
-            np.subtract(was, cand, out=out)
-            out *= g[:k]
-            out += cand
-            now = out
+        with np.errstate(over="ignore"):  # the gate is 0 there
+            for t, n in enumerate(alive.tolist()):
+                was, g, cand, out, given = before[:, t, :n], gates[:, t, :n], c[:, t, :n], state[:, t, :n], x[t, :n].T
+                was[:] = now[:, :n]
+                if some[t]:
+                    was[:, new[t, :n]] = 0
+                d = u @ was
+                np.subtract(d[: 2 * k], given[: 2 * k], out=g)
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                drive[:, t, :n] = d[2 * k :]
+                np.multiply(g[k:], d[2 * k :], out=cand)
+                cand += given[2 * k :]
+                np.tanh(cand, out=cand)
+                np.subtract(was, cand, out=out)
+                out *= g[:k]
+                out += cand
+                now = out
         cells = None if whole else np.flatnonzero((np.arange(most) < alive[:, None]).ravel())
         return now.T, {"rows": rows, "new": new, "some": some, "alive": alive, "before": before, "gates": gates, "drive": drive, "c": c, "state": state, "cells": cells}
 
     @staticmethod
     def by_cell(window: dict, x: np.ndarray) -> np.ndarray:
-        """Rows of x (time, feature, lane) by cell, time after time; only cells where a lane still runs."""
-        flat = np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
-        return flat if window["cells"] is None else flat[window["cells"]]
+        """x (feature, time, lane) by cell, time after time; only cells where a lane still runs."""
+        flat = x.reshape(len(x), -1)
+        return flat if window["cells"] is None else flat.take(window["cells"], axis=1)
 
     @staticmethod
     def of_cells(window: dict, x: np.ndarray) -> np.ndarray:
-        """The same for x (time, lane, ...)."""
+        """The same for x (time, lane)."""
         flat = x[: len(window["alive"]), : window["new"].shape[1]].ravel()
         return flat if window["cells"] is None else flat[window["cells"]]
 
     @staticmethod
-    def exponents(logits: np.ndarray) -> np.ndarray:
-        """exp(logits) by row up to a factor of the row, in place; logits are lowered by the same, so that no row over- or underflows."""
-        if len(logits) and (logits.max() > 40 or logits.min() < -40):
+    def exponents(logits: np.ndarray, own: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray]:
+        """exp(logits) by row up to a factor of the row, in place, and the logits at own before; steep: rows are lowered first where some would over- or underflow."""
+        if steep and len(logits) and (logits.max() > 40 or logits.min() < -40):
             logits -= logits.max(1, keepdims=True)
-        return np.exp(logits)
+        at = logits.ravel().take(own)
+        return np.exp(logits, out=logits), at
 
     def outputs(self, states: np.ndarray, symbols: np.ndarray, slopes: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln probability of symbols given states; with slopes, also adds the parameters' gradients to it and gives the states'."""
-        p, kind = self.p, self.class_of[symbols]
+        """ln probability of symbols given states (feature, cell); with slopes, also adds the parameters' gradients of the mean loss to it and gives the states'."""
+        p, k, kind, n = self.p, self.shape.hidden, self.class_of[symbols], len(symbols)
         order = np.argsort(kind, kind="stable")
-        kind, symbols, states = kind[order], symbols[order], states[order]
-        at = np.arange(len(symbols))
-        logits = states @ p["wc"]
-        logits += p["bc"]
-        e = self.exponents(logits)
-        total = e.sum(1)
-        lp = logits[at, kind] - np.log(total)
+        kind, symbols = kind[order], symbols[order]
+        # a last feature of 1 stands for the biases
+        s = np.ones((k + 1, n), states.dtype)
+        s[:k] = states.take(order, axis=1)
+        wc, wo = np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["wo"], p["bo"][:, None]], 1)
+        # states lie between -1 and 1
+        steep = max(np.abs(wc).sum(0).max(), np.abs(wo).sum(1).max()) > 39
+        own = np.arange(n) * self.shape.classes + kind
+        e, at = self.exponents(s.T @ wc, own, steep)
+        total = e @ np.ones(self.shape.classes, e.dtype)
+        lp = at - np.log(total)
+        edges = np.searchsorted(kind, np.arange(self.shape.own + 1)).tolist()
+        spans = [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+        m = edges[-1]
+        within = np.empty((m, WIDTH), s.dtype)
+        for c, a, b in spans:
+            np.matmul(s[:, a:b].T, wo[c], out=within[a:b])
+        member = np.arange(m) * WIDTH + symbols[:m] - kind[:m].astype(np.int64) * WIDTH
+        within, at = self.exponents(within, member, steep)
+        sums = within @ np.ones(WIDTH, s.dtype)
+        lp[:m] += at - np.log(sums)
         back = None
         if slopes is not None:
-            e /= total[:, None]
-            e[at, kind] -= 1
-            slopes["wc"] += states.T @ e
-            slopes["bc"] += e.sum(0)
-            back = e @ p["wc"].T
-        edges = np.searchsorted(kind, np.arange(self.shape.own + 1)).tolist()
-        for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            if a == b:
-                continue
-            s, member, at = states[a:b], symbols[a:b] - c * WIDTH, np.arange(b - a)
-            logits = s @ p["wo"][c]
-            logits += p["bo"][c]
-            e = self.exponents(logits)
-            total = e.sum(1)
-            lp[a:b] += logits[at, member] - np.log(total)
-            if slopes is not None:
-                e /= total[:, None]
-                e[at, member] -= 1
-                slopes["wo"][c] += s.T @ e
-                slopes["bo"][c] += e.sum(0)
-                back[a:b] += e @ p["wo"][c].T
+            # e and within become the totals times the slopes by logits
+            e.ravel()[own] -= total
+            within.ravel()[member] -= sums
+            total, sums = total * n, sums * n
+            g = (s / total) @ e
+            slopes["wc"] += g[:k]
+            slopes["bc"] += g[k]
+            back = p["wc"] @ e.T
+            back /= total
+            part, more = s[:, :m] / sums, np.empty((k, m), s.dtype)
+            for c, a, b in spans:
+                g = part[:, a:b] @ within[a:b]
+                slopes["wo"][c] += g[:k]
+                slopes["bo"][c] += g[k]
+                np.matmul(p["wo"][c], within[a:b].T, out=more[:, a:b])
+            more /= sums
+            back[:, :m] += more
         out = np.empty_like(lp)
         out[order] = lp
         if back is not None:
-            given = np.empty_like(back)
-            given[order] = back
-            back = given
+            place = np.empty_like(order)
+            place[order] = np.arange(n)
+            back = back.take(place, axis=1)
         return out, back
 
     def score(self, texts: list[np.ndarray], lanes: int = 128, window: int = 32) -> np.ndarray:
@@ -215,12 +248,12 @@ class Net:
         symbols = self.of_cells(kept, lanes.symbol[a:b])
         lp, back = self.outputs(self.by_cell(kept, kept["state"]), symbols, g)
         alive, new, before, c = kept["alive"], kept["new"], kept["before"], kept["c"]
-        z, r = kept["gates"][:, :k], kept["gates"][:, k:]
+        z, r = kept["gates"][:k], kept["gates"][k:]
         if kept["cells"] is not None:
-            every = np.zeros((new.size, k), back.dtype)
-            every[kept["cells"]] = back
+            every = np.zeros((k, new.size), back.dtype)
+            every[:, kept["cells"]] = back
             back = every
-        back = np.ascontiguousarray(back.reshape(*new.shape, k).transpose(0, 2, 1))
+        back = back.reshape(k, *new.shape)
         rest = 1 - z
         to_c = c * c
         np.subtract(1, to_c, out=to_c)
@@ -230,34 +263,29 @@ class Net:
         to_z *= rest
         to_r = 1 - r
         to_r *= r
-        to_r *= kept["drive"][:, 2 * k :]
-        du, dc = np.zeros((len(alive), 3 * k, new.shape[1]), flat.dtype), np.zeros_like(c)
+        to_r *= kept["drive"]
+        du, dc = apart(np.zeros, 3 * k, *new.shape, flat.dtype), apart(np.zeros, k, *new.shape, flat.dtype)
         later = np.zeros((k, new.shape[1]), flat.dtype)
         for t in range(len(alive) - 1, -1, -1):
             n = int(alive[t])
-            dh, d, cand = back[t, :, :n], du[t, :, :n], dc[t, :, :n]
+            dh, d, cand = back[:, t, :n], du[:, t, :n], dc[:, t, :n]
             dh += later[:, :n]
-            np.multiply(dh, to_c[t, :, :n], out=cand)
-            np.multiply(dh, to_z[t, :, :n], out=d[:k])
-            np.multiply(cand, to_r[t, :, :n], out=d[k : 2 * k])
-            np.multiply(cand, r[t, :, :n], out=d[2 * k :])
+            np.multiply(dh, to_c[:, t, :n], out=cand)
+            np.multiply(dh, to_z[:, t, :n], out=d[:k])
+            np.multiply(cand, to_r[:, t, :n], out=d[k : 2 * k])
+            np.multiply(cand, r[:, t, :n], out=d[2 * k :])
             flow = p["u"] @ d
-            dh *= z[t, :, :n]
+            dh *= z[:, t, :n]
             flow += dh
             if kept["some"][t]:
                 flow[:, new[t, :n]] = 0
             later[:, :n] = flow
             later[:, n:] = 0
-        g["u"] += np.matmul(before, du.transpose(0, 2, 1)).sum(0)
-        rows, dx = self.of_cells(kept, kept["rows"]), np.empty((*new.shape, 3 * k), flat.dtype)
-        dx[..., : 2 * k], dx[..., 2 * k :] = du[:, : 2 * k].transpose(0, 2, 1), dc.transpose(0, 2, 1)
-        dx = dx.reshape(-1, 3 * k)
-        if kept["cells"] is not None:
-            dx = dx[kept["cells"]]
-        order = np.argsort(rows.astype(np.int16) if shape.inputs < 1 << 15 else rows, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(rows[order]) > 0))
-        g["x"][rows[order][cuts]] = np.add.reduceat(dx[order], cuts)
-        flat /= len(symbols)
+        g["u"] += before.reshape(k, -1) @ du.reshape(3 * k, -1).T
+        # the candidate's own input is not led through a gate
+        du[2 * k :] = dc
+        dx = np.ascontiguousarray(du.reshape(3 * k, -1).T)
+        add_rows(g["x"], self.of_cells(kept, kept["rows"]), dx if kept["cells"] is None else dx[kept["cells"]])
         return h, flat, -float(lp.mean())
 
     def train(self, texts: list[np.ndarray], squares: np.ndarray, lanes: int = 128, window: int = 24, rate: float = 0.15) -> float:
@@ -265,13 +293,15 @@ class Net:
         deal = Lanes(texts, lanes)
         h = np.zeros((deal.symbol.shape[1], self.shape.hidden), self.flat.dtype)
         total = count = 0.0
+        root = np.empty_like(self.flat)
         for a in range(0, len(deal.alive), window):
             b = min(a + window, len(deal.alive))
             n = int(deal.alive[a:b].sum())
             h, g, loss = self.slope(deal, a, b, h)
-            squares += g * g
+            squares += np.multiply(g, g, out=root)
+            np.sqrt(np.add(squares, 1e-10, out=root), out=root)
             g *= rate * min(1.0, n / (lanes * window / 4))
-            g /= np.sqrt(squares + 1e-10)
+            g /= root
             self.flat -= g
             total, count = total + loss * n, count + n
         return total / max(1.0, count)

@@ -324,3 +324,28 @@ def test_split_of_held_out_rows_is_the_contract(spark):
     from graphloom.llm.common import remainder
 
     assert {r["doc_id"]: r["m"] for r in ids.withColumn("m", remainder(F.col("doc_id"), 7)).collect()} == {i: zlib.crc32(str(i).encode()) % 7 for i in range(50)}
+
+
+def test_gradients_of_input_rows_are_added_up_by_row():
+    from graphloom.llm.gru import add_rows
+
+    rng = np.random.default_rng(3)
+    rows = np.concatenate([rng.integers(0, 40, 300), np.full(90, 7), [39]])
+    x, want, got = rng.normal(size=(len(rows), 6)), np.zeros((41, 6)), np.zeros((41, 6))
+    np.add.at(want, rows, x)
+    add_rows(got, rows, x)
+    assert np.allclose(got, want) and not got[40].any()
+
+
+def test_windows_lie_by_feature_and_apart():
+    """Cells of a feature lie side by side, as outputs read them, and features are no multiple of a page apart."""
+    shape = lm.Shape(70, 3, 5)
+    flat = shape.start(np.ones(70), np.ones(3))
+    rows, classes = np.concatenate([np.arange(70), 70 + np.arange(3)]), np.concatenate([np.arange(70) // 64, 2 + np.arange(3)])
+    from graphloom.llm.gru import Lanes
+
+    deal = Lanes([np.arange(64, dtype=np.int32)] * 128, 128)
+    window = lm.Net(shape, flat, rows, classes).run(deal, 0, 32, np.zeros((128, 5), np.float32))[1]
+    state = window["state"]
+    assert state.shape == (5, 32, 128) and state.strides[1:] == (512, 4) and state.strides[0] % 4096
+    assert np.shares_memory(lm.Net.by_cell(window, state), state)

@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import find_nodes
-from graphloom.sources.shared import folder
+from graphloom.sources.shared import EACH, folder
+
+
+@contextlib.contextmanager
+def by_end(edges: DataFrame) -> Iterator[DataFrame]:
+    """id, next: edges in both directions, stored in buckets by id, so that joins by id read them where they lie and shuffle only the other side.
+
+    The table lies in spark.checkpoint.dir; its name is dropped at the end."""
+    spark = edges.sparkSession
+    path = folder(spark)
+    name = path.rpartition("/")[2].replace("-", "_")
+    ends = lambda a, b: edges.select(F.col(a).alias("id"), F.col(b).alias("next"))
+    # no fewer buckets than shuffles have parts, else a join would shuffle them again
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * edges.count() // EACH))
+    ends("source_id", "target_id").unionByName(ends("target_id", "source_id")).repartition(parts, "id").write.bucketBy(parts, "id").sortBy("id").option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def reach(seeds: DataFrame, both: DataFrame, allowed: DataFrame, depth: int, prune: bool) -> tuple[DataFrame, str]:
@@ -42,16 +63,16 @@ def query_subgraph(
     ceiling only visible ones do. The nodes are the `limit` most salient visible;
     edges are those between visible nodes, also beyond the limit unless trim_edges.
 
-    Each round joins only what the last round reached with the edges, so a
-    round moves the frontier's edges and not the graph's nodes again."""
+    Edges are moved once, into buckets by their ends; a round shuffles what the
+    last round reached and what its edges lead to, not the graph again."""
     if mode not in ("skip", "prune"):
         raise ValueError("mode is skip or prune")
     seeds = find_nodes(nodes, tags, min_salience=min_salience, agent=agent, tag=tag, ceiling=ceiling, limit=limit).select("id")
-    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("next")))
     allowed = nodes.filter(F.col("salience") >= min_salience)
     if ceiling is not None:
         allowed = allowed.filter(F.coalesce("sensitivity", F.lit(0)) <= ceiling)
-    seen, _ = reach(seeds, both, allowed, depth, mode == "prune" and ceiling is not None)
+    with by_end(edges) as both:
+        seen, _ = reach(seeds, both, allowed, depth, mode == "prune" and ceiling is not None)
     shown = seen.filter("visible").select("id")
     out = nodes.join(shown, "id", "left_semi").orderBy(F.desc("salience"), "id").limit(limit)
     ends = out.select("id") if trim_edges else shown

@@ -85,3 +85,22 @@ def test_spans_keep_to_parts_of_a_size(spark):
     pairs = ingest.pair_edges(ents)
     assert pairs.rdd.getNumPartitions() >= 4 and pairs.count() >= 20
     assert deal(chunks, 20, "path", each=2, always=True).rdd.getNumPartitions() == 10
+
+
+def test_rounds_of_a_search_do_not_shuffle_the_edges_again(spark):
+    from graphloom.operators.traverse import by_end
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * 7) % 90}") for i in range(300)], "source_id string, target_id string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with by_end(edges) as both:
+            leads = spark.createDataFrame([("n1",), ("n7",)], "id string")
+            met = both.join(leads, "id", "left_semi")
+            want = sorted(t for i in range(300) for s, t in ((f"n{i}", f"n{(i * 7) % 90}"), (f"n{(i * 7) % 90}", f"n{i}")) if s in ("n1", "n7"))
+            assert sorted(r["next"] for r in met.collect()) == want
+            plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+            assert plan.count("Exchange") == 1
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("graphloom_")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
